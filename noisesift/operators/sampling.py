@@ -83,7 +83,8 @@ def split_report(parts: dict[str, DataFrame], class_col: str = "class") -> DataF
 def oversample_to_max(spark: SparkSession, df: DataFrame, class_col: str = "class", id_col: str = "index", seed: int = DEFAULT_SEED) -> DataFrame:
     """E6. Top up every class to the largest class size with repeats drawn from it.
 
-    Originals are all kept (``is_copy = false``). The deficit of each class is
+    Originals are all kept (``is_copy = false``); ``sample_id`` is unique
+    (the id for originals, ``copy-<class>-<j>`` for copies). The deficit of each class is
     generated by ``spark.range`` over all deficits (spread over tasks, not one
     explode per class); copy ``j`` of class ``c`` takes the row of rank
     ``md5(c-j) mod n_c + 1`` via an equi-join on ``(class, rank)``.
@@ -91,7 +92,7 @@ def oversample_to_max(spark: SparkSession, df: DataFrame, class_col: str = "clas
     counts = sorted(df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r[0])  # one row per class
     top = max((r["n"] for r in counts), default=0)
     ranked = hashed_rank(df, [class_col], id_col, seed, "__rk")
-    base = ranked.withColumn("is_copy", F.lit(False))
+    base = ranked.withColumns({"is_copy": F.lit(False), "sample_id": F.col(id_col).cast("string")})
     deficits = [(r[0], r["n"], top - r["n"]) for r in counts if top - r["n"] > 0]
     if not deficits:
         return base.drop("__rk")
@@ -104,9 +105,11 @@ def oversample_to_max(spark: SparkSession, df: DataFrame, class_col: str = "clas
         j_expr = F.when(cond, F.col("id") - F.lit(start)) if j_expr is None else j_expr.when(cond, F.col("id") - F.lit(start))
         n_expr = F.when(cond, F.lit(n)) if n_expr is None else n_expr.when(cond, F.lit(n))
         start += d
+    copy_id = F.concat_ws("-", F.lit("copy"), cls_expr.cast("string"), j_expr.cast("string"))
     copies = ids.select(
         cls_expr.cast(df.schema[class_col].dataType).alias(class_col),
-        (F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit("copy"), cls_expr.cast("string"), j_expr.cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint"), n_expr) + 1).alias("__rk"),
+        (F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", copy_id, F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint"), n_expr) + 1).alias("__rk"),
+        copy_id.alias("sample_id"),
     )
     picked = ranked.join(copies, [class_col, "__rk"]).withColumn("is_copy", F.lit(True))
     return base.unionByName(picked).drop("__rk")
@@ -128,7 +131,7 @@ def round_robin_batches(
     j = r.join(F.broadcast(firsts.select(class_col, "__cord")), class_col)
     pos = (F.col("__rk") - 1) * F.lit(n_classes) + F.col("__cord")
     out = j.withColumn("pos", pos.cast("bigint"))
-    n_max = r.agg(F.max("__n")).first()[0] or 0
+    n_max = max((c["n"] for c in df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).collect()), default=0)
     n_full = (n_max * n_classes) // batch_size
     out = out.where(F.col("pos") < F.lit(n_full * batch_size))
     return out.withColumn("batch_id", (F.col("pos") / F.lit(batch_size)).cast("bigint")).drop("__rk", "__n", "__cord")
@@ -180,7 +183,7 @@ def shuffle_batches(
     return out
 
 
-def flip_labels(df: DataFrame, p: float, n_classes: int = 2, label_col: str = "class", id_col: str = "index", seed: int = DEFAULT_SEED) -> DataFrame:
+def flip_labels(df: DataFrame, p: float, n_classes: int = 2, label_col: str = "class", id_col: str | Column = "index", seed: int = DEFAULT_SEED) -> DataFrame:
     """E11. Replace the label with a different class with probability ``p``.
 
     Binary: ``1 - y``. Multiclass: ``(y + 1 + h) mod C`` with ``h`` uniform in
