@@ -98,8 +98,10 @@ def ordered_position(
     pos_col: str = "pos",
     count_col: str | None = None,
     digits: int = DEFAULT_DIGITS,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """0-based position inside ``keys`` by a numeric ``order_col`` (unique per key).
+    """0-based position inside ``keys`` by a numeric ``order_col`` (then ``tiebreak``; the
+    whole order must be unique per key).
 
     Ranges come from the exact min/max of the order per key (one small aggregate),
     split into ``16**digits`` equal-width buckets.
@@ -117,5 +119,5 @@ def ordered_position(
     bucket = F.when(width <= 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(order_col).cast("double") - F.col("__lo").cast("double")) / width), F.lit(nb - 1))
     ).cast("long")
-    out = rank_within(x, keys, [F.col(order_col)], bucket, "__r", count_col)
-    return out.withColumn(pos_col, F.col("__r") - 1).drop("__r", "__lo", "__hi")
+    out = rank_within(x, keys, [F.col(order_col), *[F.col(t) for t in tiebreak]], bucket, "__rank1", count_col)
+    return out.withColumn(pos_col, F.col("__rank1") - 1).drop("__rank1", "__lo", "__hi")
