@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noisesift.functions.vectors import log_softmax
+from noisesift.functions.vectors import logsumexp
 from noisesift.operators.ranking import ordered_position
 
 
@@ -111,8 +111,8 @@ def task_metric(df: DataFrame, task: str, y: str = "label", pred: str = "pred",
 
 
 def cross_entropy(logits: str | Column, y: str | Column) -> Column:
-    """G8. Per-row ``-log softmax(logits)[y]`` (y 0-based)."""
-    return -F.element_at(log_softmax(logits), (_c(y) + 1).cast("int"))
+    """G8. Per-row ``-log softmax(logits)[y] = logsumexp(logits) - logits[y]`` (y 0-based)."""
+    return logsumexp(logits) - F.element_at(_c(logits), (_c(y) + 1).cast("int"))
 
 
 def squared_error(pred: str | Column, y: str | Column) -> Column:

@@ -39,23 +39,37 @@ def l2_normalize(v: str | Column, eps: float = EPS) -> Column:
 
 
 def logsumexp(v: str | Column) -> Column:
-    """F11. Max-shifted ``log(sum(exp(v)))``."""
-    m = F.array_max(_c(v))
-    return m + F.log(F.aggregate(_c(v), F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    """F11. ``log(sum(exp(v)))`` in one pass with a running maximum (the input is
+    referenced once, so an expensive array expression is evaluated once per row)."""
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc: Column, x: Column) -> Column:
+        m = F.greatest(acc["m"], x)
+        return F.struct(m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(x - m)).alias("s"))
+
+    return F.aggregate(_c(v), init, step, lambda acc: acc["m"] + F.log(acc["s"]))
 
 
 def log_softmax(v: str | Column) -> Column:
-    """F11."""
+    """F11. For an expensive ``v`` stage it in a column first (see ``with_softmax``)."""
     lse = logsumexp(v)
     return F.transform(_c(v), lambda x: x - lse)
 
 
 def softmax(v: str | Column) -> Column:
-    """F11."""
+    """F11. For an expensive ``v`` stage it in a column first (see ``with_softmax``)."""
     lse = logsumexp(v)
     return F.transform(_c(v), lambda x: F.exp(x - lse))
 
 
+def with_softmax(df, src: str, out: str, log: bool = False):
+    """F11 staged: the normaliser is computed once per row in its own column, so the
+    element-wise pass does not re-evaluate it per element."""
+    x = df.withColumn("__lse", logsumexp(src))
+    f = (lambda v: v - F.col("__lse")) if log else (lambda v: F.exp(v - F.col("__lse")))
+    return x.withColumn(out, F.transform(src, f)).drop("__lse")
+
+
 def argmax(v: str | Column) -> Column:
     """F12. 0-based index of the first maximum."""
     return (F.array_position(_c(v), F.array_max(_c(v))) - 1).cast("int")

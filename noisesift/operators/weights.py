@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisesift.functions.metrics import cross_entropy
-from noisesift.functions.vectors import dot, logsumexp, relu, sigmoid, softmax
+from noisesift.functions.vectors import dot, logsumexp, relu, sigmoid, with_softmax
 from noisesift.session import scratch_dir
 
 
@@ -117,8 +117,13 @@ def weight_ranking_loss(df: DataFrame, p: GateParams, x: str = "x", y: str = "y"
 
 
 # ----------------------------------------------------------------- J10 / J11
-def _probs(theta: np.ndarray, x: str) -> Column:
-    return softmax(F.transform(matrix_lit(theta), lambda row: dot(row, x)))
+def with_logits(df: DataFrame, theta: np.ndarray, x: str, out: str = "__z") -> DataFrame:
+    """Linear head ``theta x`` staged in its own column (evaluated once per row)."""
+    return df.withColumn(out, F.transform(matrix_lit(theta), lambda row: dot(row, x)))
+
+
+def with_probs(df: DataFrame, theta: np.ndarray, x: str, out: str = "__p") -> DataFrame:
+    return with_softmax(with_logits(df, theta, x, "__z"), "__z", out).drop("__z")
 
 
 def softmax_grad(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", coef: Column | None = None) -> np.ndarray:
@@ -128,8 +133,10 @@ def softmax_grad(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", c
     with a partial aggregate inside the same stage; only C*D values come back.
     """
     c_, d_ = theta.shape
-    r = F.transform(_probs(theta, x), lambda pc, c: (pc - F.when(c == F.col(y), F.lit(1.0)).otherwise(F.lit(0.0))) * (coef if coef is not None else F.lit(1.0)))
-    e = df.select(F.posexplode(r).alias("c", "rc"), F.col(x).alias("__x"))
+    base = df.select(F.col(x).alias("__x"), F.col(y).alias("__y"), (coef if coef is not None else F.lit(1.0)).alias("__coef"))
+    pr = with_probs(base, theta, "__x")
+    r = F.transform("__p", lambda pc, c: (pc - F.when(c == F.col("__y"), F.lit(1.0)).otherwise(F.lit(0.0))) * F.col("__coef"))
+    e = pr.select(F.posexplode(r).alias("c", "rc"), "__x")
     e = e.select("c", "rc", F.posexplode("__x").alias("d", "xd"))
     cells = e.groupBy("c", "d").agg(F.sum(F.col("rc") * F.col("xd")).alias("g")).collect()  # C*D rows
     g = np.zeros((c_, d_))
@@ -139,8 +146,8 @@ def softmax_grad(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", c
 
 
 def mean_ce(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y") -> float:
-    logits = F.transform(matrix_lit(theta), lambda row: dot(row, x))
-    return df.agg(F.avg(cross_entropy(logits, y))).first()[0]
+    z = with_logits(df.select(x, y), theta, x)
+    return z.agg(F.avg(cross_entropy("__z", y))).first()[0]
 
 
 @dataclass
@@ -174,11 +181,11 @@ def meta_influence(aug: DataFrame, clean: DataFrame | None, val: DataFrame, thet
     g_next = softmax_grad(val, theta_next, x, y) / max(n_val, 1)
     nrm = float(np.sum(g_val * g_val))
     gamma = float((1 - eta) * np.sum(g_next * g_val) / nrm) if nrm > 0 else 0.0
-    p = _probs(theta, x)
-    gx = F.transform(matrix_lit(g_next), lambda row: dot(row, x))
-    resid = F.transform(p, lambda pc, c: pc - F.when(c == F.col(y), F.lit(1.0)).otherwise(F.lit(0.0)))
-    dv = F.aggregate(F.zip_with(resid, gx, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    infl = aug.withColumn("dot_val", dv).withColumn("meta_grad", -F.lit(eta * half / max(n_aug, 1)) * F.col("dot_val"))
+    staged = with_probs(aug, theta, x, "__p").withColumn("__gx", F.transform(matrix_lit(g_next), lambda row: dot(row, x)))
+    resid = F.transform("__p", lambda pc, c: pc - F.when(c == F.col(y), F.lit(1.0)).otherwise(F.lit(0.0)))
+    dv = F.aggregate(F.zip_with(resid, F.col("__gx"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    infl = staged.withColumn("dot_val", dv).drop("__p", "__gx") \
+        .withColumn("meta_grad", -F.lit(eta * half / max(n_aug, 1)) * F.col("dot_val"))
     return MetaStep(theta_next, g_val, g_next, gamma, infl)
 
 
@@ -188,10 +195,10 @@ def meta_influence_fd(aug: DataFrame, g_val_next: np.ndarray, theta: np.ndarray,
     ``meta_grad = -eta * half / N * (l_i(theta+) - l_i(theta-)) / (2 eps)`` (the -eta
     factor kept, X16). Three broadcast parameter sets, one row-wise pass."""
     half = 0.5 if blended else 1.0
-    lp = cross_entropy(F.transform(matrix_lit(theta + eps * g_val_next), lambda r: dot(r, x)), y)
-    lm = cross_entropy(F.transform(matrix_lit(theta - eps * g_val_next), lambda r: dot(r, x)), y)
-    fd = (lp - lm) / F.lit(2 * eps)
-    return aug.withColumn("dot_val_fd", fd).withColumn("meta_grad_fd", -F.lit(eta * half / max(n_aug, 1)) * fd)
+    z = with_logits(with_logits(aug, theta + eps * g_val_next, x, "__zp"), theta - eps * g_val_next, x, "__zm")
+    fd = (cross_entropy("__zp", y) - cross_entropy("__zm", y)) / F.lit(2 * eps)
+    return z.withColumn("dot_val_fd", fd).drop("__zp", "__zm") \
+        .withColumn("meta_grad_fd", -F.lit(eta * half / max(n_aug, 1)) * F.col("dot_val_fd"))
 
 
 # ----------------------------------------------------------------- J14, J15, J16
