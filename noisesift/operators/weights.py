@@ -129,10 +129,44 @@ def with_probs(df: DataFrame, theta: np.ndarray, x: str, out: str = "__p") -> Da
 def softmax_grad(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", coef: Column | None = None) -> np.ndarray:
     """Sum over rows of ``coef * (softmax(theta x) - onehot(y)) (x) x`` as a [C, D] array.
 
-    Per-row residuals and features are exploded into ``(c, d)`` cells and summed
-    with a partial aggregate inside the same stage; only C*D values come back.
+    Each task turns its Arrow batches into one ``(P - Y)^T X`` partial (NumPy),
+    emitting C*D cells per task; a final aggregate sums the partials and only
+    C*D values reach the driver. (``softmax_grad_cells`` is the same sum with
+    built-ins only, used as a cross-check.)
     """
     c_, d_ = theta.shape
+    base = df.select(F.col(x).alias("x"), F.col(y).cast("long").alias("y"),
+                     (coef if coef is not None else F.lit(1.0)).cast("double").alias("coef"))
+
+    def partials(batches):
+        acc = np.zeros((c_, d_))
+        seen = False
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            xm = np.stack(pdf["x"].to_numpy())
+            z = xm @ theta.T
+            z -= z.max(axis=1, keepdims=True)
+            p = np.exp(z)
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(pdf)), pdf["y"].to_numpy()] -= 1.0
+            acc += (p * pdf["coef"].to_numpy()[:, None]).T @ xm
+            seen = True
+        if seen:
+            cc, dd = np.meshgrid(np.arange(c_), np.arange(d_), indexing="ij")
+            yield pd.DataFrame({"c": cc.ravel(), "d": dd.ravel(), "g": acc.ravel()})
+
+    cells = base.mapInPandas(partials, "c long, d long, g double").groupBy("c", "d").agg(F.sum("g").alias("g")).collect()
+    g = np.zeros((c_, d_))
+    for row in cells:
+        g[row["c"], row["d"]] = row["g"]
+    return g
+
+
+def softmax_grad_cells(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", coef: Column | None = None) -> np.ndarray:
+    """``softmax_grad`` with built-in expressions only: residuals and features are
+    exploded into ``(c, d)`` cells and summed by a partial aggregate."""
+    c_, d_ = theta.shape
     base = df.select(F.col(x).alias("__x"), F.col(y).alias("__y"), (coef if coef is not None else F.lit(1.0)).alias("__coef"))
     pr = with_probs(base, theta, "__x")
     r = F.transform("__p", lambda pc, c: (pc - F.when(c == F.col("__y"), F.lit(1.0)).otherwise(F.lit(0.0))) * F.col("__coef"))

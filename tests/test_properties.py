@@ -332,3 +332,12 @@ def test_batch_bank_step_equals_plain_step(spark):
     want = _replay(rows.toPandas(), "time", ttu, k, dim)
     for r in got:
         assert r["vec_id"] == want[r["class"]]["ids"][r["slot"]]
+
+
+def test_arrow_gradient_equals_builtin_cells(spark):
+    from noisesift.plans.contrast_plans import _meta_parts, theta0
+
+    aug, _, _ = _meta_parts(spark, SF_SMALL)
+    a = weights.softmax_grad(aug, theta0(), "x", "y", F.col("w"))
+    b = weights.softmax_grad_cells(aug, theta0(), "x", "y", F.col("w"))
+    assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
