@@ -124,17 +124,17 @@ def round_robin_batches(
     when the largest class runs out, as in the reference.
     Adds ``batch_id`` and ``pos`` (position in the stream)."""
     order_col = first_seen or id_col
-    firsts = df.groupBy(class_col).agg(F.min(order_col).alias("__first"))
-    firsts = firsts.withColumn("__cord", F.row_number().over(Window.orderBy("__first", class_col)) - 1)  # one row per class
-    n_classes = firsts.count()
-    r = hashed_rank(df, [class_col], id_col, seed, "__rk", "__n")
-    j = r.join(F.broadcast(firsts.select(class_col, "__cord")), class_col)
-    pos = (F.col("__rk") - 1) * F.lit(n_classes) + F.col("__cord")
-    out = j.withColumn("pos", pos.cast("bigint"))
-    n_max = max((c["n"] for c in df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).collect()), default=0)
+    # One small job: per class its size and first-seen key (one row per class).
+    stats = df.groupBy(class_col).agg(F.min(order_col).alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    ordered = sorted(stats, key=lambda r: (r["first"], r[class_col]))
+    n_classes = len(ordered)
+    n_max = max((r["n"] for r in ordered), default=0)
+    cord = F.create_map(*[x for i, r in enumerate(ordered) for x in (F.lit(r[class_col]), F.lit(i))])
+    r = hashed_rank(df, [class_col], id_col, seed, "__rk")
+    pos = (F.col("__rk") - 1) * F.lit(n_classes) + F.element_at(cord, F.col(class_col))
     n_full = (n_max * n_classes) // batch_size
-    out = out.where(F.col("pos") < F.lit(n_full * batch_size))
-    return out.withColumn("batch_id", (F.col("pos") / F.lit(batch_size)).cast("bigint")).drop("__rk", "__n", "__cord")
+    out = r.withColumn("pos", pos.cast("bigint")).where(F.col("pos") < F.lit(n_full * batch_size))
+    return out.withColumn("batch_id", (F.col("pos") / F.lit(batch_size)).cast("bigint")).drop("__rk")
 
 
 def chunkify(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:

@@ -21,7 +21,7 @@ def _train(spark, d):
     return shape.alias_target(fixtures.train(spark, d))
 
 
-@register("e1_sample_per_group", with_views("aug") + "," + D2_SIDES_SQL.replace("AS sentence1 FROM", "AS sentence1, v AS v1 FROM").replace("AS sentence2 FROM", "AS sentence2, v AS v2 FROM") + """
+@register("e1_sample_per_group", with_views("aug") + "," + D2_SIDES_SQL.replace("AS sentence1\n", "AS sentence1, v AS v1\n").replace("AS sentence2 FROM", "AS sentence2, v AS v2 FROM") + """
 , j AS (SELECT s1.aug_method, s1.origin, v1, v2, concat_ws('-', s1.aug_method, s1.origin, v1, v2) AS pair_id
         FROM side1 s1 JOIN side2 s2 ON s1.aug_method = s2.aug_method AND s1.origin = s2.origin)
 SELECT aug_method, origin, v1, v2 FROM (

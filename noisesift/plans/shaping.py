@@ -129,24 +129,28 @@ def d1_attach_label(spark: SparkSession, d: str):
 
 
 D2_SIDES_SQL = """
-side1 AS (SELECT aug_method, origin, substr(text, 1 + 20 * v, 20) AS sentence1 FROM aug, (VALUES (0), (1)) AS s(v)),
-side2 AS (SELECT aug_method, origin, substr(text, 41 + 20 * v, 20) AS sentence2 FROM aug, (VALUES (0), (1), (2)) AS s(v))"""
+side1 AS (SELECT aug_method, origin, CASE WHEN v = 0 THEN text ELSE replace(text, 'e', 'E') END AS sentence1
+          FROM aug, (VALUES (0), (1)) AS s(v)),
+side2 AS (SELECT aug_method, origin, concat(text, ' #', CAST(v AS VARCHAR)) AS sentence2 FROM aug, (VALUES (0), (1), (2)) AS s(v))"""
 
 
 def _d2_sides(spark: SparkSession, d: str):
     a = fixtures.aug(spark, d)
     s1 = a.select("aug_method", "origin", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("v")).select(
-        "aug_method", "origin", F.substring(F.col("text"), F.lit(1) + F.lit(20) * F.col("v"), F.lit(20)).alias("sentence1"))
+        "aug_method", "origin",
+        F.when(F.col("v") == 0, F.col("text")).otherwise(F.replace(F.col("text"), F.lit("e"), F.lit("E"))).alias("sentence1"))
     s2 = a.select("aug_method", "origin", "text", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("v")).select(
-        "aug_method", "origin", F.substring(F.col("text"), F.lit(41) + F.lit(20) * F.col("v"), F.lit(20)).alias("sentence2"))
+        "aug_method", "origin", F.concat(F.col("text"), F.lit(" #"), F.col("v").cast("string")).alias("sentence2"))
     return s1, s2
 
 
 @register("d2_pair_sides", with_views("aug") + "," + D2_SIDES_SQL + """
-SELECT s1.aug_method, s1.origin, sentence1, sentence2 FROM side1 s1 JOIN side2 s2 ON s1.aug_method = s2.aug_method AND s1.origin = s2.origin""")
+SELECT s1.aug_method, s1.origin, md5(sentence1) AS sentence1_md5, md5(sentence2) AS sentence2_md5
+FROM side1 s1 JOIN side2 s2 ON s1.aug_method = s2.aug_method AND s1.origin = s2.origin""")
 def d2_pair_sides(spark: SparkSession, d: str):
     s1, s2 = _d2_sides(spark, d)
-    return joins.pair_sides(s1, s2)
+    j = joins.pair_sides(s1, s2)
+    return j.select("aug_method", "origin", F.md5("sentence1").alias("sentence1_md5"), F.md5("sentence2").alias("sentence2_md5"))
 
 
 @register("d3_align", with_views("train", "aug") + "," + CLEAN_SPLIT_SQL + """
