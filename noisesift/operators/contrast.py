@@ -48,7 +48,7 @@ def exclude_by_bank_max(df: DataFrame, bank: DataFrame, key: str = "class", weig
     """H7. Keep weights above the largest non-initial bank score of the class;
     keep all when the class's bank holds only initial scores."""
     mx = bank.where(F.col(score) != F.lit(INITIAL_BANK_SCORE)).groupBy(key).agg(F.max(score).alias("__bmax"))
-    j = df.join(F.broadcast(mx), key, "left")  # one row per class
+    j = df.join(mx, key, "left")  # one row per class: AQE broadcasts it by measured size
     return j.where(F.col("__bmax").isNull() | (F.col(weight) > F.col("__bmax"))).drop("__bmax")
 
 

@@ -156,8 +156,9 @@ def score_against_bank(queries: DataFrame, bank: DataFrame, vec: str = "vec", ke
     bound), gathered per class into one array and broadcast. Adds
     ``bank_dots array<double>`` ordered by slot.
     """
+    n_bank = bank.count()  # bounded by K x classes; checked before it is broadcast
     per_class = bank.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", F.col(vec).alias("v")))).alias("__bank"))
-    j = queries.join(F.broadcast(per_class), key, "left")
+    j = queries.join(F.broadcast(per_class) if n_bank <= BROADCAST_ROW_LIMIT else per_class, key, "left")
     dots = F.transform(
         F.coalesce(F.col("__bank"), F.array().cast(per_class.schema["__bank"].dataType)),
         lambda s: F.aggregate(F.zip_with(F.col(vec), s["v"], lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b),

@@ -191,7 +191,8 @@ def sweep(trials: DataFrame, aug: DataFrame, label: str = "label", score: str =
     methods = sorted(r[0] for r in aug.select("aug_method").distinct().collect())
     every = F.array(*[F.lit(m) for m in methods]) if methods else F.array().cast("array<string>")
     exploded = trials.select("trial_id", "lo", "hi", F.explode(F.coalesce(F.col("methods"), every)).alias("aug_method"))
-    j = aug.join(F.broadcast(exploded), "aug_method")
+    n_cells = exploded.count()  # grid size x methods; checked before it is broadcast
+    j = aug.join(F.broadcast(exploded) if n_cells <= 1_000_000 else exploded, "aug_method")
     kept = j.where((F.col(score) > F.col("lo")) & (F.col(score) < F.col("hi")))
     return kept.groupBy("trial_id").agg(
         F.count(F.lit(1)).alias("rows_kept"),

@@ -36,15 +36,15 @@ INITIAL_SCORE = 1.0
 BANK_SCHEMA = "class int, slot int, vec_id long, score double, life double, vec array<double>"
 
 
+def initial_class_bank(c: int, k: int, dim: int, ttu: float, seed: int = 0) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(seed * 100_003 + c)
+    v = rng.standard_normal((k, dim))
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return {"vecs": v, "scores": np.full(k, INITIAL_SCORE), "lives": np.full(k, float(ttu)), "ids": -1 - np.arange(k, dtype=np.int64)}
+
+
 def initial_bank(n_classes: int, k: int, dim: int, ttu: float, seed: int = 0) -> dict[int, dict[str, np.ndarray]]:
-    out = {}
-    for c in range(n_classes):
-        rng = np.random.default_rng(seed * 100_003 + c)
-        v = rng.standard_normal((k, dim))
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        out[c] = {"vecs": v, "scores": np.full(k, INITIAL_SCORE), "lives": np.full(k, float(ttu)),
-                  "ids": -1 - np.arange(k, dtype=np.int64)}
-    return out
+    return {c: initial_class_bank(c, k, dim, ttu, seed) for c in range(n_classes)}
 
 
 def initial_bank_df(spark: SparkSession, n_classes: int, k: int, dim: int, ttu: float, seed: int = 0) -> DataFrame:
@@ -158,7 +158,7 @@ def _bank_fn(policy: str, ttu: float, k: int, dim: int, seed: int):
             st = {"vecs": np.array([np.asarray(v, float) for v in vecs]), "scores": np.asarray(scores, float),
                   "lives": np.asarray(lives, float), "ids": np.asarray(ids, np.int64)}
         else:
-            st = initial_bank(c + 1, k, dim, ttu, seed)[c]
+            st = initial_class_bank(c, k, dim, ttu, seed)
         # Bounded running merge: per batch id keep only the rows a step can use.
         cand: dict[int, pd.DataFrame] = {}
         for pdf in pdfs:
@@ -178,6 +178,37 @@ def _bank_fn(policy: str, ttu: float, k: int, dim: int, seed: int):
     return fn
 
 
+def _partition_candidates(k: int):
+    """Stateless, per partition: keep for every (class, batch) only the rows a bank step
+    can use (2k smallest, k largest weights). Exact, and a hot class reaches its
+    stateful task as at most 3k rows per partition and batch."""
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cand: dict[tuple[int, int], pd.DataFrame] = {}
+        for pdf in batches:
+            for key, g in pdf.groupby(["class", "batch_id"]):
+                cur = cand.get(key)
+                cand[key] = reduce_candidates(g if cur is None else pd.concat([cur, g]), k)
+        for g in cand.values():
+            yield g
+
+    return fn
+
+
+def _partition_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stateless, per partition: per (class, batch) the vector sum and row count."""
+    acc: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+    for pdf in batches:
+        for key, g in pdf.groupby(["class", "batch_id"]):
+            s = np.stack(g["vec"].to_numpy()).sum(axis=0)
+            prev = acc.get(key)
+            acc[key] = (s, len(g)) if prev is None else (prev[0] + s, prev[1] + len(g))
+    if acc:
+        keys = list(acc)
+        yield pd.DataFrame({"class": [c for c, _ in keys], "batch_id": [b for _, b in keys],
+                            "n": [acc[x][1] for x in keys], "vec": [acc[x][0] for x in keys]})
+
+
 def _profile_fn(m: float):
     from pyspark.sql.streaming.state import GroupState
 
@@ -185,11 +216,11 @@ def _profile_fn(m: float):
         c = int(key[0])
         prof = np.asarray(state.get[0], float) if state.exists else None
         sums: dict[int, tuple[np.ndarray, int]] = {}
-        for pdf in pdfs:  # per-batch sums: memory bounded by batches x dim
+        for pdf in pdfs:  # partial sums per partition: memory bounded by batches x dim
             for b, g in pdf.groupby("batch_id"):
                 s = np.stack(g["vec"].to_numpy()).sum(axis=0)
                 prev = sums.get(int(b))
-                sums[int(b)] = (s, len(g)) if prev is None else (prev[0] + s, prev[1] + len(g))
+                sums[int(b)] = (s, int(g["n"].sum())) if prev is None else (prev[0] + s, prev[1] + int(g["n"].sum()))
         last = -1
         for b in sorted(sums):
             q = sums[b][0] / sums[b][1]
@@ -203,12 +234,15 @@ def _profile_fn(m: float):
     return fn
 
 
-def _run_stream(spark: SparkSession, source_dir: str, schema: str, fn, out_schema: str, state_schema: str, name: str) -> DataFrame:
+def _run_stream(spark: SparkSession, source_dir: str, schema: str, fn, out_schema: str, state_schema: str, name: str,
+                pre=None, pre_schema: str | None = None) -> DataFrame:
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     out = scratch_dir(spark, f"{name}-out")
     ckpt = scratch_dir(spark, f"{name}-ckpt")
     stream = spark.readStream.schema(schema).parquet(source_dir)
+    if pre is not None:
+        stream = stream.mapInPandas(pre, pre_schema or schema)
     q = (stream.groupBy("class")
          .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
          .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
@@ -230,7 +264,8 @@ SOURCE_SCHEMA = "class int, batch_id long, vec_id long, w double, vec array<doub
 def stream_bank(spark: SparkSession, source_dir: str, policy: str, ttu: float, k: int, dim: int, seed: int = 0) -> DataFrame:
     """K1 (``weight``) / K2 (``time``). Streams the batches through the per-class bank;
     returns the final bank (the last snapshot of each slot)."""
-    snaps = _run_stream(spark, source_dir, SOURCE_SCHEMA, _bank_fn(policy, ttu, k, dim, seed), STREAM_OUT, STATE_SCHEMA, f"bank-{policy}")
+    snaps = _run_stream(spark, source_dir, SOURCE_SCHEMA, _bank_fn(policy, ttu, k, dim, seed), STREAM_OUT, STATE_SCHEMA, f"bank-{policy}",
+                        pre=_partition_candidates(k))
     w = Window.partitionBy("class", "slot").orderBy(F.col("last_batch").desc())  # <= a few snapshots per slot
     return snaps.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r")
 
@@ -238,6 +273,6 @@ def stream_bank(spark: SparkSession, source_dir: str, policy: str, ttu: float, k
 def stream_profile(spark: SparkSession, source_dir: str, m: float) -> DataFrame:
     """K3. Running momentum profile per class; returns the final profile rows ``(class, dim, profile)``."""
     snaps = _run_stream(spark, source_dir, SOURCE_SCHEMA, _profile_fn(m), "class int, dim long, profile double, last_batch long",
-                        "profile array<double>", "profile")
+                        "profile array<double>", "profile", pre=_partition_sums, pre_schema="class int, batch_id long, n long, vec array<double>")
     w = Window.partitionBy("class", "dim").orderBy(F.col("last_batch").desc())
     return snaps.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r", "last_batch")
