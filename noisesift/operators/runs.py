@@ -8,6 +8,7 @@ run may hold a large share of all rows.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 import pandas as pd
@@ -35,8 +36,18 @@ def read_run_logs(paths: DataFrame, path_col: str = "path") -> DataFrame:
 
 def step_by_time(log: DataFrame, run: Sequence[str] = RUN, tag: str = "metric", time_col: str = "wall_time",
                  tiebreak: str = "event_id", step: str = "step") -> DataFrame:
-    """H1. 0-based step of each value within (run, tag) by wall time (a rank, X9)."""
-    t = log.withColumn("__t", F.unix_micros(F.col(time_col).cast("timestamp")))
+    """H1. 0-based step of each value within (run, tag) by wall time (a rank, X9).
+
+    Times become microseconds without any time-zone conversion (NTZ stays NTZ), so the
+    order is the same on every cluster time zone."""
+    kind = log.schema[time_col].dataType.typeName()
+    if kind == "timestamp_ntz":
+        us = F.timestamp_diff("MICROSECOND", F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col(time_col))
+    elif kind == "timestamp":
+        us = F.unix_micros(F.col(time_col))
+    else:  # float seconds, as in the reference's wall_time
+        us = F.col(time_col).cast("double")
+    t = log.withColumn("__t", us)
     return ordered_position(t, "__t", [*run, tag], step, tiebreak=[tiebreak]).drop("__t")
 
 
@@ -67,11 +78,20 @@ def best_run(final_rows: DataFrame, group: str = "experiment", version: str = "v
     """H4. Per group the run with the strictly largest score; the first run (by version)
     wins ties; NaN counts as 0. Returns that run's rows."""
     runs = final_rows.select(group, version, F.coalesce(F.nanvl(F.col(score), F.lit(0.0)), F.lit(0.0)).alias("__s")).distinct()
-    w = Window.partitionBy(group).orderBy(F.col("__s").desc(), F.col(version).asc())  # one row per run: bounded
-    best = runs.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).select(group, version)
+    best = _best_of_group(runs, [group], "__s", version).select(group, version)
     return final_rows.join(best, [group, version], "left_semi")
 
 
+def _best_of_group(df: DataFrame, group: Sequence[str], score: str, name: str) -> DataFrame:
+    """Rows with the largest ``score`` per group, ties to the smallest ``name``: two
+    partial-aggregated group-bys and equi-joins (no per-group window, so a group of
+    any size is spread over many tasks)."""
+    top = df.groupBy(*group).agg(F.max(score).alias("__m"))
+    tied = df.join(top, list(group)).where(F.col(score) == F.col("__m"))
+    first = tied.groupBy(*group).agg(F.min(name).alias(name)) if group else tied.agg(F.min(name).alias(name))
+    return df.join(first, [*group, name], "left_semi")
+
+
 def metrics_wide(rows: DataFrame, metrics: Sequence[str] | None = None, group: str = "experiment",
                  tag: str = "metric", value: str = "value", step: str = "step") -> DataFrame:
     """H5. One row per group, one column per metric; the value of the largest step wins."""
@@ -101,9 +121,9 @@ def halving_survivors(history: DataFrame, grace: int = 5, eta: int = 2, max_t: i
     kept_all = None
     for rung in rungs:
         at = history.where(F.col(it) == F.lit(rung)).select(trial, F.col(metric).alias("value")).join(alive, trial, "left_semi")
-        w = Window.orderBy(F.col("value").desc(), F.col(trial).asc())  # one row per trial at this rung
-        ranked = at.withColumns({"rank": F.row_number().over(w), "__n": F.count(F.lit(1)).over(Window.partitionBy())})
-        kept = ranked.where(F.col("rank") <= F.ceil(F.col("__n") / F.lit(eta))).drop("__n").withColumn("rung", F.lit(rung))
+        at = at.withColumn("__neg", -F.col("value"))
+        ranked = ordered_position(at, "__neg", [], "__p", "__n", tiebreak=[trial]).withColumn("rank", F.col("__p") + 1)
+        kept = ranked.where(F.col("rank") <= F.ceil(F.col("__n") / F.lit(eta))).drop("__n", "__p", "__neg").withColumn("rung", F.lit(rung))
         kept_all = kept if kept_all is None else kept_all.unionByName(kept)
         alive = kept.select(trial)
     return kept_all.select("rung", trial, "value", "rank")
@@ -117,9 +137,7 @@ def best_trial(history: DataFrame, trial: str = "trial", it: str = "iteration",
         F.max(metric).alias("best_value"),
         F.max_by(F.col(it), F.struct(F.col(metric), -F.col(it))).alias("best_iteration"),
     )
-    w = Window.partitionBy(*group).orderBy(F.col("best_value").desc(), F.col(trial).asc()) if group else \
-        Window.orderBy(F.col("best_value").desc(), F.col(trial).asc())
-    return per.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    return _best_of_group(per, list(group), "best_value", trial)
 
 
 # -------------------------------------------------------------- H8 plateau

@@ -341,3 +341,11 @@ def test_arrow_gradient_equals_builtin_cells(spark):
     a = weights.softmax_grad(aug, theta0(), "x", "y", F.col("w"))
     b = weights.softmax_grad_cells(aug, theta0(), "x", "y", F.col("w"))
     assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
+def test_align_keeps_both_sides_whole(spark):
+    clean = spark.createDataFrame([(1, "a", 0)], "index long, text string, class int")
+    aug = spark.createDataFrame([(1, "CharswapAug", "b", 0), (1, "WordnetAug", "c", 0)], "origin long, aug_method string, text string, class int")
+    out = joins.flatten_sides(joins.align(clean, aug))
+    assert {"origin_aug", "aug_method_aug", "index_raw", "text_raw", "text_aug"} <= set(out.columns)  # X5
+    assert out.count() == 2
