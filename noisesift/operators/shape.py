@@ -168,8 +168,11 @@ def tag_has_all(metric: Column, parts: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [metric.contains(p) for p in parts])
 
 
-def filter_tags(log: DataFrame, parts: Sequence[str] = ("Test",), col: str = "metric") -> DataFrame:
-    """C6. Metric names containing every one of ``parts``."""
+def filter_tags(log: DataFrame, parts: Sequence[str] = ("Test",), col: str = "metric", mode: str = "all") -> DataFrame:
+    """C6. Metric names containing every one of ``parts`` (``mode='all'``, the selection
+    filter) or at least one (``mode='any'``, the loader's ``Test`` / validation-tag filter)."""
+    if mode == "any":
+        return log.where(reduce(lambda a, b: a | b, [F.col(col).contains(p) for p in parts]))
     return log.where(tag_has_all(F.col(col), parts))
 
 

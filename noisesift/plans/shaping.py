@@ -318,3 +318,9 @@ def i3_config_difference(spark: SparkSession, d: str):
 @register("i4_distinct_labels", with_views("train") + "SELECT DISTINCT label FROM train")
 def i4_distinct_labels(spark: SparkSession, d: str):
     return shape.distinct_labels(fixtures.train(spark, d), "label")
+
+
+@register("c6_filter_tags_any", with_views("run_log") + """
+SELECT experiment, version, metric, event_id FROM run_log WHERE contains(metric, 'Test') OR contains(metric, 'Val')""")
+def c6_filter_tags_any(spark: SparkSession, d: str):
+    return shape.filter_tags(fixtures.run_log(spark, d), ("Test", "Val"), mode="any").select("experiment", "version", "metric", "event_id")
