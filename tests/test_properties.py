@@ -349,3 +349,25 @@ def test_align_keeps_both_sides_whole(spark):
     out = joins.flatten_sides(joins.align(clean, aug))
     assert {"origin_aug", "aug_method_aug", "index_raw", "text_raw", "text_aug"} <= set(out.columns)  # X5
     assert out.count() == 2
+
+
+def test_rank_helper_spreads_a_hot_key(spark):
+    """A key with about half the rows must not land in one partition (plain window does)."""
+    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_linestatus").dropDuplicates(["id"])
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        def max_share(df):
+            # rk is used by the aggregate, so the ranking stage is not pruned away.
+            per = df.select(F.spark_partition_id().alias("p"), "rk").groupBy("p").agg(
+                F.count(F.lit(1)).alias("count"), F.max("rk").alias("m")).collect()
+            return max(r["count"] for r in per) / sum(r["count"] for r in per)
+
+        hot = li.groupBy("l_linestatus").count().agg(F.max("count")).first()[0] / li.count()
+        plain = li.withColumn("rk", F.row_number().over(Window.partitionBy("l_linestatus").orderBy("id")))
+        ours = ranking.hashed_rank(li, ["l_linestatus"], "id", 7, "rk")
+        assert hot > 0.3 and max_share(plain.select("id", "rk")) >= hot - 0.01
+        assert max_share(ours.select("id", "rk")) < hot / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
