@@ -62,7 +62,8 @@ def splice_separator(ids: str | Column) -> Column:
 
 def token_ids(df: DataFrame, vocab: DataFrame, text: str, id_col: str, keep: int, out: str = "ids") -> DataFrame:
     """Ids of the first ``keep`` tokens of each row (unknown -> 3), in order; no markers."""
-    ex = df.select(id_col, F.posexplode(tokens(text)).alias("pos", "token")).where(F.col("pos") < F.lit(keep))
+    # The whole text is split; only the kept positions are generated as rows.
+    ex = df.select(id_col, F.posexplode(F.slice(tokens(text), 1, keep)).alias("pos", "token"))
     j = ex.join(F.broadcast(vocab), "token", "left").select(id_col, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
     g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__s"))
     ids = g.select(id_col, F.transform("__s", lambda s: s["id"]).alias(out))

@@ -99,9 +99,11 @@ def ordered_position(
     count_col: str | None = None,
     digits: int = DEFAULT_DIGITS,
     tiebreak: Sequence[str] = (),
+    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """0-based position inside ``keys`` by a numeric ``order_col`` (then ``tiebreak``; the
-    whole order must be unique per key).
+    whole order must be unique per key). ``bounds`` = known (min, max) of the order
+    when there are no keys (saves the bounds job).
 
     Ranges come from the exact min/max of the order per key (one small aggregate),
     split into ``16**digits`` equal-width buckets.
@@ -113,7 +115,7 @@ def ordered_position(
         x = df.join(stats, keys)
     else:
         # One-row lookup: the bounds become literals of the plan.
-        lo, hi = df.agg(F.min(order_col).cast("double"), F.max(order_col).cast("double")).first()
+        lo, hi = bounds if bounds is not None else df.agg(F.min(order_col).cast("double"), F.max(order_col).cast("double")).first()
         x = df.withColumns({"__lo": F.lit(lo if lo is not None else 0.0), "__hi": F.lit(hi if hi is not None else 0.0)})
     width = (F.col("__hi").cast("double") - F.col("__lo").cast("double")) / F.lit(float(nb))
     bucket = F.when(width <= 0, F.lit(0)).otherwise(

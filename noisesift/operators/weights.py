@@ -126,13 +126,15 @@ def with_probs(df: DataFrame, theta: np.ndarray, x: str, out: str = "__p") -> Da
     return with_softmax(with_logits(df, theta, x, "__z"), "__z", out).drop("__z")
 
 
-def softmax_grad(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", coef: Column | None = None) -> np.ndarray:
+def softmax_grad(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", coef: Column | None = None,
+                 with_count: bool = False):
     """Sum over rows of ``coef * (softmax(theta x) - onehot(y)) (x) x`` as a [C, D] array.
 
     Each task turns its Arrow batches into one ``(P - Y)^T X`` partial (NumPy),
     emitting C*D cells per task; a final aggregate sums the partials and only
     C*D values reach the driver. (``softmax_grad_cells`` is the same sum with
-    built-ins only, used as a cross-check.)
+    built-ins only, used as a cross-check.) ``with_count`` also returns the row
+    count, carried in the same pass.
     """
     c_, d_ = theta.shape
     base = df.select(F.col(x).alias("x"), F.col(y).cast("long").alias("y"),
@@ -140,10 +142,11 @@ def softmax_grad(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", c
 
     def partials(batches):
         acc = np.zeros((c_, d_))
-        seen = False
+        seen, rows = False, 0
         for pdf in batches:
             if pdf.empty:
                 continue
+            rows += len(pdf)
             xm = np.stack(pdf["x"].to_numpy())
             z = xm @ theta.T
             z -= z.max(axis=1, keepdims=True)
@@ -154,13 +157,17 @@ def softmax_grad(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", c
             seen = True
         if seen:
             cc, dd = np.meshgrid(np.arange(c_), np.arange(d_), indexing="ij")
-            yield pd.DataFrame({"c": cc.ravel(), "d": dd.ravel(), "g": acc.ravel()})
+            yield pd.DataFrame({"c": np.append(cc.ravel(), -1), "d": np.append(dd.ravel(), -1), "g": np.append(acc.ravel(), float(rows))})
 
     cells = base.mapInPandas(partials, "c long, d long, g double").groupBy("c", "d").agg(F.sum("g").alias("g")).collect()
     g = np.zeros((c_, d_))
+    n = 0
     for row in cells:
-        g[row["c"], row["d"]] = row["g"]
-    return g
+        if row["c"] < 0:
+            n = int(round(row["g"]))
+        else:
+            g[row["c"], row["d"]] = row["g"]
+    return (g, n) if with_count else g
 
 
 def softmax_grad_cells(df: DataFrame, theta: np.ndarray, x: str = "x", y: str = "y", coef: Column | None = None) -> np.ndarray:
@@ -203,14 +210,14 @@ def meta_influence(aug: DataFrame, clean: DataFrame | None, val: DataFrame, thet
     is the weighted loss alone and the factor is ``eta / N_aug``);
     ``gamma = (1 - eta) <g'_val, g_val> / |g_val|^2``.
     """
-    n_aug = aug.count()
-    n_val = val.count()
-    g_val = softmax_grad(val, theta, x, y) / max(n_val, 1)
+    g_val, n_val = softmax_grad(val, theta, x, y, with_count=True)
+    g_val = g_val / max(n_val, 1)
     half = 0.5 if clean is not None else 1.0
-    g_train = half * softmax_grad(aug, theta, x, y, F.col(w) / F.lit(float(n_aug))) if n_aug else np.zeros_like(theta)
+    g_aug, n_aug = softmax_grad(aug, theta, x, y, F.col(w), with_count=True)
+    g_train = half * g_aug / max(n_aug, 1)
     if clean is not None:
-        n_clean = clean.count()
-        g_train = g_train + half * softmax_grad(clean, theta, x, y) / max(n_clean, 1)
+        g_clean, n_clean = softmax_grad(clean, theta, x, y, with_count=True)
+        g_train = g_train + half * g_clean / max(n_clean, 1)
     theta_next = theta - eta * g_train
     g_next = softmax_grad(val, theta_next, x, y) / max(n_val, 1)
     nrm = float(np.sum(g_val * g_val))
