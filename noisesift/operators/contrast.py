@@ -124,11 +124,17 @@ def momentum_profile(df: DataFrame, m: float, vec: str = "vec", key: str = "clas
     return means.join(c, [key, batch]).groupBy(key, "dim").agg(F.sum(F.col("__c") * F.col("x")).alias("profile"))
 
 
-def batch_features(df: DataFrame, text: str = "text", dim: int = 64, out: str = "features") -> DataFrame:
-    """J13 default scorer: hashed token counts (``pyspark.ml`` ``HashingTF``) as ``array<double>``.
+def batch_features(df: DataFrame, text: str = "text", dim: int = 64, out: str = "features", head=None,
+                   logits: str = "logits") -> DataFrame:
+    """J13 default scorer: hashed token counts (``pyspark.ml`` ``HashingTF``) as ``array<double>``,
+    and, with a linear ``head`` (classes x dim array), the logits ``head . features``.
 
     A user model plugs in the same place via ``predict_batch_udf``.
     """
+    if head is not None:
+        from noisesift.operators.weights import with_logits
+
+        return with_logits(batch_features(df, text, dim, out), head, out, logits)
     from pyspark.ml.feature import HashingTF, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 

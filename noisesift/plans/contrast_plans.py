@@ -246,7 +246,9 @@ def j11_meta_influence_fd(spark: SparkSession, d: str):
 @register("j13_batch_features")
 def j13_batch_features(spark: SparkSession, d: str):
     tr = fixtures.train(spark, d)
-    return contrast.batch_features(tr, "text", 64).select("index", "features")
+    head = theta0(2, 64)
+    out = contrast.batch_features(tr, "text", 64, head=head)
+    return out.select("index", "features", "logits")
 
 
 @register("j14_baseline_fit")

@@ -234,18 +234,33 @@ def _profile_fn(m: float):
     return fn
 
 
-def _run_stream(spark: SparkSession, source_dir: str, schema: str, fn, out_schema: str, state_schema: str, name: str,
-                pre=None, pre_schema: str | None = None) -> DataFrame:
+def bank_updates(stream: DataFrame, policy: str, ttu: float, k: int, dim: int, seed: int = 0) -> DataFrame:
+    """K1 / K2 as a streaming DataFrame (not started): ``stream`` carries
+    ``(class, batch_id, vec_id, w, vec)`` from any source; the result emits each
+    class's K slots after every micro-batch that touched it (append mode), to any sink."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    reduced = stream.mapInPandas(_partition_candidates(k), stream.schema)
+    return reduced.groupBy("class").applyInPandasWithState(
+        _bank_fn(policy, ttu, k, dim, seed), STREAM_OUT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def profile_updates(stream: DataFrame, m: float) -> DataFrame:
+    """K3 as a streaming DataFrame (not started): running profile rows per class."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    sums = stream.mapInPandas(_partition_sums, "class int, batch_id long, n long, vec array<double>")
+    return sums.groupBy("class").applyInPandasWithState(
+        _profile_fn(m), "class int, dim long, profile double, last_batch long", "profile array<double>", "append",
+        GroupStateTimeout.NoTimeout)
+
+
+def _run_to_table(spark: SparkSession, updates: DataFrame, out_schema: str, name: str) -> DataFrame:
+    """Drive a streaming result over everything available into a Parquet table in the
+    shared checkpoint folder (stream checkpoint alongside), then read the table."""
     out = scratch_dir(spark, f"{name}-out")
     ckpt = scratch_dir(spark, f"{name}-ckpt")
-    stream = spark.readStream.schema(schema).parquet(source_dir)
-    if pre is not None:
-        stream = stream.mapInPandas(pre, pre_schema or schema)
-    q = (stream.groupBy("class")
-         .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-         .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+    q = (updates.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out_schema).parquet(out)
@@ -262,17 +277,17 @@ SOURCE_SCHEMA = "class int, batch_id long, vec_id long, w double, vec array<doub
 
 
 def stream_bank(spark: SparkSession, source_dir: str, policy: str, ttu: float, k: int, dim: int, seed: int = 0) -> DataFrame:
-    """K1 (``weight``) / K2 (``time``). Streams the batches through the per-class bank;
-    returns the final bank (the last snapshot of each slot)."""
-    snaps = _run_stream(spark, source_dir, SOURCE_SCHEMA, _bank_fn(policy, ttu, k, dim, seed), STREAM_OUT, STATE_SCHEMA, f"bank-{policy}",
-                        pre=_partition_candidates(k))
+    """K1 (``weight``) / K2 (``time``) over a file source: streams the batches through the
+    per-class bank and returns the final bank (the last snapshot of each slot)."""
+    stream = spark.readStream.schema(SOURCE_SCHEMA).parquet(source_dir)
+    snaps = _run_to_table(spark, bank_updates(stream, policy, ttu, k, dim, seed), STREAM_OUT, f"bank-{policy}")
     w = Window.partitionBy("class", "slot").orderBy(F.col("last_batch").desc())  # <= a few snapshots per slot
     return snaps.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r")
 
 
 def stream_profile(spark: SparkSession, source_dir: str, m: float) -> DataFrame:
-    """K3. Running momentum profile per class; returns the final profile rows ``(class, dim, profile)``."""
-    snaps = _run_stream(spark, source_dir, SOURCE_SCHEMA, _profile_fn(m), "class int, dim long, profile double, last_batch long",
-                        "profile array<double>", "profile", pre=_partition_sums, pre_schema="class int, batch_id long, n long, vec array<double>")
+    """K3 over a file source; returns the final profile rows ``(class, dim, profile)``."""
+    stream = spark.readStream.schema(SOURCE_SCHEMA).parquet(source_dir)
+    snaps = _run_to_table(spark, profile_updates(stream, m), "class int, dim long, profile double, last_batch long", "profile")
     w = Window.partitionBy("class", "dim").orderBy(F.col("last_batch").desc())
     return snaps.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r", "last_batch")
