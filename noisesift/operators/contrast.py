@@ -142,3 +142,85 @@ def batch_features(df: DataFrame, text: str = "text", dim: int = 64, out: str =
     tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim)
     x = tf.transform(tok.transform(df))
     return x.withColumn(out, vector_to_array("__tf")).drop("__tok", "__tf")
+
+
+# ---------------------------------------------------------------- Arrow fast paths
+BANK_COLLECT_LIMIT = 50_000_000  # doubles (K x classes x dim) shipped as one broadcast variable
+
+
+def _np_logsumexp(a: "np.ndarray") -> "np.ndarray":
+    import numpy as np
+
+    m = a.max(axis=1, keepdims=True)
+    return (m + np.log(np.exp(a - m).sum(axis=1, keepdims=True)))[:, 0]
+
+
+def info_nce_arrow(queries: DataFrame, bank: DataFrame, temperature: float = 0.07, key: str = "class", vec: str = "vec") -> DataFrame:
+    """J4 fast path: same result as ``info_nce``. The bank (bounded: K slots per class,
+    size checked) is one broadcast variable; every Arrow batch of queries is scored
+    per class by one matrix product ``Q B^T`` and a row-wise logsumexp, so no
+    K-wide array is built per row."""
+    import numpy as np
+    import pandas as pd
+
+    spark = queries.sparkSession
+    n_cells = bank.select(F.size(vec).alias("d")).agg(F.sum("d")).first()[0] or 0
+    if n_cells > BANK_COLLECT_LIMIT:
+        raise ValueError("bank too large for one broadcast; use info_nce")
+    rows = bank.select(key, "slot", vec).collect()  # bounded by the check above
+    banks: dict = {}
+    for r in sorted(rows, key=lambda r: (r[key], r["slot"])):
+        banks.setdefault(r[key], []).append(r[vec])
+    bc = spark.sparkContext.broadcast({c: np.asarray(v, dtype=float) for c, v in banks.items()})
+    t = float(temperature)
+
+    def score(batches):
+        b = bc.value
+        for pdf in batches:
+            outs = []
+            for c, g in pdf.groupby(key):
+                k = np.stack(g["k"].to_numpy())
+                bk = b.get(c)
+                for side in ("q", "q_aug"):
+                    qm = np.stack(g[side].to_numpy())
+                    pos = (qm * k).sum(axis=1) / t
+                    logits = pos[:, None] if bk is None else np.concatenate([pos[:, None], qm @ bk.T / t], axis=1)
+                    outs.append(pd.DataFrame({"batch_id": g["batch_id"].to_numpy(), key: c, "__l": _np_logsumexp(logits) - pos}))
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+
+    kt = queries.schema[key].dataType.simpleString()
+    per_row = queries.select("batch_id", key, "q", "q_aug", "k").mapInPandas(score, f"batch_id long, {key} {kt}, __l double")
+    return per_row.groupBy("batch_id", key).agg(F.avg("__l").alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+def supervised_contrast_arrow(df: DataFrame, temperature: float = 0.07, base_temperature: float = 0.07, vec: str = "vec",
+                              label: str = "class", id_col: str = "vec_id", max_batch: int = 4096) -> DataFrame:
+    """J5 fast path: same result as ``supervised_contrast``. One group per batch
+    (bounded by ``max_batch``, checked), scored with one Gram matrix in NumPy."""
+    import numpy as np
+    import pandas as pd
+
+    big = df.groupBy("batch_id").count().where(F.col("count") > max_batch).limit(1).count()
+    if big:
+        raise ValueError(f"a batch holds more than {max_batch} rows; batch the data first (E10)")
+    t, scale = float(temperature), float(temperature / base_temperature)
+
+    def one_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf[vec].to_numpy())
+        y = pdf[label].to_numpy()
+        n = len(y)
+        s = x @ x.T / t
+        off = ~np.eye(n, dtype=bool)
+        same = (y[:, None] == y[None, :]) & off
+        npos = same.sum(axis=1)
+        keep = npos > 0
+        if n < 2 or not keep.any():
+            return pd.DataFrame({"batch_id": [], "loss": [], "anchors": []})
+        masked = np.where(off, s, -np.inf)
+        lse = _np_logsumexp(masked)
+        mean_pos = np.where(same, s, 0.0).sum(axis=1)[keep] / npos[keep]
+        loss = (-scale * (mean_pos - lse[keep])).mean()
+        return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "loss": [float(loss)], "anchors": [int(keep.sum())]})
+
+    return df.select("batch_id", vec, label).groupBy("batch_id").applyInPandas(one_batch, "batch_id long, loss double, anchors long")

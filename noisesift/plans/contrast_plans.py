@@ -158,6 +158,20 @@ def j5_supervised_contrast(spark: SparkSession, d: str):
     return out.select("batch_id", F.round("loss", 6).alias("loss"), "anchors")
 
 
+@register("j4_info_nce_arrow", with_views("weighted") + "," + BANK8_SQL + INFO_SQL + " SELECT batch_id, class, round(loss, 6) AS loss, n FROM inner_l")
+def j4_info_nce_arrow(spark: SparkSession, d: str):
+    q, bank = _info_inputs(spark, d)
+    out = contrast.info_nce_arrow(q, bank, T_INFO)
+    return out.select("batch_id", "class", F.round("loss", 6).alias("loss"), "n")
+
+
+@register("j5_supervised_contrast_arrow", with_views("weighted") + SC_SQL + " SELECT batch_id, round(loss, 6) AS loss, anchors FROM intra")
+def j5_supervised_contrast_arrow(spark: SparkSession, d: str):
+    w = _w(spark, d).select("batch_id", "vec_id", "class", F.col("embedding").alias("vec"))
+    out = contrast.supervised_contrast_arrow(w, T_SC, T_BASE, max_batch=64)
+    return out.select("batch_id", F.round("loss", 6).alias("loss"), "anchors")
+
+
 @register("j6_contrast_total", with_views("weighted") + "," + BANK8_SQL + INFO_SQL + SC_SQL + f"""
 , wi AS (SELECT batch_id, sum(({N_CLASSES} - class) * loss) AS wl FROM inner_l GROUP BY batch_id)
 SELECT coalesce(wi.batch_id, intra.batch_id) AS batch_id, round(coalesce(wi.wl, 0) + 0.5 * coalesce(intra.loss, 0), 6) AS total
