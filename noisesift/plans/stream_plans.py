@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from noisesift import fixtures
+from noisesift.fixtures import with_views
 from noisesift.plans.contrast_plans import DIM, N_CLASSES
 from noisesift.plans.registry import ORACLES, register
 from noisesift.streaming import bank
@@ -18,7 +19,15 @@ def _rows(spark: SparkSession, d: str):
     return w.select(F.col("label").cast("int").alias("class"), "batch_id", "vec_id", "w", F.col("embedding").alias("vec"))
 
 
-@register("j8_bank_apply_batch")
+# One step from the start state: every slot has score 1 and life TTU (> 1), and every
+# weight is below 1, so the weight policy pairs slots (all tied, slot order) with the
+# K smallest rows by (w, vec_id); nothing expires.
+J8_SQL = with_views("weighted") + f"""
+SELECT CAST(label AS INT) AS class, CAST(rn - 1 AS INT) AS slot, vec_id, w AS score, CAST({TTU} AS DOUBLE) AS life FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY w, vec_id) AS rn FROM weighted) WHERE rn <= {K}"""
+
+
+@register("j8_bank_apply_batch", J8_SQL)
 def j8_bank_apply_batch(spark: SparkSession, d: str):
     start = bank.initial_bank_df(spark, N_CLASSES, K, DIM, TTU)
     out = bank.bank_apply_batch(start, _rows(spark, d), "weight", TTU, K)
