@@ -66,7 +66,38 @@ def h5_metrics_wide(spark: SparkSession, d: str):
     return runs.metrics_wide(best, ["Test/acc", "Test/f1", "Test/loss"])
 
 
-@register("h8_plateau_events")
+def _plateau_step_sql(prev: str) -> str:
+    """One fold step (mode min, rel threshold 1e-4, factor 0.5, patience 2, floor 0.01,
+    cooldown 1) as nested selects over the previous state ``prev`` joined to the epoch."""
+    return f"""
+SELECT trial, i, epoch, metric, best,
+       CASE WHEN trig THEN 0 ELSE bad2 END AS bad,
+       CASE WHEN trig THEN 1 ELSE cool1 END AS cool,
+       CASE WHEN trig AND hyper - greatest(hyper * 0.5, 0.01) > 1e-8 THEN greatest(hyper * 0.5, 0.01) ELSE hyper END AS hyper,
+       trig AND hyper - greatest(hyper * 0.5, 0.01) > 1e-8 AS reduced
+FROM (SELECT *, bad2 > 2 AS trig FROM (
+  SELECT *, CASE WHEN cool > 0 THEN cool - 1 ELSE cool END AS cool1, CASE WHEN cool > 0 THEN 0 ELSE bad1 END AS bad2 FROM (
+    SELECT r.trial, r.i, r.epoch, r.metric, p.cool, p.hyper,
+           CASE WHEN r.metric < p.best * (1 - 1e-4) THEN r.metric ELSE p.best END AS best,
+           CASE WHEN r.metric < p.best * (1 - 1e-4) THEN 0 ELSE p.bad + 1 END AS bad1
+    FROM {prev})))"""
+
+
+H8_SQL = with_views("run_log") + """
+, h AS (SELECT version AS trial, CAST(dayofmonth(wall_time) AS BIGINT) AS epoch, avg(value) AS metric
+        FROM run_log WHERE metric = 'Train/Loss' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY epoch) - 1 AS i FROM h),
+s AS (SELECT trial, -1::BIGINT AS i, 0::BIGINT AS epoch, 0.0::DOUBLE AS metric, 'inf'::DOUBLE AS best, 0::INT AS bad, 0::INT AS cool,
+             1.0::DOUBLE AS hyper, false AS reduced
+      FROM r WHERE i = 0)"""
+H8_SQL = H8_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "s AS (SELECT trial, -1 AS i", "s(trial, i, epoch, metric, best, bad, cool, hyper, reduced) AS (SELECT trial, -1 AS i") \
+    .replace("FROM r WHERE i = 0)", "FROM r WHERE i = 0\n  UNION ALL" + _plateau_step_sql("s p JOIN r ON r.trial = p.trial AND r.i = p.i + 1") + ")")
+H8_SQL += """
+SELECT trial, epoch, metric, hyper, best, CAST(bad AS INT) AS bad_epochs, reduced FROM s WHERE i >= 0"""
+
+
+@register("h8_plateau_events", H8_SQL)
 def h8_plateau_events(spark: SparkSession, d: str):
     log = fixtures.run_log(spark, d).where(F.col("metric") == "Train/Loss")
     hist = log.groupBy(F.col("version").alias("trial"), F.dayofmonth("wall_time").alias("epoch")).agg(F.avg("value").alias("metric"))
