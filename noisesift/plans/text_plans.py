@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noisesift import fixtures
 from noisesift.fixtures import AUG_METHODS, with_views
 from noisesift.functions import text as T
-from noisesift.operators import joins, sampling, shape
+from noisesift.operators import sampling, shape
 from noisesift.plans.curation import CLEAN_SPLIT_SQL
 from noisesift.plans.registry import register
 from noisesift.plans.shaping import METHOD_LIST_SQL
@@ -127,7 +127,7 @@ def f7_check_uniform_length(spark: SparkSession, d: str):
     return stats[0].unionByName(stats[1]).select("tbl", "min_len", "max_len", "n")
 
 
-@register("b7_training_rows", with_views("train") + "," + CLEAN_SPLIT_SQL.replace("train", "train") + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 126, "enc") + """
+@register("b7_training_rows", with_views("train") + "," + CLEAN_SPLIT_SQL + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 126, "enc") + """
 SELECT array_to_string(list_resize([0] || coalesce(e.ids, []) || [2], 128, 1), ' ') AS encode, m.class
 FROM meta m LEFT JOIN enc e ON m.index = e.index""")
 def b7_training_rows(spark: SparkSession, d: str):
@@ -136,5 +136,3 @@ def b7_training_rows(spark: SparkSession, d: str):
     enc = T.encode_text(meta, _train_vocab(spark, d), "text", "index", 128)
     return shape.training_rows(enc, "eval").select(_join_ids("encode").alias("encode"), "class")
 
-
-_ = joins  # keep import for helpers used by callers
