@@ -80,37 +80,37 @@ def split_report(parts: dict[str, DataFrame], class_col: str = "class") -> DataF
     return out.select("part", class_col, "n")
 
 
+COPY_CHUNK = 100_000  # copies generated per task-sized chunk in E6
+
+
 def oversample_to_max(spark: SparkSession, df: DataFrame, class_col: str = "class", id_col: str = "index", seed: int = DEFAULT_SEED) -> DataFrame:
     """E6. Top up every class to the largest class size with repeats drawn from it.
 
     Originals are all kept (``is_copy = false``); ``sample_id`` is unique
-    (the id for originals, ``copy-<class>-<j>`` for copies). The deficit of each class is
-    generated by ``spark.range`` over all deficits (spread over tasks, not one
-    explode per class); copy ``j`` of class ``c`` takes the row of rank
-    ``md5(c-j) mod n_c + 1`` via an equi-join on ``(class, rank)``.
+    (the id for originals, ``copy-<class>-<j>`` for copies). Copy ``j`` of class
+    ``c`` takes the row of rank ``md5(copy-c-j-seed) mod n_c + 1``, joined on
+    ``(class, rank)``. Copies are generated without a driver round-trip: each
+    class's deficit is cut into chunks of ``COPY_CHUNK`` (a small table),
+    the chunks are spread over tasks and exploded there.
     """
-    counts = sorted(df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r[0])  # one row per class
-    top = max((r["n"] for r in counts), default=0)
-    ranked = hashed_rank(df, [class_col], id_col, seed, "__rk")
-    base = ranked.withColumns({"is_copy": F.lit(False), "sample_id": F.col(id_col).cast("string")})
-    deficits = [(r[0], r["n"], top - r["n"]) for r in counts if top - r["n"] > 0]
-    if not deficits:
-        return base.drop("__rk")
-    # Map a global copy number to (class, j) with a CASE over the cumulative deficits.
-    ids = spark.range(sum(d for _, _, d in deficits))
-    cls_expr, j_expr, n_expr, start = None, None, None, 0
-    for c, n, d in deficits:
-        cond = F.col("id") < F.lit(start + d)
-        cls_expr = F.when(cond, F.lit(c)) if cls_expr is None else cls_expr.when(cond, F.lit(c))
-        j_expr = F.when(cond, F.col("id") - F.lit(start)) if j_expr is None else j_expr.when(cond, F.col("id") - F.lit(start))
-        n_expr = F.when(cond, F.lit(n)) if n_expr is None else n_expr.when(cond, F.lit(n))
-        start += d
-    copy_id = F.concat_ws("-", F.lit("copy"), cls_expr.cast("string"), j_expr.cast("string"))
-    copies = ids.select(
-        cls_expr.cast(df.schema[class_col].dataType).alias(class_col),
-        (F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", copy_id, F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint"), n_expr) + 1).alias("__rk"),
+    counts = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("__nc"))
+    # Largest class size over the per-class table (one row per class).
+    top = F.max("__nc").over(Window.partitionBy())
+    per_class = counts.select(class_col, "__nc", (top - F.col("__nc")).alias("__d")).where(F.col("__d") > 0)
+    chunks = per_class.select(class_col, "__nc", "__d",
+                              F.explode(F.sequence(F.lit(0), F.ceil(F.col("__d") / F.lit(COPY_CHUNK)).cast("long") - 1)).alias("__c"))
+    chunks = chunks.repartition(class_col, "__c")
+    copy_j = F.explode(F.sequence(F.col("__c") * F.lit(COPY_CHUNK),
+                                  F.least((F.col("__c") + 1) * F.lit(COPY_CHUNK), F.col("__d")) - 1))
+    copies = chunks.select(class_col, "__nc", copy_j.alias("__j"))
+    copy_id = F.concat_ws("-", F.lit("copy"), F.col(class_col).cast("string"), F.col("__j").cast("string"))
+    copies = copies.select(
+        class_col,
+        (F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", copy_id, F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint"), F.col("__nc")) + 1).alias("__rk"),
         copy_id.alias("sample_id"),
     )
+    ranked = hashed_rank(df, [class_col], id_col, seed, "__rk")
+    base = ranked.withColumns({"is_copy": F.lit(False), "sample_id": F.col(id_col).cast("string")})
     picked = ranked.join(copies, [class_col, "__rk"]).withColumn("is_copy", F.lit(True))
     return base.unionByName(picked).drop("__rk")
 
@@ -122,19 +122,21 @@ def round_robin_batches(
     first-seen order (smallest ``first_seen`` value, default ``id_col``), emit full
     batches only. Assumes the classes are already balanced (E6); the cycle stops
     when the largest class runs out, as in the reference.
-    Adds ``batch_id`` and ``pos`` (position in the stream)."""
+    Adds ``batch_id`` and ``pos`` (position in the stream).
+
+    The class order comes from a per-class table (one row per class) joined on
+    the class; only two scalars (class count, largest class) reach the driver."""
     order_col = first_seen or id_col
-    # One small job: per class its size and first-seen key (one row per class).
-    stats = df.groupBy(class_col).agg(F.min(order_col).alias("first"), F.count(F.lit(1)).alias("n")).collect()
-    ordered = sorted(stats, key=lambda r: (r["first"], r[class_col]))
-    n_classes = len(ordered)
-    n_max = max((r["n"] for r in ordered), default=0)
-    cord = F.create_map(*[x for i, r in enumerate(ordered) for x in (F.lit(r[class_col]), F.lit(i))])
+    per_class = df.groupBy(class_col).agg(F.min(order_col).alias("__first"), F.count(F.lit(1)).alias("__nc"))
+    per_class = per_class.withColumn("__cord", F.row_number().over(Window.orderBy("__first", class_col)) - 1)  # one row per class
+    n_classes, n_max = per_class.agg(F.count(F.lit(1)), F.max("__nc")).first()
+    n_max = n_max or 0
     r = hashed_rank(df, [class_col], id_col, seed, "__rk")
-    pos = (F.col("__rk") - 1) * F.lit(n_classes) + F.element_at(cord, F.col(class_col))
+    pos = (F.col("__rk") - 1) * F.lit(n_classes) + F.col("__cord")
     n_full = (n_max * n_classes) // batch_size
-    out = r.withColumn("pos", pos.cast("bigint")).where(F.col("pos") < F.lit(n_full * batch_size))
-    return out.withColumn("batch_id", (F.col("pos") / F.lit(batch_size)).cast("bigint")).drop("__rk")
+    out = r.join(per_class.select(class_col, "__cord"), class_col).withColumn("pos", pos.cast("bigint"))
+    out = out.where(F.col("pos") < F.lit(n_full * batch_size))
+    return out.withColumn("batch_id", (F.col("pos") / F.lit(batch_size)).cast("bigint")).drop("__rk", "__cord")
 
 
 def chunkify(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:
