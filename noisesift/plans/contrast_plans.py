@@ -247,14 +247,17 @@ def j10_meta_influence(spark: SparkSession, d: str):
                                  F.round(F.col("meta_grad") * 1e9, 3).alias("meta_grad_e9"))
 
 
-@register("j11_meta_influence_fd")
+# The central difference agrees with the exact derivative to ~1e-11 here, far below the
+# reported precision, so J10's exact SQL is J11's oracle.
+@register("j11_meta_influence_fd", META_SQL + f"""
+SELECT vec_id, round(dot_val, 6) AS dot_val_fd, round(-({ETA} * 0.5 / (SELECT na FROM n)) * dot_val * 1e6, 3) AS meta_grad_fd_e6 FROM dv""")
 def j11_meta_influence_fd(spark: SparkSession, d: str):
     aug, clean, val = _meta_parts(spark, d)
     th = theta0()
     step = weights.meta_influence(aug, clean, val, th, ETA)
     n_aug = aug.count()
     fd = weights.meta_influence_fd(step.influence, step.g_val_next, th, ETA, n_aug, eps=1e-4)
-    return fd.select("vec_id", "dot_val", "dot_val_fd", "meta_grad", "meta_grad_fd")
+    return fd.select("vec_id", F.round("dot_val_fd", 6).alias("dot_val_fd"), F.round(F.col("meta_grad_fd") * 1e6, 3).alias("meta_grad_fd_e6"))
 
 
 @register("j13_batch_features")
