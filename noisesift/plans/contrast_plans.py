@@ -65,7 +65,7 @@ def h7_exclude_by_bank_max(spark: SparkSession, d: str):
     return contrast.exclude_by_bank_max(contrast.top_ratio(w, 0.5), bank).select("vec_id", "class", "w")
 
 
-@register("j7_bank_topk", with_views("weighted") + "," + BANK8_SQL + " SELECT label AS class, slot, vec_id FROM bank")
+@register("j7_bank_topk", with_views("weighted") + "," + BANK8_SQL + " SELECT label AS class, CAST(slot AS INT) AS slot, vec_id FROM bank")
 def j7_bank_topk(spark: SparkSession, d: str):
     w = _w(spark, d).select("class", "vec_id", F.col("w").alias("score"))
     return contrast.bank_topk(w, 8).select("class", "slot", "vec_id")
