@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from noisesift.session import TABLES
-from tools.oracle_check import rows_of
+from tools.oracle_check import rows_of, type_mismatches
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
@@ -36,5 +36,6 @@ def test_query_matches_oracle(spark, con, name):
     res = con.sql(ORACLES[name])
     cols = sorted(sdf.columns)
     assert cols == sorted(res.columns)
+    assert type_mismatches(sdf, res) == []
     drows = [dict(zip(res.columns, r)) for r in res.fetchall()]
     assert rows_of(srows, cols) == rows_of(drows, cols)
