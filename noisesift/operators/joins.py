@@ -181,3 +181,33 @@ def batch_partners(df: DataFrame, id_col: str, batch_col: str, payload: Sequence
         raise ValueError(f"a batch holds more than {max_batch} rows; batch the data first (E10)")
     j = df.join(members.drop("__bn"), batch_col)
     return j.withColumn("partners", F.filter("__m", lambda m: m["pid"] != F.col(id_col))).drop("__m")
+
+
+def pair_sides_sampled(side1: DataFrame, side2: DataFrame, n: int, id1: str, id2: str,
+                       keys: Sequence[str] = ("aug_method", "origin"), seed: int = 42) -> DataFrame:
+    """D2 + E1 fused for scale: at most ``n`` distinct pairs per key, without forming all
+    ``n1 x n2`` pairs of a key first.
+
+    Rows of each side are ranked inside the key (skew-safe); per key the pair index
+    space ``[0, n1*n2)`` is sampled systematically, ``idx_k = floor((k + u) N / m)``
+    for ``k < m = min(n, N)`` with ``u`` a seeded hash fraction of the key (every pair
+    has inclusion probability ``m / N``); ``idx`` decodes to ranks
+    ``(idx div n2 + 1, idx mod n2 + 1)`` fetched by equi-joins.
+    """
+    from noisesift.operators.ranking import hash_fraction, hashed_rank
+
+    keys = list(keys)
+    r1 = hashed_rank(side1, keys, id1, seed, "__i", "__n1")
+    r2 = hashed_rank(side2, keys, id2, seed + 1, "__j", "__n2")
+    c1 = r1.groupBy(*keys).agg(F.max("__n1").alias("__n1"))
+    c2 = r2.groupBy(*keys).agg(F.max("__n2").alias("__n2"))
+    per_key = c1.join(c2, keys).withColumn("__N", F.col("__n1") * F.col("__n2")) \
+        .withColumn("__m", F.least(F.col("__N"), F.lit(n)))
+    u = hash_fraction(F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]), seed)
+    picks = per_key.select(*keys, "__n2", "__N", "__m", u.alias("__u"),
+                           F.explode(F.sequence(F.lit(0), F.col("__m") - 1)).alias("__k"))
+    idx = F.floor((F.col("__k") + F.col("__u")) * F.col("__N") / F.col("__m")).cast("bigint")
+    picks = picks.select(*keys, (F.floor(idx / F.col("__n2")) + 1).cast("bigint").alias("__i"),
+                         (F.pmod(idx, F.col("__n2")) + 1).cast("bigint").alias("__j"))
+    out = picks.join(r1.drop("__n1"), [*keys, "__i"]).join(r2.drop("__n2"), [*keys, "__j"])
+    return out.drop("__i", "__j")

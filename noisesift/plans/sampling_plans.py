@@ -170,3 +170,26 @@ def e13_batch_mix(spark: SparkSession, d: str):
     a = joins.attach_label(fixtures.aug(spark, d).select("origin"), clean.select("index", "class"), "class")
     a = joins.keep_train_origins(a, clean)
     return sampling.batch_mix(clean.select("index", "class"), a).select("source", "index", "origin", "class")
+
+
+@register("e1_pair_sample", with_views("aug") + f"""
+, s1 AS (SELECT aug_method, origin, v AS v1, concat_ws('-', aug_method, origin, v) AS sid1 FROM aug, (VALUES (0), (1)) AS t(v)),
+s2 AS (SELECT aug_method, origin, v AS v2, concat_ws('-', aug_method, origin, v) AS sid2 FROM aug, (VALUES (0), (1), (2)) AS t(v)),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY aug_method, origin ORDER BY md5(concat_ws('-', sid1, '42')), sid1) AS i,
+              count(*) OVER (PARTITION BY aug_method, origin) AS n1 FROM s1),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY aug_method, origin ORDER BY md5(concat_ws('-', sid2, '43')), sid2) AS j,
+              count(*) OVER (PARTITION BY aug_method, origin) AS n2 FROM s2),
+pk AS (SELECT aug_method, origin, n1, n2, n1 * n2 AS nn, least(n1 * n2, 2) AS m,
+              {hexfrac_sql("concat_ws(chr(1), aug_method, origin)")} AS u
+       FROM (SELECT DISTINCT aug_method, origin, n1 FROM r1) JOIN (SELECT DISTINCT aug_method, origin, n2 FROM r2) USING (aug_method, origin)),
+ix AS (SELECT aug_method, origin, n2, CAST(floor((k + u) * nn / m) AS BIGINT) AS idx
+       FROM (SELECT *, unnest(range(0, m)) AS k FROM pk)),
+sel AS (SELECT aug_method, origin, idx // n2 + 1 AS i, idx % n2 + 1 AS j FROM ix)
+SELECT sel.aug_method, sel.origin, r1.v1, r2.v2 FROM sel JOIN r1 USING (aug_method, origin, i) JOIN r2 USING (aug_method, origin, j)""")
+def e1_pair_sample(spark: SparkSession, d: str):
+    a = fixtures.aug(spark, d)
+    s1 = a.select("aug_method", "origin", F.explode(F.array(F.lit(0), F.lit(1))).alias("v1"))
+    s1 = s1.withColumn("sid1", F.concat_ws("-", "aug_method", "origin", "v1"))
+    s2 = a.select("aug_method", "origin", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("v2"))
+    s2 = s2.withColumn("sid2", F.concat_ws("-", "aug_method", "origin", "v2"))
+    return joins.pair_sides_sampled(s1, s2, 2, "sid1", "sid2").select("aug_method", "origin", "v1", "v2")

@@ -371,3 +371,13 @@ def test_rank_helper_spreads_a_hot_key(spark):
         assert max_share(ours.select("id", "rk")) < hot / 2
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+
+
+def test_pair_sides_sampled_draws_distinct_pairs_without_all_pairs(spark):
+    s1 = spark.createDataFrame([("m", 1, f"a{i}") for i in range(50)] + [("m", 2, "b0")], "aug_method string, origin long, id1 string")
+    s2 = spark.createDataFrame([("m", 1, f"c{j}") for j in range(40)] + [("m", 2, "d0"), ("m", 2, "d1")], "aug_method string, origin long, id2 string")
+    out = joins.pair_sides_sampled(s1, s2, 5, "id1", "id2").collect()
+    hot = [(r["id1"], r["id2"]) for r in out if r["origin"] == 1]
+    small = [(r["id1"], r["id2"]) for r in out if r["origin"] == 2]
+    assert len(hot) == 5 and len(set(hot)) == 5
+    assert sorted(small) == [("b0", "d0"), ("b0", "d1")]  # fewer pairs than n: all of them
