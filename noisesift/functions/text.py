@@ -3,11 +3,14 @@
 The vocabulary is built from the whole corpus (every token of every text) by
 a distributed count; it is bounded by ``vocab_size`` and therefore broadcast.
 Encoding explodes the kept tokens with their positions, looks them up by a
-broadcast hash join and gathers each row's ids back in position order.
+broadcast hash join and gathers each row's ids back in position order; only
+token ids (and small carried columns) cross the shuffle, never the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,31 +63,55 @@ def splice_separator(ids: str | Column) -> Column:
     return F.when(p > 0, F.concat(head, F.array(F.lit(EOS_ID), F.lit(EOS_ID)), tail)).otherwise(a)
 
 
-def token_ids(df: DataFrame, vocab: DataFrame, text: str, id_col: str, keep: int, out: str = "ids") -> DataFrame:
-    """Ids of the first ``keep`` tokens of each row (unknown -> 3), in order; no markers."""
-    # The whole text is split; only the kept positions are generated as rows.
-    ex = df.select(id_col, F.posexplode(F.slice(tokens(text), 1, keep)).alias("pos", "token"))
-    j = ex.join(F.broadcast(vocab), "token", "left").select(id_col, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__s"))
-    ids = g.select(id_col, F.transform("__s", lambda s: s["id"]).alias(out))
-    # Rows with no token keep an empty list.
-    return df.join(ids, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
-
+def multi_token_ids(df: DataFrame, vocab: DataFrame, fields: dict[str, tuple[str, int]], id_col: str,
+                    carry: Sequence[str] = ()) -> DataFrame:
+    """Ids (unknown -> 3) of the first ``keep`` tokens of several text columns, in order.
 
-def encode_text(df: DataFrame, vocab: DataFrame, text: str = "text", id_col: str = "index", max_len: int = 128, out: str = "encode") -> DataFrame:
-    """F1. ``[0] + ids[:max_len-2] + [2]`` padded with 1 to ``max_len``."""
-    x = token_ids(df, vocab, text, id_col, max_len - 2, "__ids")
+    ``fields``: ``out column -> (text column, keep)``. Each text is split whole; only
+    the kept positions become rows, looked up by a broadcast join on the (bounded)
+    vocabulary, and gathered per row. Only ``(id, field, pos, token id)`` and the small
+    ``carry`` columns are shuffled -- never the texts themselves.
+    Returns ``id_col, *carry, *fields`` (an empty list for an empty or null text).
+    """
+    parts = []
+    for k, (out, (text, keep)) in enumerate(fields.items()):
+        toks = F.slice(tokens(text), 1, keep)
+        parts.append(df.select(id_col, *carry, F.lit(k).alias("__f"), F.posexplode_outer(toks).alias("pos", "token")))
+    ex = parts[0]
+    for p_ in parts[1:]:
+        ex = ex.unionByName(p_)
+    j = ex.join(F.broadcast(vocab), "token", "left")
+    item = F.when(F.col("pos").isNotNull(), F.struct("__f", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+    g = j.groupBy(id_col, *carry).agg(F.array_sort(F.collect_list(item)).alias("__s"))
+    def of_field(k: int):
+        return lambda e: e["__f"] == F.lit(k)  # one-argument lambda (two would mean element, index)
+
+    outs = [F.transform(F.filter("__s", of_field(k)), lambda e: e["id"]).alias(out) for k, out in enumerate(fields)]
+    return g.select(id_col, *carry, *outs)
+
+
+def token_ids(df: DataFrame, vocab: DataFrame, text: str, id_col: str, keep: int, out: str = "ids",
+              carry: Sequence[str] = ()) -> DataFrame:
+    """Ids of the first ``keep`` tokens of one text column (unknown -> 3); no markers."""
+    return multi_token_ids(df, vocab, {out: (text, keep)}, id_col, carry)
+
+
+def encode_text(df: DataFrame, vocab: DataFrame, text: str = "text", id_col: str = "index", max_len: int = 128,
+                out: str = "encode", carry: Sequence[str] = ()) -> DataFrame:
+    """F1. ``[0] + ids[:max_len-2] + [2]`` padded with 1 to ``max_len``; rows ``(id, *carry, encode)``."""
+    x = token_ids(df, vocab, text, id_col, max_len - 2, "__ids", carry)
     enc = F.concat(F.array(F.lit(BOS_ID)), F.col("__ids"), F.array(F.lit(EOS_ID)))
     return x.withColumn(out, fit_length(enc, max_len)).drop("__ids")
 
 
-def encode_pair(df: DataFrame, vocab: DataFrame, a: str, b: str, id_col: str = "index", max_len: int = 256, out: str = "encode") -> DataFrame:
+def encode_pair(df: DataFrame, vocab: DataFrame, a: str, b: str, id_col: str = "index", max_len: int = 256,
+                out: str = "encode", carry: Sequence[str] = ()) -> DataFrame:
     """F2. Side 1 with begin marker and a ``[2, 2]`` separator but no end marker,
     then side 2 (not side 1 again, X2) with end marker but no begin marker;
-    padded to ``max_len``. Each side keeps at most ``max_len/2 - 3`` tokens."""
+    padded to ``max_len``. Side 1 keeps at most ``max_len/2 - 3`` tokens, side 2
+    ``max_len/2 - 2``. Both sides are tokenised in one pass."""
     half = max_len // 2
-    x = token_ids(df, vocab, a, id_col, half - 3, "__a")
-    x = token_ids(x, vocab, b, id_col, half - 2, "__b")
+    x = multi_token_ids(df, vocab, {"__a": (a, half - 3), "__b": (b, half - 2)}, id_col, carry)
     enc = F.concat(F.array(F.lit(BOS_ID)), F.col("__a"), F.array(F.lit(EOS_ID), F.lit(EOS_ID)), F.col("__b"), F.array(F.lit(EOS_ID)))
     return x.withColumn(out, fit_length(enc, max_len)).drop("__a", "__b")
 

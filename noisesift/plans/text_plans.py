@@ -90,7 +90,7 @@ FROM pairs p LEFT JOIN ea ON p.index = ea.index LEFT JOIN eb ON p.index = eb.ind
 def f5_splice_separator(spark: SparkSession, d: str):
     p = fixtures.pairs(spark, d)
     v = _pair_vocab(spark, d)
-    x = T.token_ids(T.token_ids(p, v, "sentence1", "index", 29, "a"), v, "sentence2", "index", 30, "b")
+    x = T.multi_token_ids(p, v, {"a": ("sentence1", 29), "b": ("sentence2", 30)}, "index")
     joined = F.concat(F.array(F.lit(0)), F.col("a"), F.array(F.lit(2)), F.array(F.lit(0)), F.col("b"), F.array(F.lit(2)))
     return x.select("index", F.array_join(T.splice_separator(joined), " ").alias("spliced"))
 
@@ -133,6 +133,6 @@ FROM meta m LEFT JOIN enc e ON m.index = e.index""")
 def b7_training_rows(spark: SparkSession, d: str):
     train = shape.alias_target(fixtures.train(spark, d))
     _, meta = sampling.stratified_split(train, 0.9)
-    enc = T.encode_text(meta, _train_vocab(spark, d), "text", "index", 128)
+    enc = T.encode_text(meta, _train_vocab(spark, d), "text", "index", 128, carry=["class"])
     return shape.training_rows(enc, "eval").select(_join_ids("encode").alias("encode"), "class")
 
