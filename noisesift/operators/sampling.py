@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noisesift.operators.ranking import DEFAULT_SEED, hash_fraction, hash_order, hashed_rank, ordered_position
+from noisesift.operators.ranking import DEFAULT_DIGITS, DEFAULT_SEED, hash_fraction, hash_order, hashed_rank, ordered_position
 
 
 def sample_per_group(df: DataFrame, keys: Sequence[str], id_col: str, n: int = 2, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -43,12 +43,38 @@ def split_parts(
 ) -> DataFrame:
     """E2/E3/E4. Tag rows ``first``/``second``; the first part holds ``size`` rows
     (a count when ``size >= 1``, else a fraction), stratified by ``class_col``
-    (``None`` = unstratified, for regression)."""
+    (``None`` = unstratified, for regression).
+
+    Equal to ranking every row in md5 order and cutting at ``floor(frac*n + 0.5)``,
+    but without moving the table: rows are cut into ``16**digits`` md5 ranges per
+    class; a small per-(class, range) counts table says which ranges lie wholly
+    before or after the cut (decided map-side through a broadcast lookup), and
+    only the one boundary range per class is ranked by a window.
+    """
     keys = [class_col] if class_col else []
-    r = hashed_rank(df, keys, id_col, seed, "__rk", "__n")
+    digits = DEFAULT_DIGITS
+    x = df.withColumn("__h", hash_order(id_col, seed)).withColumn("__b", F.substring("__h", 1, digits))
+    counts = x.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__nb"))
+    by_key = Window.partitionBy(*keys)
     total = F.lit(float(df.count())) if size >= 1 else F.lit(1.0)  # one scalar for a count
-    k = _part_size(F.col("__n"), size, total)
-    return r.withColumn(part_col, F.when(F.col("__rk") <= k, F.lit("first")).otherwise(F.lit("second"))).drop("__rk", "__n")
+    cuts = counts.select(
+        *keys, "__b", "__nb",
+        F.coalesce(F.sum("__nb").over(by_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+        F.sum("__nb").over(by_key).alias("__n"),
+    ).withColumn("__k", _part_size(F.col("__n"), size, total))
+    status = (F.when(F.col("__off") + F.col("__nb") <= F.col("__k"), F.lit("first"))
+              .when(F.col("__off") >= F.col("__k"), F.lit("second")).otherwise(F.lit("boundary")))
+    cuts = cuts.select(*keys, "__b", status.alias("__st"), (F.col("__k") - F.col("__off")).alias("__need"))
+    # keys x 16**digits rows at most: broadcast when that bound is small, else left to AQE.
+    n_cuts = 16 ** digits * (counts.select(*keys).distinct().count() if keys else 1)
+    tagged = x.join(F.broadcast(cuts) if n_cuts <= 5_000_000 else cuts, [*keys, "__b"])
+    # Two map-side branches over the same scan; the counts behind ``cuts`` read only the
+    # key and id columns.
+    decided = tagged.where(F.col("__st") != "boundary").withColumn(part_col, F.col("__st"))
+    edge = tagged.where(F.col("__st") == "boundary")
+    w = Window.partitionBy(*keys, "__b").orderBy("__h", id_col)  # one range per class
+    edge = edge.withColumn(part_col, F.when(F.row_number().over(w) <= F.col("__need"), F.lit("first")).otherwise(F.lit("second")))
+    return decided.unionByName(edge).drop("__h", "__b", "__st", "__need")
 
 
 def stratified_take(df: DataFrame, train_count: float, class_col: str = "class", id_col: str = "index", seed: int = DEFAULT_SEED) -> DataFrame:
