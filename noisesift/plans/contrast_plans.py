@@ -277,7 +277,39 @@ def j14_baseline_fit(spark: SparkSession, d: str):
     return weights.baseline_predict(model, val, "x").select("vec_id", "y", "pred")
 
 
-@register("j15_reweight_fit")
+def reweight_sql(epochs: int) -> str:
+    """DuckDB text of ``weights.reweight_fit`` unrolled over ``epochs`` (head starts at 0,
+    weights at 1): per epoch a J10 look-ahead, new weights ``max(-meta_grad, 0)``
+    normalised to mean 1, then a weighted step of the head."""
+    na, nc = "(SELECT na FROM n)", "(SELECT nc FROM n)"
+    sql = with_views("weighted") + f"""
+, parts AS (SELECT vec_id, embedding AS x, label AS y, w, {hexfrac_sql('vec_id')} AS u FROM weighted),
+aug AS (SELECT * FROM parts WHERE u >= 0.5), clean AS (SELECT * FROM parts WHERE u >= 0.2 AND u < 0.5), val AS (SELECT * FROM parts WHERE u < 0.2),
+n AS (SELECT (SELECT count(*) FROM aug) AS na, (SELECT count(*) FROM clean) AS nc, (SELECT count(*) FROM val) AS nv),
+theta0 AS (SELECT c.c, d.d, 0.0::DOUBLE AS t FROM range({N_CLASSES}) c(c), range({DIM}) d(d)),
+w0 AS (SELECT vec_id, 1.0::DOUBLE AS w FROM aug)"""
+    for e in range(epochs):
+        sql += f""",
+a{e} AS (SELECT a.vec_id, a.x, a.y, ww.w FROM aug a JOIN w{e} ww USING (vec_id)),
+{_grad_sql(f'a{e}', f'theta{e}', 'r.w', f'ga{e}')},
+{_grad_sql('clean', f'theta{e}', '1.0', f'gc{e}')},
+tp{e} AS (SELECT t.c, t.d, t.t - {ETA} * (0.5 * ga{e}.g / {na} + 0.5 * gc{e}.g / {nc}) AS t
+          FROM theta{e} t JOIN ga{e} USING (c, d) JOIN gc{e} USING (c, d)),
+{_grad_sql('val', f'tp{e}', '1.0 / (SELECT nv FROM n)', f'gv{e}')},
+gx{e} AS (SELECT r.vec_id, gv{e}.c, sum(gv{e}.g * r.x[gv{e}.d + 1]) AS gx FROM aug r, gv{e} GROUP BY ALL),
+dv{e} AS (SELECT p.vec_id, sum((p.p - CASE WHEN p.c = r.y THEN 1.0 ELSE 0.0 END) * gx{e}.gx) AS dot
+          FROM ga{e}_p p JOIN gx{e} USING (vec_id, c) JOIN aug r USING (vec_id) GROUP BY p.vec_id),
+raw{e} AS (SELECT vec_id, greatest(({ETA} * 0.5 / {na}) * dot, 0.0) AS r FROM dv{e}),
+w{e + 1} AS (SELECT vec_id, CASE WHEN (SELECT sum(r) FROM raw{e}) > 0 THEN r * (SELECT count(*) FROM raw{e}) / (SELECT sum(r) FROM raw{e})
+                                 ELSE 1.0 END AS w FROM raw{e}),
+b{e} AS (SELECT a.vec_id, a.x, a.y, ww.w FROM aug a JOIN w{e + 1} ww USING (vec_id)),
+{_grad_sql(f'b{e}', f'theta{e}', 'r.w', f'gb{e}')},
+theta{e + 1} AS (SELECT t.c, t.d, t.t - {ETA} * (0.5 * gb{e}.g / {na} + 0.5 * gc{e}.g / {nc}) AS t
+                 FROM theta{e} t JOIN gb{e} USING (c, d) JOIN gc{e} USING (c, d))"""
+    return sql + f"\nSELECT vec_id, w FROM w{epochs}"
+
+
+@register("j15_reweight_fit", reweight_sql(2))
 def j15_reweight_fit(spark: SparkSession, d: str):
     aug, clean, val = _meta_parts(spark, d)
     w, _losses = weights.reweight_fit(spark, aug, clean, val, N_CLASSES, DIM, epochs=2, eta=ETA)
