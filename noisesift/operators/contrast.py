@@ -124,17 +124,36 @@ def momentum_profile(df: DataFrame, m: float, vec: str = "vec", key: str = "clas
     return means.join(c, [key, batch]).groupBy(key, "dim").agg(F.sum(F.col("__c") * F.col("x")).alias("profile"))
 
 
+def token_bucket(token) -> "Column":
+    """Bucket of a token: the first 32 bits of its md5, as a non-negative integer."""
+    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
+
+
 def batch_features(df: DataFrame, text: str = "text", dim: int = 64, out: str = "features", head=None,
-                   logits: str = "logits") -> DataFrame:
-    """J13 default scorer: hashed token counts (``pyspark.ml`` ``HashingTF``) as ``array<double>``,
+                   logits: str = "logits", id_col: str | None = None, method: str = "md5") -> DataFrame:
+    """J13 default scorer: hashed token counts as ``array<double>`` (``dim`` buckets),
     and, with a linear ``head`` (classes x dim array), the logits ``head . features``.
 
+    ``method='md5'`` (needs ``id_col``): every token of the whole text is bucketed by
+    md5 and counted with a partial aggregate per (row, bucket), so at most ``dim``
+    cells per row cross the shuffle; returns ``id_col, out``.
+    ``method='hashing_tf'``: ``pyspark.ml`` ``HashingTF`` on all columns of ``df``.
     A user model plugs in the same place via ``predict_batch_udf``.
     """
     if head is not None:
         from noisesift.operators.weights import with_logits
 
-        return with_logits(batch_features(df, text, dim, out), head, out, logits)
+        return with_logits(batch_features(df, text, dim, out, id_col=id_col, method=method), head, out, logits)
+    if method == "md5":
+        from noisesift.functions.text import tokens
+
+        ex = df.select(id_col, F.explode_outer(tokens(text)).alias("__t"))
+        cells = ex.groupBy(id_col, F.pmod(token_bucket(F.col("__t")), F.lit(dim)).alias("__b")).agg(F.count("__t").alias("__c"))
+        item = F.when(F.col("__b").isNotNull(), F.struct("__b", "__c"))
+        g = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(item)).alias("__m"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                            lambda i: F.coalesce(F.element_at(F.col("__m"), i.cast("bigint")), F.lit(0)).cast("double"))
+        return g.select(id_col, dense.alias(out))
     from pyspark.ml.feature import HashingTF, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 

@@ -381,3 +381,11 @@ def test_pair_sides_sampled_draws_distinct_pairs_without_all_pairs(spark):
     small = [(r["id1"], r["id2"]) for r in out if r["origin"] == 2]
     assert len(hot) == 5 and len(set(hot)) == 5
     assert sorted(small) == [("b0", "d0"), ("b0", "d1")]  # fewer pairs than n: all of them
+
+
+def test_batch_features_both_methods(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, "")], "index long, text string")
+    md5 = {r["index"]: r["features"] for r in contrast.batch_features(df, "text", 8, id_col="index").collect()}
+    assert sum(md5[1]) == 3.0 and sum(md5[2]) == 0.0 and len(md5[1]) == 8
+    tf = {r["index"]: r["features"] for r in contrast.batch_features(df, "text", 8, method="hashing_tf").collect()}
+    assert sum(tf[1]) == 3.0 and len(tf[1]) == 8
