@@ -304,3 +304,24 @@ def noise_audit(df: DataFrame, weight: str = "w", flipped: str = "is_flipped", i
         ((F.sum(F.when(~F.col(flipped), F.col("__rk"))) - F.sum((~F.col(flipped)).cast("double")) * (F.sum((~F.col(flipped)).cast("double")) + 1) / 2)
          / (F.sum((~F.col(flipped)).cast("double")) * F.sum(F.col(flipped).cast("double")))).alias("auc"),
     )
+
+
+def softmax_fit(train: DataFrame, n_classes: int, dim: int, steps: int = 5, eta: float = 0.5,
+                x: str = "x", y: str = "y", weight: str | None = None) -> np.ndarray:
+    """J14 (gradient form): a linear softmax head from zero by ``steps`` full-batch
+    gradient steps on the (optionally instance-weighted) mean cross-entropy; each step
+    is one distributed gradient aggregate. Returns the [classes, dim] head."""
+    theta = np.zeros((n_classes, dim))
+    coef = F.col(weight) if weight else None
+    denom = float(train.agg(F.sum(coef if coef is not None else F.lit(1.0))).first()[0] or 0.0)  # one scalar
+    for _ in range(steps):
+        g = softmax_grad(train, theta, x, y, coef)
+        theta = theta - eta * g / max(denom, 1e-12)
+    return theta
+
+
+def softmax_predict(df: DataFrame, theta: np.ndarray, x: str = "x", out: str = "pred") -> DataFrame:
+    """Argmax of ``theta x`` (first maximum)."""
+    from noisesift.functions.vectors import argmax
+
+    return with_logits(df, theta, x, "__z").withColumn(out, argmax("__z")).drop("__z")

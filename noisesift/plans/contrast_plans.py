@@ -322,6 +322,33 @@ theta{e + 1} AS (SELECT t.c, t.d, t.t - {ETA} * (0.5 * gb{e}.g / {na} + 0.5 * gc
     return sql + f"\nSELECT vec_id, w FROM w{epochs}"
 
 
+def softmax_fit_sql(steps: int) -> str:
+    """DuckDB text of ``weights.softmax_fit`` on clean + augmented rows weighted by the J1
+    gate, then the argmax prediction on the validation rows."""
+    sql = with_views("weighted") + f"""
+, parts AS (SELECT vec_id, embedding AS x, label AS y, {gate_sql(GATE, 'embedding', 'label')} AS w, {hexfrac_sql('vec_id')} AS u FROM weighted),
+tr AS (SELECT * FROM parts WHERE u >= 0.2), val AS (SELECT * FROM parts WHERE u < 0.2),
+sw AS (SELECT sum(w) AS s FROM tr),
+theta0 AS (SELECT c.c, d.d, 0.0::DOUBLE AS t FROM range({N_CLASSES}) c(c), range({DIM}) d(d))"""
+    for e in range(steps):
+        sql += f""",
+{_grad_sql('tr', f'theta{e}', 'r.w', f'g{e}')},
+theta{e + 1} AS (SELECT t.c, t.d, t.t - {ETA} * g{e}.g / (SELECT s FROM sw) AS t FROM theta{e} t JOIN g{e} USING (c, d))"""
+    return sql + f""",
+lv AS (SELECT r.vec_id, r.y, th.c, sum(th.t * r.x[th.d + 1]) AS z FROM val r, theta{steps} th GROUP BY ALL)
+SELECT vec_id, y, CAST(arg_max(c, z * 1e12 - c) AS INT) AS pred FROM lv GROUP BY vec_id, y"""
+
+
+@register("j14_baseline_fit_gd", softmax_fit_sql(3))
+def j14_baseline_fit_gd(spark: SparkSession, d: str):
+    w = fixtures.weighted(spark, d).select("vec_id", F.col("embedding").alias("x"), F.col("label").alias("y"),
+                                          hash_fraction("vec_id").alias("u"))
+    w = weights.instance_weight(w, GATE, "x", "y", "w")
+    train, val = w.where(F.col("u") >= 0.2), w.where(F.col("u") < 0.2)
+    theta = weights.softmax_fit(train, N_CLASSES, DIM, steps=3, eta=ETA, weight="w")
+    return weights.softmax_predict(val, theta).select("vec_id", "y", "pred")
+
+
 @register("j15_reweight_fit", reweight_sql(2))
 def j15_reweight_fit(spark: SparkSession, d: str):
     aug, clean, val = _meta_parts(spark, d)
