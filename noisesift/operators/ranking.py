@@ -35,6 +35,21 @@ def hash_fraction(id_col: str | Column, seed: int = DEFAULT_SEED) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint").cast("double") / F.lit(4294967296.0)
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` that treats null keys as equal (``<=>``), so rows whose key
+    is null (an unlabeled row, say) keep their group instead of vanishing. The right
+    side's key columns are dropped, as with ``join(on=[...])``."""
+    keys = list(keys)
+    r = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    if broadcast:
+        r = F.broadcast(r)
+    cond = [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys]
+    if not cond:
+        raise ValueError("keyed_join needs at least one key")
+    out = left.join(r, cond, how)
+    return out.drop(*[f"__r_{k}" for k in keys])
+
+
 def rank_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,7 +82,7 @@ def rank_within(
             F.sum("__n").over(Window.partitionBy()).alias("__total"),
         )
     local = Window.partitionBy(*keys, b).orderBy(*order)
-    ranked = x.withColumn("__local", F.row_number().over(local)).join(offsets, [*keys, b])
+    ranked = keyed_join(x.withColumn("__local", F.row_number().over(local)), offsets, [*keys, b])
     out = ranked.withColumn(rank_col, (F.col("__off") + F.col("__local")).cast("bigint"))
     if count_col:
         out = out.withColumn(count_col, F.col("__total").cast("bigint"))
@@ -112,7 +127,7 @@ def ordered_position(
     nb = 16 ** digits
     if keys:
         stats = df.groupBy(*keys).agg(F.min(order_col).alias("__lo"), F.max(order_col).alias("__hi"))
-        x = df.join(stats, keys)
+        x = keyed_join(df, stats, keys)
     else:
         # One-row lookup: the bounds become literals of the plan.
         lo, hi = bounds if bounds is not None else df.agg(F.min(order_col).cast("double"), F.max(order_col).cast("double")).first()

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noisesift.operators.ranking import DEFAULT_DIGITS, DEFAULT_SEED, hash_fraction, hash_order, hashed_rank, ordered_position
+from noisesift.operators.ranking import (
+    DEFAULT_DIGITS, DEFAULT_SEED, hash_fraction, hash_order, hashed_rank, keyed_join, ordered_position,
+)
 
 
 def sample_per_group(df: DataFrame, keys: Sequence[str], id_col: str, n: int = 2, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -67,7 +69,7 @@ def split_parts(
     cuts = cuts.select(*keys, "__b", status.alias("__st"), (F.col("__k") - F.col("__off")).alias("__need"))
     # keys x 16**digits rows at most: broadcast when that bound is small, else left to AQE.
     n_cuts = 16 ** digits * (counts.select(*keys).distinct().count() if keys else 1)
-    tagged = x.join(F.broadcast(cuts) if n_cuts <= 5_000_000 else cuts, [*keys, "__b"])
+    tagged = keyed_join(x, cuts, [*keys, "__b"], broadcast=n_cuts <= 5_000_000)
     # Two map-side branches over the same scan; the counts behind ``cuts`` read only the
     # key and id columns.
     decided = tagged.where(F.col("__st") != "boundary").withColumn(part_col, F.col("__st"))
@@ -137,7 +139,7 @@ def oversample_to_max(spark: SparkSession, df: DataFrame, class_col: str = "clas
     )
     ranked = hashed_rank(df, [class_col], id_col, seed, "__rk")
     base = ranked.withColumns({"is_copy": F.lit(False), "sample_id": F.col(id_col).cast("string")})
-    picked = ranked.join(copies, [class_col, "__rk"]).withColumn("is_copy", F.lit(True))
+    picked = keyed_join(ranked, copies, [class_col, "__rk"]).withColumn("is_copy", F.lit(True))
     return base.unionByName(picked).drop("__rk")
 
 
@@ -160,7 +162,7 @@ def round_robin_batches(
     r = hashed_rank(df, [class_col], id_col, seed, "__rk")
     pos = (F.col("__rk") - 1) * F.lit(n_classes) + F.col("__cord")
     n_full = (n_max * n_classes) // batch_size
-    out = r.join(per_class.select(class_col, "__cord"), class_col).withColumn("pos", pos.cast("bigint"))
+    out = keyed_join(r, per_class.select(class_col, "__cord"), [class_col]).withColumn("pos", pos.cast("bigint"))
     out = out.where(F.col("pos") < F.lit(n_full * batch_size))
     return out.withColumn("batch_id", (F.col("pos") / F.lit(batch_size)).cast("bigint")).drop("__rk", "__cord")
 

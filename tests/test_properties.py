@@ -389,3 +389,12 @@ def test_batch_features_both_methods(spark):
     assert sum(md5[1]) == 3.0 and sum(md5[2]) == 0.0 and len(md5[1]) == 8
     tf = {r["index"]: r["features"] for r in contrast.batch_features(df, "text", 8, method="hashing_tf").collect()}
     assert sum(tf[1]) == 3.0 and len(tf[1]) == 8
+
+
+def test_null_class_rows_are_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(60)], "index long, class int")
+    clean, meta = sampling.stratified_split(df, 0.5)
+    assert clean.count() + meta.count() == 60
+    assert clean.where(F.col("class").isNull()).count() == 10  # 20 null-class rows split 10 / 10
+    r = ranking.hashed_rank(df, ["class"], "index", 1, "rk")
+    assert r.count() == 60 and r.where(F.col("class").isNull()).agg(F.max("rk")).first()[0] == 20
