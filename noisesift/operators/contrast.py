@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from noisesift.functions.vectors import dot, logsumexp
 from noisesift.operators.joins import batch_partners, score_against_bank
-from noisesift.operators.ranking import ordered_position
+from noisesift.operators.ranking import keyed_join, ordered_position
 
 # Score of a bank slot that was never written.
 INITIAL_BANK_SCORE = 1.0
@@ -121,7 +121,7 @@ def momentum_profile(df: DataFrame, m: float, vec: str = "vec", key: str = "clas
     coef = F.when(F.col("__i") == 0, F.pow(F.lit(m), F.col("__n") - 1)).otherwise(
         F.lit(1.0 - m) * F.pow(F.lit(m), F.col("__n") - 1 - F.col("__i")))
     c = pos.select(key, batch, coef.alias("__c"))
-    return means.join(c, [key, batch]).groupBy(key, "dim").agg(F.sum(F.col("__c") * F.col("x")).alias("profile"))
+    return keyed_join(means, c, [key, batch]).groupBy(key, "dim").agg(F.sum(F.col("__c") * F.col("x")).alias("profile"))
 
 
 def token_bucket(token) -> "Column":

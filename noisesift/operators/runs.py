@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noisesift.operators.ranking import ordered_position
+from noisesift.operators.ranking import keyed_join, ordered_position
 from noisesift.operators.shape import tag_has_all
 
 RUN = ("experiment", "version")
@@ -86,10 +86,14 @@ def _best_of_group(df: DataFrame, group: Sequence[str], score: str, name: str) -
     """Rows with the largest ``score`` per group, ties to the smallest ``name``: two
     partial-aggregated group-bys and equi-joins (no per-group window, so a group of
     any size is spread over many tasks)."""
+    if not group:
+        top = df.agg(F.max(score)).first()[0]  # one scalar
+        first = df.where(F.col(score) == F.lit(top)).agg(F.min(name)).first()[0]
+        return df.where(F.col(name) == F.lit(first))
     top = df.groupBy(*group).agg(F.max(score).alias("__m"))
-    tied = df.join(top, list(group)).where(F.col(score) == F.col("__m"))
-    first = tied.groupBy(*group).agg(F.min(name).alias(name)) if group else tied.agg(F.min(name).alias(name))
-    return df.join(first, [*group, name], "left_semi")
+    tied = keyed_join(df, top, list(group)).where(F.col(score) == F.col("__m"))
+    first = tied.groupBy(*group).agg(F.min(name).alias(name))
+    return keyed_join(df, first, [*group, name], "left_semi")
 
 
 def metrics_wide(rows: DataFrame, metrics: Sequence[str] | None = None, group: str = "experiment",
