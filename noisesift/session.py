@@ -43,7 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="noisesift-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS / object store)")
+        conf = tempfile.mkdtemp(prefix="noisesift-ckpt-")  # local mode only (tests, single machine)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
