@@ -52,13 +52,26 @@ def exclude_by_bank_max(df: DataFrame, bank: DataFrame, key: str = "class", weig
     return j.where(F.col("__bmax").isNull() | (F.col(weight) > F.col("__bmax"))).drop("__bmax")
 
 
-def info_nce(queries: DataFrame, bank: DataFrame, temperature: float = 0.07, key: str = "class") -> DataFrame:
+# Above this many bank cells (slots x dim, all classes) or batch cells (rows x dim of the
+# largest batch), the NumPy paths are used: the built-in paths copy the bank / the batch
+# into every row.
+BUILTIN_CELL_LIMIT = 200_000
+
+
+def info_nce(queries: DataFrame, bank: DataFrame, temperature: float = 0.07, key: str = "class",
+             method: str = "auto") -> DataFrame:
     """J4. Per (batch, class): logits ``[q.k, q.bank_1..K] / T`` with target 0, for the
     clean query ``q`` and the augmented query ``q_aug`` stacked; mean cross-entropy.
 
     ``queries``: ``(batch_id, class, q, q_aug, k)``; ``bank``: ``(class, slot, vec)``.
-    Output: ``batch_id, class, loss, n`` (n = stacked rows).
+    Output: ``batch_id, class, loss, n`` (n = stacked rows). ``method``: ``builtin``,
+    ``arrow`` or ``auto`` (arrow when the bank exceeds ``BUILTIN_CELL_LIMIT`` cells).
     """
+    if method == "auto":
+        cells = bank.select(F.size("vec").alias("d")).agg(F.sum("d")).first()[0] or 0
+        method = "arrow" if cells > BUILTIN_CELL_LIMIT else "builtin"
+    if method == "arrow":
+        return info_nce_arrow(queries, bank, temperature, key)
     stacked = queries.select("batch_id", key, F.col("q").alias("vec"), "k").unionByName(
         queries.select("batch_id", key, F.col("q_aug").alias("vec"), "k"))
     scored = score_against_bank(stacked, bank, "vec", key)
@@ -69,10 +82,18 @@ def info_nce(queries: DataFrame, bank: DataFrame, temperature: float = 0.07, key
 
 
 def supervised_contrast(df: DataFrame, temperature: float = 0.07, base_temperature: float = 0.07,
-                        vec: str = "vec", label: str = "class", id_col: str = "vec_id", max_batch: int = 4096) -> DataFrame:
+                        vec: str = "vec", label: str = "class", id_col: str = "vec_id", max_batch: int = 4096,
+                        method: str = "auto") -> DataFrame:
     """J5. Per anchor: mean over same-class others of ``s_ij - logsumexp_{j != i} s_ij``,
     ``s_ij = x_i.x_j / T``; loss = mean over anchors of ``-(T/baseT) * that``.
-    Anchors with no same-class partner are dropped (X8). Output per batch: ``loss, anchors``."""
+    Anchors with no same-class partner are dropped (X8). Output per batch: ``loss, anchors``.
+    ``method``: ``builtin``, ``arrow`` or ``auto`` (arrow when the largest batch exceeds
+    ``BUILTIN_CELL_LIMIT`` cells)."""
+    if method == "auto":
+        big = df.groupBy("batch_id").agg((F.count(F.lit(1)) * F.max(F.size(vec))).alias("c")).agg(F.max("c")).first()[0] or 0
+        method = "arrow" if big > BUILTIN_CELL_LIMIT else "builtin"
+    if method == "arrow":
+        return supervised_contrast_arrow(df, temperature, base_temperature, vec, label, id_col, max_batch)
     p = batch_partners(df, id_col, "batch_id", [vec, label], max_batch)
     sims = F.transform("partners", lambda m: F.struct((dot(vec, m[vec]) / F.lit(temperature)).alias("s"), m[label].alias("y")))
     x = p.select("batch_id", F.col(label).alias("__y"), sims.alias("__s"))

@@ -147,14 +147,14 @@ def _info_inputs(spark: SparkSession, d: str):
 @register("j4_info_nce", with_views("weighted") + "," + BANK8_SQL + INFO_SQL + " SELECT batch_id, class, round(loss, 6) AS loss, n FROM inner_l")
 def j4_info_nce(spark: SparkSession, d: str):
     q, bank = _info_inputs(spark, d)
-    out = contrast.info_nce(q, bank, T_INFO)
+    out = contrast.info_nce(q, bank, T_INFO, method="builtin")
     return out.select("batch_id", "class", F.round("loss", 6).alias("loss"), "n")
 
 
 @register("j5_supervised_contrast", with_views("weighted") + SC_SQL + " SELECT batch_id, round(loss, 6) AS loss, anchors FROM intra")
 def j5_supervised_contrast(spark: SparkSession, d: str):
     w = _w(spark, d).select("batch_id", "vec_id", "class", F.col("embedding").alias("vec"))
-    out = contrast.supervised_contrast(w, T_SC, T_BASE, max_batch=64)
+    out = contrast.supervised_contrast(w, T_SC, T_BASE, max_batch=64, method="builtin")
     return out.select("batch_id", F.round("loss", 6).alias("loss"), "anchors")
 
 
@@ -178,9 +178,9 @@ SELECT coalesce(wi.batch_id, intra.batch_id) AS batch_id, round(coalesce(wi.wl,
 FROM wi FULL JOIN intra ON wi.batch_id = intra.batch_id""")
 def j6_contrast_total(spark: SparkSession, d: str):
     q, bank = _info_inputs(spark, d)
-    inner = contrast.info_nce(q, bank, T_INFO)
+    inner = contrast.info_nce(q, bank, T_INFO, method="builtin")
     w = _w(spark, d).select("batch_id", "vec_id", "class", F.col("embedding").alias("vec"))
-    intra = contrast.supervised_contrast(w, T_SC, T_BASE, max_batch=64)
+    intra = contrast.supervised_contrast(w, T_SC, T_BASE, max_batch=64, method="builtin")
     tot = contrast.contrast_total(inner, intra, N_CLASSES, 1.0, 0.5)
     return tot.select("batch_id", F.round("total", 6).alias("total"))
 
