@@ -74,7 +74,7 @@ def info_nce(queries: DataFrame, bank: DataFrame, temperature: float = 0.07, key
         return info_nce_arrow(queries, bank, temperature, key)
     stacked = queries.select("batch_id", key, F.col("q").alias("vec"), "k").unionByName(
         queries.select("batch_id", key, F.col("q_aug").alias("vec"), "k"))
-    scored = score_against_bank(stacked, bank, "vec", key)
+    scored = score_against_bank(stacked, bank, "vec", key, method="builtin")
     pos = dot("vec", "k") / F.lit(temperature)
     logits = F.concat(F.array(pos), F.transform("bank_dots", lambda s: s / F.lit(temperature)))
     per_row = scored.select("batch_id", key, (logsumexp(logits) - pos).alias("__l"))

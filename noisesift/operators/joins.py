@@ -149,13 +149,26 @@ def zip_positional(tables: dict[str, DataFrame], pos_col: str = "pos") -> DataFr
     return reduce(lambda a, b: a.join(b, pos_col), frames)
 
 
-def score_against_bank(queries: DataFrame, bank: DataFrame, vec: str = "vec", key: str = "class") -> DataFrame:
+BANK_BUILTIN_CELLS = 200_000  # above this many bank cells the NumPy path is used
+BANK_COLLECT_CELLS = 50_000_000  # largest bank shipped as one broadcast variable
+
+
+def score_against_bank(queries: DataFrame, bank: DataFrame, vec: str = "vec", key: str = "class",
+                       method: str = "auto") -> DataFrame:
     """D8. For each query row, the dots with every bank vector of its class.
 
     ``bank``: ``(class, slot, vec, score)``, at most K slots per class (a fixed
-    bound), gathered per class into one array and broadcast. Adds
-    ``bank_dots array<double>`` ordered by slot.
+    bound). Adds ``bank_dots array<double>`` ordered by slot. ``builtin``: each
+    class's bank gathered into one array, broadcast-joined and dotted with
+    higher-order functions (small banks). ``arrow``: the bank is one broadcast
+    variable and each Arrow batch of queries is scored per class by one matrix
+    product. ``auto`` picks by the bank's size.
     """
+    if method == "auto":
+        cells = bank.select(F.size(vec).alias("d")).agg(F.sum("d")).first()[0] or 0
+        method = "arrow" if cells > BANK_BUILTIN_CELLS else "builtin"
+    if method == "arrow":
+        return _score_against_bank_arrow(queries, bank, vec, key)
     n_bank = bank.count()  # bounded by K x classes; checked before it is broadcast
     per_class = bank.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", F.col(vec).alias("v")))).alias("__bank"))
     j = queries.join(F.broadcast(per_class) if n_bank <= BROADCAST_ROW_LIMIT else per_class, key, "left")
@@ -166,6 +179,40 @@ def score_against_bank(queries: DataFrame, bank: DataFrame, vec: str = "vec", ke
     return j.withColumn("bank_dots", dots).drop("__bank")
 
 
+def _score_against_bank_arrow(queries: DataFrame, bank: DataFrame, vec: str, key: str) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    cells = bank.select(F.size(vec).alias("d")).agg(F.sum("d")).first()[0] or 0
+    if cells > BANK_COLLECT_CELLS:
+        raise ValueError("bank too large for one broadcast variable")
+    rows = bank.select(key, "slot", vec).collect()  # bounded by the check above
+    banks: dict = {}
+    for r in sorted(rows, key=lambda r: (r[key], r["slot"])):
+        banks.setdefault(r[key], []).append(r[vec])
+    bc = queries.sparkSession.sparkContext.broadcast({c: np.asarray(v, dtype=float) for c, v in banks.items()})
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    out_schema = StructType([*queries.schema.fields, StructField("bank_dots", ArrayType(DoubleType()))])
+
+    def score(batches):
+        b = bc.value
+        for pdf in batches:
+            dots = [None] * len(pdf)
+            for c, idx in pdf.groupby(key).groups.items():
+                bk = b.get(c)
+                qm = np.stack(pdf.loc[idx, vec].to_numpy())
+                res = np.zeros((len(idx), 0)) if bk is None else qm @ bk.T
+                for i, row in zip(idx, res):
+                    dots[pdf.index.get_loc(i)] = row
+            for i in range(len(pdf)):
+                if dots[i] is None:  # null class: no bank
+                    dots[i] = np.zeros(0)
+            yield pdf.assign(bank_dots=dots)
+
+    return queries.mapInPandas(score, out_schema)
+
+
 def batch_partners(df: DataFrame, id_col: str, batch_col: str, payload: Sequence[str], max_batch: int = 4096) -> DataFrame:
     """D9 (re-aimed). Every row gets the other members of its batch as one array.
 

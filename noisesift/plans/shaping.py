@@ -251,7 +251,24 @@ def d8_score_against_bank(spark: SparkSession, d: str):
 
     w = fixtures.weighted(spark, d).withColumnRenamed("label", "class")
     bank = contrast.bank_topk(w.select("class", F.col("embedding").alias("vec"), F.col("w").alias("score"), "vec_id"), 8)
-    q = joins.score_against_bank(w.select("vec_id", "class", F.col("embedding").alias("vec")), bank)
+    q = joins.score_against_bank(w.select("vec_id", "class", F.col("embedding").alias("vec")), bank, method="builtin")
+    return q.select(
+        "vec_id", F.size("bank_dots").cast("bigint").alias("n_bank"),
+        F.round(F.array_max("bank_dots"), 6).alias("max_dot"),
+        F.round(F.aggregate("bank_dots", F.lit(0.0), lambda a, b: a + b), 6).alias("sum_dot"),
+    )
+
+
+@register("d8_score_against_bank_arrow", with_views("weighted") + "," + BANK8_SQL + """
+SELECT q.vec_id, count(b.vec_id) AS n_bank, round(max(list_dot_product(q.embedding, b.embedding)), 6) AS max_dot,
+       round(sum(list_dot_product(q.embedding, b.embedding)), 6) AS sum_dot
+FROM weighted q LEFT JOIN bank b ON q.label = b.label GROUP BY q.vec_id""")
+def d8_score_against_bank_arrow(spark: SparkSession, d: str):
+    from noisesift.operators import contrast
+
+    w = fixtures.weighted(spark, d).withColumnRenamed("label", "class")
+    bank = contrast.bank_topk(w.select("class", F.col("embedding").alias("vec"), F.col("w").alias("score"), "vec_id"), 8)
+    q = joins.score_against_bank(w.select("vec_id", "class", F.col("embedding").alias("vec")), bank, method="arrow")
     return q.select(
         "vec_id", F.size("bank_dots").cast("bigint").alias("n_bank"),
         F.round(F.array_max("bank_dots"), 6).alias("max_dot"),
