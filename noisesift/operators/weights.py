@@ -56,8 +56,18 @@ def formula_gate(n_classes: int, dim: int, hidden: int = 8, emb: int = 4, output
     return GateParams(f(n_classes, emb, 3), f(hidden, emb + dim, 7), f(1, hidden, 11)[0], f(outputs, hidden, 13), f(1, outputs, 17)[0], scale)
 
 
-def instance_weight(df: DataFrame, p: GateParams, x: str = "x", y: str = "y", out: str = "weight") -> DataFrame:
-    """J1 (built-in path). Gate forward with parameters as plan literals; dropout off."""
+GATE_BUILTIN_CELLS = 20_000  # W1 entries above which the Arrow path is used
+
+
+def instance_weight(df: DataFrame, p: GateParams, x: str = "x", y: str = "y", out: str = "weight",
+                    method: str = "auto") -> DataFrame:
+    """J1. Gate forward; dropout off. ``builtin``: parameters as plan literals and
+    higher-order functions; ``arrow``: two matrix products per Arrow batch; ``auto``:
+    arrow when ``W1`` has more than ``GATE_BUILTIN_CELLS`` entries."""
+    if method == "auto":
+        method = "arrow" if p.w1.size > GATE_BUILTIN_CELLS else "builtin"
+    if method == "arrow":
+        return instance_weight_arrow(df, p, x, y, out)
     emb = F.element_at(matrix_lit(p.class_emb), (F.col(y) + 1).cast("int"))
     inp = F.concat(emb, _c(x))
     hidden = F.array(*[relu(dot(vector_lit(p.w1[h]), inp) + F.lit(float(p.b1[h]))) for h in range(p.w1.shape[0])])

@@ -75,7 +75,7 @@ def j7_bank_topk(spark: SparkSession, d: str):
 @register("j1_instance_weight", with_views("weighted") + f" SELECT vec_id, round({gate_sql(GATE, 'embedding', 'label')}, 6) AS weight FROM weighted")
 def j1_instance_weight(spark: SparkSession, d: str):
     w = fixtures.weighted(spark, d)
-    return weights.instance_weight(w, GATE, "embedding", "label").select("vec_id", F.round("weight", 6).alias("weight"))
+    return weights.instance_weight(w, GATE, "embedding", "label", method="builtin").select("vec_id", F.round("weight", 6).alias("weight"))
 
 
 @register("j1_instance_weight_arrow", with_views("weighted") + f" SELECT vec_id, round({gate_sql(GATE, 'embedding', 'label')}, 6) AS weight FROM weighted")
