@@ -128,9 +128,22 @@ def ordered_position(
     if keys:
         stats = df.groupBy(*keys).agg(F.min(order_col).alias("__lo"), F.max(order_col).alias("__hi"))
         x = keyed_join(df, stats, keys)
+    elif bounds is None:
+        # No key: ranges at approximate quantiles of the order (robust to bursty orders),
+        # found by binary search in the JVM (pyspark.ml Bucketizer); nulls sort first.
+        from pyspark.ml.feature import Bucketizer
+
+        nq = min(nb, 4096)
+        x = df.withColumn("__od", F.col(order_col).cast("double"))
+        cuts = sorted(set(x.approxQuantile("__od", [i / nq for i in range(1, nq)], 1.0 / (4 * nq))))
+        splits = [float("-inf"), *[c for c in cuts if c == c], float("inf")]
+        x = Bucketizer(splits=splits, inputCol="__od", outputCol="__bq", handleInvalid="keep").transform(x)
+        bucket = F.when(F.col("__od").isNull() | F.isnan("__od"), F.lit(-1)).otherwise(F.col("__bq")).cast("long")
+        out = rank_within(x, [], [F.col(order_col), *[F.col(t) for t in tiebreak]], bucket, "__rank1", count_col)
+        return out.withColumn(pos_col, F.col("__rank1") - 1).drop("__rank1", "__od", "__bq")
     else:
-        # One-row lookup: the bounds become literals of the plan.
-        lo, hi = bounds if bounds is not None else df.agg(F.min(order_col).cast("double"), F.max(order_col).cast("double")).first()
+        # Known bounds: equal-width ranges, the bounds are literals of the plan.
+        lo, hi = bounds
         x = df.withColumns({"__lo": F.lit(lo if lo is not None else 0.0), "__hi": F.lit(hi if hi is not None else 0.0)})
     width = (F.col("__hi").cast("double") - F.col("__lo").cast("double")) / F.lit(float(nb))
     bucket = F.when(width <= 0, F.lit(0)).otherwise(

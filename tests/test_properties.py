@@ -398,3 +398,11 @@ def test_null_class_rows_are_kept(spark):
     assert clean.where(F.col("class").isNull()).count() == 10  # 20 null-class rows split 10 / 10
     r = ranking.hashed_rank(df, ["class"], "index", 1, "rk")
     assert r.count() == 60 and r.where(F.col("class").isNull()).agg(F.max("rk")).first()[0] == 20
+
+
+def test_ordered_position_bursty_order_and_nulls(spark):
+    vals = [1e9 + i * 1e-3 for i in range(900)] + [float(i) for i in range(100)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)] + [(5000, None)], "id long, t double")
+    got = {r["id"]: r["pos"] for r in ranking.ordered_position(df, "t", tiebreak=["id"]).collect()}
+    order = [5000] + [i for i, _ in sorted(enumerate(vals), key=lambda p: (p[1], p[0]))]  # nulls first
+    assert [got[i] for i in order] == list(range(len(order)))
