@@ -257,15 +257,15 @@ WITH RECURSIVE w AS (
          '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
-         ELSE list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+         ELSE list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) END AS sh FROM w),
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
 c AS (SELECT min(doc_id) AS rep, list_sort(sh) AS sh FROM s GROUP BY ALL),
 e AS (SELECT rep, unnest(sh) AS x FROM c),
 d AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
-p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS both FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS n_both FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
       WHERE a.x IN (SELECT x FROM d) GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id
-      WHERE 100 * both >= 80 * (na.n_shingles + nb.n_shingles - both)),
+      WHERE 100 * n_both >= 80 * (na.n_shingles + nb.n_shingles - n_both)),
 g AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT rep, rep FROM c),
 r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
 m AS (SELECT a AS rep, min(b) AS low FROM r GROUP BY 1)
