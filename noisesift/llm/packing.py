@@ -23,7 +23,6 @@ of which only the first may be shorter.
 from __future__ import annotations
 
 import math
-import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -37,7 +36,8 @@ from noisesift.llm.common import query, staged, table
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+TAIL = ".,;:!?*%$#&|)]}>"
 PRICING_ROUNDS = 1000
 STEP = 0.1
 ROWS_PER_SALT = 50_000
@@ -49,45 +49,88 @@ class WordCache:
     """Token ids of whole texts, joined from the cached ids of their words.
 
     A byte-level BPE never merges across a space between two non-space
-    characters, so such a text is the concatenation of its space-led words. A
-    text with any other white space around a space is encoded as a whole.
+    characters, nor between a letter or digit and the punctuation after it, so
+    such a text is the concatenation of its space-led words, and these of their
+    bodies and tails. New words are encoded together, as one line of text: a
+    token that starts with a space opens the next word. A text with any other
+    white space around a space is encoded as a whole.
     """
 
+    ODD = b"\xff\xff\xff\xff"  # no id; marks a text that has to be encoded as a whole
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         enc = self.tok.encode_batch_fast if hasattr(self.tok, "encode_batch_fast") else self.tok.encode_batch
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in enc(texts, add_special_tokens=False)]
+
+    def _line(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            ids = np.frombuffer(self._ids([" " + " ".join(part)])[0], dtype="<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(part):
+                raw = ids.tobytes()
+                cut = [*(4 * at).tolist(), len(raw)]
+                out += [raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            else:
+                out += self._ids([" " + w for w in part])
+        return out
 
-        def ids(many: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for i in range(0, len(many), 20_000):
-                out += [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in enc(many[i : i + 20_000], add_special_tokens=False))]
-            return out
+    def _learn(self, new: list[str]) -> None:
+        words, bodies = self.words, {}
+        for w in new:
+            if not w or w[0].isspace() or w[-1].isspace() or "<|" in w:
+                words[w] = self.ODD
+                continue
+            body = w.rstrip(TAIL)
+            if len(body) == len(w) or not body or not body[-1].isalnum():
+                body = w
+            bodies[w] = body
+        fresh = [x for x in dict.fromkeys(bodies.values()) if x not in words]
+        words.update(zip(fresh, self._line(fresh), strict=True))
+        for w, body in bodies.items():
+            if len(body) < len(w):
+                tail = w[len(body) :]
+                if tail not in self.tails:
+                    if len(self.tails) > CACHE_WORDS:
+                        self.tails.clear()
+                    self.tails[tail] = self._ids([tail])[0]
+                words[w] = words[body] + self.tails[tail]
 
-        cache = self.words
+    def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        new = list({w for ws in split for w in ws[1:] if w not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list({w for ws in split for w in ws[1:]})
-        safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        cache.update(dict.fromkeys(new))
-        cache.update(zip(safe, ids([" " + w for w in safe]), strict=True))
-        firsts = ids([ws[0] for ws in split])
-        whole = []
-        out: list[bytes | None] = []
+        seen: set[str] = set()
+        for ws in split:
+            seen.update(ws)
+        new = seen.difference(self.words)
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = seen
+        self._learn(list(new))
+        firsts = self._ids([ws[0] for ws in split])
+        get = self.words.__getitem__
+        out, whole = [], []
         for k, ws in enumerate(split):
-            parts = list(map(cache.__getitem__, ws[1:]))
-            if None in parts or (parts and ws[0][-1:].isspace()) or (parts and not ws[0]):
-                whole.append(k)
-                out.append(None)
+            if len(ws) > 1:
+                rest = b"".join(map(get, ws[1:]))
+                if not ws[0] or ws[0][-1].isspace() or "<|" in ws[0] or self.ODD in rest:
+                    whole.append(k)
+                    rest = b""
+                out.append(firsts[k] + rest)
             else:
-                out.append(firsts[k] + b"".join(parts))
-        for k, b in zip(whole, ids([texts[k] for k in whole]), strict=True):
+                out.append(firsts[k])
+        for k, b in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
             out[k] = b
         return out
 
