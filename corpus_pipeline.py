@@ -1,22 +1,68 @@
-"""The corpus pipeline: five stages over ``documents``, each one written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each one written and read again.
+
+1. ``quality``: documents that the quality classifier rejects go.
+2. ``near_dedup``: of each group of near-duplicates (shingles of five words,
+   similarity 0.8) the one of smallest id stays; of rows repeating an id, one.
+3. ``secrets``: every found secret is replaced by ``[SECRET]``.
+4. ``mixing``: documents are repeated or left out so that the sources come to
+   their target weights, in the order of the curriculum.
+5. ``packing``: the texts are tokenised and packed into sequences of 1024 ids.
+
+All stages but the last return the columns of ``documents``. The stages hold
+trained models and a tokenizer, so the pipeline has no SQL form; the tests
+compare it with a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noisesift.llm.common import staged, table
+from noisesift.llm.minhash import near_duplicates
+from noisesift.llm.mixing import mix
 from noisesift.llm.packing import pack_documents
+from noisesift.llm.quality import drop_rejected
+from noisesift.llm.secrets import mask_secrets
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_rejected(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = staged(near_duplicates(docs, n=5), "groups")
+    gone = groups.where("NOT kept").select("doc_id").distinct()
+    repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    first = once.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row")).select("doc_id", "_row.*")
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mask_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
 STAGES = [
-    ("packing", packed),
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("packing", packing),
 ]
 
-ORACLE_SQL = None  # trained models and tokenizers have no SQL form; tests compare with brute force
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
