@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noisesift.llm import embeddings, minhash, mixing, packing, quality, secrets  # noqa: F401
+from noisesift.llm import embeddings, licenses, minhash, mixing, packing, quality, secrets, spotsigs  # noqa: F401
 from noisesift.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
