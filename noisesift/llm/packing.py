@@ -40,6 +40,7 @@ CACHE_WORDS = 600_000
 TAIL = ".,;:!?*%$#&|)]}>"
 PRICING_ROUNDS = 1000
 STEP = 0.1
+ROUNDED_SHARES = (1.0, 0.9, 0.75, 0.5, 0.3)  # of the fractional solution; best fit does the rest
 ROWS_PER_SALT = 50_000
 
 _tokenizers: dict = {}  # path -> WordCache, one per Python worker
@@ -278,8 +279,10 @@ def round_and_fill(hist: dict[int, int], solution: list[tuple[dict[int, int], fl
 
 
 def plan_sequences(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """The whole plan for a histogram: (configuration, whole sequences of it)."""
-    return round_and_fill(hist, solve_configurations(hist, capacity), capacity)
+    """The whole plan for a histogram: (configuration, whole sequences of it); the best of some roundings."""
+    solution = solve_configurations(hist, capacity)
+    plans = [round_and_fill(hist, [(c, share * x) for c, x in solution], capacity) for share in ROUNDED_SHARES]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
