@@ -80,7 +80,7 @@ class Page:
     """Blocks of running text of a page, each with the container that holds it."""
 
     def __init__(self, source: str):
-        self.paths, self.parents, self.depths = ["body"], [-1], [0]
+        self.paths, self.parents = ["body"], [-1]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         pieces: list[str] = []
         linked = 0
@@ -146,7 +146,6 @@ class Page:
             if tag in CONTAINER and not junk:
                 self.paths.append(f"{self.paths[held]}>{_step(tag, attrs)}")
                 self.parents.append(held)
-                self.depths.append(self.depths[held] + 1)
                 held = len(self.paths) - 1
             if rest.endswith("/") and tag not in BLOCK:
                 continue
@@ -163,12 +162,18 @@ class Page:
                 return
 
     def scores(self) -> list[float]:
-        """A container's share of the page's running text; the tightest of equals and an article count more."""
+        """A container's share of the page's running text, less where one container inside holds nearly all of it.
+
+        An article or main element counts more and stays whole.
+        """
         text = [0.0] * len(self.paths)
         for held, block, linked in self.blocks:
             text[held] += max(0, len(block) - 2 * linked)
+        inner = [0.0] * len(text)
         for k in range(len(text) - 1, 0, -1):
-            text[self.parents[k]] += text[k]
+            up = self.parents[k]
+            text[up] += text[k]
+            inner[up] = max(inner[up], text[k])
         whole = text[0]
         if not whole:
             return text
@@ -177,7 +182,7 @@ class Page:
             last = self.paths[k].rpartition(">")[2].partition(".")[0]
             bonus = {"article": 0.5, "main": 0.3}.get(last, 0.0)
             share = t / whole
-            out.append(share + (bonus + 0.01 * self.depths[k]) * share if share >= 0.5 or bonus else 0.5 * share)
+            out.append(share * (1 + bonus if bonus else 0.5 if share < 0.5 or inner[k] > 0.8 * t else 1.0))
         return out
 
     def text(self, path: str | None) -> str:

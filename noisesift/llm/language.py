@@ -47,6 +47,10 @@ _FOLD[_SPACE] = 32
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))  # the pattern also takes numbers like a superscript two
+
+
 def grams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the subwords of texts laid end to end, and each text's bounds among them."""
     # a space before every text, so a gram may start at a word's mark and none spans two texts
@@ -133,7 +137,7 @@ def _held_out(id_col: str):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     known = docs.where(~F.coalesce(_held_out(id_col), F.lit(True)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = known.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    rows = [r for r in rows if _LETTER.search(r["t"])]
+    rows = [r for r in rows if has_letter(r["t"])]
     return fit([r["t"] for r in rows], [r["l"] for r in rows])
 
 
@@ -157,7 +161,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
                     best = p.argmax(axis=1)
                 for k in range(len(n)):
                     text = b.column(1)[row + k].as_py()
-                    if not names or text is None or not _LETTER.search(text):
+                    if not names or text is None or not has_letter(text):
                         pred.append("und")
                     else:
                         pred.append(names[best[k]])

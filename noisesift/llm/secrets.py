@@ -229,7 +229,7 @@ def _synthetic(rng: np.random.Generator) -> tuple[str, bool]:
         return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
 
     mixed, lower = string.ascii_letters + string.digits, string.ascii_lowercase
-    kind = int(rng.integers(0, 10))
+    kind = int(rng.integers(0, 14))
     word = take(lower, int(rng.integers(2, 9)))
     secret = {
         0: lambda: "ghp_" + take(mixed, 36),
@@ -244,6 +244,10 @@ def _synthetic(rng: np.random.Generator) -> tuple[str, bool]:
         7: lambda: f"{take(lower, 5)}.{rng.integers(0, 99)}@{take(lower, 6)}.example.com",
         8: lambda: f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}",
         9: lambda: take(lower, int(rng.integers(3, 12))) + str(rng.integers(0, 100)),
+        10: lambda: f"({rng.integers(100, 1000)}) {rng.integers(100, 1000)}-{rng.integers(1000, 10000)}",
+        11: lambda: " ".join(str(rng.integers(1000, 10000)) for _ in range(int(rng.integers(2, 5)))),
+        12: lambda: f"{rng.integers(0, 100)} {rng.integers(0, 100)}.{rng.integers(0, 10)}",
+        13: lambda: f"{take(lower, 6)}{rng.integers(0, 10)}-{take(lower, 4)} {rng.integers(0, 1000)}{take(lower, 2)}",
     }
     hints = ("key", "auth", "credential =", "bearer", "secret:", "pwd =", word, word, word)
     lead = hints[int(rng.integers(0, len(hints)))]
