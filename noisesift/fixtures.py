@@ -28,11 +28,16 @@ def train(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, labelled or not."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), "text")
+
+
 def _aug_text(k: Column, text: Column) -> Column:
     return (
         F.when(k == 0, F.replace(text, F.lit("e"), F.lit("3")))
-        .when(k == 1, F.substring(text, 1, 40))
-        .when(k == 2, F.concat(F.substring(text, 1, 200), F.lit(" again")))
+        .when(k == 1, F.replace(text, F.lit("o"), F.lit("0")))
+        .when(k == 2, F.concat(text, F.lit(" again")))
         .when(k == 3, F.replace(text, F.lit(" the "), F.lit(" ")))
         .otherwise(F.replace(text, F.lit("a"), F.lit("@")))
     )
@@ -43,7 +48,7 @@ def aug(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("aug_method")) for k, m in enumerate(AUG_METHODS)])
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", F.explode(methods).alias("m"))
     k = F.col("m.k")
-    return d.where((F.col("doc_id") + k) % 4 != 0).select(
+    return d.select(
         F.col("doc_id").alias("origin"),
         F.col("m.aug_method").alias("aug_method"),
         _aug_text(k, F.col("text")).alias("text"),
@@ -95,16 +100,23 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`weighted` with 10 logits (first embedding components) and the argmax prediction."""
-    w = weighted(spark, sf_dir)
-    logits = F.slice("embedding", 1, 10)
+    """`weighted` with 10 logits (a fixed linear head on the whole vector) and the argmax prediction."""
+    w = weighted(spark, sf_dir).withColumn("logits", F.expr(LOGITS_SPARK))
+    logits = F.col("logits")
     return w.select(
         "vec_id", "batch_id", "label", "w", "embedding",
-        logits.alias("logits"),
+        "logits",
         (F.array_position(logits, F.array_max(logits)) - 1).cast("int").alias("pred"),
     )
 
 
+# the head's entry for output k and component j: ((31 k + 17 j) mod 13 - 6) / 6
+LOGITS_SPARK = """
+transform(sequence(0, 9), k -> aggregate(
+  transform(embedding, (x, j) -> x * (((31 * k + 17 * j) % 13) - 6) / 6D), 0D, (a, x) -> a + x))"""
+LOGITS_DUCK = """
+list_transform(range(0, 10), lambda k: list_sum(list_transform(embedding, lambda x, j: x * (((31 * k + 17 * (j - 1)) % 13) - 6) / 6.0)))"""
+
 # ---------------------------------------------------------------- DuckDB text
 VIEW_SQL = {
     "train": """
@@ -113,14 +125,15 @@ SELECT d.doc_id AS index, d.text, l.quality AS label, l.toxic,
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "aug": """
 SELECT d.doc_id AS origin, m.aug_method,
-       CASE m.k WHEN 0 THEN replace(d.text,'e','3') WHEN 1 THEN substr(d.text,1,40)
-                WHEN 2 THEN concat(substr(d.text,1,200),' again')
+       CASE m.k WHEN 0 THEN replace(d.text,'e','3') WHEN 1 THEN replace(d.text,'o','0')
+                WHEN 2 THEN d.text || ' again'
                 WHEN 3 THEN replace(d.text,' the ',' ')
                 ELSE replace(d.text,'a','@') END AS text,
        CAST((d.n_chars + 37*m.k) % 250 AS DOUBLE) AS readability, CAST(0.5 AS DOUBLE) AS cola
 FROM documents d CROSS JOIN (VALUES (0,'CharswapAug'),(1,'ChecklistAug'),(2,'EasydataAug'),
-                                    (3,'EmbeddingAug'),(4,'WordnetAug')) AS m(k, aug_method)
-WHERE (d.doc_id + m.k) % 4 <> 0""",
+                                    (3,'EmbeddingAug'),(4,'WordnetAug')) AS m(k, aug_method)""",
+    "corpus": """
+SELECT doc_id AS index, text FROM documents""",
     "pairs": """
 SELECT a.conv_id * 100 + a.turn AS index, a.text AS sentence1, b.text AS sentence2,
        CAST(a.conv_id % 3 AS INT) AS label
@@ -136,10 +149,9 @@ SELECT concat('exp', CAST(user_id % 10 AS VARCHAR)) AS experiment,
                        WHEN 'purchase' THEN 'Test/loss' WHEN 'error' THEN 'Val/acc'
                        ELSE 'Train/Loss' END AS metric,
        ts AS wall_time, event_id, value FROM events""",
-    "predictions": """
-SELECT vec_id, batch_id, label, w, embedding, embedding[1:10] AS logits,
-       CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INT) AS pred
-FROM weighted""",
+    "predictions": f"""
+SELECT *, CAST(list_position(logits, list_max(logits)) - 1 AS INT) AS pred
+FROM (SELECT vec_id, batch_id, label, w, embedding, {LOGITS_DUCK} AS logits FROM weighted)""",
 }
 
 # Views that other views read.

@@ -2,15 +2,16 @@
 
 The vocabulary is built from the whole corpus (every token of every text) by
 a distributed count; it is bounded by ``vocab_size`` and therefore broadcast.
-Encoding explodes the kept tokens with their positions, looks them up by a
-broadcast hash join and gathers each row's ids back in position order; only
-token ids (and small carried columns) cross the shuffle, never the texts.
+Texts are then encoded in place, batch by batch, by that vocabulary or by any
+tokenizer given as a callable: nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,40 +64,50 @@ def splice_separator(ids: str | Column) -> Column:
     return F.when(p > 0, F.concat(head, F.array(F.lit(EOS_ID), F.lit(EOS_ID)), tail)).otherwise(a)
 
 
-def multi_token_ids(df: DataFrame, vocab: DataFrame, fields: dict[str, tuple[str, int]], id_col: str,
+Tokenizer = Callable[[list[str]], list[list[int]]]
+
+
+def vocab_tokenizer(vocab: DataFrame) -> Tokenizer:
+    """A tokenizer from a vocabulary table (bounded by its ``vocab_size``): ids of the white-space tokens, unknown -> 3."""
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    shared = vocab.sparkSession.sparkContext.broadcast(ids)
+
+    def run(texts: list[str]) -> list[list[int]]:
+        get = shared.value.get
+        return [[get(t, UNK_ID) for t in re.split(TOKEN_PATTERN, text, flags=re.ASCII) if t] for text in texts]
+
+    return run
+
+
+def _ids_column(text: str | Column, tokenizer: Tokenizer, keep: int) -> Column:
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([x[:keep] for x in tokenizer(["" if t is None else t for t in texts])], dtype=object)
+
+    return run(_c(text))
+
+
+def multi_token_ids(df: DataFrame, vocab: DataFrame | Tokenizer, fields: dict[str, tuple[str, int]], id_col: str,
                     carry: Sequence[str] = ()) -> DataFrame:
-    """Ids (unknown -> 3) of the first ``keep`` tokens of several text columns, in order.
+    """Ids of the first ``keep`` tokens of several text columns, in order.
 
-    ``fields``: ``out column -> (text column, keep)``. Each text is split whole; only
-    the kept positions become rows, looked up by a broadcast join on the (bounded)
-    vocabulary, and gathered per row. Only ``(id, field, pos, token id)`` and the small
-    ``carry`` columns are shuffled -- never the texts themselves.
+    ``fields``: ``out column -> (text column, keep)``. ``vocab`` is a vocabulary table
+    (see ``build_vocab``; unknown -> 3) or any callable from texts to id lists, such as a
+    pretrained tokenizer. Texts are encoded in place, batch by batch: nothing is shuffled
+    and rows that repeat an id stay apart.
     Returns ``id_col, *carry, *fields`` (an empty list for an empty or null text).
     """
-    parts = []
-    for k, (out, (text, keep)) in enumerate(fields.items()):
-        toks = F.slice(tokens(text), 1, keep)
-        parts.append(df.select(id_col, *carry, F.lit(k).alias("__f"), F.posexplode_outer(toks).alias("pos", "token")))
-    ex = parts[0]
-    for p_ in parts[1:]:
-        ex = ex.unionByName(p_)
-    j = ex.join(F.broadcast(vocab), "token", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("__f", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
-    g = j.groupBy(id_col, *carry).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    def of_field(k: int):
-        return lambda e: e["__f"] == F.lit(k)  # one-argument lambda (two would mean element, index)
-
-    outs = [F.transform(F.filter("__s", of_field(k)), lambda e: e["id"]).alias(out) for k, out in enumerate(fields)]
-    return g.select(id_col, *carry, *outs)
-
-
-def token_ids(df: DataFrame, vocab: DataFrame, text: str, id_col: str, keep: int, out: str = "ids",
+    tokenizer = vocab if callable(vocab) else vocab_tokenizer(vocab)
+    return df.select(id_col, *carry, *[_ids_column(text, tokenizer, keep).alias(out) for out, (text, keep) in fields.items()])
+
+
+def token_ids(df: DataFrame, vocab: DataFrame | Tokenizer, text: str, id_col: str, keep: int, out: str = "ids",
               carry: Sequence[str] = ()) -> DataFrame:
     """Ids of the first ``keep`` tokens of one text column (unknown -> 3); no markers."""
     return multi_token_ids(df, vocab, {out: (text, keep)}, id_col, carry)
 
 
-def encode_text(df: DataFrame, vocab: DataFrame, text: str = "text", id_col: str = "index", max_len: int = 128,
+def encode_text(df: DataFrame, vocab: DataFrame | Tokenizer, text: str = "text", id_col: str = "index", max_len: int = 128,
                 out: str = "encode", carry: Sequence[str] = ()) -> DataFrame:
     """F1. ``[0] + ids[:max_len-2] + [2]`` padded with 1 to ``max_len``; rows ``(id, *carry, encode)``."""
     x = token_ids(df, vocab, text, id_col, max_len - 2, "__ids", carry)
@@ -104,7 +115,7 @@ def encode_text(df: DataFrame, vocab: DataFrame, text: str = "text", id_col: str
     return x.withColumn(out, fit_length(enc, max_len)).drop("__ids")
 
 
-def encode_pair(df: DataFrame, vocab: DataFrame, a: str, b: str, id_col: str = "index", max_len: int = 256,
+def encode_pair(df: DataFrame, vocab: DataFrame | Tokenizer, a: str, b: str, id_col: str = "index", max_len: int = 256,
                 out: str = "encode", carry: Sequence[str] = ()) -> DataFrame:
     """F2. Side 1 with begin marker and a ``[2, 2]`` separator but no end marker,
     then side 2 (not side 1 again, X2) with end marker but no begin marker;

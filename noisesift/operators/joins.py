@@ -61,7 +61,8 @@ def keep_train_origins(aug: DataFrame, clean: DataFrame) -> DataFrame:
 
 def config_signature(config: Column, keys: Sequence[str]) -> Column:
     """Canonical string of the given keys of a config map (null when a key is missing)."""
-    return F.concat_ws("\u0001", *[F.concat(F.lit(k + "="), config[k]) for k in sorted(keys)])
+    parts = [F.concat(F.lit(k + "="), config[k]) for k in sorted(keys)]
+    return F.concat(*[x for p in parts for x in (p, F.lit("\u0001"))]) if parts else F.lit("")
 
 
 def planned_keys(keys: Sequence[str], ignore: Sequence[str] = UNINTERESTED_KEYS) -> list[str]:
@@ -101,15 +102,18 @@ def skip_finished(
 def expand_grid(spark: SparkSession, lists: DataFrame, order: Sequence[str], base: dict[str, str] | None = None) -> DataFrame:
     """D6. Cartesian product of per-parameter value lists, without a cross join.
 
-    ``lists``: rows ``(param string, value string)``; each parameter's values are
-    taken distinct and sorted. The product size is computed first from the
+    ``lists``: rows ``(param string, value string)`` and, if the lists have an order,
+    ``pos``: values are then taken in that order and repeated ones kept; without it
+    they are taken distinct and sorted. The product size is computed first from the
     per-parameter counts; trial ``i`` (``version_no``, product order, last
     parameter fastest) is decoded from ``spark.range`` by mixed radix, and each
     digit is looked up by an equi-join on ``(param, pos)``.
     ``base`` is the general config merged under every trial (grid values win).
     """
-    vals = lists.select("param", "value").distinct()
-    vals = ordered_rank_text(vals)
+    if "pos" in lists.columns:
+        vals = ordered_rank_text(lists.select("param", "value", "pos"), "pos")
+    else:
+        vals = ordered_rank_text(lists.select("param", "value").distinct())
     sizes = dict(vals.groupBy("param").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per parameter
     total = 1
     for p in order:
@@ -134,11 +138,11 @@ def expand_grid(spark: SparkSession, lists: DataFrame, order: Sequence[str], bas
     return out.withColumn("config", F.create_map(*entries))
 
 
-def ordered_rank_text(vals: DataFrame) -> DataFrame:
-    """0-based position of each value inside its parameter, by value (lists are small)."""
+def ordered_rank_text(vals: DataFrame, by: str = "value") -> DataFrame:
+    """0-based position of each value inside its parameter, by ``by`` (lists are small)."""
     from pyspark.sql import Window
 
-    return vals.withColumn("pos", F.row_number().over(Window.partitionBy("param").orderBy("value")) - 1)
+    return vals.withColumn("pos", F.row_number().over(Window.partitionBy("param").orderBy(by)) - 1)
 
 
 def zip_positional(tables: dict[str, DataFrame], pos_col: str = "pos") -> DataFrame:

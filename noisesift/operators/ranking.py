@@ -120,34 +120,33 @@ def ordered_position(
     whole order must be unique per key). ``bounds`` = known (min, max) of the order
     when there are no keys (saves the bounds job).
 
-    Ranges come from the exact min/max of the order per key (one small aggregate),
-    split into ``16**digits`` equal-width buckets.
+    Ranges lie at approximate quantiles of the order over all rows, so a burst of rows
+    (which only a hot key can have) gets ranges in proportion; with ``bounds`` they are
+    of equal width. Nulls sort first and NaN last, as in a plain window.
     """
     keys = list(keys)
     nb = 16 ** digits
-    if keys:
-        stats = df.groupBy(*keys).agg(F.min(order_col).alias("__lo"), F.max(order_col).alias("__hi"))
-        x = keyed_join(df, stats, keys)
-    elif bounds is None:
-        # No key: ranges at approximate quantiles of the order (robust to bursty orders),
-        # found by binary search in the JVM (pyspark.ml Bucketizer); nulls sort first.
+    value = F.col(order_col).cast("double")
+    if bounds is None:
+        # Ranges at approximate quantiles, found by binary search in the JVM (pyspark.ml Bucketizer).
         from pyspark.ml.feature import Bucketizer
 
         nq = min(nb, 4096)
-        x = df.withColumn("__od", F.col(order_col).cast("double"))
+        x = df.withColumn("__od", value)
         cuts = sorted(set(x.approxQuantile("__od", [i / nq for i in range(1, nq)], 1.0 / (4 * nq))))
-        splits = [float("-inf"), *[c for c in cuts if c == c], float("inf")]
+        splits = [float("-inf"), *[c for c in cuts if c == c and abs(c) != float("inf")], float("inf")]
+        # "keep" puts NaN into a range after all others
         x = Bucketizer(splits=splits, inputCol="__od", outputCol="__bq", handleInvalid="keep").transform(x)
-        bucket = F.when(F.col("__od").isNull() | F.isnan("__od"), F.lit(-1)).otherwise(F.col("__bq")).cast("long")
-        out = rank_within(x, [], [F.col(order_col), *[F.col(t) for t in tiebreak]], bucket, "__rank1", count_col)
+        bucket = F.when(F.col("__od").isNull(), F.lit(-1)).otherwise(F.col("__bq")).cast("long")
+        out = rank_within(x, keys, [F.col(order_col), *[F.col(t) for t in tiebreak]], bucket, "__rank1", count_col)
         return out.withColumn(pos_col, F.col("__rank1") - 1).drop("__rank1", "__od", "__bq")
-    else:
-        # Known bounds: equal-width ranges, the bounds are literals of the plan.
-        lo, hi = bounds
-        x = df.withColumns({"__lo": F.lit(lo if lo is not None else 0.0), "__hi": F.lit(hi if hi is not None else 0.0)})
+    # Known bounds: equal-width ranges, the bounds are literals of the plan.
+    lo, hi = bounds
+    x = df.withColumns({"__lo": F.lit(lo if lo is not None else 0.0), "__hi": F.lit(hi if hi is not None else 0.0)})
     width = (F.col("__hi").cast("double") - F.col("__lo").cast("double")) / F.lit(float(nb))
-    bucket = F.when(width <= 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(order_col).cast("double") - F.col("__lo").cast("double")) / width), F.lit(nb - 1))
-    ).cast("long")
+    inside = F.least(F.floor((value - F.col("__lo").cast("double")) / width), F.lit(nb - 1))
+    bucket = (
+        F.when(value.isNull(), F.lit(-1)).when(F.isnan(value), F.lit(nb)).when(width <= 0, F.lit(0)).otherwise(inside).cast("long")
+    )
     out = rank_within(x, keys, [F.col(order_col), *[F.col(t) for t in tiebreak]], bucket, "__rank1", count_col)
     return out.withColumn(pos_col, F.col("__rank1") - 1).drop("__rank1", "__lo", "__hi")

@@ -51,6 +51,10 @@ def step_by_time(log: DataFrame, run: Sequence[str] = RUN, tag: str = "metric",
     return ordered_position(t, "__t", [*run, tag], step, tiebreak=[tiebreak]).drop("__t")
 
 
+def _no_nan(value: str) -> Column:
+    return F.nanvl(F.col(value).cast("double"), F.lit(0.0))
+
+
 def _selected(log: DataFrame, parts: Sequence[str], tag: str) -> Column:
     return tag_has_all(F.col(tag), parts)
 
@@ -58,9 +62,9 @@ def _selected(log: DataFrame, parts: Sequence[str], tag: str) -> Column:
 def rows_at_best_step(log: DataFrame, parts: Sequence[str] = ("acc", "Test"), run: Sequence[str] = RUN,
                       tag: str = "metric", step: str = "step", value: str = "value") -> DataFrame:
     """H2. Per run: the step with the largest selected-metric value (earliest step on ties),
-    then every row of the run at that step."""
+    then every row of the run at that step. NaN counts as 0."""
     sel = log.where(_selected(log, parts, tag))
-    best = sel.groupBy(*run).agg(F.max_by(F.col(step), F.struct(F.col(value), -F.col(step))).alias("__best"))
+    best = sel.groupBy(*run).agg(F.max_by(F.col(step), F.struct(_no_nan(value), -F.col(step))).alias("__best"))
     return log.join(best, list(run)).where(F.col(step) == F.col("__best")).drop("__best")
 
 
@@ -124,7 +128,7 @@ def halving_survivors(history: DataFrame, grace: int = 5, eta: int = 2, max_t: i
     alive = history.select(trial).distinct()
     kept_all = None
     for rung in rungs:
-        at = history.where(F.col(it) == F.lit(rung)).select(trial, F.col(metric).alias("value")).join(alive, trial, "left_semi")
+        at = history.where(F.col(it) == F.lit(rung)).select(trial, _no_nan(metric).alias("value")).join(alive, trial, "left_semi")
         at = at.withColumn("__neg", -F.col("value"))
         ranked = ordered_position(at, "__neg", [], "__p", "__n", tiebreak=[trial]).withColumn("rank", F.col("__p") + 1)
         kept = ranked.where(F.col("rank") <= F.ceil(F.col("__n") / F.lit(eta))).drop("__n", "__p", "__neg").withColumn("rung", F.lit(rung))
@@ -136,10 +140,11 @@ def halving_survivors(history: DataFrame, grace: int = 5, eta: int = 2, max_t: i
 def best_trial(history: DataFrame, trial: str = "trial", it: str = "iteration", metric: str = "value",
                group: Sequence[str] = ()) -> DataFrame:
     """H10. Per group: the trial whose best value over all iterations is largest, with that
-    value and the iteration where it occurred (earliest on ties; ties between trials by trial)."""
+    value and the iteration where it occurred (earliest on ties; ties between trials by trial).
+    NaN counts as 0."""
     per = history.groupBy(*group, trial).agg(
-        F.max(metric).alias("best_value"),
-        F.max_by(F.col(it), F.struct(F.col(metric), -F.col(it))).alias("best_iteration"),
+        F.max(_no_nan(metric)).alias("best_value"),
+        F.max_by(F.col(it), F.struct(_no_nan(metric), -F.col(it))).alias("best_iteration"),
     )
     return _best_of_group(per, list(group), "best_value", trial)
 
@@ -204,21 +209,32 @@ def sweep(trials: DataFrame, aug: DataFrame, label: str = "label", score: str =
     """J17. Evaluate many curation settings in one pass.
 
     ``trials``: ``(trial_id, methods array<string>, lo, hi)``; ``methods`` null = all.
-    Trials are exploded to (trial, method) and equi-joined to the augmented rows
-    on ``aug_method`` (the trial table is small and bounded by the grid size,
-    so it is broadcast), then filtered by the open interval and aggregated per
-    trial: rows kept, rows per class, mean score.
+    Rows are first added up by (method, score, label), then joined to the trials by
+    method; a trial of all methods meets every row, also those without a method,
+    under one more join key. Per trial: rows kept, rows of classes 0 and 1, mean score
+    (``sweep_by_class`` has the rows of every class).
     """
-    # 'all' = every method present: the method list is a small dimension, read once.
-    methods = sorted(r[0] for r in aug.select("aug_method").distinct().collect())
-    every = F.array(*[F.lit(m) for m in methods]) if methods else F.array().cast("array<string>")
-    exploded = trials.select("trial_id", "lo", "hi", F.explode(F.coalesce(F.col("methods"), every)).alias("aug_method"))
-    n_cells = exploded.count()  # grid size x methods; checked before it is broadcast
-    j = aug.join(F.broadcast(exploded) if n_cells <= 1_000_000 else exploded, "aug_method")
-    kept = j.where((F.col(score) > F.col("lo")) & (F.col(score) < F.col("hi")))
+    kept = _sweep_cells(trials, aug, label, score)
     return kept.groupBy("trial_id").agg(
-        F.count(F.lit(1)).alias("rows_kept"),
-        F.sum((F.col(label) == 0).cast("long")).alias("n_class0"),
-        F.sum((F.col(label) == 1).cast("long")).alias("n_class1"),
-        F.avg(score).alias("mean_score"),
+        F.sum("__n").alias("rows_kept"),
+        F.sum(F.when(F.col(label) == 0, F.col("__n")).otherwise(0)).alias("n_class0"),
+        F.sum(F.when(F.col(label) == 1, F.col("__n")).otherwise(0)).alias("n_class1"),
+        (F.sum(F.col(score) * F.col("__n")) / F.sum("__n")).alias("mean_score"),
     )
+
+
+def sweep_by_class(trials: DataFrame, aug: DataFrame, label: str = "label", score: str = "readability") -> DataFrame:
+    """J17 for any number of classes: rows kept per (trial, class)."""
+    kept = _sweep_cells(trials, aug, label, score)
+    return kept.groupBy("trial_id", label).agg(F.sum("__n").alias("rows_kept"))
+
+
+def _sweep_cells(trials: DataFrame, aug: DataFrame, label: str, score: str) -> DataFrame:
+    cells = aug.groupBy("aug_method", score, label).agg(F.count(F.lit(1)).alias("__n"))
+    by_method = F.struct(F.lit(False).alias("every"), F.col("aug_method").alias("method"))
+    to_all = F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("method"))
+    cells = cells.withColumn("__to", F.explode(F.array(by_method, to_all))).where("__to.every OR __to.method IS NOT NULL")
+    named = F.transform("methods", lambda m: F.struct(F.lit(False).alias("every"), m.alias("method")))
+    wanted = trials.select("trial_id", "lo", "hi", F.explode(F.coalesce(named, F.array(to_all))).alias("__to"))
+    on = [cells["__to.every"] == wanted["__to.every"], cells["__to.method"].eqNullSafe(wanted["__to.method"])]
+    return cells.join(wanted, on).where((F.col(score) > F.col("lo")) & (F.col(score) < F.col("hi")))

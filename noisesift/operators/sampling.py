@@ -235,11 +235,14 @@ def flip_labels(df: DataFrame, p: float, n_classes: int = 2, label_col: str = "c
 
 
 def pair_loaders(base_batches: DataFrame, meta_batches: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """E12. Pair every base batch with meta batch ``base mod n_meta`` (shorter side cycled)."""
-    mb = meta_batches.select(F.col(batch_col).alias("meta_batch_id")).distinct()
-    n_meta = mb.count()
-    bb = base_batches.select(F.col(batch_col).alias("base_batch_id")).distinct()
-    return bb.withColumn("meta_batch_id", F.pmod(F.col("base_batch_id"), F.lit(max(n_meta, 1)))).join(mb, "meta_batch_id")
+    """E12. One pair per step, as many steps as the longer side has batches; the shorter
+    side is cycled. Batch ids run from 0. An empty side gives no pairs."""
+    sides = [df.agg(F.countDistinct(batch_col)).first()[0] for df in (base_batches, meta_batches)]
+    steps = base_batches.sparkSession.range(max(sides) if all(sides) else 0)
+    n_base, n_meta = (max(n, 1) for n in sides)
+    return steps.select(
+        F.col("id").alias("step"), (F.col("id") % F.lit(n_base)).alias("base_batch_id"), (F.col("id") % F.lit(n_meta)).alias("meta_batch_id")
+    )
 
 
 def batch_mix(clean: DataFrame, aug: DataFrame, no_aug_data: bool = False) -> DataFrame:

@@ -204,3 +204,14 @@ WHERE a.readability > t.lo AND a.readability < t.hi GROUP BY t.trial_id""")
 def j17_sweep(spark: SparkSession, d: str):
     aug = joins.attach_label(fixtures.aug(spark, d).select("origin", "aug_method", "readability"), fixtures.train(spark, d))
     return runs.sweep(sweep_trials(spark), aug)
+
+
+@register("j17_sweep_by_class", with_views("train", "aug") + f"""
+, t AS (SELECT * FROM (VALUES {_sweep_values_sql()}) AS t(trial_id, methods, lo, hi)),
+a AS (SELECT a.aug_method, a.readability, tr.label FROM aug a LEFT JOIN train tr ON a.origin = tr.index)
+SELECT CAST(t.trial_id AS BIGINT) AS trial_id, a.label, CAST(count(*) AS BIGINT) AS rows_kept
+FROM t JOIN a ON (t.methods IS NULL OR list_contains(t.methods, a.aug_method))
+WHERE a.readability > t.lo AND a.readability < t.hi GROUP BY t.trial_id, a.label""")
+def j17_sweep_by_class(spark: SparkSession, d: str):
+    aug = joins.attach_label(fixtures.aug(spark, d).select("origin", "aug_method", "readability"), fixtures.train(spark, d))
+    return runs.sweep_by_class(sweep_trials(spark), aug)

@@ -154,7 +154,8 @@ def e11_flip_labels_multiclass(spark: SparkSession, d: str):
 @register("e12_pair_loaders", with_views("train") + "," + CLEAN_SPLIT_SQL + """
 , b AS (SELECT DISTINCT (row_number() OVER (ORDER BY md5(concat_ws('-', index, '42')), index) - 1) // 32 AS base_batch_id FROM clean),
 m AS (SELECT DISTINCT (row_number() OVER (ORDER BY index) - 1) // 8 AS meta_batch_id FROM meta)
-SELECT base_batch_id, base_batch_id % (SELECT count(*) FROM m) AS meta_batch_id FROM b""")
+SELECT i % (SELECT count(*) FROM b) AS base_batch_id, i % (SELECT count(*) FROM m) AS meta_batch_id
+FROM range((SELECT greatest((SELECT count(*) FROM b), (SELECT count(*) FROM m)))) AS r(i)""")
 def e12_pair_loaders(spark: SparkSession, d: str):
     clean, meta = sampling.stratified_split(_train(spark, d), 0.9)
     base = sampling.shuffle_batches(clean, 32)
@@ -162,6 +163,18 @@ def e12_pair_loaders(spark: SparkSession, d: str):
     return sampling.pair_loaders(base, mb).select("base_batch_id", "meta_batch_id")
 
 
+@register("e12_pair_loaders_longer_meta", with_views("train") + "," + CLEAN_SPLIT_SQL + """
+, b AS (SELECT DISTINCT (row_number() OVER (ORDER BY md5(concat_ws('-', index, '42')), index) - 1) // 128 AS base_batch_id FROM clean),
+m AS (SELECT DISTINCT (row_number() OVER (ORDER BY index) - 1) // 2 AS meta_batch_id FROM meta)
+SELECT i % (SELECT count(*) FROM b) AS base_batch_id, i % (SELECT count(*) FROM m) AS meta_batch_id
+FROM range((SELECT greatest((SELECT count(*) FROM b), (SELECT count(*) FROM m)))) AS r(i)""")
+def e12_pair_loaders_longer_meta(spark: SparkSession, d: str):
+    clean, meta = sampling.stratified_split(_train(spark, d), 0.9)
+    base = sampling.shuffle_batches(clean, 128)
+    mb = sampling.shuffle_batches(meta, 2, shuffle=False)
+    return sampling.pair_loaders(base, mb).select("base_batch_id", "meta_batch_id")
+
+
 @register("e13_batch_mix", with_views("train", "aug") + "," + CLEAN_SPLIT_SQL + """
 SELECT 'clean' AS source, index, NULL::BIGINT AS origin, class FROM clean
 UNION ALL SELECT 'aug', NULL, a.origin, c.class FROM aug a JOIN clean c ON a.origin = c.index""")

@@ -14,11 +14,11 @@ from noisesift.plans.registry import register
 from noisesift.plans.shaping import METHOD_LIST_SQL
 
 TRAIN_TOKENS_SQL = r"""
-tl AS (SELECT index, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS tl FROM train),
+tl AS (SELECT index, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS tl FROM corpus),
 toks AS (SELECT index, unnest(tl) AS token, unnest(range(len(tl))) AS pos FROM tl),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INT) AS id
           FROM (SELECT token, count(*) AS n FROM toks GROUP BY token)
-          QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 1000)"""
+          QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 30000)"""
 
 
 def _ids_sql(src: str, keep: int, name: str) -> str:
@@ -26,19 +26,23 @@ def _ids_sql(src: str, keep: int, name: str) -> str:
         FROM {src} t LEFT JOIN vocab v USING (token) WHERE t.pos < {keep} GROUP BY t.index)"""
 
 
+#: tokens of the vocabulary, about as many as the pretrained tokenizers of the tasks have
+VOCAB = 30_000
+
+
 def _train_vocab(spark: SparkSession, d: str):
-    return T.build_vocab(fixtures.train(spark, d), "text", 1000)
+    return T.build_vocab(fixtures.corpus(spark, d), "text", VOCAB)
 
 
 def _join_ids(col: str):
     return F.array_join(F.col(col), " ")
 
 
-@register("f1_encode_text", with_views("train") + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 126, "enc") + """
+@register("f1_encode_text", with_views("corpus") + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 126, "enc") + """
 SELECT tr.index, array_to_string(list_resize([0] || coalesce(e.ids, []) || [2], 128, 1), ' ') AS encode
-FROM train tr LEFT JOIN enc e ON tr.index = e.index""")
+FROM corpus tr LEFT JOIN enc e ON tr.index = e.index""")
 def f1_encode_text(spark: SparkSession, d: str):
-    tr = fixtures.train(spark, d)
+    tr = fixtures.corpus(spark, d)
     return T.encode_text(tr, _train_vocab(spark, d), "text", "index", 128).select("index", _join_ids("encode").alias("encode"))
 
 
@@ -48,49 +52,49 @@ s AS (SELECT index, 1 AS side, list_filter(string_split_regex(sentence1, '\s+'),
 ptoks AS (SELECT index, side, unnest(tl) AS token, unnest(range(len(tl))) AS pos FROM s),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INT) AS id
           FROM (SELECT token, count(*) AS n FROM ptoks GROUP BY token)
-          QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 500),
+          QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 30000),
 pa AS (SELECT * FROM ptoks WHERE side = 1), pb AS (SELECT * FROM ptoks WHERE side = 2)"""
 
 
 def _pair_vocab(spark: SparkSession, d: str):
     p = fixtures.pairs(spark, d)
     corpus = p.select(F.col("sentence1").alias("text")).unionByName(p.select(F.col("sentence2").alias("text")))
-    return T.build_vocab(corpus, "text", 500)
+    return T.build_vocab(corpus, "text", VOCAB)
 
 
-@register("f2_encode_pair", with_views("pairs") + "," + PAIR_TOKENS_SQL + "," + _ids_sql("pa", 29, "ea") + "," + _ids_sql("pb", 30, "eb") + """
-SELECT p.index, array_to_string(list_resize([0] || coalesce(ea.ids, []) || [2, 2] || coalesce(eb.ids, []) || [2], 64, 1), ' ') AS encode
+@register("f2_encode_pair", with_views("pairs") + "," + PAIR_TOKENS_SQL + "," + _ids_sql("pa", 125, "ea") + "," + _ids_sql("pb", 126, "eb") + """
+SELECT p.index, array_to_string(list_resize([0] || coalesce(ea.ids, []) || [2, 2] || coalesce(eb.ids, []) || [2], 256, 1), ' ') AS encode
 FROM pairs p LEFT JOIN ea ON p.index = ea.index LEFT JOIN eb ON p.index = eb.index""")
 def f2_encode_pair(spark: SparkSession, d: str):
     p = fixtures.pairs(spark, d)
-    return T.encode_pair(p, _pair_vocab(spark, d), "sentence1", "sentence2", "index", 64).select("index", _join_ids("encode").alias("encode"))
+    return T.encode_pair(p, _pair_vocab(spark, d), "sentence1", "sentence2", "index", 256).select("index", _join_ids("encode").alias("encode"))
 
 
-@register("f3_fit_length", with_views("train") + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 16, "enc") + """
-SELECT tr.index, array_to_string(list_resize(coalesce(e.ids, []), 16, 1), ' ') AS ids
-FROM train tr LEFT JOIN enc e ON tr.index = e.index""")
+@register("f3_fit_length", with_views("corpus") + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 128, "enc") + """
+SELECT tr.index, array_to_string(list_resize(coalesce(e.ids, []), 128, 1), ' ') AS ids
+FROM corpus tr LEFT JOIN enc e ON tr.index = e.index""")
 def f3_fit_length(spark: SparkSession, d: str):
-    tr = fixtures.train(spark, d)
-    x = T.token_ids(tr, _train_vocab(spark, d), "text", "index", 16, "ids")
-    return x.select("index", F.array_join(T.fit_length("ids", 16), " ").alias("ids"))
+    tr = fixtures.corpus(spark, d)
+    x = T.token_ids(tr, _train_vocab(spark, d), "text", "index", 128, "ids")
+    return x.select("index", F.array_join(T.fit_length("ids", 128), " ").alias("ids"))
 
 
-@register("f4_attention_mask", with_views("train") + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 126, "enc") + """
+@register("f4_attention_mask", with_views("corpus") + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 126, "enc") + """
 SELECT tr.index, array_to_string(list_transform(list_resize([0] || coalesce(e.ids, []) || [2], 128, 1), lambda x: CASE WHEN x = 1 THEN 0 ELSE 1 END), ' ') AS mask
-FROM train tr LEFT JOIN enc e ON tr.index = e.index""")
+FROM corpus tr LEFT JOIN enc e ON tr.index = e.index""")
 def f4_attention_mask(spark: SparkSession, d: str):
-    tr = fixtures.train(spark, d)
+    tr = fixtures.corpus(spark, d)
     x = T.encode_text(tr, _train_vocab(spark, d), "text", "index", 128)
     return x.select("index", F.array_join(T.attention_mask("encode"), " ").alias("mask"))
 
 
-@register("f5_splice_separator", with_views("pairs") + "," + PAIR_TOKENS_SQL + "," + _ids_sql("pa", 29, "ea") + "," + _ids_sql("pb", 30, "eb") + """
+@register("f5_splice_separator", with_views("pairs") + "," + PAIR_TOKENS_SQL + "," + _ids_sql("pa", 126, "ea") + "," + _ids_sql("pb", 126, "eb") + """
 SELECT p.index, array_to_string([0] || coalesce(ea.ids, []) || [2] || [2, 2] || coalesce(eb.ids, []) || [2], ' ') AS spliced
 FROM pairs p LEFT JOIN ea ON p.index = ea.index LEFT JOIN eb ON p.index = eb.index""")
 def f5_splice_separator(spark: SparkSession, d: str):
     p = fixtures.pairs(spark, d)
     v = _pair_vocab(spark, d)
-    x = T.multi_token_ids(p, v, {"a": ("sentence1", 29), "b": ("sentence2", 30)}, "index")
+    x = T.multi_token_ids(p, v, {"a": ("sentence1", 126), "b": ("sentence2", 126)}, "index")
     joined = F.concat(F.array(F.lit(0)), F.col("a"), F.array(F.lit(2)), F.array(F.lit(0)), F.col("b"), F.array(F.lit(2)))
     return x.select("index", F.array_join(T.splice_separator(joined), " ").alias("spliced"))
 
@@ -113,12 +117,12 @@ def f6_collate_ragged(spark: SparkSession, d: str):
     return T.collate_ragged(a, cb, "origin", "aug_id").select("index", "batch_id", "slot", "aug_id")
 
 
-@register("f7_check_uniform_length", with_views("train") + """
-SELECT 'train' AS tbl, CAST(128 AS INT) AS min_len, CAST(128 AS INT) AS max_len, count(*) AS n FROM train
+@register("f7_check_uniform_length", with_views("corpus") + """
+SELECT 'train' AS tbl, CAST(128 AS INT) AS min_len, CAST(128 AS INT) AS max_len, count(*) AS n FROM corpus
 UNION ALL SELECT 'aug', 128, 128, count(*) FROM aug""".replace("FROM aug", "FROM (" + fixtures.VIEW_SQL["aug"] + ")"))
 def f7_check_uniform_length(spark: SparkSession, d: str):
     v = _train_vocab(spark, d)
-    tr = T.encode_text(fixtures.train(spark, d), v, "text", "index", 128)
+    tr = T.encode_text(fixtures.corpus(spark, d), v, "text", "index", 128)
     au = fixtures.aug(spark, d).withColumn("aug_id", F.col("origin") * 10 + F.array_position(F.array(*[F.lit(m) for m in AUG_METHODS]), F.col("aug_method")))
     au = T.encode_text(au, v, "text", "aug_id", 128)
     T.check_uniform_length(tr, au)
@@ -127,7 +131,7 @@ def f7_check_uniform_length(spark: SparkSession, d: str):
     return stats[0].unionByName(stats[1]).select("tbl", "min_len", "max_len", "n")
 
 
-@register("b7_training_rows", with_views("train") + "," + CLEAN_SPLIT_SQL + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 126, "enc") + """
+@register("b7_training_rows", with_views("train", "corpus") + "," + CLEAN_SPLIT_SQL + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 126, "enc") + """
 SELECT array_to_string(list_resize([0] || coalesce(e.ids, []) || [2], 128, 1), ' ') AS encode, m.class
 FROM meta m LEFT JOIN enc e ON m.index = e.index""")
 def b7_training_rows(spark: SparkSession, d: str):
