@@ -52,24 +52,19 @@ def exclude_by_bank_max(df: DataFrame, bank: DataFrame, key: str = "class", weig
     return j.where(F.col("__bmax").isNull() | (F.col(weight) > F.col("__bmax"))).drop("__bmax")
 
 
-# Above this many bank cells (slots x dim, all classes) or batch cells (rows x dim of the
-# largest batch), the NumPy paths are used: the built-in paths copy the bank / the batch
-# into every row.
-BUILTIN_CELL_LIMIT = 200_000
-
-
 def info_nce(queries: DataFrame, bank: DataFrame, temperature: float = 0.07, key: str = "class",
              method: str = "auto") -> DataFrame:
     """J4. Per (batch, class): logits ``[q.k, q.bank_1..K] / T`` with target 0, for the
     clean query ``q`` and the augmented query ``q_aug`` stacked; mean cross-entropy.
 
     ``queries``: ``(batch_id, class, q, q_aug, k)``; ``bank``: ``(class, slot, vec)``.
-    Output: ``batch_id, class, loss, n`` (n = stacked rows). ``method``: ``builtin``,
-    ``arrow`` or ``auto`` (arrow when the bank exceeds ``BUILTIN_CELL_LIMIT`` cells).
+    Output: ``batch_id, class, loss, n`` (n = stacked rows). ``method``: ``builtin`` (the
+    bank joined by class), ``arrow`` (the bank broadcast) or ``auto``: arrow unless the bank
+    is over the size that may be broadcast. Both give the same rows; a null class has no bank.
     """
     if method == "auto":
         cells = bank.select(F.size("vec").alias("d")).agg(F.sum("d")).first()[0] or 0
-        method = "arrow" if cells > BUILTIN_CELL_LIMIT else "builtin"
+        method = "arrow" if cells <= BANK_COLLECT_LIMIT else "builtin"
     if method == "arrow":
         return info_nce_arrow(queries, bank, temperature, key)
     stacked = queries.select("batch_id", key, F.col("q").alias("vec"), "k").unionByName(
@@ -83,17 +78,14 @@ def info_nce(queries: DataFrame, bank: DataFrame, temperature: float = 0.07, key
 
 def supervised_contrast(df: DataFrame, temperature: float = 0.07, base_temperature: float = 0.07,
                         vec: str = "vec", label: str = "class", id_col: str = "vec_id", max_batch: int = 4096,
-                        method: str = "auto") -> DataFrame:
+                        method: str = "arrow") -> DataFrame:
     """J5. Per anchor: mean over same-class others of ``s_ij - logsumexp_{j != i} s_ij``,
     ``s_ij = x_i.x_j / T``; loss = mean over anchors of ``-(T/baseT) * that``.
     Anchors with no same-class partner are dropped (X8). Output per batch: ``loss, anchors``.
-    ``method``: ``builtin``, ``arrow`` or ``auto`` (arrow when the largest batch exceeds
-    ``BUILTIN_CELL_LIMIT`` cells)."""
-    if method == "auto":
-        big = df.groupBy("batch_id").agg((F.count(F.lit(1)) * F.max(F.size(vec))).alias("c")).agg(F.max("c")).first()[0] or 0
-        method = "arrow" if big > BUILTIN_CELL_LIMIT else "builtin"
-    if method == "arrow":
-        return supervised_contrast_arrow(df, temperature, base_temperature, vec, label, id_col, max_batch)
+    Rows of a null class are in the sums but have no partners. ``method``: ``arrow`` (any
+    batch size) or ``builtin`` (batches of at most ``max_batch`` rows)."""
+    if method != "builtin":
+        return supervised_contrast_arrow(df, temperature, base_temperature, vec, label)
     p = batch_partners(df, id_col, "batch_id", [vec, label], max_batch)
     sims = F.transform("partners", lambda m: F.struct((dot(vec, m[vec]) / F.lit(temperature)).alias("s"), m[label].alias("y")))
     x = p.select("batch_id", F.col(label).alias("__y"), sims.alias("__s"))
@@ -206,7 +198,7 @@ def info_nce_arrow(queries: DataFrame, bank: DataFrame, temperature: float = 0.0
     spark = queries.sparkSession
     n_cells = bank.select(F.size(vec).alias("d")).agg(F.sum("d")).first()[0] or 0
     if n_cells > BANK_COLLECT_LIMIT:
-        raise ValueError("bank too large for one broadcast; use info_nce")
+        return info_nce(queries, bank, temperature, key, method="builtin")
     rows = bank.select(key, "slot", vec).collect()  # bounded by the check above
     banks: dict = {}
     for r in sorted(rows, key=lambda r: (r[key], r["slot"])):
@@ -218,14 +210,14 @@ def info_nce_arrow(queries: DataFrame, bank: DataFrame, temperature: float = 0.0
         b = bc.value
         for pdf in batches:
             outs = []
-            for c, g in pdf.groupby(key):
+            for c, g in pdf.groupby(key, dropna=False):
                 k = np.stack(g["k"].to_numpy())
-                bk = b.get(c)
+                bk = None if pd.isna(c) else b.get(c)
                 for side in ("q", "q_aug"):
                     qm = np.stack(g[side].to_numpy())
                     pos = (qm * k).sum(axis=1) / t
                     logits = pos[:, None] if bk is None else np.concatenate([pos[:, None], qm @ bk.T / t], axis=1)
-                    outs.append(pd.DataFrame({"batch_id": g["batch_id"].to_numpy(), key: c, "__l": _np_logsumexp(logits) - pos}))
+                    outs.append(pd.DataFrame({"batch_id": g["batch_id"].to_numpy(), key: None if pd.isna(c) else c, "__l": _np_logsumexp(logits) - pos}))
             if outs:
                 yield pd.concat(outs, ignore_index=True)
 
@@ -234,33 +226,38 @@ def info_nce_arrow(queries: DataFrame, bank: DataFrame, temperature: float = 0.0
     return per_row.groupBy("batch_id", key).agg(F.avg("__l").alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
+GRAM_ROWS = 2048  # anchors of a batch scored at a time
+
+
 def supervised_contrast_arrow(df: DataFrame, temperature: float = 0.07, base_temperature: float = 0.07, vec: str = "vec",
-                              label: str = "class", id_col: str = "vec_id", max_batch: int = 4096) -> DataFrame:
-    """J5 fast path: same result as ``supervised_contrast``. One group per batch
-    (bounded by ``max_batch``, checked), scored with one Gram matrix in NumPy."""
+                              label: str = "class") -> DataFrame:
+    """J5 fast path: same result as ``supervised_contrast``. One group per batch, scored
+    in NumPy ``GRAM_ROWS`` anchors at a time, so a batch of any size needs its vectors and
+    one block of the Gram matrix in memory."""
     import numpy as np
     import pandas as pd
 
-    big = df.groupBy("batch_id").count().where(F.col("count") > max_batch).limit(1).count()
-    if big:
-        raise ValueError(f"a batch holds more than {max_batch} rows; batch the data first (E10)")
     t, scale = float(temperature), float(temperature / base_temperature)
 
     def one_batch(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf[vec].to_numpy())
-        y = pdf[label].to_numpy()
-        n = len(y)
-        s = x @ x.T / t
-        off = ~np.eye(n, dtype=bool)
-        same = (y[:, None] == y[None, :]) & off
-        npos = same.sum(axis=1)
-        keep = npos > 0
-        if n < 2 or not keep.any():
+        y, known = pd.factorize(pdf[label])
+        n, total, anchors = len(y), 0.0, 0
+        for a in range(0, n, GRAM_ROWS):
+            rows = np.arange(a, min(n, a + GRAM_ROWS))
+            s = x[rows] @ x.T / t
+            off = rows[:, None] != np.arange(n)[None, :]
+            same = (y[rows][:, None] == y[None, :]) & off & (y[rows] >= 0)[:, None]
+            npos = same.sum(axis=1)
+            keep = npos > 0
+            if not keep.any():
+                continue
+            lse = _np_logsumexp(np.where(off, s, -np.inf)[keep])
+            mean_pos = np.where(same, s, 0.0).sum(axis=1)[keep] / npos[keep]
+            total += float((-scale * (mean_pos - lse)).sum())
+            anchors += int(keep.sum())
+        if not anchors:
             return pd.DataFrame({"batch_id": [], "loss": [], "anchors": []})
-        masked = np.where(off, s, -np.inf)
-        lse = _np_logsumexp(masked)
-        mean_pos = np.where(same, s, 0.0).sum(axis=1)[keep] / npos[keep]
-        loss = (-scale * (mean_pos - lse[keep])).mean()
-        return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "loss": [float(loss)], "anchors": [int(keep.sum())]})
+        return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "loss": [total / anchors], "anchors": [anchors]})
 
     return df.select("batch_id", vec, label).groupBy("batch_id").applyInPandas(one_batch, "batch_id long, loss double, anchors long")

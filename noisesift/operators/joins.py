@@ -153,7 +153,6 @@ def zip_positional(tables: dict[str, DataFrame], pos_col: str = "pos") -> DataFr
     return reduce(lambda a, b: a.join(b, pos_col), frames)
 
 
-BANK_BUILTIN_CELLS = 200_000  # above this many bank cells the NumPy path is used
 BANK_COLLECT_CELLS = 50_000_000  # largest bank shipped as one broadcast variable
 
 
@@ -166,11 +165,11 @@ def score_against_bank(queries: DataFrame, bank: DataFrame, vec: str = "vec", ke
     class's bank gathered into one array, broadcast-joined and dotted with
     higher-order functions (small banks). ``arrow``: the bank is one broadcast
     variable and each Arrow batch of queries is scored per class by one matrix
-    product. ``auto`` picks by the bank's size.
+    product. ``auto``: arrow unless the bank is over the size that may be broadcast.
     """
     if method == "auto":
         cells = bank.select(F.size(vec).alias("d")).agg(F.sum("d")).first()[0] or 0
-        method = "arrow" if cells > BANK_BUILTIN_CELLS else "builtin"
+        method = "arrow" if cells <= BANK_COLLECT_CELLS else "builtin"
     if method == "arrow":
         return _score_against_bank_arrow(queries, bank, vec, key)
     n_bank = bank.count()  # bounded by K x classes; checked before it is broadcast
@@ -189,7 +188,7 @@ def _score_against_bank_arrow(queries: DataFrame, bank: DataFrame, vec: str, key
 
     cells = bank.select(F.size(vec).alias("d")).agg(F.sum("d")).first()[0] or 0
     if cells > BANK_COLLECT_CELLS:
-        raise ValueError("bank too large for one broadcast variable")
+        return score_against_bank(queries, bank, vec, key, method="builtin")
     rows = bank.select(key, "slot", vec).collect()  # bounded by the check above
     banks: dict = {}
     for r in sorted(rows, key=lambda r: (r[key], r["slot"])):
@@ -202,16 +201,13 @@ def _score_against_bank_arrow(queries: DataFrame, bank: DataFrame, vec: str, key
     def score(batches):
         b = bc.value
         for pdf in batches:
-            dots = [None] * len(pdf)
-            for c, idx in pdf.groupby(key).groups.items():
+            dots = np.empty(len(pdf), dtype=object)
+            dots[:] = [np.zeros(0)] * len(pdf)  # a class without a bank, or null
+            for c, at in pdf.groupby(key).indices.items():
                 bk = b.get(c)
-                qm = np.stack(pdf.loc[idx, vec].to_numpy())
-                res = np.zeros((len(idx), 0)) if bk is None else qm @ bk.T
-                for i, row in zip(idx, res):
-                    dots[pdf.index.get_loc(i)] = row
-            for i in range(len(pdf)):
-                if dots[i] is None:  # null class: no bank
-                    dots[i] = np.zeros(0)
+                if bk is not None:
+                    found = np.stack(pdf[vec].to_numpy()[at]) @ bk.T
+                    dots[at] = list(found) if found.ndim == 1 else np.array([*found, None], dtype=object)[:-1]
             yield pdf.assign(bank_dots=dots)
 
     return queries.mapInPandas(score, out_schema)

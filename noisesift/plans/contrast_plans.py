@@ -168,7 +168,7 @@ def j4_info_nce_arrow(spark: SparkSession, d: str):
 @register("j5_supervised_contrast_arrow", with_views("weighted") + SC_SQL + " SELECT batch_id, round(loss, 6) AS loss, anchors FROM intra")
 def j5_supervised_contrast_arrow(spark: SparkSession, d: str):
     w = _w(spark, d).select("batch_id", "vec_id", "class", F.col("embedding").alias("vec"))
-    out = contrast.supervised_contrast_arrow(w, T_SC, T_BASE, max_batch=64)
+    out = contrast.supervised_contrast_arrow(w, T_SC, T_BASE)
     return out.select("batch_id", F.round("loss", 6).alias("loss"), "anchors")
 
 

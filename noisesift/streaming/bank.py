@@ -36,8 +36,19 @@ INITIAL_SCORE = 1.0
 BANK_SCHEMA = "class int, slot int, vec_id long, score double, life double, vec array<double>"
 
 
-def initial_class_bank(c: int, k: int, dim: int, ttu: float, seed: int = 0) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed * 100_003 + c)
+NO_CLASS = 99_991  # stands in for a null class where a bank is seeded
+
+
+def _class_of(key) -> int | None:
+    return None if pd.isna(key) else int(key)
+
+
+def _batch_of(key) -> int:
+    return -1 if pd.isna(key) else int(key)  # rows without a batch are one batch before all others
+
+
+def initial_class_bank(c: int | None, k: int, dim: int, ttu: float, seed: int = 0) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(seed * 100_003 + (NO_CLASS if c is None else c))
     v = rng.standard_normal((k, dim))
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     return {"vecs": v, "scores": np.full(k, INITIAL_SCORE), "lives": np.full(k, float(ttu)), "ids": -1 - np.arange(k, dtype=np.int64)}
@@ -115,7 +126,7 @@ def reduce_candidates(pdf: pd.DataFrame, k: int, w: str = "w", id_col: str = "ve
 
 # ---------------------------------------------------------------- J8 (batch)
 def bank_apply_batch(bank: DataFrame, rows: DataFrame, policy: str, ttu: float, k: int,
-                     key: str = "class", vec: str = "vec", w: str = "w", id_col: str = "vec_id") -> DataFrame:
+                     key: str = "class", vec: str = "vec", w: str = "w", id_col: str = "vec_id", seed: int = 0) -> DataFrame:
     """J8. One update step per class: rows are cut to the 2K smallest and K largest
     weights per class (``WindowGroupLimit``, map-side), then each class's bank and
     candidates are co-grouped (``cogroup.applyInPandas``)."""
@@ -128,16 +139,19 @@ def bank_apply_batch(bank: DataFrame, rows: DataFrame, policy: str, ttu: float,
         F.col(w).cast("double").alias("w"), F.col(vec).alias("vec"))
 
     def step(b: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if b.empty:
-            return pd.DataFrame(columns=["class", "slot", "vec_id", "score", "life", "vec"])
-        b = b.sort_values("slot")
-        st = {"vecs": np.stack(b["vec"].to_numpy()), "scores": b["score"].to_numpy(float),
-              "lives": b["life"].to_numpy(float), "ids": b["vec_id"].to_numpy(np.int64)}
+        c = _class_of((r if b.empty else b)["class"].iloc[0])
+        if b.empty:  # a class seen for the first time starts with its initial bank
+            st, slots = initial_class_bank(c, k, len(r["vec"].iloc[0]), ttu, seed), np.arange(k)
+        else:
+            b = b.sort_values("slot")
+            st = {"vecs": np.stack(b["vec"].to_numpy()), "scores": b["score"].to_numpy(float),
+                  "lives": b["life"].to_numpy(float), "ids": b["vec_id"].to_numpy(np.int64)}
+            slots = b["slot"].to_numpy()
         if len(r):
             st = bank_step(st, np.stack(r["vec"].to_numpy()), r["w"].to_numpy(float), r["vec_id"].to_numpy(np.int64), policy, ttu)
         else:
             st = bank_step(st, np.zeros((0, st["vecs"].shape[1])), np.zeros(0), np.zeros(0, np.int64), policy, ttu)
-        return pd.DataFrame({"class": int(b["class"].iloc[0]), "slot": b["slot"].to_numpy(), "vec_id": st["ids"],
+        return pd.DataFrame({"class": pd.array([c] * len(slots), dtype="Int32"), "slot": slots, "vec_id": st["ids"],
                              "score": st["scores"], "life": st["lives"], "vec": list(st["vecs"])})
 
     return bank.groupBy("class").cogroup(cand.groupBy("class")).applyInPandas(step, BANK_SCHEMA)
@@ -152,7 +166,7 @@ def _bank_fn(policy: str, ttu: float, k: int, dim: int, seed: int):
     from pyspark.sql.streaming.state import GroupState
 
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        c = int(key[0])
+        c = _class_of(key[0])
         if state.exists:
             vecs, scores, lives, ids = state.get
             st = {"vecs": np.array([np.asarray(v, float) for v in vecs]), "scores": np.asarray(scores, float),
@@ -162,9 +176,9 @@ def _bank_fn(policy: str, ttu: float, k: int, dim: int, seed: int):
         # Bounded running merge: per batch id keep only the rows a step can use.
         cand: dict[int, pd.DataFrame] = {}
         for pdf in pdfs:
-            for b, g in pdf.groupby("batch_id"):
-                cur = cand.get(int(b))
-                cand[int(b)] = reduce_candidates(g if cur is None else pd.concat([cur, g]), k)
+            for b, g in pdf.groupby("batch_id", dropna=False):
+                cur = cand.get(_batch_of(b))
+                cand[_batch_of(b)] = reduce_candidates(g if cur is None else pd.concat([cur, g]), k)
         last = -1
         for b in sorted(cand):
             g = cand[b]
@@ -172,7 +186,7 @@ def _bank_fn(policy: str, ttu: float, k: int, dim: int, seed: int):
             last = b
         state.update(([list(map(float, v)) for v in st["vecs"]], list(map(float, st["scores"])),
                       list(map(float, st["lives"])), list(map(int, st["ids"]))))
-        yield pd.DataFrame({"class": c, "slot": np.arange(k), "vec_id": st["ids"], "score": st["scores"],
+        yield pd.DataFrame({"class": pd.array([c] * k, dtype="Int32"), "slot": np.arange(k), "vec_id": st["ids"], "score": st["scores"],
                             "life": st["lives"], "last_batch": last})
 
     return fn
@@ -186,7 +200,7 @@ def _partition_candidates(k: int):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cand: dict[tuple[int, int], pd.DataFrame] = {}
         for pdf in batches:
-            for key, g in pdf.groupby(["class", "batch_id"]):
+            for key, g in pdf.groupby(["class", "batch_id"], dropna=False):
                 cur = cand.get(key)
                 cand[key] = reduce_candidates(g if cur is None else pd.concat([cur, g]), k)
         for g in cand.values():
@@ -199,7 +213,7 @@ def _partition_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stateless, per partition: per (class, batch) the vector sum and row count."""
     acc: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
     for pdf in batches:
-        for key, g in pdf.groupby(["class", "batch_id"]):
+        for key, g in pdf.groupby(["class", "batch_id"], dropna=False):
             s = np.stack(g["vec"].to_numpy()).sum(axis=0)
             prev = acc.get(key)
             acc[key] = (s, len(g)) if prev is None else (prev[0] + s, prev[1] + len(g))
@@ -213,14 +227,14 @@ def _profile_fn(m: float):
     from pyspark.sql.streaming.state import GroupState
 
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        c = int(key[0])
+        c = _class_of(key[0])
         prof = np.asarray(state.get[0], float) if state.exists else None
         sums: dict[int, tuple[np.ndarray, int]] = {}
         for pdf in pdfs:  # partial sums per partition: memory bounded by batches x dim
-            for b, g in pdf.groupby("batch_id"):
+            for b, g in pdf.groupby("batch_id", dropna=False):
                 s = np.stack(g["vec"].to_numpy()).sum(axis=0)
-                prev = sums.get(int(b))
-                sums[int(b)] = (s, int(g["n"].sum())) if prev is None else (prev[0] + s, prev[1] + int(g["n"].sum()))
+                prev = sums.get(_batch_of(b))
+                sums[_batch_of(b)] = (s, int(g["n"].sum())) if prev is None else (prev[0] + s, prev[1] + int(g["n"].sum()))
         last = -1
         for b in sorted(sums):
             q = sums[b][0] / sums[b][1]
@@ -229,7 +243,7 @@ def _profile_fn(m: float):
         if prof is None:
             return
         state.update((list(map(float, prof)),))
-        yield pd.DataFrame({"class": c, "dim": np.arange(len(prof)), "profile": prof, "last_batch": last})
+        yield pd.DataFrame({"class": pd.array([c] * len(prof), dtype="Int32"), "dim": np.arange(len(prof)), "profile": prof, "last_batch": last})
 
     return fn
 
