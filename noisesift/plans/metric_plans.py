@@ -23,12 +23,11 @@ def _binary(spark: SparkSession, d: str):
 
 
 def _regression(spark: SparkSession, d: str):
-    w = fixtures.weighted(spark, d)
-    return w.select("vec_id", F.element_at("embedding", 1).alias("x"), F.col("label").cast("double").alias("y"))
+    return _pred(spark, d).select("vec_id", F.element_at("logits", 1).alias("x"), F.col("label").cast("double").alias("y"))
 
 
 BIN_SQL = ", b AS (SELECT vec_id, label % 2 AS y, pred % 2 AS p FROM predictions)"
-REG_SQL = ", r AS (SELECT vec_id, embedding[1] AS x, CAST(label AS DOUBLE) AS y FROM weighted)"
+REG_SQL = ", r AS (SELECT vec_id, logits[1] AS x, CAST(label AS DOUBLE) AS y FROM predictions)"
 
 
 def _prf_sql(tp: str, fp: str, fn: str, prefix: str) -> str:
@@ -77,7 +76,7 @@ def g5_confusion_matrix(spark: SparkSession, d: str):
     return M.confusion_matrix(_pred(spark, d))
 
 
-@register("g6_pearson", with_views("weighted") + REG_SQL + " SELECT corr(x, y) AS pearson FROM r")
+@register("g6_pearson", with_views("predictions") + REG_SQL + " SELECT corr(x, y) AS pearson FROM r")
 def g6_pearson(spark: SparkSession, d: str):
     return M.pearson(_regression(spark, d), "x", "y")
 
@@ -97,7 +96,7 @@ def g7_task_metric_mrpc(spark: SparkSession, d: str):
     return M.task_metric(_binary(spark, d), "mrpc", "y", "p")
 
 
-@register("g7_task_metric_stsb", with_views("weighted") + REG_SQL + """
+@register("g7_task_metric_stsb", with_views("predictions") + REG_SQL + """
 , rk AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
                 rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM r)
 SELECT corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM rk""")
@@ -116,7 +115,7 @@ def g8_cross_entropy(spark: SparkSession, d: str):
     return p.select("vec_id", F.round(M.cross_entropy("logits", "label"), 6).alias("loss"))
 
 
-@register("g8_mse", with_views("weighted") + REG_SQL + " SELECT avg((x - y) * (x - y)) AS mse FROM r")
+@register("g8_mse", with_views("predictions") + REG_SQL + " SELECT avg((x - y) * (x - y)) AS mse FROM r")
 def g8_mse(spark: SparkSession, d: str):
     r = _regression(spark, d)
     return r.agg(F.avg(M.squared_error("x", "y")).alias("mse"))

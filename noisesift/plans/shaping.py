@@ -149,10 +149,8 @@ SELECT s1.aug_method, s1.origin, md5(sentence1) AS sentence1_md5, md5(sentence2)
 FROM side1 s1 JOIN side2 s2 ON s1.aug_method = s2.aug_method AND s1.origin = s2.origin""")
 def d2_pair_sides(spark: SparkSession, d: str):
     s1, s2 = _d2_sides(spark, d)
-    # Only the hashes are reported, so each side is hashed before the join: the shuffle carries 32-char digests, not texts.
-    s1 = s1.select("aug_method", "origin", F.md5("sentence1").alias("sentence1_md5"))
-    s2 = s2.select("aug_method", "origin", F.md5("sentence2").alias("sentence2_md5"))
-    return joins.pair_sides(s1, s2).select("aug_method", "origin", "sentence1_md5", "sentence2_md5")
+    pairs = joins.pair_sides(s1, s2)
+    return pairs.select("aug_method", "origin", F.md5("sentence1").alias("sentence1_md5"), F.md5("sentence2").alias("sentence2_md5"))
 
 
 @register("d3_align", with_views("train", "aug") + "," + CLEAN_SPLIT_SQL + """
@@ -290,13 +288,14 @@ def d9_batch_partners(spark: SparkSession, d: str):
 
 # ------------------------------------------------------------------ I
 @register("i1_union_methods", with_views("aug") + """
-SELECT origin, aug_method, text, NULL::DOUBLE AS readability FROM aug WHERE aug_method = 'CharswapAug'
-UNION ALL SELECT origin, aug_method, NULL, readability FROM aug WHERE aug_method = 'WordnetAug'""")
+SELECT origin, aug_method, text, NULL::DOUBLE AS readability FROM aug WHERE aug_method IN ('CharswapAug', 'ChecklistAug')
+UNION ALL SELECT origin, aug_method, NULL, readability FROM aug WHERE aug_method NOT IN ('CharswapAug', 'ChecklistAug')""")
 def i1_union_methods(spark: SparkSession, d: str):
     a = fixtures.aug(spark, d)
-    x = a.where(F.col("aug_method") == "CharswapAug").select("origin", "aug_method", "text")
-    y = a.where(F.col("aug_method") == "WordnetAug").select("origin", "aug_method", "readability")
-    return shape.union_methods(x, y)
+    texts = ["CharswapAug", "ChecklistAug"]
+    x = [a.where(F.col("aug_method") == m).select("origin", "aug_method", "text") for m in texts]
+    y = [a.where(F.col("aug_method") == m).select("origin", "aug_method", "readability") for m in fixtures.AUG_METHODS if m not in texts]
+    return shape.union_methods(*x, *y)
 
 
 @register("i2_union_raw_aug", with_views("train", "aug") + """

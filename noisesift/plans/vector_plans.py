@@ -51,18 +51,22 @@ def f12_argmax(spark: SparkSession, d: str):
     return fixtures.weighted(spark, d).select("vec_id", V.argmax("embedding").alias("arg"))
 
 
-W13 = [[0.5, -0.25, 1.0], [-1.0, 0.75, 0.125]]
+# a fixed gate layer on all 64 components
+W13 = [[((31 * k + 17 * j) % 13 - 6) / 8 for j in range(64)] for k in range(2)]
 B13 = [0.1, -0.2]
 
 
+def _affine_sql(k: int) -> str:
+    return " + ".join([*(f"({x}) * embedding[{j + 1}]" for j, x in enumerate(W13[k])), f"({B13[k]})"])
+
+
 @register("f13_gate_pieces", with_views("weighted") + f"""
-, a AS (SELECT vec_id, w, embedding, [{W13[0][0]} * embedding[1] + {W13[0][1]} * embedding[2] + {W13[0][2]} * embedding[3] + {B13[0]},
-                                   {W13[1][0]} * embedding[1] + {W13[1][1]} * embedding[2] + {W13[1][2]} * embedding[3] + {B13[1]}] AS h FROM weighted)
-SELECT vec_id, round(1.0 / (1.0 + exp(-(w * 10 - 5))), 6) AS sig, round(greatest(embedding[1], 0.0), 6) AS relu1,
+, a AS (SELECT vec_id, w, [{_affine_sql(0)}, {_affine_sql(1)}] AS h FROM weighted)
+SELECT vec_id, round(1.0 / (1.0 + exp(-(w * 10 - 5))), 6) AS sig, round(greatest(h[1], 0.0), 6) AS relu1,
        round(h[1], 6) AS h0, round(h[2], 6) AS h1 FROM a""")
 def f13_gate_pieces(spark: SparkSession, d: str):
     w = fixtures.weighted(spark, d)
-    h = V.affine(W13, B13, F.slice("embedding", 1, 3))
+    h = V.affine(W13, B13, "embedding")
     return w.select("vec_id", F.round(V.sigmoid(F.col("w") * 10 - 5), 6).alias("sig"),
-                    F.round(V.relu(F.element_at("embedding", 1)), 6).alias("relu1"),
+                    F.round(V.relu(F.element_at(h, 1)), 6).alias("relu1"),
                     F.round(F.element_at(h, 1), 6).alias("h0"), F.round(F.element_at(h, 2), 6).alias("h1"))
