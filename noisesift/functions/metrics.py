@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noisesift.functions.vectors import logsumexp
-from noisesift.operators.ranking import ordered_position
+from noisesift.operators.ranking import keyed_join, value_starts
 
 
 def _c(x: str | Column) -> Column:
@@ -84,10 +84,9 @@ def matthews(df: DataFrame, y: str | Column = "label", pred: str | Column = "pre
 
 
 def average_rank(df: DataFrame, col: str, id_col: str, out: str) -> DataFrame:
-    """1-based rank of ``col`` with ties given their average rank."""
-    p = ordered_position(df, col, pos_col="__p", tiebreak=[id_col])
-    ties = p.groupBy(col).agg(((F.min("__p") + F.max("__p")) / F.lit(2.0) + F.lit(1.0)).alias(out))
-    return p.join(ties, col).drop("__p")
+    """1-based rank of ``col`` with ties given their average rank: ranks of the distinct values, joined once."""
+    ranks = value_starts(df, col, "__start", "__count").withColumn(out, F.col("__start") + (F.col("__count") + 1) / F.lit(2.0))
+    return keyed_join(df, ranks.drop("__start", "__count"), [col])
 
 
 def spearman(df: DataFrame, x: str, y: str, id_col: str, with_pearson: bool = False) -> DataFrame:

@@ -150,3 +150,25 @@ def ordered_position(
     )
     out = rank_within(x, keys, [F.col(order_col), *[F.col(t) for t in tiebreak]], bucket, "__rank1", count_col)
     return out.withColumn(pos_col, F.col("__rank1") - 1).drop("__rank1", "__lo", "__hi")
+
+
+def value_starts(df: DataFrame, col: str, start: str = "start", count: str = "count", digits: int = DEFAULT_DIGITS) -> DataFrame:
+    """One row per distinct value of a numeric column: its rows, and the rows before it in order.
+
+    The values are counted first (one aggregate), then summed up per range and within each
+    range; nulls come first and NaN last.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    nq = min(16**digits, 4096)
+    od = F.col(col).cast("double")
+    cuts = sorted(set(df.select(od.alias("__od")).approxQuantile("__od", [i / nq for i in range(1, nq)], 1.0 / (4 * nq))))
+    splits = [float("-inf"), *[c for c in cuts if c == c and abs(c) != float("inf")], float("inf")]
+    vals = df.groupBy(col).agg(F.count(F.lit(1)).alias(count)).withColumn("__od", od)
+    vals = Bucketizer(splits=splits, inputCol="__od", outputCol="__bq", handleInvalid="keep").transform(vals)
+    vals = vals.withColumn("__b", F.when(F.col("__od").isNull(), F.lit(-1)).otherwise(F.col("__bq")).cast("long")).drop("__od", "__bq")
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = vals.groupBy("__b").agg(F.sum(count).alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    within = Window.partitionBy("__b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    ran = vals.withColumn("__w", F.coalesce(F.sum(count).over(within), F.lit(0))).join(offsets, "__b")
+    return ran.select(col, count, (F.col("__off") + F.col("__w")).alias(start))

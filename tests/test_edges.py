@@ -27,6 +27,22 @@ def test_positions_equal_the_plain_window(spark, keyed):
     assert got == {r["id"]: r["want"] for r in plain.collect()}
 
 
+def test_average_rank_with_ties_null_and_nan(spark):
+    from noisesift.functions.metrics import average_rank
+
+    rng = random.Random(3)
+    values = [None, None, math.nan, math.inf] + [float(rng.randrange(20)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] is not None and values[i] != values[i], values[i] if values[i] == values[i] and values[i] is not None else 0))
+    want, k = {}, 0
+    while k < len(order):
+        same = [i for i in order[k:] if values[i] == values[order[k]] or (values[i] is not None and values[i] != values[i] and values[order[k]] != values[order[k]])]
+        for i in same:
+            want[i] = k + (len(same) + 1) / 2
+        k += len(same)
+    assert {r["id"]: r["r"] for r in average_rank(df, "v", "id", "r").collect()} == want
+
+
 def test_null_class_on_both_paths(spark, monkeypatch):
     q = spark.createDataFrame([(0, 1, [1.0, 0.0], [0.5, 0.5], [1.0, 1.0]), (0, None, [0.0, 1.0], [0.1, 0.2], [1.0, 0.0])], "batch_id long, class int, q array<double>, q_aug array<double>, k array<double>")
     b = spark.createDataFrame([(1, 0, [0.3, 0.4]), (1, 1, [0.0, 1.0])], "class int, slot int, vec array<double>")
