@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisesift.llm.common import staged, table
+from noisesift.llm.common import checked_ids, staged, table
 from noisesift.llm.minhash import near_duplicates
 from noisesift.llm.mixing import mix
 from noisesift.llm.packing import pack_documents
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = staged(near_duplicates(docs, n=5), "groups")
-    gone = groups.where("NOT kept").select("doc_id").distinct()
+    gone = checked_ids(staged(groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone"))
     repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
     if repeated.isEmpty():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noisesift.session import ensure_checkpoint_dir, scratch_dir, table
 
-__all__ = ["ORACLES", "QUERIES", "components", "query", "staged", "table"]
+__all__ = ["ORACLES", "QUERIES", "checked_ids", "components", "query", "staged", "table"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: ids that a join may broadcast (8 bytes each); larger sides are shuffled
+BROADCAST_IDS = 4_000_000
+
+
+def checked_ids(ids: DataFrame) -> DataFrame:
+    """A stored one-column table of ids, marked for broadcast if its counted size allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``links(a, b)``: rows ``(id, component_id)``, the smallest id of each.
 

@@ -13,10 +13,12 @@ chance of 3 in a million. Every meeting pair that the signatures do not rule out
 (further apart than six standard deviations) is confirmed on the full sets.
 
 Skew: documents of equal sets are one class before anything is joined. In a
-bucket every member is compared with the bucket's smallest one; only the members
-that do not link to it are compared with the rest of the bucket, so a group of
-copies costs its size and no link between different texts is lost: whoever was
-not compared directly is connected through the smallest member.
+bucket every member is compared with one pivot only, the member that meets most
+others. Members that are connected to it need no more comparison among each other;
+a member that is not is compared with those of the pivot's group that an exact
+bound leaves possible (they added a same shingle to the pivot's, or are smaller
+than the pivot by enough), so a group of copies costs about its size and no link
+between different texts is lost.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 fewer words than a shingle make one shingle of them all; rows that share an id
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisesift.llm.common import components, query, staged, table
+from noisesift.llm.common import checked_ids, components, query, staged, table
 
 CHUNKS, WIDTH, ERRORS = 12, 6, 1
 SYMBOLS = CHUNKS * WIDTH
@@ -109,8 +111,8 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.
         stop = min(stop, len(texts))
         words, at = word_hashes(raw[offsets[row] : offsets[stop]], offsets[row + 1 : stop + 1] - offsets[row])
         sh = words.copy()
-        for k in range(1, n):
-            sh[: len(sh) - k] = _mix(sh[: len(sh) - k] * np.uint64(_BASE) + words[k:]) if len(sh) > k else sh[:0]
+        for k in range(1, min(n, len(words))):
+            sh[:-k] = _mix(sh[:-k] * np.uint64(_BASE) + words[k:])
         sets = []
         for a, b in zip(at[:-1], at[1:], strict=True):
             if b - a >= n:
@@ -195,31 +197,61 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b) that link by their full sets."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """The full shingle sets of the documents whose ids are needed, sorted, as bytes."""
 
-    def sets(batches):
+    def run(batches):
         for b in batches:
             for row, values, bounds in shingle_sets(b.column(1), n):
                 some = [values[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(some)), pa.array(some, pa.binary())], names=["doc_id", "shingles"])
 
-    texts = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text")
-    full = staged(texts.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+    return docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int, with_added: bool = False) -> DataFrame:
+    """Pairs (a, b) with set sizes, shared shingles, and the first of b's shingles that a lacks.
+
+    Of those as many as b's prefix holds: two sets can only link if they share one
+    of their first ``size - percent * size + 1`` shingles in any common order.
+    """
 
     def run(batches):
         for b in batches:
-            keep = []
+            out: list[tuple] = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(both * 100 >= (len(x) + len(y) - both) * percent and both > 0)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    joined = joined.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+                at = np.searchsorted(x, y)
+                there = x[np.minimum(at, len(x) - 1)] == y if len(x) else np.zeros(len(y), dtype=bool)
+                added = y[~there][: len(y) * (100 - percent) // 100 + 1].view(np.int64) if with_added else ()
+                out.append((len(x), len(y), int(there.sum()), added))
+            if out:
+                na, nb, n_both, added = zip(*out, strict=True)
+                cols = [pa.array(c, pa.int64()) for c in (na, nb, n_both)]
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *cols, pa.array(added, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "n_both", "added"])
+
+    joined = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(run, "a long, b long, na long, nb long, n_both long, added array<long>")
+
+
+def _pivot_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b): every member b of a bucket of two or more with a pivot a that covers it.
+
+    A bucket's pivot is its member that meets most others over all buckets: the
+    text that a group of copies was made from, if it is there. A member's home is
+    the most met pivot of all its buckets. A bucket whose members share one home is
+    covered by it; only the others need their own pivot.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = staged(keys.join(sizes, "key"), "buckets")
+    popular = members.groupBy("rep").agg(F.sum("n").alias("meets"))
+    best = members.join(popular, "rep").groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("top"))
+    placed = staged(members.select("key", "rep").join(best, "key"), "buckets")
+    homes = staged(placed.groupBy("rep").agg((-F.max("top")["minus"]).alias("home")), "homes")
+    mixed = placed.select("key", "rep").join(homes, "rep").groupBy("key").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x <> y").select("key")
+    own = placed.join(mixed, "key", "left_semi").select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b"))
+    return own.union(homes.select("home", "rep")).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,21 +262,48 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")),
         "classes",
     )
-    keys = chunk_keys(classes)
-    pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("key", "pivot")
-    members = staged(keys.join(pivots, "key"), "buckets")
-
-    first = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    first = staged(_plausible(first, classes, percent), "pairs")
-    linked = staged(_confirm(first, docs, n, percent), "links")
-    # whoever does not link to its bucket's pivot meets the rest of the bucket
-    apart = members.where("rep <> pivot").join(linked.select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"], "left_anti")
-    others = members.where("rep <> pivot").select("key", F.col("rep").alias("other"))
-    rest = apart.select("key", "rep").join(others, "key").where("rep <> other")
-    rest = rest.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = staged(_plausible(rest, classes, percent), "pairs")
-    more = _confirm(rest, docs, n, percent)
-    groups = components(linked.union(more))
+    met = staged(_pivot_pairs(chunk_keys(classes)), "pairs")
+    crowd = met.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    lone = _plausible(met.join(crowd, "a", "left_anti"), classes, percent)
+    first = staged(lone.unionByName(met.join(crowd, "a", "left_semi")), "pairs")
+    needed = staged(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct(), "needed")
+    full = staged(_sets_of(docs, checked_ids(needed), n), "full")
+    linked_by_sets = f"n_both > 0 AND n_both * 100 >= (na + nb - n_both) * {percent}"
+    seen = staged(_compare(first, full, percent, with_added=True), "compared")
+    joined = staged(components(seen.where(linked_by_sets).select("a", "b")), "groups")
+
+    # Whoever is connected to its pivot needs no more comparison with the others that are. A stray s,
+    # which is not, can link to another x of the pivot P's group only if both added a same shingle to
+    # P's, or, sharing no added one, if x is smaller than P by what s lacks:
+    # size(x) <= size(P) - (size(P or s) - size(P and s) / 0.8).
+    of_a, of_b = (joined.select(F.col("id").alias(c), F.col("component_id").alias(f"of_{c}")) for c in "ab")
+    seen = seen.join(of_a, "a", "left").join(of_b, "b", "left").withColumn("of_b", F.coalesce("of_b", "b"))
+    apart = F.expr(f"NOT ({linked_by_sets})") & (F.coalesce("of_a", "a") != F.col("of_b"))
+    seen = staged(seen.select("a", "b", "nb", "of_b", "added", apart.alias("stray"), F.expr(f"n_both * 100 / {percent} - nb + n_both").alias("most")), "seen")
+    strays = seen.where("stray")
+    # each pair of strays once, none within a component, none of sizes too different
+    once = f"b <> other AND of_b <> of_other AND (NOT other_stray OR b < other) AND least(nb, size) * 100 >= greatest(nb, size) * {percent}"
+    others = seen.select("a", F.col("b").alias("other"), F.col("of_b").alias("of_other"), F.col("stray").alias("other_stray"), F.col("nb").alias("size"), "added")
+    by_added = strays.select("a", "b", "nb", "of_b", F.explode("added").alias("shingle")).join(
+        others.withColumn("shingle", F.explode("added")).drop("added"), ["a", "shingle"]
+    ).where(once)
+
+    def size_bin(size) -> F.Column:
+        return F.floor(F.log(1.05, size)).cast("int")
+
+    least = F.ceil(F.col("nb") * percent / 100)
+    smaller = strays.where(F.col("most") >= least).select(
+        "a", "b", "nb", "of_b", "most", F.explode(F.sequence(size_bin(least), size_bin(F.col("most")))).alias("bin")
+    )
+    # a stray may be the smaller one of two strays as well, so here each order counts
+    by_size = smaller.join(others.drop("added").withColumn("bin", size_bin(F.col("size"))), ["a", "bin"]).where(
+        f"b <> other AND of_b <> of_other AND size <= most AND size * 100 >= nb * {percent}"
+    )
+    rest = by_added.select("b", "other").union(by_size.select("b", "other"))
+    rest = rest.select(F.least("b", "other").alias("a"), F.greatest("b", "other").alias("b")).distinct()
+    more = _compare(staged(_plausible(rest, classes, percent), "pairs"), full, percent).where(linked_by_sets).select("a", "b")
+
+    groups = components(joined.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(more))
     of_class = classes.join(groups, F.col("rep") == F.col("id"), "left").select("s1", "s2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
