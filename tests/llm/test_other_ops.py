@@ -234,7 +234,7 @@ def test_pipeline(spark, pipeline):
 
     repeated = cleaned.unionByName(cleaned.limit(5))
     deduped = pipeline.staged(stages["near_dedup"](spark, repeated, SF), "t")
-    from tests.llm.test_text_ops import brute_groups
+    from test_text_ops import brute_groups
 
     texts = {r["doc_id"]: r["text"] for r in cleaned.collect()}
     want = sorted(i for i, (_, low) in brute_groups(texts, 5).items() if i == low)
