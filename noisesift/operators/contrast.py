@@ -115,9 +115,25 @@ def contrast_total(inner: DataFrame, intra: DataFrame | None, n_classes: int,
 
 
 def class_batch_means(df: DataFrame, vec: str = "vec", key: str = "class", batch: str = "batch_id") -> DataFrame:
-    """Per (class, batch) mean vector, element-wise, as rows ``(class, batch, dim, x)``."""
-    e = df.select(key, batch, F.posexplode(vec).alias("dim", "x"))
-    return e.groupBy(key, batch, "dim").agg(F.avg("x").alias("x"))
+    """Per (class, batch) mean vector, element-wise, as rows ``(class, batch, dim, x)``.
+
+    Vectors are added up per task first (NumPy), so what is exploded and shuffled is one
+    vector per task, class and batch, not one per row."""
+    import numpy as np
+    import pandas as pd
+
+    def sums(batches):
+        for pdf in batches:
+            out = [(*k, len(g), np.stack(g["__v"].to_numpy()).sum(axis=0)) for k, g in pdf.groupby(["__k", "__b"], dropna=False)]
+            if out:
+                ks, bs, ns, vs = zip(*out)
+                yield pd.DataFrame({"__k": pd.Series([None if pd.isna(x) else x for x in ks], dtype=object), "__b": pd.Series([None if pd.isna(x) else x for x in bs], dtype=object), "__n": ns, "__v": vs})
+
+    kinds = [df.schema[c].dataType.simpleString() for c in (key, batch)]
+    part = df.select(F.col(key).alias("__k"), F.col(batch).alias("__b"), F.col(vec).cast("array<double>").alias("__v")).where("__v IS NOT NULL")
+    part = part.mapInPandas(sums, f"__k {kinds[0]}, __b {kinds[1]}, __n long, __v array<double>")
+    e = part.select(F.col("__k").alias(key), F.col("__b").alias(batch), "__n", F.posexplode("__v").alias("dim", "x"))
+    return e.groupBy(key, batch, "dim").agg((F.sum("x") / F.sum("__n")).alias("x"))
 
 
 def momentum_profile(df: DataFrame, m: float, vec: str = "vec", key: str = "class", batch: str = "batch_id") -> DataFrame:

@@ -35,6 +35,9 @@ def _part_size(n: Column, size: float, total: Column) -> Column:
     return F.floor(frac * n + F.lit(0.5))
 
 
+MAX_LOCAL_CUTS = 100_000  # classes whose cuts are sent to the tasks; more are joined
+
+
 def split_parts(
     df: DataFrame,
     size: float,
@@ -48,35 +51,38 @@ def split_parts(
     (``None`` = unstratified, for regression).
 
     Equal to ranking every row in md5 order and cutting at ``floor(frac*n + 0.5)``,
-    but without moving the table: rows are cut into ``16**digits`` md5 ranges per
-    class; a small per-(class, range) counts table says which ranges lie wholly
-    before or after the cut (decided map-side through a broadcast lookup), and
-    only the one boundary range per class is ranked by a window.
+    but without ranking or moving the table: rows are counted by class and md5 range
+    (``16**digits`` of them), the range that holds a class's last row of the first part
+    is ranked alone, and that row's (hash, id) is the class's cut. Finding the cuts reads
+    the class and id columns; the table itself is read once and compared with them.
     """
-    keys = [class_col] if class_col else []
+    keys = [class_col] if class_col else ["__one"]
     digits = DEFAULT_DIGITS
-    x = df.withColumn("__h", hash_order(id_col, seed)).withColumn("__b", F.substring("__h", 1, digits))
+    x = df if class_col else df.withColumn("__one", F.lit(0))
+    x = x.withColumn("__h", hash_order(id_col, seed)).withColumn("__b", F.substring("__h", 1, digits))
     counts = x.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__nb"))
     by_key = Window.partitionBy(*keys)
     total = F.lit(float(df.count())) if size >= 1 else F.lit(1.0)  # one scalar for a count
-    cuts = counts.select(
+    ranges = counts.select(
         *keys, "__b", "__nb",
         F.coalesce(F.sum("__nb").over(by_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
         F.sum("__nb").over(by_key).alias("__n"),
     ).withColumn("__k", _part_size(F.col("__n"), size, total))
-    status = (F.when(F.col("__off") + F.col("__nb") <= F.col("__k"), F.lit("first"))
-              .when(F.col("__off") >= F.col("__k"), F.lit("second")).otherwise(F.lit("boundary")))
-    cuts = cuts.select(*keys, "__b", status.alias("__st"), (F.col("__k") - F.col("__off")).alias("__need"))
-    # keys x 16**digits rows at most: broadcast when that bound is small, else left to AQE.
-    n_cuts = 16 ** digits * (counts.select(*keys).distinct().count() if keys else 1)
-    tagged = keyed_join(x, cuts, [*keys, "__b"], broadcast=n_cuts <= 5_000_000)
-    # Two map-side branches over the same scan; the counts behind ``cuts`` read only the
-    # key and id columns.
-    decided = tagged.where(F.col("__st") != "boundary").withColumn(part_col, F.col("__st"))
-    edge = tagged.where(F.col("__st") == "boundary")
-    w = Window.partitionBy(*keys, "__b").orderBy("__h", id_col)  # one range per class
-    edge = edge.withColumn(part_col, F.when(F.row_number().over(w) <= F.col("__need"), F.lit("first")).otherwise(F.lit("second")))
-    return decided.unionByName(edge).drop("__h", "__b", "__st", "__need")
+    over = F.col("__off") + F.col("__nb") > F.col("__k")  # the first such range holds the cut
+    edges = ranges.groupBy(*keys).agg(
+        F.min(F.when(over, F.col("__b"))).alias("__eb"), F.min(F.when(over, F.struct("__b", (F.col("__k") - F.col("__off")).alias("need"))))["need"].alias("__need")
+    )
+    near = keyed_join(x.select(*keys, id_col, "__h", "__b"), edges.select(*keys, F.col("__eb").alias("__b"), "__need"), [*keys, "__b"])
+    place = Window.partitionBy(*keys, "__b").orderBy("__h", id_col)  # one range per class
+    last = near.withColumn("__r", F.row_number().over(place)).where(F.col("__r") == F.col("__need")).select(*keys, F.struct("__h", id_col).alias("__cut"))
+    cuts = keyed_join(edges.drop("__need"), last, keys, "left").select(*keys, "__eb", "__cut")
+    found = cuts.limit(MAX_LOCAL_CUTS + 1).collect()  # one row a class
+    if len(found) <= MAX_LOCAL_CUTS:
+        cuts = F.broadcast(df.sparkSession.createDataFrame(found, cuts.schema))
+    at = F.struct(F.col("__h"), F.col(id_col))
+    first = F.col("__eb").isNull() | (F.col("__b") < F.col("__eb")) | ((F.col("__b") == F.col("__eb")) & F.coalesce(at <= F.col("__cut"), F.lit(False)))
+    tagged = keyed_join(x, cuts, keys).withColumn(part_col, F.when(first, F.lit("first")).otherwise(F.lit("second")))
+    return tagged.drop("__h", "__b", "__eb", "__cut", "__one")
 
 
 def stratified_take(df: DataFrame, train_count: float, class_col: str = "class", id_col: str = "index", seed: int = DEFAULT_SEED) -> DataFrame:

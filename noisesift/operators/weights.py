@@ -95,16 +95,14 @@ def instance_weight_arrow(df: DataFrame, p: GateParams, x: str = "x", y: str = "
 def weighted_loss(aug: DataFrame, clean: DataFrame | None, w: str = "w", loss: str = "loss") -> DataFrame:
     """J2. One row: ``mean(w*l)`` and ``mean(l)`` of the augmented rows (paired by row, X4),
     the clean mean, and the blend ``(weighted_aug + clean) / 2``."""
-    a = aug.agg(F.avg(F.col(w) * F.col(loss)).alias("weighted_aug_loss"), F.avg(loss).alias("aug_loss"))
+    none = F.lit(None).cast("double")
+    rows = aug.select((F.col(w) * F.col(loss)).cast("double").alias("x"), F.col(loss).cast("double").alias("a"), none.alias("c"))
+    if clean is not None:
+        rows = rows.unionByName(clean.select(none.alias("x"), none.alias("a"), F.col(loss).cast("double").alias("c")))
+    out = rows.agg(F.avg("x").alias("weighted_aug_loss"), F.avg("a").alias("aug_loss"), F.avg("c").alias("clean_loss"))
     if clean is None:
-        return a.withColumn("blend", F.col("weighted_aug_loss"))
-    c = clean.agg(F.avg(loss).alias("clean_loss"))
-    # Both sides are single-row aggregates: read them as one row each and combine.
-    ar, cr = a.first(), c.first()
-    spark = aug.sparkSession
-    blend = None if ar["weighted_aug_loss"] is None or cr["clean_loss"] is None else (ar["weighted_aug_loss"] + cr["clean_loss"]) / 2
-    return spark.createDataFrame([(ar["weighted_aug_loss"], ar["aug_loss"], cr["clean_loss"], blend)],
-                                 "weighted_aug_loss double, aug_loss double, clean_loss double, blend double")
+        return out.drop("clean_loss").withColumn("blend", F.col("weighted_aug_loss"))
+    return out.withColumn("blend", (F.col("weighted_aug_loss") + F.col("clean_loss")) / 2)
 
 
 def logit_weighted_loss(logits: str | Column, weights: str | Column, y: str | Column) -> Column:
