@@ -144,9 +144,9 @@ def oversample_to_max(spark: SparkSession, df: DataFrame, class_col: str = "clas
         copy_id.alias("sample_id"),
     )
     ranked = hashed_rank(df, [class_col], id_col, seed, "__rk")
-    base = ranked.withColumns({"is_copy": F.lit(False), "sample_id": F.col(id_col).cast("string")})
-    picked = keyed_join(ranked, copies, [class_col, "__rk"]).withColumn("is_copy", F.lit(True))
-    return base.unionByName(picked).drop("__rk")
+    base = df.withColumns({"is_copy": F.lit(False), "sample_id": F.col(id_col).cast("string")})  # originals need no rank
+    picked = keyed_join(ranked, copies, [class_col, "__rk"]).withColumn("is_copy", F.lit(True)).drop("__rk")
+    return base.unionByName(picked)
 
 
 def round_robin_batches(
@@ -158,19 +158,21 @@ def round_robin_batches(
     when the largest class runs out, as in the reference.
     Adds ``batch_id`` and ``pos`` (position in the stream).
 
-    The class order comes from a per-class table (one row per class) joined on
-    the class; only two scalars (class count, largest class) reach the driver."""
+    The class order, the class count and the largest class come from a per-class table
+    (one row per class) joined on the class; nothing reaches the driver."""
     order_col = first_seen or id_col
     per_class = df.groupBy(class_col).agg(F.min(order_col).alias("__first"), F.count(F.lit(1)).alias("__nc"))
-    per_class = per_class.withColumn("__cord", F.row_number().over(Window.orderBy("__first", class_col)) - 1)  # one row per class
-    n_classes, n_max = per_class.agg(F.count(F.lit(1)), F.max("__nc")).first()
-    n_max = n_max or 0
+    whole = Window.partitionBy()
+    per_class = per_class.select(
+        class_col,
+        (F.row_number().over(Window.orderBy("__first", class_col)) - 1).alias("__cord"),  # one row per class
+        F.count(F.lit(1)).over(whole).alias("__classes"), F.max("__nc").over(whole).alias("__most"),
+    )
     r = hashed_rank(df, [class_col], id_col, seed, "__rk")
-    pos = (F.col("__rk") - 1) * F.lit(n_classes) + F.col("__cord")
-    n_full = (n_max * n_classes) // batch_size
-    out = keyed_join(r, per_class.select(class_col, "__cord"), [class_col]).withColumn("pos", pos.cast("bigint"))
-    out = out.where(F.col("pos") < F.lit(n_full * batch_size))
-    return out.withColumn("batch_id", (F.col("pos") / F.lit(batch_size)).cast("bigint")).drop("__rk", "__cord")
+    pos = (F.col("__rk") - 1) * F.col("__classes") + F.col("__cord")
+    full = F.floor(F.col("__most") * F.col("__classes") / F.lit(batch_size)) * F.lit(batch_size)
+    out = keyed_join(r, per_class, [class_col]).withColumn("pos", pos.cast("bigint")).where(F.col("pos") < full)
+    return out.withColumn("batch_id", (F.col("pos") / F.lit(batch_size)).cast("bigint")).drop("__rk", "__cord", "__classes", "__most")
 
 
 def chunkify(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:
