@@ -251,19 +251,44 @@ def meta_influence_fd(aug: DataFrame, g_val_next: np.ndarray, theta: np.ndarray,
 
 
 # ----------------------------------------------------------------- J14, J15, J16
-def baseline_fit(train: DataFrame, x: str = "x", y: str = "y", weight: str | None = None, max_iter: int = 50, reg: float = 0.0):
+def baseline_fit(train: DataFrame, x: str = "x", y: str = "y", weight: str | None = None, max_iter: int = 50, reg: float = 0.0, tol: float = 1e-6):
     """J14. Logistic regression (``pyspark.ml``) on clean or clean+augmented rows,
     with instance weights from J1 through ``weightCol``. Returns the fitted model."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     data = train.withColumn("__features", array_to_vector(F.col(x))).withColumn("__label", F.col(y).cast("double"))
-    lr = LogisticRegression(featuresCol="__features", labelCol="__label", maxIter=max_iter, regParam=reg, family="multinomial")
+    lr = LogisticRegression(featuresCol="__features", labelCol="__label", maxIter=max_iter, regParam=reg, tol=tol,
+                            standardization=False, family="multinomial")
     if weight:
         lr = lr.setWeightCol(weight)
     return lr.fit(data)
 
 
+def fit_gradient(model, train: DataFrame, x: str = "x", y: str = "y", weight: str | None = None, reg: float = 0.0) -> DataFrame:
+    """J14 check of a fit: per class, the largest entry of the gradient of the weighted,
+    regularised loss at the fitted head. It vanishes only at the optimum. Residuals are
+    added up per task; the head is the model's, so model-sized."""
+    coef, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    n_classes, dim = coef.shape
+
+    def sums(batches):
+        for pdf in batches:
+            xs, ys, ws = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["w"].to_numpy(float)
+            z = xs @ coef.T + bias
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(ys)), ys] -= 1
+            g = (p * ws[:, None]).T @ np.concatenate([xs, np.ones((len(xs), 1))], axis=1)
+            yield pd.DataFrame({"class": np.arange(n_classes), "g": list(g), "total": ws.sum()})
+
+    rows = train.select(F.col(x).alias("x"), F.col(y).cast("int").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
+    part = rows.mapInPandas(sums, "class int, g array<double>, total double").select("class", "total", F.posexplode("g").alias("dim", "g"))
+    cells = part.groupBy("class", "dim").agg((F.sum("g") / F.sum("total")).alias("g"))
+    penalty = F.element_at(F.element_at(F.lit(np.concatenate([coef * reg, np.zeros((n_classes, 1))], axis=1).tolist()), F.col("class") + 1), F.col("dim") + 1)
+    return cells.groupBy("class").agg(F.max(F.abs(F.col("g") + penalty)).alias("gradient"))
+
+
 def baseline_predict(model, df: DataFrame, x: str = "x") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 

@@ -290,6 +290,18 @@ def j14_baseline_fit(spark: SparkSession, d: str):
     return weights.baseline_predict(model, val, "x").select("vec_id", "y", "pred")
 
 
+@register("j14_baseline_optimum", with_views("weighted") + f"""
+, parts AS (SELECT label AS y, {hexfrac_sql('vec_id')} AS u FROM weighted)
+SELECT DISTINCT y AS class, TRUE AS at_optimum FROM parts WHERE u >= 0.2""")
+def j14_baseline_optimum(spark: SparkSession, d: str):
+    """Fitted to convergence with a penalty, the gradient at the head vanishes for every class."""
+    aug, clean, _ = _meta_parts(spark, d)
+    w = weights.instance_weight(clean.unionByName(aug), GATE, "x", "y", "gate_w")
+    model = weights.baseline_fit(w, "x", "y", weight="gate_w", max_iter=500, reg=0.01, tol=1e-10)
+    g = weights.fit_gradient(model, w, "x", "y", weight="gate_w", reg=0.01)
+    return g.select("class", (F.col("gradient") < 1e-4).alias("at_optimum"))
+
+
 def reweight_sql(epochs: int) -> str:
     """DuckDB text of ``weights.reweight_fit`` unrolled over ``epochs`` (head starts at 0,
     weights at 1): per epoch a J10 look-ahead, new weights ``max(-meta_grad, 0)``

@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB oracle (or a run check without one)."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -31,7 +33,9 @@ def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     srows = [r.asDict(recursive=False) for r in sdf.collect()]
     if name not in ORACLES:
-        assert isinstance(srows, list)
+        # a converged fit is checked by j14_baseline_optimum; numbered operators have tests of their own
+        assert name in ("j14_baseline_fit", "pipeline") or re.match(r"op\d+_", name), "a query needs an oracle"
+        assert srows
         return
     res = con.sql(ORACLES[name])
     cols = sorted(sdf.columns)
