@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisesift.llm.common import query, table
+from noisesift.llm.common import hashed_sample, query, table
 from noisesift.llm.minhash import _SPACE
 from noisesift.llm.quality import blocks
 
@@ -136,9 +136,9 @@ def _held_out(id_col: str):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     known = docs.where(~F.coalesce(_held_out(id_col), F.lit(True)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = known.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
+    rows = hashed_sample(known.withColumn("_lang", F.col(lang_col)), SAMPLE_DOCS, id_col, text_col, "_lang")
     rows = [r for r in rows if has_letter(r["t"])]
-    return fit([r["t"] for r in rows], [r["l"] for r in rows])
+    return fit([r["t"] for r in rows], [r["_lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisesift.llm.common import query, table
+from noisesift.llm.common import hashed_sample, query, table
 from noisesift.llm.minhash import _SPACE, BLOCK_BYTES, word_hashes
 
 SAMPLE_DOCS = 4000
@@ -186,10 +186,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     counted = docs.select(text_col).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     counts = {r["pattern"]: r["n"] for r in counted.collect()}  # at most 3**10 rows
     posterior, shares, prior = estimate(counts)
-    sample = (
-        docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-        .orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    )
+    sample = hashed_sample(docs, SAMPLE_DOCS, id_col, text_col)
     texts = [r["t"] for r in sample]
     targets = []
     for t in texts:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisesift.llm.common import query, table
+from noisesift.llm.common import hashed_sample, query, table
 
 SAMPLE_DOCS = 2000
 SYNTHETIC = 3000
@@ -280,11 +280,7 @@ def training_set(texts: list[str]) -> tuple[list, list]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     """Weights of the field from the bounded sample of documents."""
-    rows = (
-        docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-        .orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    )
-    return fit(*training_set([r["t"] for r in rows]))
+    return fit(*training_set([r["t"] for r in hashed_sample(docs, SAMPLE_DOCS, id_col, text_col)]))
 
 
 def all_spans(text: str, raw: bytes, model) -> list[tuple[str, int, int]]:
