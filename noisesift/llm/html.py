@@ -54,6 +54,8 @@ JUNK_WORDS = frozenset(
     "sharing social related recommended newsletter subscribe subscription signup popup modal overlay widget widgets toolbar pagination pager "
     "skip login search form".split()
 )
+#: a name like has-sidebar or share-enabled tells of the layout around, not of the element
+LAYOUT_WORDS = frozenset("has with without no enabled disabled".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 SAFE = frozenset("html body article main".split())
 
@@ -67,8 +69,11 @@ def _junk(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if "style" in attrs and re.search(r"display\s*:\s*none", attrs["style"]):
         return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return any(w in JUNK_WORDS for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if words & JUNK_WORDS and not words & LAYOUT_WORDS:
+            return True
+    return False
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
