@@ -40,7 +40,7 @@ from noisesift.llm.common import checked_ids, components, query, staged, table
 CHUNKS, WIDTH, ERRORS = 12, 6, 1
 SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 34  # 72 symbols at similarity 0.8 differ in 14.4 on average, standard deviation 3.4
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -279,14 +279,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     of_a, of_b = (joined.select(F.col("id").alias(c), F.col("component_id").alias(f"of_{c}")) for c in "ab")
     seen = seen.join(of_a, "a", "left").join(of_b, "b", "left").withColumn("of_b", F.coalesce("of_b", "b"))
     apart = F.expr(f"NOT ({linked_by_sets})") & (F.coalesce("of_a", "a") != F.col("of_b"))
-    seen = staged(seen.select("a", "b", "nb", "of_b", "added", apart.alias("stray"), F.expr(f"n_both * 100 / {percent} - nb + n_both").alias("most")), "seen")
+    seen = staged(seen.select("a", "b", "nb", "n_both", "of_b", "added", apart.alias("stray"), F.expr(f"n_both * 100 / {percent} - nb + n_both").alias("most")), "seen")
     strays = seen.where("stray")
     # each pair of strays once, none within a component, none of sizes too different
     once = f"b <> other AND of_b <> of_other AND (NOT other_stray OR b < other) AND least(nb, size) * 100 >= greatest(nb, size) * {percent}"
-    others = seen.select("a", F.col("b").alias("other"), F.col("of_b").alias("of_other"), F.col("stray").alias("other_stray"), F.col("nb").alias("size"), "added")
-    by_added = strays.select("a", "b", "nb", "of_b", F.explode("added").alias("shingle")).join(
-        others.withColumn("shingle", F.explode("added")).drop("added"), ["a", "shingle"]
-    ).where(once)
+    others = seen.select(
+        "a", F.col("b").alias("other"), F.col("of_b").alias("of_other"), F.col("stray").alias("other_stray"), F.col("nb").alias("size"), F.col("n_both").alias("other_both"), "added"
+    )
+    # Of the shingles that a linking pair shares, at most the smaller n_both lie in P, so c others are added
+    # by both; the first of them stands c - 1 places or more before the end of either list of added ones.
+    by_added = strays.select("a", "b", "nb", "n_both", "of_b", F.posexplode("added").alias("i", "shingle")).join(
+        others.select("*", F.posexplode("added").alias("j", "shingle")).drop("added"), ["a", "shingle"]
+    )
+    c = f"greatest(1, ceil((nb + size) * {percent} / {100 + percent}D - least(n_both, other_both) - 1e-6))"
+    by_added = by_added.where(f"{once} AND i + {c} <= nb - n_both AND j + {c} <= size - other_both")
 
     def size_bin(size) -> F.Column:
         return F.floor(F.log(1.05, size)).cast("int")
