@@ -236,6 +236,19 @@ def test_spotsigs(spark, odd):
     assert spotsigs.near_pairs(odd)[0].count() == 10 and spotsigs.near_pairs(odd.limit(0))[1].count() == 0
 
 
+def test_spotsigs_without_anchors(spark):
+    """A text that its anchors cover by one chain only is fingerprinted whole."""
+    content = [f"w{k}" for k in range(400)]
+    free, half = " ".join(content), " ".join(content[:200] + [f"z{k}" for k in range(200)])
+    shifted = " ".join(["new", *content])
+    texts = [free, half, shifted, "the " + free, free + " the", "the w0 of w1 w2", "w0 w1 w2", "w0 w1"]
+    got = {r["doc_id"]: set(r["s"]) for r in table(spark, texts).select("doc_id", spotsigs.signatures(spotsigs.F.col("text")).alias("s")).collect()}
+    like = lambda a, b: len(got[a] & got[b]) / len(got[a] | got[b])
+    assert len(got[0]) == 398 and got[0] != got[1] and 0.3 < like(0, 1) < 0.4
+    assert like(0, 2) > 0.99 and got[0] == got[3] == got[4]
+    assert got[5] == got[6] and len(got[6]) == len(got[7]) == 1 and got[6] != got[7]
+
+
 def test_next_document(spark, odd):
     texts = ["aé😀b", None, "", "xyz", "longer text here", "q"]
     docs = table(spark, texts, [5, 40, 7, 12, 90, 3]).selectExpr("doc_id", "coalesce(text, '') AS text")
