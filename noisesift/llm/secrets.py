@@ -1,15 +1,17 @@
 """Secret scan: base patterns plus a linear-chain conditional random field.
 
-Base spans come from three fixed patterns. The field tags the words of a text as
+Base spans come from three fixed patterns. The field tags every word of a text as
 secret-begin (B), inside (I) or outside (O) from the word's shape, its
-neighbouring words and a feature of the whole file, and is decoded by Viterbi.
-Words without any digit are constrained to O, in training as in decoding, so the
-chain falls into independent runs of words with digits and each run is decoded
-exactly. Spans of B I* that touch no base span are added as kind ``crf``.
+neighbouring words, the quotes around it and a feature of the whole file, and is
+decoded by Viterbi. Words that no stretch of B and I with a positive gain over O can
+hold (by the running sums of an upper bound) are O in the best tagging, so the chain
+falls into short runs and their decoding is that of the whole text. Spans of B I*
+that touch no base span are added as kind ``crf``.
 
 Training data: the ``SAMPLE_DOCS`` documents of smallest id hash (a documented
-bound), labelled by the base patterns, plus secrets of other make (generated by
-rule) planted into runs of the same documents, so the field learns what lies
+bound) in pieces of ``PIECE`` words, at most ``PIECES`` with a telling word and as
+many without, labelled by the base patterns, plus secrets of other make (generated
+by rule, with and without digits) in made-up lines, so the field learns what lies
 beyond the patterns. The sample and the weights are all that is on the driver.
 
 Defined results: null text counts as empty; an empty text has no spans and the
@@ -20,7 +22,6 @@ points, end exclusive.
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 import string
 
@@ -32,24 +33,30 @@ from pyspark.sql import functions as F
 from noisesift.llm.common import hashed_sample, query, table
 
 SAMPLE_DOCS = 2000
-SYNTHETIC = 3000
-MAX_TRAIN_RUN = 40
+SYNTHETIC = 5000
+PIECE, PIECES = 12, 4000
 KINDS = ("assign", "access", "hex", "crf")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-_DIGITS = re.compile(r"[0-9]+")
-_SPACE = re.compile(r"[\x20\x09-\x0D]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIM = "\"'`*%&$#()[]{}<>,;:!?.|"
 _ALPHABET = frozenset(string.ascii_letters + string.digits + "+/_=.-")
-_HINT = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential", re.IGNORECASE)
+_DIGIT, _ASCII_DIGIT = re.compile(r"\d"), re.compile("[0-9]")
+_HINT = re.compile(
+    r"pass(?!ag|eng|ion|iv|port\b|ed\b|es\b|ing\b)|pwd|secret(?!ar)|token|(?<!mon)(?<!tur)(?<!don)(?<!joc)(?<!whis)key(?!word|board|note)"
+    r"|auth(?!or(?!i[sz])|entic)|bearer|credential", re.IGNORECASE)
+# classes of bytes: digit, lower, upper, symbol, other
+_CLASSES = bytes(ord("d" if c in string.digits else "l" if c in string.ascii_lowercase else "u" if c in string.ascii_uppercase else "s" if c in "+/_=.-" else "o") for c in map(chr, range(256)))
+_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}", re.IGNORECASE)
 _HEXED = bytes(ord("h") if chr(i) in "0123456789abcdef" else ord(" ") for i in range(256))
 
 B, I, O = 0, 1, 2  # noqa: E741
-N_SHAPE, N_PREV, N_NEXT, N_FILE = 6 * 2 * 2 * 2 * 2 * 2 * 4, 5, 3, 4
-_OFFSETS = np.cumsum([0, N_SHAPE, N_PREV, N_PREV, N_NEXT, N_FILE, 8, 8 * N_PREV])
-N_FEATURES = int(_OFFSETS[-1])
+N_SHAPE, N_PREV, N_NEXT, N_FILE, N_MIX, N_QUOTE = 6 * 2 * 2 * 2 * 2 * 2 * 5, 6, 3, 4, 48, 3
+_OFFSETS = [int(x) for x in np.cumsum([0, N_SHAPE, N_PREV, N_PREV, N_NEXT, N_FILE, 8, 8 * N_PREV, N_MIX, N_MIX * N_PREV, 6 * N_PREV * N_PREV, 3 * N_QUOTE])]
+N_FEATURES = _OFFSETS[-1]
+QUOTED = 12  # words within one pair of quotes
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
@@ -66,74 +73,116 @@ def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
 
 
 def _shape(core: str) -> tuple[int, int]:
-    """Index of a word's shape, and a coarse class of it (length and make)."""
+    """Index of a word's shape, and of its mix of letters."""
     n = len(core)
     length = bisect.bisect_right((4, 8, 16, 20, 32), n)
-    digits = sum(c in "0123456789" for c in core)
-    upper = any("A" <= c <= "Z" for c in core)
-    lower = any("a" <= c <= "z" for c in core)
-    symbol = any(c in "+/_=.-" for c in core)
-    other = any(c not in _ALPHABET for c in core)
+    made = core.encode().translate(_CLASSES)
+    digits = made.count(b"d")
     hexed = not core.strip("0123456789abcdefABCDEF")
-    share = min(3, 4 * digits // max(1, n))
+    share = 1 + min(3, 4 * digits // max(1, n)) if digits else 0
     index = length
-    for x in (upper, lower, symbol, other, hexed):
+    for x in (b"u" in made, b"l" in made, b"s" in made, b"o" in made, hexed):
         index = index * 2 + int(x)
-    coarse = 4 * int(n >= 16) + 2 * int(upper or lower) + int(other or symbol)
-    return index * 4 + share, coarse
+    mix = (_LENGTH3[length] * 4 + bisect.bisect_right((1, 2, 4), made.count(b"lu"))) * 2 + int(_CONSONANTS.search(core) is not None)
+    return index * 5 + share, mix * 2 + int(digits == 0)
+
+
+_LENGTH3 = (0, 0, 1, 2, 2, 2)  # under 8, under 16, longer
 
 
 def _prev_class(word: str) -> int:
     if not word:
         return 0
+    signed = word[-1] in "=:" or word in ("=>", "->")
     if _HINT.search(word):
-        return 1
-    if word[-1] in "=:" or word in ("=>", "->"):
+        return 5 if signed else 1
+    if signed:
         return 2
-    return 3 if any(c.isdigit() for c in word) else 4
-
-
-def runs_of(text: str) -> list[list[tuple[int, int, list[int]]]]:
-    """Runs of adjoining words with digits: (start, end, features) of each word's core."""
-    words: list[tuple[int, int]] = []
-    at = 0
-    for m in _DIGITS.finditer(text):
-        i = m.start()
-        if i < at:
-            continue
-        start = max(text.rfind(c, at, i) for c in " \n\t\r\x0b\x0c") + 1 or at
-        end = (found := _SPACE.search(text, i)) and found.start() or len(text)
-        words.append((start, end))
-        at = end
+    return 3 if _DIGIT.search(word) else 4
+
+
+def _place(word: str) -> tuple[int, int, int]:
+    """Place and length of a word's core, and the class of a name written before it (-1: none)."""
+    core = word.strip(_TRIM)
+    own = -1
+    # "key=value" in one word: the name before the sign is the neighbour
+    cut = max(core.rfind("="), core.rfind(":"))
+    if 0 < cut < len(core) - 4 and (name := core[:cut].rstrip("=:\"'")) and not _DIGIT.search(name):
+        own = _prev_class(core[: cut + 1])
+        core = core[cut + 1 :].strip(_TRIM)
+    return word.rfind(core) if core else 0, len(core), own
+
+
+class Facts:
+    """What words alone tell, one row a word: shape, mix, class as a neighbour, class of a name written
+    before the core, digits as seen by the word before, any ASCII digit, opens a quote, closes one."""
+
+    ROWS, CHARS = 1 << 18, 1 << 23
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.rows = np.zeros((self.ROWS, 8), dtype=np.int16)
+        self.chars = 0
+
+    def of(self, words: list[str]) -> np.ndarray:
+        ids = [self.ids.get(x, -1) for x in words]
+        if -1 in ids:
+            if self.chars > self.CHARS or len(self.ids) + len(words) > len(self.rows):
+                self.__init__()
+                if len(words) > len(self.rows):
+                    self.rows = np.zeros((len(words), 8), dtype=np.int16)
+            new = [x for x in dict.fromkeys(words) if x not in self.ids]
+            self.rows[len(self.ids) : len(self.ids) + len(new)] = [self.facts(x) for x in new]
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+            self.chars += sum(map(len, new))
+            ids = [self.ids[x] for x in words]
+        return self.rows[ids].astype(np.int64)
+
+    @staticmethod
+    def facts(word: str) -> tuple:
+        plain = word[:-1] if word[-1] in ".,;!?" else word
+        if plain.isascii() and plain.isalpha():  # nothing to look for besides the shape
+            return *_shape(plain), 1 if _HINT.search(word) else 4, -1, 2, False, False, False
+        at, n, own = _place(word)
+        opens = word[0] in "\"'" or (own >= 0 and at > 0 and word[at - 1] in "\"'")
+        closes = word.rstrip(".,;:)]}")[-1:] in ("\"", "'") and (len(word) > 1 or not opens)
+        digit = 1 if _DIGIT.search(word) else 2
+        return *_shape(word[at : at + n]), _prev_class(word), own, digit, _ASCII_DIGIT.search(word) is not None, opens, closes
+
+
+def features(text: str, facts: Facts) -> np.ndarray:
+    """Indices of the features of each word of a text: words x features."""
+    words = _WORD.findall(text)
     if not words:
-        return []
-    spaces = text.count(" ") + 1
-    filed = bisect.bisect_right((0.01, 0.05, 0.2), len(words) / spaces)
-    out: list[list[tuple[int, int, list[int]]]] = []
-    before, last_end = ["", ""], -1
-    for k, (start, end) in enumerate(words):
-        joined = k > 0 and not text[last_end:start].strip()
-        left = text[max(0, start - 80) : start].split()
-        before = [left[-1] if left else "", left[-2] if len(left) > 1 else ""]
-        after = text[end : end + 40].split()
-        nxt = 0 if not after else 1 if any(c.isdigit() for c in after[0]) else 2
-        word = text[start:end]
-        core = word.strip(_TRIM)
-        # "key=value" in one word: the name before the sign is the neighbour
-        cut = max(core.rfind(c) for c in "=:")
-        if 0 < cut < len(core) - 4 and (name := core[:cut].rstrip("=:\"'")) and not any(c.isdigit() for c in name):
-            before = [core[: cut + 1] if not _HINT.search(name) else name, before[0]]
-            core = core[cut + 1 :].strip(_TRIM)
-        shape, coarse = _shape(core)
-        p1, p2 = _prev_class(before[0]), _prev_class(before[1])
-        feats = [shape, p1, p2, nxt, filed, coarse, coarse * N_PREV + p1]
-        at = start + word.find(core) if core else start
-        item = (at, at + len(core), [int(o) + f for o, f in zip(_OFFSETS[:-1], feats, strict=True)])
-        if joined:
-            out[-1].append(item)
-        else:
-            out.append([item])
-        last_end = end
+        return np.zeros((0, len(_OFFSETS) - 1), dtype=np.int64)
+    shape, mix, as_prev, own, digit, ascii_digit, opens, closes = facts.of(words).T
+    filed = bisect.bisect_right((0.01, 0.05, 0.2), int(ascii_digit.sum()) / (text.count(" ") + 1))
+    before = np.concatenate(([0, 0], as_prev))
+    named = own >= 0
+    p1, p2 = np.where(named, own, before[1:-1]), np.where(named, before[1:-1], before[:-2])
+    nxt = np.concatenate((digit[1:], [0]))
+    quote = np.zeros(len(words), dtype=np.int64)
+    after = -1
+    for k in np.flatnonzero(opens):
+        if k > after:  # up to the closing quote, or for a few words if there is none
+            shut = np.flatnonzero(closes[k : k + QUOTED])
+            after = k + int(shut[0]) if len(shut) else k
+            quote[k : after + 1] = 2 if p1[k] == 5 or (p1[k] == 2 and p2[k] in (1, 5)) else 1
+            if words[k] in "\"'":  # a quote set off by a space belongs to what follows
+                quote[k] = 0
+    flags, length = shape // 5 % 32, np.array(_LENGTH3)[shape // 160]
+    coarse = 4 * (length == 2) + 2 * ((flags & 24) > 0) + ((flags & 6) > 0)
+    context = ((p1 * N_PREV + p2) * 3 + length) * 2 + mix % 2
+    every = (shape, p1, p2, nxt, np.full(len(words), filed), coarse, coarse * N_PREV + p1, mix, mix * N_PREV + p1, context, length * N_QUOTE + quote)
+    return np.stack(every, axis=1) + _OFFSETS[:-1]
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Start and end of each word's core."""
+    out = []
+    for m in _WORD.finditer(text):
+        at, n, _ = _place(m[0])
+        out.append((m.start() + at, m.start() + at + n))
     return out
 
 
@@ -188,16 +237,18 @@ def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 150, ra
         gold[k, np.arange(len(r)), g] = 1
         for a, b in zip([O, *g], [*g, O], strict=True):
             gold_pair[a, b] += 1
-    flat = feats[mask]
+    flat, same = np.unique(feats[mask], axis=0, return_inverse=True)  # words of equal features are scored once
     target = gold[mask]
     g2w, g2t = np.full_like(w, 1e-8), np.full_like(trans, 1e-8)
     for _ in range(steps):
-        emit = w[feats].sum(axis=2)
+        emit = np.zeros((len(runs), width, 3))
+        emit[mask] = w[flat].sum(axis=1)[same]
         _, unary, pair = _forward_backward(emit, mask, trans + FORBIDDEN)
         miss = (target - unary[mask]) / len(runs)
         grad = np.zeros_like(w)
-        for f in range(n_feat):
-            np.add.at(grad, flat[:, f], miss)
+        for tag in range(3):
+            own = np.bincount(same, weights=miss[:, tag], minlength=len(flat))
+            grad[:, tag] = np.bincount(flat.ravel(), weights=np.repeat(own, n_feat), minlength=N_FEATURES)
         grad -= decay * w
         grad_t = (gold_pair - pair) / len(runs) - decay * trans
         g2w += grad**2
@@ -222,60 +273,113 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def _synthetic(rng: np.random.Generator) -> tuple[str, bool]:
-    """A made-up line holding one word with digits (or more), and whether it is a secret."""
+def _synthetic(rng: np.random.Generator) -> tuple[str, int, int]:
+    """A made-up line, and the place of the secret in it (an empty one: none)."""
 
     def take(alphabet: str, n: int) -> str:
         return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
 
-    mixed, lower = string.ascii_letters + string.digits, string.ascii_lowercase
-    kind = int(rng.integers(0, 14))
-    word = take(lower, int(rng.integers(2, 9)))
+    def pick(*of):
+        return of[int(rng.integers(0, len(of)))]
+
+    def plain_word() -> str:
+        w = "".join(take("bcdfglmnprstvw", 1) + take("aeiou", 1) + (take("lnrst", 1) if rng.random() < 0.3 else "") for _ in range(int(rng.integers(1, 5))))
+        how = rng.random()
+        return w.capitalize() if how < 0.15 else w.upper() if how < 0.18 else pick("the", "of", "and", "is", "a", "in", "to") if how < 0.4 else w
+
+    def phrase(n: int) -> list[str]:
+        return [take("bcdfglmnprstvw", 1) + take("aeiou", 1) + take("bcdglmnprst", 1) + take("aeiou", 1) + take("lnrst", int(rng.integers(0, 2))) for _ in range(n)]
+
+    letters, lower = string.ascii_letters, string.ascii_lowercase
+    mixed = letters + string.digits * pick(0, 0, 1, 1, 3)
+    kind = int(rng.integers(0, 25))
+    hints = ("key", "auth", "credential =", "bearer", "secret:", "pwd =", "Authorization: Bearer", "passphrase:", "token =", "pass:")
+    signed = tuple(h for h in hints if h[-1] in "=:")
     secret = {
-        0: lambda: "ghp_" + take(mixed, 36),
+        0: lambda: pick("ghp_", "xoxb-", "glpat-") + take(mixed, 36),
         1: lambda: "sk_live_" + take(mixed, 24),
-        2: lambda: take(mixed + "+/", 39) + "7",
-        3: lambda: "eyJ" + take(mixed, 20) + "." + take(mixed, 40) + "." + take(mixed, 27) + "9",
-        4: lambda: take(string.hexdigits[:16], 24) + "0",
+        2: lambda: take(mixed + "+/", 40),
+        3: lambda: "eyJ" + take(mixed, 20) + "." + take(mixed, 40) + "." + take(mixed, 28),
+        4: lambda: take("abcdef" if mixed == letters else string.hexdigits[:16], 25),
+        14: lambda: take(mixed, int(rng.integers(12, 33))),
+        15: lambda: take(mixed, int(rng.integers(10, 25))),  # after a hint
+        16: lambda: pick("", "-", "_", ".").join(phrase(int(rng.integers(2, 6)))),  # after a hint with a sign
+        17: lambda: take(pick(lower, letters, letters), int(rng.integers(16, 41))),  # after a hint
     }
     plain = {
         5: lambda: take(string.digits, int(rng.integers(1, 17))),
         6: lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)),
-        7: lambda: f"{take(lower, 5)}.{rng.integers(0, 99)}@{take(lower, 6)}.example.com",
+        7: lambda: f"{take(lower, 5)}.{pick(str(rng.integers(0, 99)), take(lower, 4))}@{take(lower, 6)}.example.com",
         8: lambda: f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}",
         9: lambda: take(lower, int(rng.integers(3, 12))) + str(rng.integers(0, 100)),
         10: lambda: f"({rng.integers(100, 1000)}) {rng.integers(100, 1000)}-{rng.integers(1000, 10000)}",
         11: lambda: " ".join(str(rng.integers(1000, 10000)) for _ in range(int(rng.integers(2, 5)))),
         12: lambda: f"{rng.integers(0, 100)} {rng.integers(0, 100)}.{rng.integers(0, 10)}",
         13: lambda: f"{take(lower, 6)}{rng.integers(0, 10)}-{take(lower, 4)} {rng.integers(0, 1000)}{take(lower, 2)}",
+        18: lambda: " ".join(plain_word() for _ in range(int(rng.integers(1, 6)))),
+        19: lambda: pick("https://www.", "www.", "/usr/", "src/", "") + pick(".", "/", "_", "-").join(phrase(int(rng.integers(2, 6)))) + pick("", ".html", ".py", "()"),
+        20: lambda: "".join(w.capitalize() for w in phrase(int(rng.integers(2, 4)))),
+        21: lambda: " ".join(plain_word() + pick("", ",", ".", ":", "-" + plain_word(), "'s") for _ in range(int(rng.integers(2, 9)))),
+    }
+    plain |= {
+        22: lambda: " ".join([pick(str.lower, str.capitalize)("".join(phrase(int(rng.integers(2, 6)))) + take("cdhnrst", int(rng.integers(0, 5))) + take("aeiou", 1))] * pick(1, 1, 4)),
+        23: lambda: " ".join(plain_word() + pick("$$$", "%%%", "&&&", "***", "###", ".", ";") for _ in range(int(rng.integers(2, 9)))),
+        24: lambda: pick(".\n", ". ", "/", "-").join("".join(phrase(2)).capitalize() for _ in range(2)),
     }
-    hints = ("key", "auth", "credential =", "bearer", "secret:", "pwd =", word, word, word)
-    lead = hints[int(rng.integers(0, len(hints)))]
+    before, after = ([plain_word() for _ in range(int(rng.integers(0, 4)))] for _ in range(2))
     body = secret[kind]() if kind in secret else plain[kind]()
-    if kind in secret and rng.random() < 0.25:  # a secret wrapped over two words
-        half = len(body) // 2
-        body = f"{body[:half]}1 {body[half:]}2"
+    if kind == 16:
+        lead = pick(*signed)
+    elif kind in (15, 17):
+        lead = pick(*hints)
+    elif kind >= 18:  # words of which few are names of secrets; with a sign, short ones only follow
+        lead = pick("key", "auth", "bearer", "secret", "token", "password", "Name:", "see", "Note:", plain_word(), plain_word(), plain_word())
+    else:
+        lead = pick(*hints, *[plain_word() for _ in range(8)])
     quote = '"' if rng.random() < 0.3 else ""
-    return f"{word} {lead} {quote}{body}{quote} {word}.", kind in secret
+    if kind == 16 and quote and rng.random() < 0.5:
+        body = " ".join(phrase(int(rng.integers(2, 6))))
+    elif kind in secret and kind != 16 and rng.random() < 0.25:  # a secret wrapped over two words
+        half = len(body) // 2
+        body = f"{body[:half]} {body[half:]}"
+    start = " ".join([*before, lead, quote])
+    start = start if quote else start.rstrip() + " "
+    end = pick("", ".", ",") if not quote else ""
+    return f"{start}{body}{quote}{end} {' '.join(after)}.", len(start), len(start) + len(body) if kind in secret else len(start)
+
+
+def _tagged(text: str, spans: list[tuple[int, int]], facts: Facts) -> tuple[np.ndarray, list[int]]:
+    feats = features(text, facts)
+    if not spans:
+        return feats, [O] * len(feats)
+    hit = [next((s for s in spans if s[0] < e and b < s[1]), None) for b, e in places(text)]
+    return feats, [O if h is None else I if k and hit[k - 1] is h else B for k, h in enumerate(hit)]
+
+
+def _values(text: str) -> list[tuple[int, int]]:
+    """The values of the base spans, without the names before them."""
+    out = []
+    for kind, b, e in base_spans(text, text.encode()):
+        out.append((ASSIGN.match(text, b).start(2) if kind == "assign" else b, e))
+    return out
 
 
 def training_set(texts: list[str]) -> tuple[list, list]:
-    """Runs and tags: sampled texts labelled by the base patterns, and made-up lines."""
-    runs, tags = [], []
+    """Runs and tags: pieces of sampled texts labelled by the base patterns, and made-up lines."""
+    rng, facts = np.random.default_rng(11), Facts()
+    lots: tuple[list, list] = ([], [])
     for t in texts:
-        spans = base_spans(t, t.encode())
-        for run in runs_of(t):
-            run = run[:MAX_TRAIN_RUN]
-            hit = [next((s for s in spans if s[1] < e and b < s[2]), None) for b, e, _ in run]
-            runs.append([f for *_, f in run])
-            tags.append([O if h is None else I if k and hit[k - 1] is h else B for k, h in enumerate(hit)])
-    rng = np.random.default_rng(11)
+        feats, tags = _tagged(t, _values(t), facts)
+        told = (np.array(tags) != O) | ((feats[:, 0] % 5) > 0) | np.isin(feats[:, 1] - _OFFSETS[1], (1, 2, 3, 5))
+        for k in range(0, len(tags), PIECE):
+            lots[0 if told[k : k + PIECE].any() else 1].append((feats[k : k + PIECE], tags[k : k + PIECE]))
+    kept = [lot[i] for lot in lots for i in sorted(rng.permutation(len(lot))[:PIECES])]
     for _ in range(SYNTHETIC):
-        line, secret = _synthetic(rng)
-        for run in runs_of(line):
-            runs.append([f for *_, f in run])
-            tags.append([(B if k == 0 else I) if secret else O for k in range(len(run))])
-    return runs, tags
+        line, b, e = _synthetic(rng)
+        feats, tags = _tagged(line, [(b, e)] if b < e else [], facts)
+        kept += [(feats[k : k + PIECE], tags[k : k + PIECE]) for k in range(0, len(tags), PIECE)]
+    # a piece that begins inside a secret begins it
+    return [f.tolist() for f, _ in kept], [[B, *g[1:]] if g[0] == I else g for _, g in kept]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -283,24 +387,36 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     return fit(*training_set([r["t"] for r in hashed_sample(docs, SAMPLE_DOCS, id_col, text_col)]))
 
 
-def all_spans(text: str, raw: bytes, model) -> list[tuple[str, int, int]]:
+def open_words(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Whether a word can be B or I in the best tagging of the whole text."""
+    gain, step = emit - emit[:, O, None], trans - trans[O, O]
+    most = np.maximum(gain[:, B] + step[:, B].max(), gain[:, I] + step[[B, I], I].max())
+    total = np.concatenate(([0.0], np.cumsum(most)))
+    highest = np.maximum.accumulate(total[:0:-1])[::-1]
+    return highest - np.minimum.accumulate(total[:-1]) + step[[B, I], O].max() > -1e-9
+
+
+def all_spans(text: str, raw: bytes, model, facts: Facts | None = None) -> list[tuple[str, int, int]]:
     """Base spans and the field's further ones, by start and kind."""
     w, trans = model
     spans = base_spans(text, raw)
+    feats = features(text, facts or Facts())
     found = []
-    for run in runs_of(text):
-        emit = np.array([w[f].sum(axis=0) for *_, f in run])
-        if len(run) == 1 and emit[0, B] + trans[O, B] + trans[B, O] <= emit[0, O] + 2 * trans[O, O]:
-            continue
-        open_ = None
-        for (b, e, _), tag in zip([*run, (0, 0, [])], [*viterbi(emit, trans), O], strict=True):
-            if open_ and tag != I:
-                found.append(("crf", *open_))
-                open_ = None
-            if tag == B:
-                open_ = (b, e)
-            elif tag == I and open_:
-                open_ = (open_[0], e)
+    if len(feats):
+        emit = w[feats].sum(axis=1)
+        at = np.flatnonzero(open_words(emit, trans))
+        where = places(text) if len(at) else []
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+            open_ = None
+            for k, tag in zip([*run, -1], [*viterbi(emit[run], trans), O], strict=True):
+                b, e = where[k]
+                if open_ and tag != I:
+                    found.append(("crf", *open_))
+                    open_ = None
+                if tag == B:
+                    open_ = (b, e)
+                elif tag == I and open_:
+                    open_ = (open_[0], e)
     taken = sorted((b, e) for _, b, e in spans)
     extra = [s for s in found if s[1] < s[2] and not any(b < s[2] and s[1] < e for b, e in taken)]
     return sorted([*spans, *extra], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -314,12 +430,13 @@ def scan_secrets(docs: DataFrame, model=None, id_col: str = "doc_id", text_col:
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema) if carry else ""
 
     def run(batches):
+        facts = Facts()
         for b in batches:
             kinds = []
             texts = b.column(0)
             for t in texts:
                 t = t.as_py() or ""
-                kinds.append([{"kind": k, "start": x, "end": y} for k, x, y in all_spans(t, t.encode(), model)])
+                kinds.append([{"kind": k, "start": x, "end": y} for k, x, y in all_spans(t, t.encode(), model, facts)])
             spans = pa.array(kinds, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], spans], names=[*carry, "_spans"])
 

@@ -188,6 +188,34 @@ def test_secrets(spark, odd):
     assert secrets.mask_secrets(odd).columns == odd.columns and secrets.mask_secrets(odd.limit(0)).count() == 0
 
 
+def test_secrets_without_digits():
+    """Words without a digit are tagged as all others, also as a part of a secret of several words."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    model = secrets.fit(*secrets.training_set([]))
+    found = lambda t: [t[b:e] for _, b, e in secrets.all_spans(t, t.encode(), model)]
+    assert found("then pwd = correcthorsebatterystaple and go") == ["correcthorsebatterystaple"]
+    keys = ["".join(rng.choices(letters, k=24)) for _ in range(40)]
+    for lead in ("Authorization: Bearer ", "the auth "):
+        assert sum(found(f"see {lead}{k} again") == [k] for k in keys) >= 38
+    wrapped = [f"{k[:14]}7 {k[14:]}" for k in keys]
+    assert sum(found(f"my key {w} for that") == [w] for w in wrapped) >= 36
+    for plain in ("the key points are clear", "Author: Washington and the keyboard", "JavaScript, see https://www.example.com/path/to/page.html", "Donaudampfschifffahrt " * 9):
+        assert found(plain) == []
+
+
+def test_secret_runs_are_those_of_the_whole_text():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        emit, trans = rng.standard_normal((60, 3)) * 2, rng.standard_normal((3, 3)) + secrets.FORBIDDEN
+        emit[:, secrets.O] += 4
+        want, at = secrets.viterbi(emit, trans), np.flatnonzero(secrets.open_words(emit, trans))
+        got = np.full(60, secrets.O)
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+            got[run] = secrets.viterbi(emit[run], trans)
+        assert got.tolist() == want
+
+
 def test_secret_field_is_exact():
     """Viterbi and the partition function against all taggings of short runs."""
     rng = np.random.default_rng(5)
