@@ -3,8 +3,9 @@
 A text is reduced to its words (lower-cased, one space between two). Rules are
 regular expressions on that form, built from the families below: for each version
 of a family an SPDX tag, a licensing notice and the name with its version, and for
-each family a notice and the bare name - some 350 rules. A rule is tried only on
-texts that hold its keyword. The detections of a text are ordered by start, longest
+each family a notice and the bare name - some 600 rules. A rule is tried only on
+texts that hold its keyword, a word that each of its alternatives must hold; a name
+with several spellings has a rule for each such word. The detections of a text are ordered by start, longest
 first, higher priority first, and a detection whose interval lies in that of one
 kept before is suppressed, so "GNU General Public License, version 3" is one
 detection and not three.
@@ -30,7 +31,7 @@ from noisesift.llm.common import query, table
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# label, name on normalised words, keyword that gates it, versions
+# label, name on normalised words, keyword that gates the alternatives of the name that hold it, versions
 FAMILIES = (
     ("apache", "apache(?: software)?(?: public)? license|apache(?= v? ?[12])", "apache", ("1.0", "1.1", "2.0")),
     ("mit", "mit license|mit(?= licensed)|expat license", "mit", ()),
@@ -41,11 +42,8 @@ FAMILIES = (
     ("bsd", "bsd(?: style)? license", "bsd", ()),
     ("0bsd", "0bsd(?: license)?|zero clause bsd(?: license)?", "bsd", ()),
     ("gpl", "(?:gnu )?general public license|gnu gpl|gpl", "gpl", ("1.0", "2.0", "3.0")),
-    ("gpl", "(?:gnu )?general public license", "public", ("1.0", "2.0", "3.0")),
     ("lgpl", "(?:gnu )?(?:lesser|library) general public license|gnu lgpl|lgpl", "lgpl", ("2.0", "2.1", "3.0")),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public license", "public", ("2.0", "2.1", "3.0")),
     ("agpl", "(?:gnu )?affero general public license|gnu agpl|agpl", "agpl", ("1.0", "3.0")),
-    ("agpl", "(?:gnu )?affero general public license", "affero", ("1.0", "3.0")),
     ("gfdl", "(?:gnu )?free documentation license|gnu fdl|gfdl", "documentation", ("1.1", "1.2", "1.3")),
     ("mpl", "mozilla public license|mpl", "mozilla", ("1.0", "1.1", "2.0")),
     ("epl", "eclipse public license|epl", "eclipse", ("1.0", "2.0")),
@@ -70,11 +68,8 @@ FAMILIES = (
     ("wtfpl", "wtfpl|do what the fuck you want to public license", "wtfpl", ("2.0",)),
     ("cc0", "cc0|creative commons zero|cc zero", "cc0", ("1.0",)),
     ("cc-by", "cc by|creative commons attribution", "cc", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by", "creative commons attribution", "creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc-by-sa", "cc by sa|creative commons attribution share ?alike", "cc", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", "creative commons attribution share ?alike", "creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nc", "cc by nc|creative commons attribution non ?commercial", "cc", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", "creative commons attribution non ?commercial", "creative", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nd", "cc by nd|creative commons attribution no ?deriv(?:s|atives)", "cc", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nc-sa", "cc by nc sa|creative commons attribution non ?commercial share ?alike", "cc", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nc-nd", "cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives)", "cc", ("1.0", "2.0", "2.5", "3.0", "4.0")),
@@ -100,10 +95,44 @@ FAMILIES = (
 _NOTICE = "(?:(?:licensed|released|distributed|available|provided|published) under|subject to|covered by|governed by) (?:the )?(?:terms of (?:the )?)?"
 
 
+_COMMON = ("license", "public", "open", "software")
+
+
+def alternatives(name: str) -> list[str]:
+    """The alternatives of a name, at its top level."""
+    out, depth = [""], 0
+    for c in name:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def held_words(alternative: str) -> list[str]:
+    """The whole words that every match of an alternative holds."""
+    plain = re.sub(r"\(\?=[^()]*\)|\(\?:[^()]*\)\?", "", alternative)
+    plain = re.sub(r"(\(\?:)((?: [^()|]*\|?)+)\)", " ~", plain)  # choices that begin with a space
+    plain = re.sub(r"\(\?:[^()]*\)|\w* \?", "~", plain)
+    return [w for w in plain.split() if re.fullmatch("[0-9a-z]+", w)]
+
+
+def gated(name: str, keyword: str) -> dict[str, str]:
+    """The alternatives of a name by a word that they must hold: the given keyword, or else their longest word."""
+    out: dict[str, list[str]] = {}
+    for a in alternatives(name):
+        held = held_words(a)
+        gate = keyword if keyword in held else max(held, key=lambda w: (w not in _COMMON, len(w)))
+        out.setdefault(gate, []).append(a)
+    return {k: "|".join(v) for k, v in out.items()}
+
+
 def rules() -> list[dict]:
     """The ordered rules: label, keyword, regex on normalised words, priority."""
+    spellings = [(label, name, gate, versions) for label, names, keyword, versions in FAMILIES for gate, name in gated(names, keyword).items()]
     out = []
-    for label, name, keyword, versions in FAMILIES:
+    for label, name, keyword, versions in spellings:
         name = f"(?:{name})"
         for v in versions:
             major, _, minor = v.partition(".")
@@ -118,7 +147,7 @@ def rules() -> list[dict]:
             out.append({"label": label, "keyword": "spdx", "regex": f" spdx license identifier {spdx}(?= )", "priority": 5})
         out.append({"label": label, "keyword": keyword, "regex": f" {_NOTICE}{name}(?= )", "priority": 2})
         out.append({"label": label, "keyword": keyword, "regex": f" {name}(?= )", "priority": 1})
-    return out
+    return list({tuple(r.values()): r for r in out}.values())
 
 
 def normalised(text: Column) -> Column:

@@ -168,6 +168,41 @@ def test_licenses(spark, odd):
     assert len(licenses.rules()) > 200
 
 
+def test_license_gates(spark):
+    """Every alternative of a name holds the keyword of its rule, so no match is lost before it is tried."""
+    import re._parser as parser
+
+    def strings(tree):
+        out = [""]
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "SUBPATTERN":
+                more = strings(arg[3])
+            elif op == "BRANCH":
+                more = [x for part in arg[1] for x in strings(part)]
+            elif op == "MAX_REPEAT":
+                more = [x for n in range(arg[0], arg[1] + 1) for x in (strings(arg[2]) if n else [""])]
+            elif op == "IN":
+                more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+            else:
+                assert op == "ASSERT"
+                more = [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    for label, names, keyword, _ in licenses.FAMILIES:
+        parts = licenses.gated(names, keyword)
+        assert sorted(a for p in parts.values() for a in licenses.alternatives(p)) == sorted(licenses.alternatives(names))
+        for gate, name in parts.items():
+            assert all(gate in x.split() for x in strings(parser.parse(name))), (label, gate)
+    texts = ["Licensed under MPL 2.0", "EPL-2.0", "0BSD", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "European Union Public License", "Creative Commons Zero", "PSF license", "BSL 1.0", "under the ODbL"]
+    want = ["mpl-2.0", "epl-2.0", "0bsd", "cc-by-nc-sa-4.0", "eupl", "cc0", "python", "boost-1.0", "odbl"]
+    got = {r["doc_id"]: [d["label"] for d in r["detections"]] for r in licenses.scan(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [[w] for w in want]
+
+
 def test_secrets(spark, odd):
     key = "AKIA" + "Q7" * 8
     texts = [
