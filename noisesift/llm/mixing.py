@@ -33,6 +33,9 @@ from noisesift.llm.common import query, staged, table
 WEIGHTS = (5.0, 2.0, 1.0)
 SLOPES = (0.5, 0.0, -0.5)
 CAP = 3
+SALTS = 256
+#: repeated keys that a join may broadcast
+BROADCAST_KEYS = 100_000
 
 
 def n_words(text: str) -> Column:
@@ -105,23 +108,49 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, id
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The mixed corpus: rows of ``docs``, once a copy, range-sorted by training position; same columns.
 
-    Rows are matched to their plan by id; rows that repeat an id are numbered
-    first, so each keeps its own copies.
+    Rows are matched to their plan by id, source and size; on both sides the rows that
+    repeat these are numbered, and matched by their number too.
     """
     names = docs.columns
-    plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(
-        F.flatten(F.sort_array(F.collect_list("positions"))).alias("_at"), F.count("*").alias("_rows")
-    )
-    rows = docs.withColumn("_n", n_words(f"`{text_col}`"))
-    joined = rows.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("_size")))
-    single = joined.where("_rows = 1")
-    # repeated rows: the copies of all of them, carried by one
-    several = joined.where("_rows > 1").dropDuplicates(names)
-    laid = single.unionByName(several).withColumn("_position", F.explode("_at"))
+    key = ["_id", "_src", "_size"]
+    plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("positions").alias("_at"))
+    repeated = staged(plan.where("_size > 0").groupBy(*key).count().where("count > 1").select(*key), "repeated")
+    several = repeated.count()
+    plan = plan.where("size(_at) > 0")
+    rows = docs.withColumn("_id", F.col(f"`{id_col}`")).withColumn("_src", F.col(f"`{source_col}`")).withColumn("_size", n_words(f"`{text_col}`"))
+    if several:
+        few = F.broadcast(repeated) if several <= BROADCAST_KEYS else repeated
+        again = _matched(_numbered(_matched(rows, few, key, "left_semi"), key), _numbered(_matched(plan, few, key, "left_semi"), key), [*key, "_number"])
+        rows, plan = _matched(rows, few, key, "left_anti"), _matched(plan, few, key, "left_anti")
+    joined = _matched(rows, plan, key).select(*[f"`{c}`" for c in names], "_at")
+    if several:
+        joined = joined.unionByName(again.select(*[f"`{c}`" for c in names], "_at"))
+    laid = joined.withColumn("_position", F.explode("_at"))
     return laid.repartitionByRange("_position").sortWithinPartitions("_position").select(*[f"`{c}`" for c in names])
 
 
+def _matched(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null meeting null."""
+    right = right.select(*[F.col(c).alias(f"_r{c}") if c in key else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+    out = left.join(right, on, how)
+    return out if how != "inner" else out.drop(*[f"_r{c}" for c in key])
+
+
+def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows numbered from 0 within their key; a key is numbered in ``SALTS`` parts, laid end to end."""
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered").withColumn("_salt", F.pmod("_row", F.lit(SALTS)))
+    parts = rows.groupBy(*key, "_salt").count()
+    before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*key, "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    in_part = Window.partitionBy(*key, "_salt").orderBy("_row")
+    out = _matched(rows.withColumn("_number", F.row_number().over(in_part)), parts, [*key, "_salt"])
+    return out.withColumn("_number", F.col("_number") + F.col("_before")).drop("_row", "_salt", "_before")
+
+
 @query("op10_curriculum_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents"))

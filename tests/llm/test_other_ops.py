@@ -208,6 +208,21 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.plan_mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_rows_that_share_an_id(spark):
+    """Differing rows of one id, source and size get the copies of one row each."""
+    rows = [(None, f"w{k} b", "en", "s0", k) for k in range(40)] + [(7, f"v{k} c", "en", "s1", k) for k in range(30)]
+    rows += [(7, "same text", "en", "s1", 0)] * 5 + [(100 + k, f"x{k} y z", "en", "s2", k) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plan = mixing.plan_mix(docs).collect()
+    out = mixing.mix(docs).collect()
+    for source in ("s0", "s1", "s2"):
+        assert sum(r["source"] == source for r in out) == sum(r["copies"] for r in plan if r["source"] == source)
+        want = Counter(r["copies"] for r in plan if r["source"] == source and r["copies"])
+        got = Counter(Counter(r["text"] for r in out if r["source"] == source and r["text"] != "same text").values())
+        assert max(got) <= mixing.CAP and all(got[n] <= want[n] for n in got)
+        assert source == "s1" or got == want
+
+
 def test_curriculum_follows_the_schedule(spark):
     """With slope s, the first half of training sees half minus s/4 of a source's words."""
     rows = [(i, "w " * 10, None, f"s{i % 3}", 0) for i in range(3000)]
