@@ -134,7 +134,8 @@ def ordered_position(
         nq = min(nb, 4096)
         x = df.withColumn("__od", value)
         cuts = sorted(set(x.approxQuantile("__od", [i / nq for i in range(1, nq)], 1.0 / (4 * nq))))
-        splits = [float("-inf"), *[c for c in cuts if c == c and abs(c) != float("inf")], float("inf")]
+        finite = [c for c in cuts if c == c and abs(c) != float("inf")]
+        splits = [float("-inf"), *(finite or [0.0]), float("inf")]  # a table without finite values is cut anywhere
         # "keep" puts NaN into a range after all others
         x = Bucketizer(splits=splits, inputCol="__od", outputCol="__bq", handleInvalid="keep").transform(x)
         bucket = F.when(F.col("__od").isNull(), F.lit(-1)).otherwise(F.col("__bq")).cast("long")

@@ -124,6 +124,22 @@ def h9_halving_survivors(spark: SparkSession, d: str):
     return runs.halving_survivors(_hist(spark, d), grace=5, eta=2, max_t=20)
 
 
+def halving_sql(rungs: list[int]) -> str:
+    """DuckDB text of ``runs.halving_survivors`` over the rungs, each on the survivors of the one before."""
+    sql, before = HIST_SQL, ""
+    for t in rungs:
+        sql += f""",
+a{t} AS (SELECT trial, value, row_number() OVER (ORDER BY value DESC, trial) AS rank, count(*) OVER () AS n FROM h WHERE iteration = {t}{before}),
+k{t} AS (SELECT trial, value, rank FROM a{t} WHERE rank <= ceil(n / 2))"""
+        before = f" AND trial IN (SELECT trial FROM k{t})"
+    return sql + "\n" + " UNION ALL ".join(f"SELECT {t} AS rung, trial, value, rank FROM k{t}" for t in rungs)
+
+
+@register("h9_halving_survivors_all_rungs", halving_sql([5, 10, 20, 40, 80]))
+def h9_halving_survivors_all_rungs(spark: SparkSession, d: str):
+    return runs.halving_survivors(_hist(spark, d), grace=5, eta=2, max_t=100)
+
+
 @register("h10_best_trial", LOG + """
 , h AS (SELECT experiment, version AS trial, step + 1 AS iteration, value FROM s WHERE metric = 'Val/acc'),
 per AS (SELECT experiment, trial, max(value) AS best_value, arg_max(iteration, value * 1e6 - iteration) AS best_iteration FROM h GROUP BY ALL),
