@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noisesift.llm import embeddings, html, language, licenses, minhash, mixing, packing, quality, secrets, spotsigs  # noqa: F401
+from noisesift.llm import embeddings, html, language, licenses, manifest, minhash, mixing, packing, quality, runs, secrets, spotsigs, urls  # noqa: F401
 from noisesift.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
