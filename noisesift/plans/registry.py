@@ -12,7 +12,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ["curation", "shaping", "sampling_plans", "text_plans", "vector_plans", "metric_plans", "run_plans", "contrast_plans", "io_plans", "stream_plans"]
+_MODULES = ["curation", "shaping", "sampling_plans", "text_plans", "vector_plans", "metric_plans", "run_plans", "contrast_plans", "gate_plans", "io_plans", "stream_plans"]
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[QueryFn], QueryFn]:
