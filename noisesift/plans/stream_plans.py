@@ -53,6 +53,29 @@ def k3_stream_profile(spark: SparkSession, d: str):
     return out.select("class", F.col("dim").cast("int").alias("dim"), F.round("profile", 6).alias("profile"))
 
 
+# The same over micro-batches of one file each, some batches split over two of them.
+FILES = 12
+
+
+@register("k1_stream_bank_weight_batches")
+def k1_stream_bank_weight_batches(spark: SparkSession, d: str):
+    src = bank.stage_stream_files(spark, _rows(spark, d), FILES)
+    return bank.stream_bank(spark, src, "weight", TTU, K, DIM, files_per_trigger=1).select("class", "slot", "vec_id", "score", "life", "last_batch")
+
+
+@register("k2_stream_bank_time_batches")
+def k2_stream_bank_time_batches(spark: SparkSession, d: str):
+    src = bank.stage_stream_files(spark, _rows(spark, d), FILES)
+    return bank.stream_bank(spark, src, "time", TTU, K, DIM, files_per_trigger=1).select("class", "slot", "vec_id", "score", "life", "last_batch")
+
+
+@register("k3_stream_profile_batches", ORACLES["j9_momentum_profile"])
+def k3_stream_profile_batches(spark: SparkSession, d: str):
+    src = bank.stage_stream_files(spark, _rows(spark, d), FILES)
+    out = bank.stream_profile(spark, src, 0.9, files_per_trigger=1)
+    return out.select("class", F.col("dim").cast("int").alias("dim"), F.round("profile", 6).alias("profile"))
+
+
 # --------------------------------------------------------------- K1 / K2 oracles
 # The bank replayed in SQL: a recursive CTE whose working table is every class's K
 # slots after step t (t = the class's t-th batch in order). Each step ranks slots
@@ -123,3 +146,5 @@ def bank_oracle_sql(policy: str) -> str:
 
 ORACLES["k1_stream_bank_weight"] = bank_oracle_sql("weight")
 ORACLES["k2_stream_bank_time"] = bank_oracle_sql("time")
+ORACLES["k1_stream_bank_weight_batches"] = ORACLES["k1_stream_bank_weight"]
+ORACLES["k2_stream_bank_time_batches"] = ORACLES["k2_stream_bank_time"]

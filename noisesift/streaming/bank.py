@@ -15,7 +15,14 @@ seeded random unit vectors with score 1 and life ``ttu``. One update step
 A replaced slot gets the row's vector, score = weight, life = ``ttu``.
 Only the 2K smallest and K largest weights of a step can enter the bank, so
 inputs are reduced to those before a class's rows meet in one task (window
-limits in batch; a bounded running merge over Arrow chunks in streaming).
+limits in batch; in streaming twice, per partition and per shard of a class, so a
+hot class reaches its state as at most ``shards * 3K`` rows a step).
+
+A step may be spread over several micro-batches: its rows are pending (reduced, in the
+state) until ``open_batches`` later batch ids of the class have come. What is emitted after each
+micro-batch is the bank as if the pending steps ended there, with a rising ``version``; the last
+version of a class is its bank. A row that comes after its step was closed counts to the oldest
+pending one, so none is lost.
 Lives age by one per step of the class (the reference ages every class on
 every class's step; documented deviation).
 """
@@ -158,44 +165,66 @@ def bank_apply_batch(bank: DataFrame, rows: DataFrame, policy: str, ttu: float,
 
 
 # ---------------------------------------------------------------- K1-K3 (streaming)
-STATE_SCHEMA = "vecs array<array<double>>, scores array<double>, lives array<double>, ids array<long>"
-STREAM_OUT = "class int, slot int, vec_id long, score double, life double, last_batch long"
+PENDING = "p_batch array<long>, p_ids array<long>, p_w array<double>, p_vecs array<array<double>>"
+STATE_SCHEMA = f"vecs array<array<double>>, scores array<double>, lives array<double>, ids array<long>, version long, closed long, {PENDING}"
+STREAM_OUT = "class int, slot int, vec_id long, score double, life double, last_batch long, version long"
+NEVER = -(1 << 62)  # no batch is closed yet
+SHARDS = 8
 
 
-def _bank_fn(policy: str, ttu: float, k: int, dim: int, seed: int):
+def _to_open(batch: int, closed: int, held: dict) -> int:
+    """The step a row counts to: its own, or the oldest pending one if its own is closed."""
+    if batch > closed:
+        return batch
+    later = [b for b in held if b > closed]
+    return min(later) if later else closed + 1
+
+
+def _bank_fn(policy: str, ttu: float, k: int, dim: int, seed: int, open_batches: int):
     from pyspark.sql.streaming.state import GroupState
 
+    def apply(st, g: pd.DataFrame):
+        return bank_step(st, np.stack(g["vec"].to_numpy()), g["w"].to_numpy(float), g["vec_id"].to_numpy(np.int64), policy, ttu)
+
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         c = _class_of(key[0])
+        cand: dict[int, pd.DataFrame] = {}
+        version, closed = 0, NEVER
         if state.exists:
-            vecs, scores, lives, ids = state.get
+            vecs, scores, lives, ids, version, closed, pb, pi, pw, pv = state.get
             st = {"vecs": np.array([np.asarray(v, float) for v in vecs]), "scores": np.asarray(scores, float),
                   "lives": np.asarray(lives, float), "ids": np.asarray(ids, np.int64)}
+            held = pd.DataFrame({"b": pb, "vec_id": pi, "w": pw, "vec": [np.asarray(v, float) for v in pv]})
+            cand = {int(b): g.drop(columns="b") for b, g in held.groupby("b")}
         else:
             st = initial_class_bank(c, k, dim, ttu, seed)
-        # Bounded running merge: per batch id keep only the rows a step can use.
-        cand: dict[int, pd.DataFrame] = {}
+        # Bounded running merge: per step keep only the rows it can use.
+        came: dict[int, pd.DataFrame] = {}
         for pdf in pdfs:
-            for b, g in pdf.groupby("batch_id", dropna=False):
-                cur = cand.get(_batch_of(b))
-                cand[_batch_of(b)] = reduce_candidates(g if cur is None else pd.concat([cur, g]), k)
-        last = -1
+            for b, g in pdf[["batch_id", "vec_id", "w", "vec"]].groupby("batch_id", dropna=False):
+                g, b = g.drop(columns="batch_id"), _batch_of(b)
+                came[b] = reduce_candidates(pd.concat([came[b], g]) if b in came else g, k)
+        for b in sorted(came, reverse=True):  # newest first, so that late rows find the pending steps
+            to = _to_open(b, closed, cand)
+            cand[to] = reduce_candidates(pd.concat([cand[to], came[b]]) if to in cand else came[b], k)
+        for b in sorted(cand)[: max(0, len(cand) - open_batches)]:
+            st, closed = apply(st, cand.pop(b)), b
+        now, last = st, closed
         for b in sorted(cand):
-            g = cand[b]
-            st = bank_step(st, np.stack(g["vec"].to_numpy()), g["w"].to_numpy(float), g["vec_id"].to_numpy(np.int64), policy, ttu)
-            last = b
-        state.update(([list(map(float, v)) for v in st["vecs"]], list(map(float, st["scores"])),
-                      list(map(float, st["lives"])), list(map(int, st["ids"]))))
-        yield pd.DataFrame({"class": pd.array([c] * k, dtype="Int32"), "slot": np.arange(k), "vec_id": st["ids"], "score": st["scores"],
-                            "life": st["lives"], "last_batch": last})
+            now, last = apply(now, cand[b]), b
+        pend = [(b, int(i), float(w), list(map(float, v))) for b, g in sorted(cand.items()) for i, w, v in zip(g["vec_id"], g["w"], g["vec"], strict=True)]
+        state.update(([list(map(float, v)) for v in st["vecs"]], list(map(float, st["scores"])), list(map(float, st["lives"])), list(map(int, st["ids"])),
+                      version + 1, closed, *([r[j] for r in pend] for j in range(4))))
+        yield pd.DataFrame({"class": pd.array([c] * k, dtype="Int32"), "slot": np.arange(k), "vec_id": now["ids"], "score": now["scores"],
+                            "life": now["lives"], "last_batch": last, "version": version + 1})
 
     return fn
 
 
 def _partition_candidates(k: int):
     """Stateless, per partition: keep for every (class, batch) only the rows a bank step
-    can use (2k smallest, k largest weights). Exact, and a hot class reaches its
-    stateful task as at most 3k rows per partition and batch."""
+    can use (2k smallest, k largest weights). Exact, and a hot class leaves
+    a partition as at most 3k rows a batch."""
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cand: dict[tuple[int, int], pd.DataFrame] = {}
@@ -223,61 +252,80 @@ def _partition_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "n": [acc[x][1] for x in keys], "vec": [acc[x][0] for x in keys]})
 
 
-def _profile_fn(m: float):
+def _profile_fn(m: float, open_batches: int):
     from pyspark.sql.streaming.state import GroupState
 
+    def fold(prof, s: np.ndarray, n: int) -> np.ndarray:
+        return s / n if prof is None else m * prof + (1 - m) * s / n
+
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         c = _class_of(key[0])
-        prof = np.asarray(state.get[0], float) if state.exists else None
+        prof, version, closed = None, 0, NEVER
         sums: dict[int, tuple[np.ndarray, int]] = {}
+        if state.exists:
+            old, version, closed, pb, pn, pv = state.get
+            prof = np.asarray(old, float) if len(old) else None
+            sums = {int(b): (np.asarray(v, float), int(n)) for b, n, v in zip(pb, pn, pv, strict=True)}
+        came: dict[int, tuple[np.ndarray, int]] = {}
         for pdf in pdfs:  # partial sums per partition: memory bounded by batches x dim
             for b, g in pdf.groupby("batch_id", dropna=False):
-                s = np.stack(g["vec"].to_numpy()).sum(axis=0)
-                prev = sums.get(_batch_of(b))
-                sums[_batch_of(b)] = (s, int(g["n"].sum())) if prev is None else (prev[0] + s, prev[1] + int(g["n"].sum()))
-        last = -1
+                s, n = np.stack(g["vec"].to_numpy()).sum(axis=0), int(g["n"].sum())
+                prev = came.get(_batch_of(b))
+                came[_batch_of(b)] = (s, n) if prev is None else (prev[0] + s, prev[1] + n)
+        for b in sorted(came, reverse=True):
+            to = _to_open(b, closed, sums)
+            prev = sums.get(to)
+            sums[to] = came[b] if prev is None else (prev[0] + came[b][0], prev[1] + came[b][1])
+        for b in sorted(sums)[: max(0, len(sums) - open_batches)]:
+            prof, closed = fold(prof, *sums.pop(b)), b
+        now, last = prof, closed
         for b in sorted(sums):
-            q = sums[b][0] / sums[b][1]
-            prof = q if prof is None else m * prof + (1 - m) * q
-            last = b
-        if prof is None:
+            now, last = fold(now, *sums[b]), b
+        if now is None:
             return
-        state.update((list(map(float, prof)),))
-        yield pd.DataFrame({"class": pd.array([c] * len(prof), dtype="Int32"), "dim": np.arange(len(prof)), "profile": prof, "last_batch": last})
+        pend = sorted(sums.items())
+        state.update(([] if prof is None else list(map(float, prof)), version + 1, closed,
+                      [b for b, _ in pend], [n for _, (_, n) in pend], [list(map(float, s)) for _, (s, _) in pend]))
+        yield pd.DataFrame({"class": pd.array([c] * len(now), dtype="Int32"), "dim": np.arange(len(now)), "profile": now, "last_batch": last, "version": version + 1})
 
     return fn
 
 
-def bank_updates(stream: DataFrame, policy: str, ttu: float, k: int, dim: int, seed: int = 0) -> DataFrame:
+def bank_updates(stream: DataFrame, policy: str, ttu: float, k: int, dim: int, seed: int = 0, open_batches: int = 1, shards: int = SHARDS) -> DataFrame:
     """K1 / K2 as a streaming DataFrame (not started): ``stream`` carries
     ``(class, batch_id, vec_id, w, vec)`` from any source; the result emits each
     class's K slots after every micro-batch that touched it (append mode), to any sink."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     reduced = stream.mapInPandas(_partition_candidates(k), stream.schema)
+    reduced = reduced.repartition(shards, "class", "batch_id", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).mapInPandas(_partition_candidates(k), stream.schema)
     return reduced.groupBy("class").applyInPandasWithState(
-        _bank_fn(policy, ttu, k, dim, seed), STREAM_OUT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _bank_fn(policy, ttu, k, dim, seed, open_batches), STREAM_OUT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
 
+PROFILE_OUT = "class int, dim long, profile double, last_batch long, version long"
 
-def profile_updates(stream: DataFrame, m: float) -> DataFrame:
+
+def profile_updates(stream: DataFrame, m: float, open_batches: int = 1) -> DataFrame:
     """K3 as a streaming DataFrame (not started): running profile rows per class."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     sums = stream.mapInPandas(_partition_sums, "class int, batch_id long, n long, vec array<double>")
     return sums.groupBy("class").applyInPandasWithState(
-        _profile_fn(m), "class int, dim long, profile double, last_batch long", "profile array<double>", "append",
+        _profile_fn(m, open_batches), PROFILE_OUT,
+        "profile array<double>, version long, closed long, p_batch array<long>, p_n array<long>, p_vecs array<array<double>>", "append",
         GroupStateTimeout.NoTimeout)
 
 
-def _run_to_table(spark: SparkSession, updates: DataFrame, out_schema: str, name: str) -> DataFrame:
+def _run_to_table(spark: SparkSession, updates: DataFrame, out_schema: str, name: str, at: str | None = None) -> DataFrame:
     """Drive a streaming result over everything available into a Parquet table in the
-    shared checkpoint folder (stream checkpoint alongside), then read the table."""
-    out = scratch_dir(spark, f"{name}-out")
-    ckpt = scratch_dir(spark, f"{name}-ckpt")
-    q = (updates.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+    shared checkpoint folder (stream checkpoint alongside), then read the table. A run
+    that is given the folder ``at`` of an earlier one goes on from its state."""
+    at = at or scratch_dir(spark, name)
+    q = (updates.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(out_schema).parquet(out)
+    return spark.read.schema(out_schema).parquet(f"{at}/out")
 
 
 def stage_stream_source(spark: SparkSession, rows: DataFrame, name: str = "bank-src") -> str:
@@ -287,21 +335,48 @@ def stage_stream_source(spark: SparkSession, rows: DataFrame, name: str = "bank-
     return path
 
 
+def stage_stream_files(spark: SparkSession, rows: DataFrame, files: int, name: str = "bank-src") -> str:
+    """Write the rows as ``files`` files, one after another in the order of ``batch_id``; where
+    a border falls inside a batch, its even and odd ids come in different files."""
+    path, held = scratch_dir(spark, name), scratch_dir(spark, f"{name}-rows")
+    rows.write.parquet(held)
+    rows = spark.read.schema(rows.schema).parquet(held)
+    lo, hi = rows.agg(F.min("batch_id"), F.max("batch_id")).first()
+    half = 2 * (F.coalesce("batch_id", F.lit(lo or 0)) - F.lit(lo or 0)) + F.pmod("vec_id", F.lit(2))
+    part = F.floor(half * files / (2 * ((hi or 0) - (lo or 0) + 1)))
+    for k in range(files):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 SOURCE_SCHEMA = "class int, batch_id long, vec_id long, w double, vec array<double>"
 
 
-def stream_bank(spark: SparkSession, source_dir: str, policy: str, ttu: float, k: int, dim: int, seed: int = 0) -> DataFrame:
+def _source(spark: SparkSession, source_dir: str, files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(SOURCE_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(source_dir)
+
+
+def latest(snaps: DataFrame, *keys: str) -> DataFrame:
+    """Of every slot or dimension the row of its last version (an aggregate with map-side combine)."""
+    rest = [c for c in snaps.columns if c not in (*keys, "version")]
+    top = snaps.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_r"))
+    return top.select(*keys, "_r.*").select(*[c for c in snaps.columns if c != "version"])
+
+
+def stream_bank(spark: SparkSession, source_dir: str, policy: str, ttu: float, k: int, dim: int, seed: int = 0,
+                files_per_trigger: int | None = None, open_batches: int = 1, at: str | None = None) -> DataFrame:
     """K1 (``weight``) / K2 (``time``) over a file source: streams the batches through the
-    per-class bank and returns the final bank (the last snapshot of each slot)."""
-    stream = spark.readStream.schema(SOURCE_SCHEMA).parquet(source_dir)
-    snaps = _run_to_table(spark, bank_updates(stream, policy, ttu, k, dim, seed), STREAM_OUT, f"bank-{policy}")
-    w = Window.partitionBy("class", "slot").orderBy(F.col("last_batch").desc())  # <= a few snapshots per slot
-    return snaps.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r")
+    per-class bank, ``files_per_trigger`` files a micro-batch, and returns the final bank."""
+    stream = _source(spark, source_dir, files_per_trigger)
+    snaps = _run_to_table(spark, bank_updates(stream, policy, ttu, k, dim, seed, open_batches), STREAM_OUT, f"bank-{policy}", at)
+    return latest(snaps, "class", "slot")
 
 
-def stream_profile(spark: SparkSession, source_dir: str, m: float) -> DataFrame:
+def stream_profile(spark: SparkSession, source_dir: str, m: float, files_per_trigger: int | None = None, open_batches: int = 1, at: str | None = None) -> DataFrame:
     """K3 over a file source; returns the final profile rows ``(class, dim, profile)``."""
-    stream = spark.readStream.schema(SOURCE_SCHEMA).parquet(source_dir)
-    snaps = _run_to_table(spark, profile_updates(stream, m), "class int, dim long, profile double, last_batch long", "profile")
-    w = Window.partitionBy("class", "dim").orderBy(F.col("last_batch").desc())
-    return snaps.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r", "last_batch")
+    stream = _source(spark, source_dir, files_per_trigger)
+    snaps = _run_to_table(spark, profile_updates(stream, m, open_batches), PROFILE_OUT, "profile", at)
+    return latest(snaps, "class", "dim").drop("last_batch")
