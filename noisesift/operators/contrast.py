@@ -1,10 +1,9 @@
 """Contrastive scoring against a per-class bank.
 
-The bank holds at most K slots per class (a configured bound), so it is
-gathered per class and broadcast; every query row then scores itself against
-its class's bank inside one task, with no N x K row explosion. In-batch
-supervised contrast works on a batch gathered into one array (batches are
-bounded by construction, E10), never on emitted pair rows.
+Every query row scores itself against its class's bank inside one task, with no
+N x K row explosion; the bank comes in broadcast blocks of bounded size. In-batch
+supervised contrast works on pairs of tiles of a batch, never on emitted pair rows
+(``tiles``).
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from noisesift.functions.vectors import dot, logsumexp
 from noisesift.operators.joins import batch_partners, score_against_bank
 from noisesift.operators.ranking import keyed_join, ordered_position
+from noisesift.operators.tiles import info_nce_blocks, supervised_contrast_tiles
 
 # Score of a bank slot that was never written.
 INITIAL_BANK_SCORE = 1.0
@@ -58,13 +58,12 @@ def info_nce(queries: DataFrame, bank: DataFrame, temperature: float = 0.07, key
     clean query ``q`` and the augmented query ``q_aug`` stacked; mean cross-entropy.
 
     ``queries``: ``(batch_id, class, q, q_aug, k)``; ``bank``: ``(class, slot, vec)``.
-    Output: ``batch_id, class, loss, n`` (n = stacked rows). ``method``: ``builtin`` (the
-    bank joined by class), ``arrow`` (the bank broadcast) or ``auto``: arrow unless the bank
-    is over the size that may be broadcast. Both give the same rows; a null class has no bank.
+    Output: ``batch_id, class, loss, n`` (n = stacked rows). ``method``: ``auto`` (the bank in
+    blocks of bounded size, see ``tiles``), ``builtin`` (the bank joined by class) or ``arrow``
+    (a small bank as one broadcast). All give the same rows; a null class has no bank.
     """
     if method == "auto":
-        cells = bank.select(F.size("vec").alias("d")).agg(F.sum("d")).first()[0] or 0
-        method = "arrow" if cells <= BANK_COLLECT_LIMIT else "builtin"
+        return info_nce_blocks(queries, bank, temperature, key)
     if method == "arrow":
         return info_nce_arrow(queries, bank, temperature, key)
     stacked = queries.select("batch_id", key, F.col("q").alias("vec"), "k").unionByName(
@@ -78,21 +77,26 @@ def info_nce(queries: DataFrame, bank: DataFrame, temperature: float = 0.07, key
 
 def supervised_contrast(df: DataFrame, temperature: float = 0.07, base_temperature: float = 0.07,
                         vec: str = "vec", label: str = "class", id_col: str = "vec_id", max_batch: int = 4096,
-                        method: str = "arrow") -> DataFrame:
+                        method: str = "tiles", aug_vecs: Sequence[str] = ()) -> DataFrame:
     """J5. Per anchor: mean over same-class others of ``s_ij - logsumexp_{j != i} s_ij``,
     ``s_ij = x_i.x_j / T``; loss = mean over anchors of ``-(T/baseT) * that``.
     Anchors with no same-class partner are dropped (X8). Output per batch: ``loss, anchors``.
-    Rows of a null class are in the sums but have no partners. ``method``: ``arrow`` (any
-    batch size) or ``builtin`` (batches of at most ``max_batch`` rows)."""
-    if method != "builtin":
+    Rows of a null class are in the sums but have no partners. ``aug_vecs``: columns of
+    augmented views, each one more row of the batch. ``method``: ``tiles`` (pairs of tiles, any
+    batch size), ``builtin`` (the same with built-ins, ``max_batch`` partners a row, ids
+    unique in a batch) or ``arrow`` (a batch in one group)."""
+    if method == "tiles" or aug_vecs:
+        return supervised_contrast_tiles(df, temperature, base_temperature, vec, label, aug_vecs=aug_vecs)
+    if method == "arrow":
         return supervised_contrast_arrow(df, temperature, base_temperature, vec, label)
     p = batch_partners(df, id_col, "batch_id", [vec, label], max_batch)
     sims = F.transform("partners", lambda m: F.struct((dot(vec, m[vec]) / F.lit(temperature)).alias("s"), m[label].alias("y")))
-    x = p.select("batch_id", F.col(label).alias("__y"), sims.alias("__s"))
-    lse = logsumexp(F.transform("__s", lambda e: e["s"]))
+    x = p.select("batch_id", F.col(id_col).alias("__id"), F.col(label).alias("__y"), sims.alias("__s"))
     same = F.filter("__s", lambda e: e["y"] == F.col("__y"))
-    mean_pos = F.aggregate(same, F.lit(0.0), lambda a, e: a + e["s"]) / F.size(same)
-    anchors = x.where(F.size(same) > 0).select("batch_id", (-(F.lit(temperature / base_temperature)) * (mean_pos - lse)).alias("__l"))
+    part = x.select("batch_id", "__id", logsumexp(F.transform("__s", lambda e: e["s"])).alias("__lse"),
+                    F.aggregate(same, F.lit(0.0), lambda a, e: a + e["s"]).alias("__pos"), F.greatest(F.size(same), F.lit(0)).alias("__n"))
+    whole = part.where("__lse > double('-inf')").groupBy("batch_id", "__id").agg(logsumexp(F.collect_list("__lse")).alias("__lse"), F.sum("__pos").alias("__pos"), F.sum("__n").alias("__n"))
+    anchors = whole.where("__n > 0").select("batch_id", (-(F.lit(temperature / base_temperature)) * (F.col("__pos") / F.col("__n") - F.col("__lse"))).alias("__l"))
     return anchors.groupBy("batch_id").agg(F.avg("__l").alias("loss"), F.count(F.lit(1)).alias("anchors"))
 
 
@@ -214,7 +218,7 @@ def info_nce_arrow(queries: DataFrame, bank: DataFrame, temperature: float = 0.0
     spark = queries.sparkSession
     n_cells = bank.select(F.size(vec).alias("d")).agg(F.sum("d")).first()[0] or 0
     if n_cells > BANK_COLLECT_LIMIT:
-        return info_nce(queries, bank, temperature, key, method="builtin")
+        return info_nce_blocks(queries, bank, temperature, key, vec)
     rows = bank.select(key, "slot", vec).collect()  # bounded by the check above
     banks: dict = {}
     for r in sorted(rows, key=lambda r: (r[key], r["slot"])):

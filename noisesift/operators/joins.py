@@ -163,13 +163,14 @@ def score_against_bank(queries: DataFrame, bank: DataFrame, vec: str = "vec", ke
     ``bank``: ``(class, slot, vec, score)``, at most K slots per class (a fixed
     bound). Adds ``bank_dots array<double>`` ordered by slot. ``builtin``: each
     class's bank gathered into one array, broadcast-joined and dotted with
-    higher-order functions (small banks). ``arrow``: the bank is one broadcast
-    variable and each Arrow batch of queries is scored per class by one matrix
-    product. ``auto``: arrow unless the bank is over the size that may be broadcast.
+    higher-order functions (small banks). ``arrow``: a small bank as one broadcast
+    variable, each Arrow batch of queries scored per class by one matrix
+    product. ``auto``: the bank in broadcast blocks of bounded size (``tiles.score_blocks``).
     """
     if method == "auto":
-        cells = bank.select(F.size(vec).alias("d")).agg(F.sum("d")).first()[0] or 0
-        method = "arrow" if cells <= BANK_COLLECT_CELLS else "builtin"
+        from noisesift.operators.tiles import score_blocks
+
+        return score_blocks(queries, bank, vec, key)
     if method == "arrow":
         return _score_against_bank_arrow(queries, bank, vec, key)
     n_bank = bank.count()  # bounded by K x classes; checked before it is broadcast
@@ -188,7 +189,7 @@ def _score_against_bank_arrow(queries: DataFrame, bank: DataFrame, vec: str, key
 
     cells = bank.select(F.size(vec).alias("d")).agg(F.sum("d")).first()[0] or 0
     if cells > BANK_COLLECT_CELLS:
-        return score_against_bank(queries, bank, vec, key, method="builtin")
+        return score_against_bank(queries, bank, vec, key, method="auto")
     rows = bank.select(key, "slot", vec).collect()  # bounded by the check above
     banks: dict = {}
     for r in sorted(rows, key=lambda r: (r[key], r["slot"])):
@@ -214,20 +215,20 @@ def _score_against_bank_arrow(queries: DataFrame, bank: DataFrame, vec: str, key
 
 
 def batch_partners(df: DataFrame, id_col: str, batch_col: str, payload: Sequence[str], max_batch: int = 4096) -> DataFrame:
-    """D9 (re-aimed). Every row gets the other members of its batch as one array.
+    """D9 (re-aimed). Every row gets the other members of its batch as arrays of about ``max_batch``.
 
-    Pairs are never emitted as rows: the batch (bounded by ``max_batch``,
-    checked) is gathered once per batch and each anchor filters itself out.
+    Pairs are never emitted as rows. A batch of up to ``max_batch`` rows gives each row one array;
+    a larger one is cut into tiles, and a row comes once per tile with that tile's members, so
+    no array holds the batch. Ids are unique in a batch; rows without a batch have no partners and are left out.
     """
-    members = df.groupBy(batch_col).agg(
-        F.collect_list(F.struct(F.col(id_col).alias("pid"), *[F.col(c) for c in payload])).alias("__m"),
-        F.count(F.lit(1)).alias("__bn"),
-    )
-    big = members.where(F.col("__bn") > max_batch).limit(1).count()
-    if big:
-        raise ValueError(f"a batch holds more than {max_batch} rows; batch the data first (E10)")
-    j = df.join(members.drop("__bn"), batch_col)
-    return j.withColumn("partners", F.filter("__m", lambda m: m["pid"] != F.col(id_col))).drop("__m")
+    from noisesift.operators.tiles import tiled
+
+    cut = tiled(df.where(F.col(batch_col).isNotNull()), batch_col, max_batch)
+    members = cut.groupBy(F.col(batch_col).alias("__mb"), F.col("__tile").alias("__mt")).agg(
+        F.collect_list(F.struct(F.col(id_col).alias("pid"), *[F.col(c) for c in payload])).alias("__m"))
+    each = cut.withColumn("__tile", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)))
+    j = each.join(members, (F.col(batch_col) == F.col("__mb")) & (F.col("__tile") == F.col("__mt")))
+    return j.withColumn("partners", F.filter("__m", lambda m: m["pid"] != F.col(id_col))).drop("__m", "__mb", "__mt", "__row", "__tile", "__tiles")
 
 
 def pair_sides_sampled(side1: DataFrame, side2: DataFrame, n: int, id1: str, id2: str,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from noisesift import fixtures
 from noisesift.fixtures import with_views
 from noisesift.functions.metrics import cross_entropy
-from noisesift.operators import contrast, sampling, weights
+from noisesift.operators import contrast, sampling, tiles, weights
 from noisesift.operators.ranking import hash_fraction
 from noisesift.plans.registry import register
 from noisesift.plans.sampling_plans import hexfrac_sql
@@ -172,6 +172,41 @@ def j5_supervised_contrast_arrow(spark: SparkSession, d: str):
     return out.select("batch_id", F.round("loss", 6).alias("loss"), "anchors")
 
 
+@register("j4_info_nce_blocks", with_views("weighted") + "," + BANK8_SQL + INFO_SQL + " SELECT batch_id, class, round(loss, 6) AS loss, n FROM inner_l")
+def j4_info_nce_blocks(spark: SparkSession, d: str):
+    """The bank in blocks of 1,000 doubles, merged by log-sum-exp."""
+    q, bank = _info_inputs(spark, d)
+    return tiles.info_nce_blocks(q, bank, T_INFO, cells=1000).select("batch_id", "class", F.round("loss", 6).alias("loss"), "n")
+
+
+# batches of 200 rows, with and without an augmented view of each
+SC_TILES_SQL = f"""
+, vw AS (SELECT vec_id // 200 AS batch_id, vec_id, 0 AS side, label, embedding FROM weighted
+         UNION ALL SELECT vec_id // 200, vec_id, 1, label, list_reverse(embedding) FROM weighted @WHERE),
+pr AS (SELECT a.batch_id, a.vec_id, a.side, a.label AS ya, b.label AS yb, list_dot_product(a.embedding, b.embedding) / {T_SC} AS s
+       FROM vw a JOIN vw b ON a.batch_id = b.batch_id AND (a.vec_id <> b.vec_id OR a.side <> b.side)),
+anc AS (SELECT batch_id, vec_id, side, max(s) AS m, avg(s) FILTER (WHERE ya = yb) AS mpos, count(*) FILTER (WHERE ya = yb) AS npos FROM pr GROUP BY ALL),
+al AS (SELECT pr.batch_id, pr.vec_id, pr.side, -({T_SC} / {T_BASE}) * (a.mpos - (a.m + ln(sum(exp(pr.s - a.m))))) AS l
+       FROM pr JOIN anc a USING (batch_id, vec_id, side) WHERE a.npos > 0 GROUP BY pr.batch_id, pr.vec_id, pr.side, a.m, a.mpos)
+SELECT batch_id, round(avg(l), 6) AS loss, count(*) AS anchors FROM al GROUP BY batch_id"""
+
+
+def _sc_tiles(spark: SparkSession, d: str, *aug: str):
+    w = _w(spark, d).select(F.floor(F.col("vec_id") / 200).alias("batch_id"), "class", F.col("embedding").alias("vec"), F.reverse("embedding").alias("rev"))
+    out = tiles.supervised_contrast_tiles(w, T_SC, T_BASE, aug_vecs=aug, tile=64)
+    return out.select("batch_id", F.round("loss", 6).alias("loss"), "anchors")
+
+
+@register("j5_supervised_contrast_tiles", with_views("weighted") + SC_TILES_SQL.replace("@WHERE", "WHERE false"))
+def j5_supervised_contrast_tiles(spark: SparkSession, d: str):
+    return _sc_tiles(spark, d)
+
+
+@register("j5_supervised_contrast_aug", with_views("weighted") + SC_TILES_SQL.replace("@WHERE", ""))
+def j5_supervised_contrast_aug(spark: SparkSession, d: str):
+    return _sc_tiles(spark, d, "rev")
+
+
 @register("j6_contrast_total", with_views("weighted") + "," + BANK8_SQL + INFO_SQL + SC_SQL + f"""
 , wi AS (SELECT batch_id, sum(({N_CLASSES} - class) * loss) AS wl FROM inner_l GROUP BY batch_id)
 SELECT coalesce(wi.batch_id, intra.batch_id) AS batch_id, round(coalesce(wi.wl, 0) + 0.5 * coalesce(intra.loss, 0), 6) AS total

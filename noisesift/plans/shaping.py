@@ -286,6 +286,35 @@ def d9_batch_partners(spark: SparkSession, d: str):
     ).where(F.col("n_partners") > 0)
 
 
+@register("d9_batch_partners_tiles", with_views("weighted") + """
+SELECT a.vec_id, count(b.vec_id) AS n_partners, CAST(sum(CASE WHEN a.label = b.label THEN 1 ELSE 0 END) AS BIGINT) AS n_same
+FROM weighted a JOIN weighted b ON a.vec_id // 100 = b.vec_id // 100 AND a.vec_id <> b.vec_id GROUP BY a.vec_id""")
+def d9_batch_partners_tiles(spark: SparkSession, d: str):
+    """Batches of 100 rows in tiles of 16: a row comes once per tile."""
+    w = fixtures.weighted(spark, d).withColumn("batch_id", F.floor(F.col("vec_id") / 100))
+    p = joins.batch_partners(w, "vec_id", "batch_id", ["label"], max_batch=16)
+    same = F.size(F.filter("partners", lambda m: m["label"] == F.col("label")))
+    return p.groupBy("vec_id").agg(F.sum(F.size("partners")).alias("n_partners"), F.sum(same).alias("n_same")).where("n_partners > 0")
+
+
+@register("d8_score_against_bank_blocks", with_views("weighted") + "," + BANK8_SQL + """
+SELECT q.vec_id, count(b.vec_id) AS n_bank, round(max(list_dot_product(q.embedding, b.embedding)), 6) AS max_dot,
+       round(sum(list_dot_product(q.embedding, b.embedding)), 6) AS sum_dot
+FROM weighted q LEFT JOIN bank b ON q.label = b.label GROUP BY q.vec_id""")
+def d8_score_against_bank_blocks(spark: SparkSession, d: str):
+    """The bank in blocks of 1,000 doubles, about two vectors a class each."""
+    from noisesift.operators import contrast, tiles
+
+    w = fixtures.weighted(spark, d).withColumnRenamed("label", "class")
+    bank = contrast.bank_topk(w.select("class", F.col("embedding").alias("vec"), F.col("w").alias("score"), "vec_id"), 8)
+    q = tiles.score_blocks(w.select("vec_id", "class", F.col("embedding").alias("vec")), bank, cells=1000)
+    return q.select(
+        "vec_id", F.size("bank_dots").cast("bigint").alias("n_bank"),
+        F.round(F.array_max("bank_dots"), 6).alias("max_dot"),
+        F.round(F.aggregate("bank_dots", F.lit(0.0), lambda a, b: a + b), 6).alias("sum_dot"),
+    )
+
+
 # ------------------------------------------------------------------ I
 @register("i1_union_methods", with_views("aug") + """
 SELECT origin, aug_method, text, NULL::DOUBLE AS readability FROM aug WHERE aug_method IN ('CharswapAug', 'ChecklistAug')
