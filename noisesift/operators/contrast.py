@@ -8,9 +8,9 @@ supervised contrast works on pairs of tiles of a batch, never on emitted pair ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisesift.functions.vectors import dot, logsumexp
@@ -163,7 +163,9 @@ def token_bucket(token) -> "Column":
 
 
 def batch_features(df: DataFrame, text: str = "text", dim: int = 64, out: str = "features", head=None,
-                   logits: str = "logits", id_col: str | None = None, method: str = "md5") -> DataFrame:
+                   logits: str = "logits", id_col: str | None = None, method: str = "md5", scorer: Callable | None = None,
+                   inputs: Sequence[str] = (), shapes: Sequence[Sequence[int] | None] | None = None,
+                   outputs: str = "features array<double>, logits array<double>, loss double", batch_size: int = 64) -> DataFrame:
     """J13 default scorer: hashed token counts as ``array<double>`` (``dim`` buckets),
     and, with a linear ``head`` (classes x dim array), the logits ``head . features``.
 
@@ -171,8 +173,15 @@ def batch_features(df: DataFrame, text: str = "text", dim: int = 64, out: str =
     md5 and counted with a partial aggregate per (row, bucket), so at most ``dim``
     cells per row cross the shuffle; returns ``id_col, out``.
     ``method='hashing_tf'``: ``pyspark.ml`` ``HashingTF`` on all columns of ``df``.
-    A user model plugs in the same place via ``predict_batch_udf``.
+
+    ``scorer``: a user model. It is a function without arguments that loads the model in the worker, once, and
+    returns the function to call on a batch: one NumPy array per column of ``inputs`` (texts as objects,
+    arrays shaped ``[rows, *shape]`` by ``shapes``), giving a dict of one array per field of ``outputs``.
+    Batches of ``batch_size`` rows go through ``predict_batch_udf`` without a shuffle; all columns of ``df`` stay.
+    A row with a null input gets nulls.
     """
+    if scorer is not None:
+        return _scored(df, scorer, list(inputs) or [text], shapes, outputs, batch_size)
     if head is not None:
         from noisesift.operators.weights import with_logits
 
@@ -196,6 +205,30 @@ def batch_features(df: DataFrame, text: str = "text", dim: int = 64, out: str =
     return x.withColumn(out, vector_to_array("__tf")).drop("__tok", "__tf")
 
 
+def _scored(df: DataFrame, scorer: Callable, inputs: list[str], shapes, outputs: str, batch_size: int) -> DataFrame:
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, StringType, _parse_datatype_string
+
+    fields = _parse_datatype_string(outputs)
+    shapes = list(shapes) if shapes is not None else [None] * len(inputs)
+
+    def known(c: str, shape) -> Column:
+        """A stand-in for null, as the model takes no nulls."""
+        kind = df.schema[c].dataType
+        cells = 1
+        for n in shape or []:
+            cells *= n
+        blank = F.array_repeat(F.lit(0).cast(kind.elementType), cells) if isinstance(kind, ArrayType) else F.lit("") if isinstance(kind, StringType) else F.lit(0).cast(kind)
+        return F.coalesce(F.col(c), blank)
+
+    score = predict_batch_udf(scorer, return_type=fields, batch_size=batch_size, input_tensor_shapes=shapes if any(shapes) else None)
+    ok = F.lit(True)
+    for c in inputs:
+        ok = ok & F.col(c).isNotNull()
+    out = df.withColumn("__scored", F.when(ok, score(*[known(c, s) for c, s in zip(inputs, shapes, strict=True)])))
+    return out.withColumns({f.name: F.col(f"__scored.{f.name}") for f in fields}).drop("__scored")
+
+
 # ---------------------------------------------------------------- Arrow fast paths
 BANK_COLLECT_LIMIT = 50_000_000  # doubles (K x classes x dim) shipped as one broadcast variable
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisesift.operators.ranking import ordered_position
+from noisesift.session import scratch_dir
 
 # Config keys skipped when comparing planned and finished trials.
 UNINTERESTED_KEYS = ("gpus_per_trial", "version_no", "path")
@@ -72,7 +73,7 @@ def planned_keys(keys: Sequence[str], ignore: Sequence[str] = UNINTERESTED_KEYS)
 def skip_finished(
     planned: DataFrame,
     finished: DataFrame,
-    keys: Sequence[str],
+    keys: Sequence[str] | None = None,
     existing_runs: int = 0,
     ignore: Sequence[str] = UNINTERESTED_KEYS,
     config_col: str = "config",
@@ -80,23 +81,56 @@ def skip_finished(
 ) -> DataFrame:
     """D5. Bag anti-join of planned trials against finished runs.
 
-    A planned trial is finished when every kept key of it equals the finished
-    config's value; each finished config cancels at most one trial, the earliest
-    by ``version_col``. Surviving versions shift by ``existing_runs``.
-    Only the finished side's count per signature is shuffled (map-side
-    partial aggregate); the planned side is ranked per signature by the
-    skew-safe position helper.
+    A planned trial is finished when every kept key that it has (of ``keys``, or all) stands in a
+    finished config with the same value (null equals null); that config may hold more keys. Each finished config
+    cancels at most one trial, the earliest by ``version_col``; ties of versions are broken by the config.
+    Trials with different key sets are taken the largest key set first, so that a general trial does not use up
+    the run that only a specific one fits. Surviving versions shift by ``existing_runs``.
+
+    The key sets (their number is that of distinct grids, not of trials) are found first; for each one
+    the finished configs are cut to those keys and met by signature. With one key set the finished side is a count
+    per signature (map-side partial aggregate); only planned rows whose signature is finished are ranked, by the
+    skew-safe position helper. With several, each set's planned and finished rows are paired by rank and the used
+    configs leave, one written table a set.
     """
-    kept = planned_keys(keys, ignore)
-    sig = config_signature(F.col(config_col), kept)
-    fin = (
-        finished.select(sig.alias("__sig"))
-        .where(F.col("__sig").isNotNull())
-        .groupBy("__sig").agg(F.count(F.lit(1)).alias("__done"))
-    )
-    p = ordered_position(planned.withColumn("__sig", sig), version_col, ["__sig"], "__pos")
-    out = p.join(fin, "__sig", "left").where(F.col("__pos") >= F.coalesce(F.col("__done"), F.lit(0)))
-    return out.withColumn(version_col, F.col(version_col) + F.lit(existing_runs)).drop("__sig", "__pos", "__done")
+    def kept_key(k: Column) -> Column:
+        named = k.isin(*keys) if keys is not None else F.lit(True)
+        return reduce(lambda a, s: a & ~F.contains(k, F.lit(s)), ignore, named)
+
+    own = F.map_filter(config_col, lambda k, v: kept_key(k))
+    trials = planned.withColumn("__own", own).withColumn("__set", F.array_sort(F.map_keys("__own")))
+    sets = [r[0] for r in trials.select("__set").where("__set IS NOT NULL").distinct().collect()]
+    sets.sort(key=lambda ks: (-len(ks), ks))
+    value = lambda c, k: F.concat(F.lit(k + "="), F.coalesce(F.concat(F.lit("v"), c[k]), F.lit("n")), F.lit("\u0001"))
+
+    def signature(c: Column, ks: Sequence[str]) -> Column:
+        return F.concat(F.lit(""), *[value(c, k) for k in ks])
+
+    def holds(ks: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.map_contains_key(config_col, F.lit(k)) for k in ks], F.col(config_col).isNotNull())
+
+    def ranked(df: DataFrame, order: str) -> DataFrame:
+        tie = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(config_col))))
+        return ordered_position(df.withColumn("__tie", tie), order, ["__sig"], "__pos", tiebreak=["__tie"]).drop("__tie")
+
+    left, kept = finished, [trials.where("__set IS NULL")]  # a trial without a config is never finished
+    for i, ks in enumerate(sets):
+        mine = (trials.where(F.col("__set") == F.array(*[F.lit(k) for k in ks]).cast("array<string>")) if len(sets) > 1 else trials.where("__set IS NOT NULL")).withColumn("__sig", signature(F.col(config_col), ks))
+        fits = left.where(holds(ks)).withColumn("__sig", signature(F.col(config_col), ks))
+        done = fits.groupBy("__sig").agg(F.count(F.lit(1)).alias("__done"))
+        met = mine.join(done, "__sig", "left")
+        rows = ranked(met.where("__done IS NOT NULL"), version_col).where(F.col("__pos") >= F.col("__done"))
+        kept += [met.where("__done IS NULL"), rows.drop("__pos")]
+        if i + 1 < len(sets):
+            used = mine.groupBy("__sig").agg(F.count(F.lit(1)).alias("__n"))
+            numbered = ranked(fits.withColumn("__any", F.xxhash64("__sig", F.to_json(config_col))), "__any").drop("__any")
+            rest = numbered.join(used, "__sig", "left").where(F.col("__pos") >= F.coalesce("__n", F.lit(0))).select(finished.columns)
+            rest = rest.unionByName(left.where(~F.coalesce(holds(ks), F.lit(False))).select(finished.columns))
+            path = scratch_dir(planned.sparkSession, "finished")
+            rest.write.parquet(path)
+            left = planned.sparkSession.read.schema(rest.schema).parquet(path)
+    out = reduce(DataFrame.unionByName, [k.select(planned.columns) for k in kept])
+    return out.withColumn(version_col, F.col(version_col) + F.lit(existing_runs))
 
 
 def expand_grid(spark: SparkSession, lists: DataFrame, order: Sequence[str], base: dict[str, str] | None = None) -> DataFrame:

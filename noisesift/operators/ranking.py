@@ -106,54 +106,47 @@ def hashed_rank(
     ).drop("__h")
 
 
+ROWS_PER_RANGE = 50_000
+MOST_RANGES = 4096
+
+
+def range_splits(df: DataFrame, order: Column) -> list[float]:
+    """Borders of ranges of about ``ROWS_PER_RANGE`` rows by a numeric order (approximate quantiles,
+    ``MOST_RANGES`` at most); a small table is one range."""
+    x = df.select(order.cast("double").alias("__od"))
+    n = min(MOST_RANGES, x.count() // ROWS_PER_RANGE)
+    cuts = x.approxQuantile("__od", [i / n for i in range(1, n)], 1.0 / (4 * n)) if n > 1 else []
+    finite = sorted({c for c in cuts if c == c and abs(c) != float("inf")})
+    return [float("-inf"), *(finite or [0.0]), float("inf")]  # a table without finite values is cut anywhere
+
+
 def ordered_position(
     df: DataFrame,
     order_col: str,
     keys: Sequence[str] = (),
     pos_col: str = "pos",
     count_col: str | None = None,
-    digits: int = DEFAULT_DIGITS,
     tiebreak: Sequence[str] = (),
-    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """0-based position inside ``keys`` by a numeric ``order_col`` (then ``tiebreak``; the
-    whole order must be unique per key). ``bounds`` = known (min, max) of the order
-    when there are no keys (saves the bounds job).
+    whole order must be unique per key).
 
     Ranges lie at approximate quantiles of the order over all rows, so a burst of rows
-    (which only a hot key can have) gets ranges in proportion; with ``bounds`` they are
-    of equal width. Nulls sort first and NaN last, as in a plain window.
+    (which only a hot key can have) gets ranges in proportion. Nulls sort first and NaN last, as in a plain window.
     """
-    keys = list(keys)
-    nb = 16 ** digits
-    value = F.col(order_col).cast("double")
-    if bounds is None:
-        # Ranges at approximate quantiles, found by binary search in the JVM (pyspark.ml Bucketizer).
-        from pyspark.ml.feature import Bucketizer
-
-        nq = min(nb, 4096)
-        x = df.withColumn("__od", value)
-        cuts = sorted(set(x.approxQuantile("__od", [i / nq for i in range(1, nq)], 1.0 / (4 * nq))))
-        finite = [c for c in cuts if c == c and abs(c) != float("inf")]
-        splits = [float("-inf"), *(finite or [0.0]), float("inf")]  # a table without finite values is cut anywhere
-        # "keep" puts NaN into a range after all others
-        x = Bucketizer(splits=splits, inputCol="__od", outputCol="__bq", handleInvalid="keep").transform(x)
-        bucket = F.when(F.col("__od").isNull(), F.lit(-1)).otherwise(F.col("__bq")).cast("long")
-        out = rank_within(x, keys, [F.col(order_col), *[F.col(t) for t in tiebreak]], bucket, "__rank1", count_col)
-        return out.withColumn(pos_col, F.col("__rank1") - 1).drop("__rank1", "__od", "__bq")
-    # Known bounds: equal-width ranges, the bounds are literals of the plan.
-    lo, hi = bounds
-    x = df.withColumns({"__lo": F.lit(lo if lo is not None else 0.0), "__hi": F.lit(hi if hi is not None else 0.0)})
-    width = (F.col("__hi").cast("double") - F.col("__lo").cast("double")) / F.lit(float(nb))
-    inside = F.least(F.floor((value - F.col("__lo").cast("double")) / width), F.lit(nb - 1))
-    bucket = (
-        F.when(value.isNull(), F.lit(-1)).when(F.isnan(value), F.lit(nb)).when(width <= 0, F.lit(0)).otherwise(inside).cast("long")
-    )
+    # Ranges at approximate quantiles, found by binary search in the JVM (pyspark.ml Bucketizer).
+    from pyspark.ml.feature import Bucketizer
+
+    keys, value = list(keys), F.col(order_col).cast("double")
+    x = df.withColumn("__od", value)
+    # "keep" puts NaN into a range after all others
+    x = Bucketizer(splits=range_splits(df, value), inputCol="__od", outputCol="__bq", handleInvalid="keep").transform(x)
+    bucket = F.when(F.col("__od").isNull(), F.lit(-1)).otherwise(F.col("__bq")).cast("long")
     out = rank_within(x, keys, [F.col(order_col), *[F.col(t) for t in tiebreak]], bucket, "__rank1", count_col)
-    return out.withColumn(pos_col, F.col("__rank1") - 1).drop("__rank1", "__lo", "__hi")
+    return out.withColumn(pos_col, F.col("__rank1") - 1).drop("__rank1", "__od", "__bq")
 
 
-def value_starts(df: DataFrame, col: str, start: str = "start", count: str = "count", digits: int = DEFAULT_DIGITS) -> DataFrame:
+def value_starts(df: DataFrame, col: str, start: str = "start", count: str = "count") -> DataFrame:
     """One row per distinct value of a numeric column: its rows, and the rows before it in order.
 
     The values are counted first (one aggregate), then summed up per range and within each
@@ -161,11 +154,9 @@ def value_starts(df: DataFrame, col: str, start: str = "start", count: str = "co
     """
     from pyspark.ml.feature import Bucketizer
 
-    nq = min(16**digits, 4096)
     od = F.col(col).cast("double")
-    cuts = sorted(set(df.select(od.alias("__od")).approxQuantile("__od", [i / nq for i in range(1, nq)], 1.0 / (4 * nq))))
-    splits = [float("-inf"), *[c for c in cuts if c == c and abs(c) != float("inf")], float("inf")]
     vals = df.groupBy(col).agg(F.count(F.lit(1)).alias(count)).withColumn("__od", od)
+    splits = range_splits(df, od)
     vals = Bucketizer(splits=splits, inputCol="__od", outputCol="__bq", handleInvalid="keep").transform(vals)
     vals = vals.withColumn("__b", F.when(F.col("__od").isNull(), F.lit(-1)).otherwise(F.col("__bq")).cast("long")).drop("__od", "__bq")
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range

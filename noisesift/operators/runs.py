@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisesift.operators.ranking import keyed_join, ordered_position
@@ -205,36 +206,77 @@ def plateau_events(history: DataFrame, init: float, mode: str = "min", factor: f
 
 
 # -------------------------------------------------------------- J17 sweep
+TRIALS_PER_PASS = 100_000  # their bounds are on the driver
+
+
 def sweep(trials: DataFrame, aug: DataFrame, label: str = "label", score: str = "readability") -> DataFrame:
     """J17. Evaluate many curation settings in one pass.
 
-    ``trials``: ``(trial_id, methods array<string>, lo, hi)``; ``methods`` null = all.
-    Rows are first added up by (method, score, label), then joined to the trials by
-    method; a trial of all methods meets every row, also those without a method,
-    under one more join key. Per trial: rows kept, rows of classes 0 and 1, mean score
-    (``sweep_by_class`` has the rows of every class).
+    ``trials``: ``(trial_id, methods array<string>, lo, hi)``; ``methods`` null = all (also rows
+    without a method). Rows are added up per method and elementary interval: the trials'
+    bounds cut the scores into points and gaps, found by binary search in the JVM. A running sum over
+    the intervals meets every trial at its two bounds, so a trial is a difference of two sums, whatever
+    the number of rows or of distinct scores. Per trial: rows kept, rows of classes 0 and 1, mean score
+    (``sweep_by_class`` has the rows of every class). Trials that keep no row are not in the result.
     """
-    kept = _sweep_cells(trials, aug, label, score)
-    return kept.groupBy("trial_id").agg(
-        F.sum("__n").alias("rows_kept"),
-        F.sum(F.when(F.col(label) == 0, F.col("__n")).otherwise(0)).alias("n_class0"),
-        F.sum(F.when(F.col(label) == 1, F.col("__n")).otherwise(0)).alias("n_class1"),
-        (F.sum(F.col(score) * F.col("__n")) / F.sum("__n")).alias("mean_score"),
-    )
+    sums = {
+        "rows_kept": F.count(F.lit(1)),
+        "n_class0": F.count(F.when(F.col("label") == 0, 1)),
+        "n_class1": F.count(F.when(F.col("label") == 1, 1)),
+        "total": F.sum("score"),
+    }
+    found = _sweep_sums(trials, aug, label, score, sums, False)
+    return found.select("trial_id", "rows_kept", "n_class0", "n_class1", (F.col("total") / F.col("rows_kept")).alias("mean_score"))
 
 
 def sweep_by_class(trials: DataFrame, aug: DataFrame, label: str = "label", score: str = "readability") -> DataFrame:
     """J17 for any number of classes: rows kept per (trial, class)."""
-    kept = _sweep_cells(trials, aug, label, score)
-    return kept.groupBy("trial_id", label).agg(F.sum("__n").alias("rows_kept"))
-
-
-def _sweep_cells(trials: DataFrame, aug: DataFrame, label: str, score: str) -> DataFrame:
-    cells = aug.groupBy("aug_method", score, label).agg(F.count(F.lit(1)).alias("__n"))
-    by_method = F.struct(F.lit(False).alias("every"), F.col("aug_method").alias("method"))
-    to_all = F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("method"))
-    cells = cells.withColumn("__to", F.explode(F.array(by_method, to_all))).where("__to.every OR __to.method IS NOT NULL")
-    named = F.transform("methods", lambda m: F.struct(F.lit(False).alias("every"), m.alias("method")))
-    wanted = trials.select("trial_id", "lo", "hi", F.explode(F.coalesce(named, F.array(to_all))).alias("__to"))
-    on = [cells["__to.every"] == wanted["__to.every"], cells["__to.method"].eqNullSafe(wanted["__to.method"])]
-    return cells.join(wanted, on).where((F.col(score) > F.col("lo")) & (F.col(score) < F.col("hi")))
+    return _sweep_sums(trials, aug, label, score, {"rows_kept": F.count(F.lit(1))}, True).withColumnRenamed("label", label)
+
+
+def _sweep_sums(trials: DataFrame, aug: DataFrame, label: str, score: str, sums: dict[str, Column], by_class: bool) -> DataFrame:
+    n = trials.count()
+    if n > TRIALS_PER_PASS:
+        parts = -(-n // TRIALS_PER_PASS)
+        own = [trials.where(F.pmod(F.xxhash64("trial_id"), F.lit(parts)) == k) for k in range(parts)]
+        return reduce(DataFrame.unionByName, [_sweep_part(t, aug, label, score, sums, by_class) for t in own])
+    return _sweep_part(trials, aug, label, score, sums, by_class)
+
+
+def _sweep_part(trials: DataFrame, aug: DataFrame, label: str, score: str, sums: dict[str, Column], by_class: bool) -> DataFrame:
+    from pyspark.ml.feature import Bucketizer
+
+    inf = float("inf")
+    value = F.col(score).cast("double") + F.lit(0.0)  # no negative zero
+    lo, hi = (F.col(c).cast("double") + F.lit(0.0) for c in ("lo", "hi"))
+    cuts = sorted({r[0] for r in trials.select(F.explode(F.array(lo, hi))).distinct().collect() if r[0] is not None and abs(r[0]) < inf}) or [0.0]
+
+    def place(df: DataFrame, x: Column, out: str) -> DataFrame:
+        """Bounds up to x plus bounds below x: odd at a bound, even in a gap."""
+        up = Bucketizer(splits=[-inf, *cuts, inf], inputCol="__x", outputCol="__up", handleInvalid="keep")
+        down = Bucketizer(splits=[-inf, *[-c + 0.0 for c in reversed(cuts)], inf], inputCol="__y", outputCol="__down", handleInvalid="keep")
+        return down.transform(up.transform(df.withColumns({"__x": x, "__y": -x + F.lit(0.0)}))).withColumn(
+            out, (F.col("__up") + F.lit(len(cuts)) - F.col("__down")).cast("int")).drop("__x", "__y", "__up", "__down")
+
+    group = ["to", *(["label"] if by_class else [])]
+    rows = aug.select("aug_method", F.col(label).alias("label"), value.alias("score")).where(F.abs("score") < inf)  # no null, NaN or infinity lies inside
+    cells = place(rows, F.col("score"), "at").groupBy("aug_method", "at", *group[1:]).agg(*[c.alias(k) for k, c in sums.items()])
+    to = F.array_compact(F.array(F.concat(F.lit("="), "aug_method"), F.lit("*")))
+    cells = cells.select(F.explode(to).alias("to"), "at", *group[1:], *sums, F.lit(None).cast(trials.schema["trial_id"].dataType).alias("trial_id"), F.lit(0).alias("sign"))
+
+    wanted = F.explode(F.coalesce(F.transform(F.filter("methods", lambda m: m.isNotNull()), lambda m: F.concat(F.lit("="), m)), F.array(F.lit("*"))))
+    asked = trials.where(lo.isNotNull() & hi.isNotNull() & ~F.isnan(lo)).select("trial_id", wanted.alias("to"), lo.alias("lo"), hi.alias("hi"))
+    asked = place(place(asked, F.when(F.abs("lo") < inf, F.col("lo")).otherwise(0.0), "a"), F.when(F.abs("hi") < inf, F.col("hi")).otherwise(0.0), "b")
+    first = F.when(F.col("lo") == -inf, F.lit(-1)).when(F.col("lo") == inf, F.lit(2 * len(cuts) + 1)).otherwise(F.col("a"))  # sums up to and with lo go
+    last = F.when(F.col("hi") == -inf, F.lit(-1)).when(F.abs("hi") < inf, F.col("b") - 1).otherwise(F.lit(2 * len(cuts) + 1))  # those below hi stay
+    ends = F.explode(F.array(F.struct(last.alias("at"), F.lit(1).alias("sign")), F.struct(first.alias("at"), F.lit(-1).alias("sign"))))
+    asked = asked.where(last > first).select("trial_id", "to", ends.alias("end")).select("trial_id", "to", "end.*")
+    if by_class:
+        known = cells.select(F.col("to").alias("__to"), "label").distinct()
+        asked = asked.join(known, F.col("to") == F.col("__to")).drop("__to")
+    asked = asked.select("to", "at", *group[1:], *[F.lit(0).cast(cells.schema[k].dataType).alias(k) for k in sums], "trial_id", "sign")
+    # rows of a window: the intervals of a method and the ends of its trials, not the table's rows
+    run = Window.partitionBy(*group).orderBy("at", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
+    run_sums = cells.unionByName(asked).select("trial_id", "sign", *group[1:], *[F.sum(k).over(run).alias(k) for k in sums]).where("sign <> 0")
+    out = run_sums.groupBy("trial_id", *group[1:]).agg(*[F.sum(F.col("sign") * F.coalesce(k, F.lit(0))).alias(k) for k in sums])
+    return out.where("rows_kept > 0")

@@ -123,7 +123,7 @@ def info_nce_blocks(queries: DataFrame, bank: DataFrame, temperature: float = 0.
                         pos = (q * k).sum(axis=1) / t
                         logits = q @ mine[1].T / t if mine is not None else np.zeros((len(q), 0))
                         lse = np_logsumexp(np.concatenate([pos[:, None], logits], axis=1) if first else logits)
-                        out = pd.DataFrame({"batch_id": g["batch_id"].to_numpy(), key: None if pd.isna(c) else c, "lse": lse, "pos": pos})
+                        out = pd.DataFrame({"batch_id": g["batch_id"].to_numpy(), key: pd.Series([None if pd.isna(c) else c] * len(q), dtype=object), "lse": lse, "pos": pos})
                         outs.append(out.assign(row=2 * g["__row"].to_numpy() + side) if several else out.assign(row=0))
                 if outs:
                     yield pd.concat(outs, ignore_index=True)
@@ -174,6 +174,7 @@ def supervised_contrast_tiles(df: DataFrame, temperature: float = 0.07, base_tem
 
     bt = df.schema[batch].dataType.simpleString()
     parts = sent.groupBy("b", "i", "j").applyInPandas(pair, f"b {bt}, row long, lse double, pos double, npos long")
-    whole = parts.groupBy("b", "row").agg(logsumexp(F.collect_list("lse")).alias("lse"), F.sum("pos").alias("pos"), F.sum("npos").alias("npos"))
+    some = F.when(F.col("lse") > float("-inf"), F.col("lse"))  # a tile of the row alone has nothing to add
+    whole = parts.groupBy("b", "row").agg(logsumexp(F.collect_list(some)).alias("lse"), F.sum("pos").alias("pos"), F.sum("npos").alias("npos"))
     anchors = whole.where("npos > 0").select("b", (-F.lit(scale) * (F.col("pos") / F.col("npos") - F.col("lse"))).alias("l"))
     return anchors.groupBy(F.col("b").alias(batch)).agg(F.avg("l").alias("loss"), F.count(F.lit(1)).alias("anchors"))

@@ -316,6 +316,33 @@ def j13_batch_features(spark: SparkSession, d: str):
                       F.element_at("logits", 1).alias("logit0"), F.element_at("logits", 2).alias("logit1"))
 
 
+# A toy model in place of the user's: hidden = tanh(A x), logits = B hidden, cross-entropy with the label.
+TOY_A, TOY_B = theta0(6, DIM) * 3, theta0(N_CLASSES, 6) * 20
+
+
+def toy_scorer():
+    def predict(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        hidden = np.tanh(x @ TOY_A.T)
+        z = hidden @ TOY_B.T
+        top = z.max(axis=1)
+        loss = top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - z[np.arange(len(z)), y.astype(int)]
+        return {"features": hidden, "logits": z, "loss": loss}
+
+    return predict
+
+
+@register("j13_batch_scorer", with_views("weighted") + f"""
+, h AS (SELECT vec_id, label, [{", ".join(f"tanh(list_dot_product({_lst(r)}, embedding))" for r in TOY_A)}] AS hidden FROM weighted),
+z AS (SELECT *, [{", ".join(f"list_dot_product({_lst(r)}, hidden)" for r in TOY_B)}] AS z FROM h)
+SELECT vec_id, hidden[1] AS feature0, hidden[6] AS feature5, z[1] AS logit0, z[10] AS logit9,
+       list_max(z) + ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) - z[label + 1] AS loss FROM z""")
+def j13_batch_scorer(spark: SparkSession, d: str):
+    w = fixtures.weighted(spark, d).select("vec_id", "embedding", "label")
+    out = contrast.batch_features(w, scorer=toy_scorer, inputs=["embedding", "label"], shapes=[[DIM], None])
+    at = lambda c, k: F.element_at(c, k)
+    return out.select("vec_id", at("features", 1).alias("feature0"), at("features", 6).alias("feature5"), at("logits", 1).alias("logit0"), at("logits", 10).alias("logit9"), "loss")
+
+
 @register("j14_baseline_fit")
 def j14_baseline_fit(spark: SparkSession, d: str):
     aug, clean, val = _meta_parts(spark, d)

@@ -195,6 +195,31 @@ def d5_skip_finished(spark: SparkSession, d: str):
                       F.col("config")["lang"].alias("lang"), F.col("config")["source"].alias("source"))
 
 
+# trials whose configs hold two, three or no compared keys; each finished config fits at most one of them
+@register("d5_skip_finished_subsets", f"""
+WITH planned AS (SELECT doc_id AS version_no, {METHOD_LIST_SQL}[doc_id % 5 + 1] AS aug_method, lang, source, doc_id % 3 AS kind FROM documents),
+fin AS (SELECT p.* FROM planned p JOIN labels l ON p.version_no = l.doc_id WHERE l.quality = 1),
+three AS (SELECT version_no, row_number() OVER (PARTITION BY aug_method, lang, source ORDER BY version_no) AS r, aug_method, lang, source FROM planned WHERE kind = 0),
+had AS (SELECT aug_method, lang, source, count(*) AS n FROM fin GROUP BY ALL),
+left3 AS (SELECT t.* FROM three t LEFT JOIN had USING (aug_method, lang, source) WHERE t.r > coalesce(n, 0)),
+took AS (SELECT aug_method, lang, source, count(*) AS n FROM three GROUP BY ALL),
+rest AS (SELECT lang, source, sum(greatest(had.n - coalesce(took.n, 0), 0)) AS n FROM had LEFT JOIN took USING (aug_method, lang, source) GROUP BY ALL),
+two AS (SELECT version_no, row_number() OVER (PARTITION BY lang, source ORDER BY version_no) AS r, lang, source FROM planned WHERE kind = 1),
+left2 AS (SELECT t.* FROM two t LEFT JOIN rest USING (lang, source) WHERE t.r > coalesce(n, 0)),
+took2 AS (SELECT lang, source, count(*) AS n FROM two GROUP BY ALL),
+rest1 AS (SELECT source, sum(greatest(rest.n - coalesce(took2.n, 0), 0)) AS n FROM rest LEFT JOIN took2 USING (lang, source) GROUP BY ALL),
+one AS (SELECT version_no, row_number() OVER (PARTITION BY source ORDER BY version_no) AS r, source FROM planned WHERE kind = 2),
+left1 AS (SELECT t.* FROM one t LEFT JOIN rest1 USING (source) WHERE t.r > coalesce(n, 0))
+SELECT version_no, 3 AS n_keys FROM left3 UNION ALL SELECT version_no, 2 FROM left2 UNION ALL SELECT version_no, 1 FROM left1""")
+def d5_skip_finished_subsets(spark: SparkSession, d: str):
+    every = _run_configs(spark, d)
+    kept = F.when(F.col("version_no") % 3 == 0, F.array(F.lit("aug_method"), F.lit("lang"), F.lit("source"))).when(F.col("version_no") % 3 == 1, F.array(F.lit("lang"), F.lit("source"))).otherwise(F.array(F.lit("source")))
+    planned = every.withColumn("config", F.map_filter("config", lambda k, v: F.array_contains(kept, k) | k.isin("gpus_per_trial", "version_no")))
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("version_no"))
+    out = joins.skip_finished(planned, every.join(good, "version_no", "left_semi"))
+    return out.select("version_no", (F.size("config") - 2).alias("n_keys"))
+
+
 @register("d6_expand_grid", with_views("aug") + """
 , m AS (SELECT DISTINCT aug_method FROM aug), l AS (SELECT DISTINCT lang FROM documents), s AS (SELECT DISTINCT source FROM documents)
 SELECT CAST(row_number() OVER (ORDER BY aug_method, lang, source) - 1 AS BIGINT) AS version_no, aug_method, lang, source, '4' AS batch_size
