@@ -9,10 +9,9 @@ run may hold a large share of all rows.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,37 +150,9 @@ def best_trial(history: DataFrame, trial: str = "trial", it: str = "iteration",
 
 
 # -------------------------------------------------------------- H8 plateau
-PLATEAU_SCHEMA = "trial string, epoch long, metric double, hyper double, best double, bad_epochs int, reduced boolean"
-
-
-def _plateau_fold(pdf: pd.DataFrame, init: float, mode: str, factor: float, patience: int, min_hyper: float,
-                  threshold: float, threshold_mode: str, cooldown: int, eps: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("epoch")
-    best = float("inf") if mode == "min" else float("-inf")
-    bad, cool, hyper = 0, 0, init
-    out = []
-    for ep, cur in zip(pdf["epoch"].tolist(), pdf["metric"].astype(float).tolist()):
-        if mode == "min":
-            better = cur < best * (1 - threshold) if threshold_mode == "rel" else cur < best - threshold
-        else:
-            better = cur > best * (1 + threshold) if threshold_mode == "rel" else cur > best + threshold
-        if better:
-            best, bad = cur, 0
-        else:
-            bad += 1
-        if cool > 0:
-            cool -= 1
-            bad = 0
-        reduced = False
-        if bad > patience:
-            new = max(hyper * factor, min_hyper)
-            if hyper - new > eps:
-                hyper, reduced = new, True
-            cool, bad = cooldown, 0
-        out.append((ep, cur, hyper, best, bad, reduced))
-    res = pd.DataFrame(out, columns=["epoch", "metric", "hyper", "best", "bad_epochs", "reduced"])
-    res.insert(0, "trial", pdf["trial"].iloc[0] if len(pdf) else None)
-    return res
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def plateau_events(history: DataFrame, init: float, mode: str = "min", factor: float = 0.1, patience: int = 10,
@@ -190,19 +161,46 @@ def plateau_events(history: DataFrame, init: float, mode: str = "min", factor: f
     """H8. Plateau detector folded over each trial's metric history in epoch order:
     best with relative/absolute threshold, bad-epoch count, patience, cooldown, and the
     multiplicative reduction of a hyper-parameter value floored at ``min_hyper``
-    (X7: the value is reduced, not the epoch). One row per (trial, epoch).
+    (X7: the value is reduced, not the epoch). One row per (trial, epoch); a missing or NaN
+    metric is never better.
 
-    A sequential fold per trial: ``groupBy(trial).applyInPandas`` (a trial's history
-    is one row per epoch, so a group is bounded by the epoch count)."""
+    The fold runs in the JVM (``aggregate`` over the sorted history with a struct as state); a
+    trial's history is one row per epoch, so an array is bounded by the epoch count."""
     if factor >= 1.0:
         raise ValueError("factor must be < 1")
-    h = history.select(F.col(trial).cast("string").alias("trial"), F.col(epoch).cast("long").alias("epoch"),
-                       F.col(metric).cast("double").alias("metric"))
+    worst = float("inf") if mode == "min" else float("-inf")
+    event = "struct<epoch: bigint, metric: double, hyper: double, best: double, bad_epochs: int, reduced: boolean>"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _plateau_fold(pdf, init, mode, factor, patience, min_hyper, threshold, threshold_mode, cooldown, eps)
-
-    return h.groupBy("trial").applyInPandas(fold, PLATEAU_SCHEMA)
+    def better(cur: Column, best: Column) -> Column:
+        if threshold_mode == "rel":
+            bar = best * (1 - threshold if mode == "min" else 1 + threshold)
+        else:
+            bar = best - threshold if mode == "min" else best + threshold
+        return cur.isNotNull() & ~F.isnan(cur) & (cur < bar if mode == "min" else cur > bar)
+
+    def state(best: Column, bad: Column, cool: Column, hyper: Column) -> Column:
+        return F.struct(best.alias("best"), bad.cast("int").alias("bad"), cool.cast("int").alias("cool"), hyper.cast("double").alias("hyper"))
+
+    def step(acc: Column, row: Column) -> Column:
+        seen = F.struct(better(row["metric"], acc["s"]["best"]).alias("better"), acc["s"].alias("s"))
+        rated = _let(seen, lambda v: state(
+            F.when(v["better"], row["metric"]).otherwise(v["s"]["best"]),
+            F.when(v["better"] | (v["s"]["cool"] > 0), 0).otherwise(v["s"]["bad"] + 1),
+            F.greatest(v["s"]["cool"] - 1, F.lit(0)), v["s"]["hyper"]))
+        over = _let(rated, lambda v: F.struct(v.alias("s"), (v["bad"] > patience).alias("over"), F.greatest(v["hyper"] * factor, F.lit(min_hyper)).alias("new")))
+        cut = _let(over, lambda v: F.struct(v["s"].alias("s"), v["over"].alias("over"), v["new"].alias("new"), (v["over"] & (v["s"]["hyper"] - v["new"] > eps)).alias("cut")))
+
+        def close(v: Column) -> Column:
+            done = state(v["s"]["best"], F.when(v["over"], 0).otherwise(v["s"]["bad"]), F.when(v["over"], cooldown).otherwise(v["s"]["cool"]), F.when(v["cut"], v["new"]).otherwise(v["s"]["hyper"]))
+            return _let(done, lambda d: F.struct(d.alias("s"), F.array_append(acc["out"], F.struct(
+                row["epoch"].alias("epoch"), row["metric"].alias("metric"), d["hyper"].alias("hyper"), d["best"].alias("best"), d["bad"].alias("bad_epochs"), v["cut"].alias("reduced"))).alias("out")))
+
+        return _let(cut, close)
+
+    h = history.select(F.col(trial).cast("string").alias("trial"), F.struct(F.col(epoch).cast("long").alias("epoch"), F.col(metric).cast("double").alias("metric")).alias("row"))
+    start = F.struct(state(F.lit(worst), F.lit(0), F.lit(0), F.lit(init)).alias("s"), F.array().cast(f"array<{event}>").alias("out"))
+    runs = h.groupBy("trial").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return runs.select("trial", F.explode(F.aggregate("rows", start, step)["out"]).alias("e")).select("trial", "e.*")
 
 
 # -------------------------------------------------------------- J17 sweep

@@ -111,7 +111,8 @@ def training_rows(df: DataFrame, layout: str) -> DataFrame:
     """B7. Final projection per split.
 
     ``eval``: (encode, class); ``aligned``: clean and aug (encode, class);
-    ``zipped``: clean, meta and aug columns plus the aug weight inputs.
+    ``zipped``: one row a position with its clean, meta and aug row (D7), the scores of the
+    clean and the aug one as weight inputs.
     """
     if layout == "eval":
         return df.select("encode", "class")
@@ -119,8 +120,8 @@ def training_rows(df: DataFrame, layout: str) -> DataFrame:
         return df.select("encode_raw", "class_raw", "encode_aug", "class_aug")
     if layout == "zipped":
         return df.select(
-            "encode_clean", "class_clean", "encode_meta", "class_meta",
-            "encode_aug", "class_aug", "readability_aug", "cola_aug", "aug_method", "index_clean",
+            "encode_clean", "class_clean", "readability_clean", "cola_clean", "encode_meta", "class_meta",
+            "encode_aug", "class_aug", "readability_aug", "cola_aug",
         )
     raise ValueError(layout)
 

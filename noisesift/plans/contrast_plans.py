@@ -295,12 +295,12 @@ def j11_meta_influence_fd(spark: SparkSession, d: str):
     return fd.select("vec_id", F.round("dot_val_fd", 6).alias("dot_val_fd"), F.round(F.col("meta_grad_fd") * 1e6, 3).alias("meta_grad_fd_e6"))
 
 
-J13_SQL = with_views("train") + r"""
-, tl AS (SELECT index, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS tl FROM train),
+J13_SQL = with_views("corpus") + r"""
+, tl AS (SELECT index, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS tl FROM corpus),
 tk AS (SELECT index, unnest(tl) AS token FROM tl),
 cells AS (SELECT index, CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) % 64 AS b, count(*) AS c FROM tk GROUP BY ALL),
 head AS (SELECT c.c, d.d, (((c.c * 64 + d.d) * 37) % 101 - 50) / 1000.0 AS t FROM range(2) c(c), range(64) d(d)),
-dense AS (SELECT t.index, d.d, coalesce(cl.c, 0) AS c FROM train t CROSS JOIN range(64) d(d)
+dense AS (SELECT t.index, d.d, coalesce(cl.c, 0) AS c FROM corpus t CROSS JOIN range(64) d(d)
           LEFT JOIN cells cl ON cl.index = t.index AND cl.b = d.d)
 SELECT index, string_agg(CAST(c AS VARCHAR), ' ' ORDER BY d) AS features,
        (SELECT sum(h.t * x.c) FROM dense x JOIN head h ON h.d = x.d AND h.c = 0 WHERE x.index = o.index) AS logit0,
@@ -310,7 +310,7 @@ FROM dense o GROUP BY index"""
 
 @register("j13_batch_features", J13_SQL)
 def j13_batch_features(spark: SparkSession, d: str):
-    tr = fixtures.train(spark, d)
+    tr = fixtures.corpus(spark, d)
     out = contrast.batch_features(tr, "text", 64, head=theta0(2, 64), id_col="index")
     return out.select("index", F.array_join(F.col("features").cast("array<int>"), " ").alias("features"),
                       F.element_at("logits", 1).alias("logit0"), F.element_at("logits", 2).alias("logit1"))

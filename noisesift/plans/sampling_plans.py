@@ -100,12 +100,12 @@ def e7_round_robin_batches(spark: SparkSession, d: str):
     return b.select("sample_id", "class", "pos", "batch_id")
 
 
-@register("e8_chunkify", with_views("train") + """
-SELECT index, CAST((row_number() OVER (ORDER BY index) - 1) % 3 AS INT) AS chunk FROM train""")
+@register("e8_chunkify", with_views("corpus") + """
+SELECT index, CAST((row_number() OVER (ORDER BY index) - 1) % 3 AS INT) AS chunk FROM corpus""")
 def e8_chunkify(spark: SparkSession, d: str):
     from noisesift.operators.ranking import ordered_position
 
-    return sampling.chunkify(ordered_position(_train(spark, d), "index"), 3).select("index", "chunk")
+    return sampling.chunkify(ordered_position(fixtures.corpus(spark, d).select("index"), "index"), 3).select("index", "chunk")
 
 
 @register("e9_length_align", with_views("train", "aug") + "," + CLEAN_SPLIT_SQL + """
@@ -119,17 +119,17 @@ def e9_length_align(spark: SparkSession, d: str):
     return sampling.length_align(clean.select("index"), target, order_col="index").select("pos", "index")
 
 
-@register("e10_shuffle_batches", with_views("train") + """
-, r AS (SELECT index, row_number() OVER (ORDER BY md5(concat_ws('-', index, '42')), index) - 1 AS pos, count(*) OVER () AS n FROM train)
+@register("e10_shuffle_batches", with_views("corpus") + """
+, r AS (SELECT index, row_number() OVER (ORDER BY md5(concat_ws('-', index, '42')), index) - 1 AS pos, count(*) OVER () AS n FROM corpus)
 SELECT index, pos, pos // 32 AS batch_id FROM r WHERE pos < n // 32 * 32""")
 def e10_shuffle_batches(spark: SparkSession, d: str):
-    return sampling.shuffle_batches(_train(spark, d), 32, drop_last=True).select("index", "pos", "batch_id")
+    return sampling.shuffle_batches(fixtures.corpus(spark, d).select("index"), 32, drop_last=True).select("index", "pos", "batch_id")
 
 
-@register("e10_eval_batches", with_views("train") + """
-SELECT index, row_number() OVER (ORDER BY index) - 1 AS pos, (row_number() OVER (ORDER BY index) - 1) // 32 AS batch_id FROM train""")
+@register("e10_eval_batches", with_views("corpus") + """
+SELECT index, row_number() OVER (ORDER BY index) - 1 AS pos, (row_number() OVER (ORDER BY index) - 1) // 32 AS batch_id FROM corpus""")
 def e10_eval_batches(spark: SparkSession, d: str):
-    return sampling.shuffle_batches(_train(spark, d), 32, shuffle=False, drop_last=False).select("index", "pos", "batch_id")
+    return sampling.shuffle_batches(fixtures.corpus(spark, d).select("index"), 32, shuffle=False, drop_last=False).select("index", "pos", "batch_id")
 
 
 @register("e11_flip_labels", with_views("train", "aug") + f"""

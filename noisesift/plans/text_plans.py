@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noisesift import fixtures
 from noisesift.fixtures import AUG_METHODS, with_views
 from noisesift.functions import text as T
-from noisesift.operators import sampling, shape
+from noisesift.operators import joins, sampling, shape
 from noisesift.plans.curation import CLEAN_SPLIT_SQL
 from noisesift.plans.registry import register
 from noisesift.plans.shaping import METHOD_LIST_SQL
@@ -121,7 +121,7 @@ def f6_collate_ragged(spark: SparkSession, d: str):
 SELECT 'train' AS tbl, CAST(128 AS INT) AS min_len, CAST(128 AS INT) AS max_len, count(*) AS n FROM corpus
 UNION ALL SELECT 'aug', 128, 128, count(*) FROM aug""".replace("FROM aug", "FROM (" + fixtures.VIEW_SQL["aug"] + ")"))
 def f7_check_uniform_length(spark: SparkSession, d: str):
-    v = _train_vocab(spark, d)
+    v = T.vocab_tokenizer(_train_vocab(spark, d))
     tr = T.encode_text(fixtures.corpus(spark, d), v, "text", "index", 128)
     au = fixtures.aug(spark, d).withColumn("aug_id", F.col("origin") * 10 + F.array_position(F.array(*[F.lit(m) for m in AUG_METHODS]), F.col("aug_method")))
     au = T.encode_text(au, v, "text", "aug_id", 128)
@@ -140,3 +140,51 @@ def b7_training_rows(spark: SparkSession, d: str):
     enc = T.encode_text(meta, _train_vocab(spark, d), "text", "index", 128, carry=["class"])
     return shape.training_rows(enc, "eval").select(_join_ids("encode").alias("encode"), "class")
 
+
+
+# The augmented rows of one method and interval whose origin is in the clean part, encoded like the rest.
+AUG_ENC_SQL = _ids_sql("toks", 126, "enc") + r""",
+au AS (SELECT a.origin AS index, c.class, a.text, a.readability, a.cola FROM aug a JOIN clean c ON a.origin = c.index
+       WHERE a.aug_method = 'CharswapAug' AND a.readability > 20 AND a.readability < 200),
+atl AS (SELECT index, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS tl FROM au),
+atoks AS (SELECT index, unnest(tl) AS token, unnest(range(len(tl))) AS pos FROM atl),
+""" + _ids_sql("atoks", 126, "aenc") + """,
+ce AS (SELECT c.*, array_to_string(list_resize([0] || coalesce(e.ids, []) || [2], 128, 1), ' ') AS encode FROM clean c LEFT JOIN enc e USING (index)),
+me AS (SELECT c.*, array_to_string(list_resize([0] || coalesce(e.ids, []) || [2], 128, 1), ' ') AS encode FROM meta c LEFT JOIN enc e USING (index)),
+ae AS (SELECT c.*, array_to_string(list_resize([0] || coalesce(e.ids, []) || [2], 128, 1), ' ') AS encode FROM au c LEFT JOIN aenc e USING (index))"""
+B7_VIEWS = with_views("train", "aug", "corpus") + "," + CLEAN_SPLIT_SQL + "," + TRAIN_TOKENS_SQL + "," + AUG_ENC_SQL
+
+
+def _three_parts(spark: SparkSession, d: str):
+    """Clean, meta and augmented rows, encoded."""
+    train = shape.alias_target(fixtures.train(spark, d))
+    clean, meta = sampling.stratified_split(train, 0.9)
+    a = shape.filter_interval(shape.filter_methods(fixtures.aug(spark, d), ["CharswapAug"]), 20, 200)
+    a = a.withColumnRenamed("origin", "index").join(clean.select("index", "class"), "index")
+    vocab = T.vocab_tokenizer(_train_vocab(spark, d))
+    return [T.encode_text(df, vocab, "text", "index", 128, carry=["class", "readability", "cola"]) for df in (clean, meta, a)]
+
+
+@register("b7_training_rows_aligned", B7_VIEWS + """
+SELECT c.encode AS encode_raw, c.class AS class_raw, a.encode AS encode_aug, a.class AS class_aug FROM ce c JOIN ae a USING (index)""")
+def b7_training_rows_aligned(spark: SparkSession, d: str):
+    clean, _, a = _three_parts(spark, d)
+    both = joins.flatten_sides(joins.align(clean, a.withColumnRenamed("index", "origin")))
+    out = shape.training_rows(both, "aligned")
+    return out.withColumns({c: _join_ids(c) for c in ("encode_raw", "encode_aug")})
+
+
+@register("b7_training_rows_zipped", B7_VIEWS + """,
+cp AS (SELECT *, row_number() OVER (ORDER BY index) - 1 AS p FROM ce), mp AS (SELECT *, row_number() OVER (ORDER BY index) - 1 AS p FROM me),
+ap AS (SELECT *, row_number() OVER (ORDER BY index) - 1 AS p FROM ae),
+n AS (SELECT (SELECT count(*) FROM cp) AS nc, (SELECT count(*) FROM mp) AS nm, (SELECT count(*) FROM ap) AS na),
+pos AS (SELECT unnest(range(0, (SELECT greatest(nc, nm, na) FROM n))) AS i)
+SELECT cp.encode AS encode_clean, cp.class AS class_clean, cp.readability AS readability_clean, cp.cola AS cola_clean, mp.encode AS encode_meta, mp.class AS class_meta,
+       ap.encode AS encode_aug, ap.class AS class_aug, ap.readability AS readability_aug, ap.cola AS cola_aug
+FROM pos, n, cp, mp, ap WHERE cp.p = i % nc AND mp.p = i % nm AND ap.p = i % na""")
+def b7_training_rows_zipped(spark: SparkSession, d: str):
+    parts = _three_parts(spark, d)
+    target = sampling.align_target(*(p.count() for p in parts))
+    same = {n: sampling.length_align(p, target, order_col="index") for n, p in zip(("clean", "meta", "aug"), parts, strict=True)}
+    out = shape.training_rows(joins.zip_positional(same), "zipped")
+    return out.withColumns({f"encode_{n}": _join_ids(f"encode_{n}") for n in same})

@@ -11,10 +11,10 @@ from noisesift.functions import vectors as V
 from noisesift.plans.registry import register
 
 
-@register("f8_score_bucket", with_views("train") + """
-SELECT index, CAST(trunc((readability - 0.0) / 2.5) AS BIGINT) AS bucket FROM train""")
+@register("f8_score_bucket", with_views("aug") + """
+SELECT origin, aug_method, CAST(trunc((readability - 0.0) / 2.5) AS BIGINT) AS bucket FROM aug""")
 def f8_score_bucket(spark: SparkSession, d: str):
-    return fixtures.train(spark, d).select("index", V.score_bucket("readability", 0.0, 250.0, 100).alias("bucket"))
+    return fixtures.aug(spark, d).select("origin", "aug_method", V.score_bucket("readability", 0.0, 250.0, 100).alias("bucket"))
 
 
 @register("f9_l2_normalize", with_views("weighted") + """
