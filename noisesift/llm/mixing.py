@@ -6,8 +6,9 @@ size and the excess is reshared by weight until none is above. With the sources
 sorted by ``CAP * size / weight`` the fair level is found in one ordered pass.
 
 Choice: a source is passed as often as its target holds it whole; of the rest,
-documents in hash order are taken while they fit, and then the one document left
-whose size comes closest to what is missing. Whole documents only.
+documents in hash order are taken while they fit; of those left, the ones no larger than what
+is missing, again in hash order while they fit, and so on until none fits; then the one document
+whose size comes closest to what is missing, if that brings the source nearer. Whole documents only.
 
 Curriculum: source s has the schedule ``weight(t) = target * (1 + slope * (2t - 1))``
 over training time 0..1. The integral of the schedule is its cumulative demand;
@@ -73,17 +74,21 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, id
     in_part = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ran = slim.withColumn("ran", F.sum("size").over(in_part))
     both = ran.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source AND r.part = p.part"))
-    both = both.select("r.doc_id", "r.source", "r.size", "r.h", "ordinal", "source_size", "target", (F.col("ran") + F.col("before")).alias("ran"))
+    both = both.select("r.doc_id", "r.source", "r.size", "r.h", "r.part", "ordinal", "source_size", "target", (F.col("ran") + F.col("before")).alias("ran"))
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("long")
     both = both.withColumn("passes", passes)
     rest = F.when(F.col("passes") < cap, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0)
     both = both.withColumn("rest", rest).withColumn("extra", (F.col("ran") <= F.col("rest")) & (F.col("size") > 0))
     both = staged(both, "mix")
 
-    # the document that comes closest to what the prefix leaves open in its source
+    # what the prefix leaves open in each source is filled from the documents that fit
     reached = both.groupBy("source").agg(F.max(F.when(F.col("extra"), F.col("ran"))).alias("reached"), F.max("rest").alias("rest"))
-    gap = reached.select(F.col("source").alias("gap_source"), (F.col("rest") - F.coalesce("reached", F.lit(0))).alias("gap"))
-    left = both.where("NOT extra AND size > 0").join(gap, F.expr("source <=> gap_source"))
+    gap = staged(reached.select(F.col("source").alias("gap_source"), (F.col("rest") - F.coalesce("reached", F.lit(0))).alias("gap")), "gaps")
+    left = staged(both.where("NOT extra AND size > 0").select("doc_id", "source", "size", "h", "part", "ran"), "left")
+    more, gap = _filled(left, gap)
+    both = both.join(more, F.expr("source <=> more_source AND ran = more_ran AND size > 0"), "left")
+    both = both.withColumn("extra", F.col("extra") | F.col("more_ran").isNotNull()).drop("more_source", "more_ran")
+    left = left.join(more, F.expr("source <=> more_source AND ran = more_ran"), "left_anti").join(gap, F.expr("source <=> gap_source"))
     left = left.withColumn("miss", F.abs(F.col("size") - F.col("gap"))).where("miss < gap")
     best = left.groupBy("gap_source").agg(F.min(F.struct("miss", "h", "doc_id", "size", "ran")).alias("best"))
     best = best.select("gap_source", F.col("best.doc_id").alias("best_id"), F.col("best.ran").alias("best_ran"))
@@ -105,6 +110,35 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, id
     )
 
 
+def _filled(left: DataFrame, gap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(more_source, more_ran)`` taken to fill the gaps, and the gaps still open.
+
+    ``ran``, a running sum of sizes above 0, names a row within its source. A round takes, in hash order, while they fit,
+    documents no larger than their source's gap; each source with such a document takes one at least. Only the first ranges of
+    a source, whose sizes reach the gap, are sorted.
+    """
+    took = []
+    while True:
+        fits = left.join(F.broadcast(gap), F.expr("source <=> gap_source")).where("size <= gap")  # a row a source
+        for t in took:
+            fits = fits.join(t.select("more_source", "more_ran"), F.expr("source <=> more_source AND ran = more_ran"), "left_anti")
+        sums = fits.groupBy("gap_source", "part").agg(F.sum("size").alias("sum"), F.first("gap").alias("gap"))
+        before = F.coalesce(F.sum("sum").over(Window.partitionBy("gap_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        first = sums.withColumn("before", before).where("before < gap").select(F.col("gap_source").alias("s"), F.col("part").alias("p"), "before")
+        in_part = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", "ran").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = fits.join(first, F.expr("source <=> s AND part = p")).withColumn("upto", F.sum("size").over(in_part) + F.col("before"))
+        new = staged(rows.where("upto <= gap").select(F.col("source").alias("more_source"), F.col("ran").alias("more_ran"), "size"), "more")
+        filled = new.groupBy(F.col("more_source").alias("s")).agg(F.sum("size").alias("filled"))
+        took.append(new)
+        if new.isEmpty():
+            break
+        gap = staged(gap.join(filled, F.expr("gap_source <=> s"), "left").select("gap_source", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")), "gaps")
+    out = took[0]
+    for t in took[1:]:
+        out = out.unionByName(t)
+    return out.select("more_source", "more_ran"), gap
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The mixed corpus: rows of ``docs``, once a copy, range-sorted by training position; same columns.
 
@@ -112,8 +146,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     repeat these are numbered, and matched by their number too.
     """
     names = docs.columns
-    key = ["_id", "_src", "_size"]
     plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
+    taken = [f"_{k}" for k in range(len(names))]  # the rows' own columns go under numbers, so no name can clash
+    docs = docs.toDF(*taken)
+    id_col, text_col, source_col = (taken[names.index(c)] for c in (id_col, text_col, source_col))
+    key = ["_id", "_src", "_size"]
     plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("positions").alias("_at"))
     repeated = staged(plan.where("_size > 0").groupBy(*key).count().where("count > 1").select(*key), "repeated")
     several = repeated.count()
@@ -123,11 +160,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         few = F.broadcast(repeated) if several <= BROADCAST_KEYS else repeated
         again = _matched(_numbered(_matched(rows, few, key, "left_semi"), key), _numbered(_matched(plan, few, key, "left_semi"), key), [*key, "_number"])
         rows, plan = _matched(rows, few, key, "left_anti"), _matched(plan, few, key, "left_anti")
-    joined = _matched(rows, plan, key).select(*[f"`{c}`" for c in names], "_at")
+    joined = _matched(rows, plan, key).select(*taken, "_at")
     if several:
-        joined = joined.unionByName(again.select(*[f"`{c}`" for c in names], "_at"))
+        joined = joined.unionByName(again.select(*taken, "_at"))
     laid = joined.withColumn("_position", F.explode("_at"))
-    return laid.repartitionByRange("_position").sortWithinPartitions("_position").select(*[f"`{c}`" for c in names])
+    return laid.repartitionByRange("_position").sortWithinPartitions("_position").select(*taken).toDF(*names)
 
 
 def _matched(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:

@@ -2,10 +2,11 @@
 
 A signature is the chain of the ``CHAIN`` content words that follow a common word
 (an anchor); further anchors in between are skipped. The start of a text counts as
-an anchor, so a text with enough words always has a signature. Where the anchors
-give no chain besides that first one (tables, code, lists, other languages), the
-chains at every content word are taken instead, so no part of the text is left out;
-a text shorter than a chain has one signature of all its content words. A
+an anchor, and so does every content word that has ``CHAIN`` or more of them between it and the
+last anchor: where anchors are far apart (tables, code, lists, other languages) the
+gap is covered word by word. With the text's last ``CHAIN`` content words as one more chain
+every content word is in a signature, whatever the text; one shorter than a chain has
+one signature of all its content words. A
 fingerprint is the sorted set of the signatures' hashes, compared by Jaccard likeness.
 
 ``near_pairs`` joins fingerprints at a likeness: sets are partitioned by length (a
@@ -48,17 +49,13 @@ def _spots(text: Column) -> Column:
 def signatures(text: Column) -> Column:
     """Sorted distinct hashes of a text's signatures."""
     spots = F.concat(F.lit(" ~"), _spots(text))
-    chains = F.array_distinct(F.regexp_extract_all(spots, F.lit(rf" ~(?=((?:(?: ~)* [^ ~]+){{{CHAIN}}}) )"), F.lit(1)))
-    chains = F.array_distinct(F.transform(chains, lambda c: F.replace(c, F.lit(" ~"), F.lit(""))))
-    content = F.trim(F.regexp_replace(spots, " ~", ""))
-    every = F.regexp_extract_all(F.concat(F.lit(" "), content, F.lit(" ")), F.lit(rf"(?=((?: [^ ]+){{{CHAIN}}}) ) "), F.lit(1))
-
-    def chosen(c: Column) -> Column:
-        short = F.when(F.length(content) > 0, F.array(F.concat(F.lit(" "), content))).otherwise(F.array().cast("array<string>"))
-        return F.when(F.size(c) > 1, c).when(F.size(c) == 1, every).otherwise(short)
-
-    words = F.element_at(F.transform(F.array(chains), chosen), 1)  # the chains are found once, as the argument
-    return F.array_sort(F.array_distinct(F.transform(words, lambda c: F.xxhash64(c))))
+    anchored = F.regexp_extract_all(spots, F.lit(rf" ~(?=((?:(?: ~)* [^ ~]+){{{CHAIN}}}) )"), F.lit(1))
+    # a word after CHAIN content words in a row, with the chain that it starts
+    spaced = F.regexp_extract_all(spots, F.lit(rf"(?=(?: [^ ~]+){{{CHAIN}}}( [^ ~]+(?:(?: ~)* [^ ~]+){{{CHAIN - 1}}}) ) "), F.lit(1))
+    content = F.trim(F.replace(spots, F.lit(" ~"), F.lit("")))
+    last = F.when(F.length(content) > 0, F.concat(F.lit(" "), F.substring_index(content, " ", -CHAIN)))
+    chains = F.array_compact(F.array_append(F.array_distinct(F.concat(anchored, spaced)), last))
+    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.xxhash64(F.replace(c, F.lit(" ~"), F.lit(""))))))
 
 
 def as_text(fingerprint: Column) -> Column:

@@ -269,6 +269,18 @@ def test_secret_field_is_exact():
         assert np.allclose(unary.sum(axis=2), 1) and np.isclose(pair.sum(), n + 1)
 
 
+def chains_of(marked):
+    """Chains at anchors, at words with CHAIN content words in a row before them, and of the last words."""
+    found = set()
+    for k, x in enumerate(marked):
+        after = [y for y in marked[k:] if y != "~"][: spotsigs.CHAIN]
+        row = marked[max(0, k - spotsigs.CHAIN) : k]
+        if len(after) == spotsigs.CHAIN and (x == "~" or len(row) == spotsigs.CHAIN and "~" not in row):
+            found.add(tuple(after))
+    content = [x for x in marked if x != "~"]
+    return found | ({tuple(content[-spotsigs.CHAIN :])} if content else set())
+
+
 def test_spotsigs(spark, odd):
     rng = random.Random(6)
     anchors = ["the", "of", "und", "le"]
@@ -280,13 +292,7 @@ def test_spotsigs(spark, odd):
     for i, t in enumerate(texts):
         w = ["~", *re.findall(r"[^\W_]+", (t or "").lower())]
         marked = ["~" if x in spotsigs.ANCHORS else x for x in w]
-        found = set()
-        for k, x in enumerate(marked):
-            after = [y for y in marked[k:] if y != "~"][: spotsigs.CHAIN]
-            if x == "~" and len(after) == spotsigs.CHAIN:
-                found.add(tuple(after))
-        content = [x for x in marked if x != "~"]
-        chains[i] = found or ({tuple(content)} if content else set())
+        chains[i] = chains_of(marked)
         assert len(got[i]) == len(chains[i])
     assert got[0] == got[30] and got[2] == got[32]
     members, pairs = spotsigs.near_pairs(df, 0.8)
@@ -299,17 +305,24 @@ def test_spotsigs(spark, odd):
     assert spotsigs.near_pairs(odd)[0].count() == 10 and spotsigs.near_pairs(odd.limit(0))[1].count() == 0
 
 
-def test_spotsigs_without_anchors(spark):
-    """A text that its anchors cover by one chain only is fingerprinted whole."""
+def test_spotsigs_where_anchors_are_far_apart(spark):
+    """Every content word counts, with one anchor, none or many."""
     content = [f"w{k}" for k in range(400)]
     free, half = " ".join(content), " ".join(content[:200] + [f"z{k}" for k in range(200)])
     shifted = " ".join(["new", *content])
     texts = [free, half, shifted, "the " + free, free + " the", "the w0 of w1 w2", "w0 w1 w2", "w0 w1"]
+    texts += ["the w0 of " + free, "w0 the w1 w2 of w3 " + free]  # two and more chains from anchors, then a gap
+    texts += ["the w0 of " + half, "w0 the w1 w2 of w3 " + half]
     got = {r["doc_id"]: set(r["s"]) for r in table(spark, texts).select("doc_id", spotsigs.signatures(spotsigs.F.col("text")).alias("s")).collect()}
     like = lambda a, b: len(got[a] & got[b]) / len(got[a] | got[b])
-    assert len(got[0]) == 398 and got[0] != got[1] and 0.3 < like(0, 1) < 0.4
-    assert like(0, 2) > 0.99 and got[0] == got[3] == got[4]
+    assert len(got[0]) == 396 and got[0] != got[1] and 0.3 < like(0, 1) < 0.4
+    assert like(0, 2) > 0.98 and got[0] == got[3] == got[4]
     assert got[5] == got[6] and len(got[6]) == len(got[7]) == 1 and got[6] != got[7]
+    assert 0.3 < like(8, 10) < 0.4 and 0.3 < like(9, 11) < 0.4 and like(0, 8) > 0.98
+    rng = random.Random(7)
+    for marked in ([rng.choice(["~", "~", "a", "b", "c", "d", "e", "f", "g"]) for _ in range(rng.randrange(3, 60))] for _ in range(200)):
+        held = set().union(*map(set, chains_of(["~", *marked])))
+        assert held == {x for x in marked if x != "~"}
 
 
 def test_next_document(spark, odd):
@@ -333,3 +346,15 @@ def test_fingerprint_query(spark):
         nxt, half = docs[(k + 1) % len(docs)][1], len(t) // 2
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
         assert got[i]["n_chars"] == len(t)
+    # likeness against chains of the texts, and no text of 20 content words keeps its fingerprint with half of it replaced
+    def chains(t):
+        w = ["~", *re.findall(r"[^\W_]+", t.lower())]
+        return chains_of(["~" if x in spotsigs.ANCHORS else x for x in w])
+
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, (i, t) in enumerate(docs):
+        nxt, half = docs[(k + 1) % len(docs)][1], len(t) // 2
+        own, edited, other = chains(t), chains(t[: len(t) - half] + nxt[:half]), chains(nxt)
+        assert abs(got[i]["near_edited"] - like(own, edited)) < 1e-9 and abs(got[i]["near_next"] - like(own, other)) < 1e-9
+        assert len(set().union(*own, set())) < 20 or own == edited or got[i]["fingerprint"] != got[i]["edited_fingerprint"]
+        assert len(set().union(*own, set())) < 20 or t[len(t) - half :] == nxt[:half] or got[i]["fingerprint"] != got[i]["edited_fingerprint"]
