@@ -268,6 +268,18 @@ def test_pipeline(spark, pipeline):
     assert packed.where("piece = 0").count() == sum(copies.values())
 
 
+def test_near_dedup_decides_by_row(spark, pipeline):
+    """Rows of one id or of none are told apart by their text; clashing names and nulls are fine."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(7, a), (7, b), (3, a), (8, b), (None, c), (None, c), (None, c), (None, b + " end"), (9, None), (9, None), (10, ""), (None, None), (12, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 5, 6) for i, t in rows], DOCS + ", _row long, kept long")
+    got = pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    texts = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert texts == sorted([(3, a), (7, b), (None, c), (9, None), (10, ""), (None, None), (12, "")], key=str)
+    assert pipeline.near_dedup(spark, docs.where("doc_id IN (3, 8)"), SF).count() == 2
+
+
 def test_pipeline_stages_take_empty_tables(spark, pipeline):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
