@@ -3,13 +3,14 @@
 A configuration is a multiset of piece lengths that fits one sequence. The
 program "fewest sequences covering the length histogram" is solved by
 multiplicative weights: every length carries a weight, a knapsack dynamic
-program over the capacity prices the best configuration, the configuration
-gets a step of sequences, and the weights of the lengths it covered fall. The
-fractional solution is rounded down, then up while demand remains, and the few
-pieces left go to the fullest bins that hold them (best fit on the histogram).
+program over the capacity prices the configurations, the best ones
+get a step of sequences, and the weights of the lengths they covered fall, until all
+demand is covered. The fractional solution is rounded by its running sum, and the few
+pieces left go to the fullest bins that hold them (best fit on the histogram). A dual
+bound tells how far the plan can be from the least number of sequences.
 
 Only the histogram (at most ``capacity`` numbers) and the plan (patterns and
-their counts, bounded by the number of pricing rounds) are ever on the driver;
+their counts, bounded by the pricing rounds, whose number grows with the logarithm of the rows) are ever on the driver;
 the pieces are tokenised, ranked within their length and mapped to
 ``(sequence_id, offset)`` on the executors. A hot length is split by a salt
 before it is ranked.
@@ -37,10 +38,15 @@ from noisesift.llm.common import query, staged, table
 CAPACITY = 1024
 END_ID = 2
 CACHE_WORDS = 600_000
+CACHE_CHARS = 30_000_000  # of the cached words
 TAIL = ".,;:!?*%$#&|)]}>"
-PRICING_ROUNDS = 1000
-STEP = 0.1
-ROUNDED_SHARES = (1.0, 0.9, 0.75, 0.5, 0.3)  # of the fractional solution; best fit does the rest
+SHARPNESS = 4.0  # of the weights
+STEP = 0.2  # of what is left
+LEAP = 0.04  # of a length's demand
+SLACK = 0.01  # configurations of nearly the best value
+TOGETHER = 64
+DONE = 1e-6  # of a length's demand
+ROUNDED_SHARES = (1.0, 0.98, 0.9, 0.75, 0.5, 0.0)  # of the fractional solution; best fit does the rest
 ROWS_PER_SALT = 50_000
 
 _tokenizers: dict = {}  # path -> WordCache, one per Python worker
@@ -64,6 +70,7 @@ class WordCache:
 
         self.tok = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.chars = 0
         self.tails: dict[str, bytes] = {}
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -115,9 +122,13 @@ class WordCache:
         for ws in split:
             seen.update(ws)
         new = seen.difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
+        more = sum(map(len, new))
+        if len(self.words) + len(new) > CACHE_WORDS or self.chars + more > CACHE_CHARS:
             self.words.clear()
-            new = seen
+            self.tails.clear()
+            self.chars, new = 0, seen
+            more = sum(map(len, new))
+        self.chars += more
         self._learn(list(new))
         firsts = self._ids([ws[0] for ws in split])
         get = self.words.__getitem__
@@ -180,8 +191,8 @@ def tokenize_pieces(
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ddl).withColumnRenamed("id", id_col)
 
 
-def _price(weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: the multiset of lengths of largest weight within the capacity."""
+def _price(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: the largest weight within each capacity, and the length taken last (0: one place is left free)."""
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     back = weights[1:]
     for c in range(1, capacity + 1):
@@ -191,70 +202,109 @@ def _price(weights: np.ndarray, capacity: int) -> dict[int, int]:
             best[c], choice[c] = gain[k], k + 1
         else:
             best[c] = best[c - 1]
+    return best, choice
+
+
+def _trace(choice: np.ndarray, capacity: int) -> dict[int, int]:
+    """The configuration behind a capacity's best weight."""
     out: dict[int, int] = defaultdict(int)
     c = capacity
     while c > 0:
         if choice[c]:
             out[int(choice[c])] += 1
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return dict(out)
+        c -= int(choice[c]) or 1
+    return out
 
 
-def solve_configurations(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = PRICING_ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Fractional solution of the configuration program: (configuration, sequences)."""
+def lower_bound(demand: np.ndarray, prices: np.ndarray, best: float) -> float:
+    """A bound on the program's optimum from below: prices under which no configuration is worth more than 1.
+
+    The given prices over their best configuration's value, or prices by size: 1 for lengths
+    that leave less than ``a`` of a sequence, none for lengths under ``a``, the share of a sequence for those between.
+    """
+    capacity = len(demand) - 1
+    area = np.concatenate([[0.0], np.cumsum(demand * np.arange(capacity + 1))]) / capacity
+    count = np.concatenate([[0.0], np.cumsum(demand)])
+    a = np.arange(1, capacity // 2 + 1)
+    by_size = count[-1] - count[capacity - a + 1] + area[capacity - a + 1] - area[a]
+    return max(float((prices * demand).sum()) / best if best > 0 else 0.0, float(by_size.max()))
+
+
+def solve_configurations(hist: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Fractional solution of the configuration program, covering all pieces: ``[(configuration, sequences)]``, and
+    a lower bound on its optimum.
+
+    A length's weight is its size times ``exp(SHARPNESS * share left)``. Each round one knapsack table prices all
+    configurations; those of nearly the best value, one through each length that lags, take a step together. It
+    empties no length more than ``STEP`` of what is left, or moves no length by more than ``LEAP`` of its demand, so the rounds grow
+    with the logarithm of the demand and run until nothing is left.
+    """
     demand = np.zeros(capacity + 1)
     for length, n in hist.items():
         demand[length] = n
-    left = demand.copy()
+    full, demand[capacity] = demand[capacity], 0
+    left, inverse = demand.copy(), np.divide(1.0, demand, out=np.zeros(capacity + 1), where=demand > 0)
     out: dict[tuple, float] = defaultdict(float)
-    out_full = demand[capacity]
-    left[capacity] = 0
-    total = float((np.arange(capacity + 1) * left).sum())
     share = np.arange(capacity + 1) / capacity
-    weight = share + 0.3 / capacity * share**2  # among equally full configurations the long pieces go first
-    for _ in range(rounds):
-        live = left > 1e-9
-        if not live.any() or float((np.arange(capacity + 1) * left).sum()) < 1e-3 * total:
-            break
-        lag = np.where(live, left / np.maximum(demand, 1), 0)
-        y = np.where(live, weight * np.exp(0.2 * (lag - lag[live].max())), 0)
-        config = _price(y, capacity)
-        lengths = np.fromiter(config, dtype=np.int64)
-        counts = np.fromiter(config.values(), dtype=float)
-        top = float((left[lengths] / counts).min())
-        step = top if top <= 1e-3 else max(STEP * top, min(top, 1e-3))
-        left[lengths] -= step * counts
-        out[tuple(sorted(config.items()))] += step
-    solved = [(dict(k), x) for k, x in out.items()]
-    return ([({capacity: 1}, float(out_full))] if out_full else []) + solved
+    worth = share + 0.3 / capacity * share**2  # among equally full configurations the long pieces go first
+    bound = 0.0
+    while (live := np.flatnonzero(left)).size:
+        lag = left * inverse
+        y = np.where(left > 0, worth * np.exp(SHARPNESS * (lag - lag.max())), 0)
+        best, choice = _price(y, capacity)
+        if not bound:  # at the start all lengths have a price
+            bound = lower_bound(demand, y, best[capacity])
+        value = y[live] + best[capacity - live]
+        good = live[value >= (1 - SLACK) * best[capacity]]
+        steps: dict[tuple, float] = {}
+        used = np.zeros(capacity + 1)
+        for length in good[np.argsort(-lag[good], kind="stable")][:TOGETHER]:
+            config = _trace(choice, capacity - int(length))
+            config[int(length)] += 1
+            key = tuple(sorted(config.items()))
+            if key not in steps:
+                steps[key] = min(left[a] / k for a, k in key)
+                for a, k in key:
+                    used[a] += steps[key] * k
+        on = used > 0
+        empties = float((left[on] / used[on]).min())
+        step = min(empties, max(STEP * empties, LEAP / float((used * inverse).max())))
+        for key, x in steps.items():
+            out[key] += step * x
+        left -= step * used
+        left[left < DONE * demand] = 0
+    return ([({capacity: 1}, float(full))] if full else []) + [(dict(k), x) for k, x in out.items()], bound + full
 
 
 def round_and_fill(hist: dict[int, int], solution: list[tuple[dict[int, int], float]], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Round the fractional sequences to whole ones; best fit for the lengths still open."""
+    """Round the fractional sequences to whole ones; best fit for the lengths still open.
+
+    Configurations of like lengths stand together, and each takes the whole numbers that the running sum of
+    sequences passes in it. One whose pieces are no longer all there keeps those that are, and room.
+    """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in hist.items():
         left[length] = n
     plan: dict[tuple, int] = defaultdict(int)
-
-    def use(config: dict[int, int], n: int) -> None:
-        n = min([n, *(int(left[length]) // k for length, k in config.items())])
-        if n > 0:
+    partial: list[list] = []
+    at = 0.5
+    for config, x in sorted(solution, key=lambda s: sorted(s[0].items(), reverse=True), reverse=True):
+        n, at = math.floor(at + x) - math.floor(at), at + x
+        while n > 0:
+            config = {length: k for length, k in ((length, min(k, int(left[length]))) for length, k in config.items()) if k}
+            if not config:
+                break
+            m = min([n, *(int(left[length]) // k for length, k in config.items())])
             for length, k in config.items():
-                left[length] -= n * k
-            plan[tuple(sorted(config.items()))] += n
-
-    # configurations that waste more than the fractional optimum does on average stay open for best fit
-    fill = {i: sum(length * k for length, k in c.items()) for i, (c, _) in enumerate(solution)}
-    mean_fill = sum(fill[i] * x for i, (_, x) in enumerate(solution)) / max(1e-9, sum(x for _, x in solution))
-    tight = [s for i, s in enumerate(solution) if fill[i] >= mean_fill]
-    for config, x in tight:
-        use(config, math.floor(x + 1e-9))
-    for config, x in sorted(tight, key=lambda s: s[1] - math.floor(s[1]), reverse=True):
-        if x - math.floor(x) > 0.5:
-            use(config, 1)
+                left[length] -= m * k
+            if sum(length * k for length, k in config.items()) == capacity:
+                plan[tuple(sorted(config.items()))] += m
+            else:
+                partial.append([config, m])
+            n -= m
     open_bins: dict[int, list[list]] = defaultdict(list)  # room -> [configuration, how many]
+    for config, m in partial:
+        open_bins[capacity - sum(length * k for length, k in config.items())].append([config, m])
     for length in range(capacity, 0, -1):
         n = int(left[length])
         for room in range(length, capacity):
@@ -280,7 +330,7 @@ def round_and_fill(hist: dict[int, int], solution: list[tuple[dict[int, int], fl
 
 def plan_sequences(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """The whole plan for a histogram: (configuration, whole sequences of it); the best of some roundings."""
-    solution = solve_configurations(hist, capacity)
+    solution, _ = solve_configurations(hist, capacity)
     plans = [round_and_fill(hist, [(c, share * x) for c, x in solution], capacity) for share in ROUNDED_SHARES]
     return min(plans, key=lambda plan: sum(n for _, n in plan))
 
@@ -306,8 +356,8 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
     plan_cols = [np.array(x, dtype=np.int64)[order] for x in (keys, bases, counts, seqs, offsets)]
     shared = pieces.sparkSession.sparkContext.broadcast(plan_cols)  # bounded by the rounds, not by the rows
 
-    salts = max(1, math.ceil(sum(hist.values()) / ROWS_PER_SALT))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
+    salts = F.array(*[F.lit(1 + hist.get(length, 0) // ROWS_PER_SALT) for length in range(1, capacity + 1)])  # only common lengths are split
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.element_at(salts, F.col("length").cast("int"))).cast("int"))
     sizes = salted.groupBy("length", "_salt").count()
     before = sizes.select("length", "_salt", (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(F.col(id_col).asc_nulls_first(), "piece")) - 1

@@ -7,7 +7,7 @@ import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -83,6 +83,43 @@ def test_packing_empty_and_plan(spark):
     assert sum(n for _, n in packing.plan_sequences({600: 50, 424: 50})) == 50
 
 
+def test_packing_program():
+    """The fractional solution covers everything near its bound, and beats best fit where that goes wrong."""
+    count = lambda plan: sum(n for _, n in plan)
+    misled = {516: 6000, 264: 6000, 260: 6000, 248: 12000}
+    assert count(packing.round_and_fill(misled, [])) == 11000 and count(packing.plan_sequences(misled)) == 9000
+    rng = random.Random(3)
+    thirds = {n: rng.randrange(1, 50) for n in range(200, 700)}
+    assert count(packing.plan_sequences(thirds)) < 0.99 * count(packing.round_and_fill(thirds, []))
+    mixed = {rng.randrange(1, 1025): rng.randrange(1, 90) for _ in range(300)}
+    for hist, gap in ((misled, 1e-4), (thirds, 0.01), (mixed, 0.02), ({1024: 7, 1: 3}, 0.5)):
+        solution, bound = packing.solve_configurations(hist)
+        covered = defaultdict(float)
+        for config, x in solution:
+            assert sum(n * k for n, k in config.items()) <= 1024
+            for n, k in config.items():
+                covered[n] += k * x
+        assert all(covered[n] >= d * (1 - 1e-5) for n, d in hist.items())
+        assert bound - 1e-6 <= sum(x for _, x in solution) <= (1 + gap) * bound + 1
+        assert bound - 1e-6 <= count(packing.plan_sequences(hist)) <= (1 + gap) * bound + 1
+
+
+def test_packing_equals_an_exact_optimum():
+    """Few pieces: the fewest bins over all ways to pack them."""
+
+    def fewest(pieces, room):
+        best = {0: (1, 0)}  # set of pieces -> (bins, fill of the last)
+        for mask in range(1, 1 << len(pieces)):
+            best[mask] = min((b + (f + p > room), p if f + p > room else f + p) for i, p in enumerate(pieces) if mask >> i & 1 for b, f in [best[mask ^ 1 << i]])
+        return best[(1 << len(pieces)) - 1][0]
+
+    rng = random.Random(9)
+    for _ in range(60):
+        pieces = [rng.choice([1, 2, 3, 5, 7, 8, 9, 11, 13, 20]) for _ in range(rng.randrange(1, 11))]
+        plan = packing.plan_sequences(dict(Counter(pieces)), 20)
+        assert sum(n for _, n in plan) == fewest(pieces, 20)
+
+
 def brute_groups(texts: dict[int, str | None], n: int):
     sets = {}
     for i, t in texts.items():
