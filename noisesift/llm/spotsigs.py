@@ -48,14 +48,19 @@ def _spots(text: Column) -> Column:
 
 def signatures(text: Column) -> Column:
     """Sorted distinct hashes of a text's signatures."""
-    spots = F.concat(F.lit(" ~"), _spots(text))
-    anchored = F.regexp_extract_all(spots, F.lit(rf" ~(?=((?:(?: ~)* [^ ~]+){{{CHAIN}}}) )"), F.lit(1))
+    anchored = rf" ~(?=((?:(?: ~)*+ [^ ~]++){{{CHAIN}}}) )"
     # a word after CHAIN content words in a row, with the chain that it starts
-    spaced = F.regexp_extract_all(spots, F.lit(rf"(?=(?: [^ ~]+){{{CHAIN}}}( [^ ~]+(?:(?: ~)* [^ ~]+){{{CHAIN - 1}}}) ) "), F.lit(1))
-    content = F.trim(F.replace(spots, F.lit(" ~"), F.lit("")))
-    last = F.when(F.length(content) > 0, F.concat(F.lit(" "), F.substring_index(content, " ", -CHAIN)))
-    chains = F.array_compact(F.array_append(F.array_distinct(F.concat(anchored, spaced)), last))
-    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.xxhash64(F.replace(c, F.lit(" ~"), F.lit(""))))))
+    spaced = rf" (?=[^ ~]++(?: [^ ~]++){{{CHAIN - 1}}}( [^ ~]++(?:(?: ~)*+ [^ ~]++){{{CHAIN - 1}}}) )"
+
+    def hashes(spots: Column) -> Column:
+        found = F.concat(F.regexp_extract_all(spots, F.lit(anchored), F.lit(1)), F.regexp_extract_all(spots, F.lit(spaced), F.lit(1)), last(F.trim(F.replace(spots, F.lit(" ~"), F.lit("")))))
+        return F.transform(F.array_distinct(found), lambda c: F.xxhash64(F.replace(c, F.lit(" ~"), F.lit(""))))
+
+    def last(content: Column) -> Column:
+        return F.when(F.length(content) > 0, F.array(F.concat(F.lit(" "), F.substring_index(content, " ", -CHAIN)))).otherwise(F.array().cast("array<string>"))
+
+    once = F.transform(F.array(F.concat(F.lit(" ~"), _spots(text))), hashes)  # the text is marked once, as the argument
+    return F.array_sort(F.array_distinct(F.element_at(once, 1)))
 
 
 def as_text(fingerprint: Column) -> Column:
