@@ -1,9 +1,10 @@
 """License scan by ordered signature rules, with SQL functions only.
 
 A text is reduced to its words (lower-cased, one space between two). Rules are
-regular expressions on that form, built from the families below: for each version
+regular expressions on that form: the hand-written signatures of license bodies, headers and
+compact names (``signatures``), and by the families below for each version
 of a family an SPDX tag, a licensing notice and the name with its version, and for
-each family a notice and the bare name - some 600 rules. A rule is tried only on
+each family a notice and the bare name. "Licence" is read as "license". A rule is tried only on
 texts that hold its keyword, a word that each of its alternatives must hold; a name
 with several spellings has a rule for each such word. The detections of a text are ordered by start, longest
 first, higher priority first, and a detection whose interval lies in that of one
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisesift.llm.common import query, table
+from noisesift.llm.signatures import signatures
 
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -87,7 +89,7 @@ FAMILIES = (
     ("ncsa", "(?:university of illinois )?ncsa open source license", "ncsa", ()),
     ("upl", "universal permissive license", "universal", ("1.0",)),
     ("w3c", "w3c (?:software|document) (?:notice and )?license", "w3c", ()),
-    ("x11", "x11 license|x consortium license", "license", ()),
+    ("x11", "x11 license|x consortium license", "x11", ()),
     ("proprietary", "proprietary(?: and confidential| license| software)", "proprietary", ()),
     ("reserved", "all rights reserved", "reserved", ()),
     ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright", ()),
@@ -129,7 +131,7 @@ def gated(name: str, keyword: str) -> dict[str, str]:
 
 
 def rules() -> list[dict]:
-    """The ordered rules: label, keyword, regex on normalised words, priority."""
+    """The ordered rules: label, keyword (a word every match holds), regex on normalised words, priority."""
     spellings = [(label, name, gate, versions) for label, names, keyword, versions in FAMILIES for gate, name in gated(names, keyword).items()]
     out = []
     for label, name, keyword, versions in spellings:
@@ -147,6 +149,10 @@ def rules() -> list[dict]:
             out.append({"label": label, "keyword": "spdx", "regex": f" spdx license identifier {spdx}(?= )", "priority": 5})
         out.append({"label": label, "keyword": keyword, "regex": f" {_NOTICE}{name}(?= )", "priority": 2})
         out.append({"label": label, "keyword": keyword, "regex": f" {name}(?= )", "priority": 1})
+    out += [{"label": label, "keyword": gate, "regex": f" {regex}(?= )", "priority": p} for label, gate, regex, p in signatures()]
+    for r in out:
+        if r["keyword"] != "license":
+            r["regex"] = re.sub(r"(?<= )license(?=[ ds)?|])", "licen[cs]e", r["regex"])
     return list({tuple(r.values()): r for r in out}.values())
 
 

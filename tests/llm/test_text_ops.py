@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from noisesift.llm import licenses, minhash, packing, secrets, spotsigs
+from noisesift.llm import licenses, minhash, packing, secrets, signatures, spotsigs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -240,6 +240,58 @@ def test_license_gates(spark):
     assert [got[i] for i in range(len(texts))] == [[w] for w in want]
 
 
+LICENSE_TEXTS = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all\n# copies or substantial portions of the Software."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:"),
+    ("bsd-2-clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", "The name of the author may not be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement:"),
+    ("apache-2.0", "you may not use this file except in compliance with the License."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS"),
+    ("apache-2.0", "see http://www.apache.org/licenses/LICENSE-2.0"),
+    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-2.0", "the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version"),
+    ("lgpl-2.1", "the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("agpl-3.0", "the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("gpl-2.0", "the terms of version 2 of the GNU General Public License"),
+    ("gpl-3.0", "GPLv3"), ("gpl-3.0", "it is GPLv3+."), ("lgpl-2.1", "LGPLv2.1+"), ("lgpl-2.0", "LGPLv2"), ("agpl-3.0", "AGPL3"), ("mpl-2.0", "MPLv2.0"), ("apache-2.0", "Apache2"),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above"),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE"),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("mit", "License: MIT"), ("mit", "MIT Licence"), ("mit", "licensed under the MIT"), ("mit", "MIT OR Apache-2.0"), ("bsd", "License: BSD"),
+    ("cc-by-sa-4.0", "https://creativecommons.org/licenses/by-sa/4.0/"), ("cc0-1.0", "creativecommons.org/publicdomain/zero/1.0"), ("gpl-3.0", "https://www.gnu.org/licenses/gpl-3.0.html"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."),
+    ("boost-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ofl-1.1", "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software"),
+    ("x11", "Except as contained in this notice, the name of the X Consortium shall not be used in advertising"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed"),
+    ("gpl-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom"),
+    ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited"),
+)
+
+
+def test_license_signatures(spark):
+    """A text of every family gets its label, alone and amid other words, and talk of licenses gets none."""
+    plain = ["MIT researchers met at the MIT campus", "er kam mit dem Zug", "the apache helicopter landed", "permission was granted to the school", "a version 3 of the plan", "redistribution of income", None, ""]
+    amid = [f"word {t} word" for _, t in LICENSE_TEXTS]
+    got = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in licenses.scan(table(spark, [t for _, t in LICENSE_TEXTS] + amid + plain)).collect()}
+    for k, (label, text) in enumerate(LICENSE_TEXTS):
+        assert label in got[k] and label in got[k + len(LICENSE_TEXTS)], (label, text, got[k])
+    assert all(got[2 * len(LICENSE_TEXTS) + k] == set() for k in range(len(plain)))
+    for r in licenses.rules():  # each rule's gate stands in it as a word, outside of what may be left out
+        assert re.fullmatch("[0-9a-z]+", r["keyword"])
+    for label, gate, regex, _ in signatures.signatures():
+        must = re.sub(r"\(\?![^()]*\)", "", regex)
+        while (less := re.sub(r"\((?:\?:)?[^()]*\)(\?|\*|\{[^}]*\})?", " ", must)) != must:
+            must = less
+        assert gate in re.sub(r"[a-z]\?", " ", must).split() or gate in must.split(), (label, gate, regex)
+
+
 def test_secrets(spark, odd):
     key = "AKIA" + "Q7" * 8
     texts = [
