@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from noisesift.llm.common import hashed_sample, query, table
 
 SAMPLE_DOCS = 2000
-SYNTHETIC = 5000
+SYNTHETIC = 7000
 PIECE, PIECES = 12, 4000
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -49,12 +49,21 @@ _HINT = re.compile(
     r"|auth(?!or(?!i[sz])|entic)|bearer|credential", re.IGNORECASE)
 # classes of bytes: digit, lower, upper, symbol, other
 _CLASSES = bytes(ord("d" if c in string.digits else "l" if c in string.ascii_lowercase else "u" if c in string.ascii_uppercase else "s" if c in "+/_=.-" else "o") for c in map(chr, range(256)))
+# names of things that look random and are no secrets
+_IDS = frozenset(("commit", "revision", "rev", "sha", "sha1", "sha256", "sha512", "md5", "checksum", "digest", "hash", "uuid", "guid", "id", "ref", "etag", "integrity", "iban", "fingerprint", "build", "version"))
+_UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+_HEXID = re.compile(r"[0-9a-f]{7,31}")
+_CONTENT = re.compile(r"(sha(1|256|384|512)|md5)[-:]", re.IGNORECASE)
+_URL_LOGIN = re.compile(r"://[^/:@?#]*:([^@/]+)@")
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}", re.IGNORECASE)
 _HEXED = bytes(ord("h") if chr(i) in "0123456789abcdef" else ord(" ") for i in range(256))
 
 B, I, O = 0, 1, 2  # noqa: E741
-N_SHAPE, N_PREV, N_NEXT, N_FILE, N_MIX, N_QUOTE = 6 * 2 * 2 * 2 * 2 * 2 * 5, 6, 3, 4, 48, 3
-_OFFSETS = [int(x) for x in np.cumsum([0, N_SHAPE, N_PREV, N_PREV, N_NEXT, N_FILE, 8, 8 * N_PREV, N_MIX, N_MIX * N_PREV, 6 * N_PREV * N_PREV, 3 * N_QUOTE])]
+N_LENGTH = 4  # under 8, under 12, under 16, longer
+N_SHAPE, N_PREV, N_NEXT, N_FILE, N_COARSE, N_MIX, N_QUOTE = 7 * 2 * 2 * 2 * 2 * 2 * 5, 7, 3, 4, 13, 16 * N_LENGTH, 3
+_SIZES = (N_SHAPE, N_PREV, N_PREV, N_NEXT, N_FILE, N_COARSE, N_COARSE * N_PREV, N_MIX, N_MIX * N_PREV, 2 * N_LENGTH * N_PREV * N_PREV, N_LENGTH * N_QUOTE)
+_OFFSETS = [int(x) for x in np.cumsum([0, *_SIZES])]
 N_FEATURES = _OFFSETS[-1]
 QUOTED = 12  # words within one pair of quotes
 
@@ -75,7 +84,7 @@ def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
 def _shape(core: str) -> tuple[int, int]:
     """Index of a word's shape, and of its mix of letters."""
     n = len(core)
-    length = bisect.bisect_right((4, 8, 16, 20, 32), n)
+    length = bisect.bisect_right((4, 8, 12, 16, 20, 32), n)
     made = core.encode().translate(_CLASSES)
     digits = made.count(b"d")
     hexed = not core.strip("0123456789abcdefABCDEF")
@@ -83,11 +92,26 @@ def _shape(core: str) -> tuple[int, int]:
     index = length
     for x in (b"u" in made, b"l" in made, b"s" in made, b"o" in made, hexed):
         index = index * 2 + int(x)
-    mix = (_LENGTH3[length] * 4 + bisect.bisect_right((1, 2, 4), made.count(b"lu"))) * 2 + int(_CONSONANTS.search(core) is not None)
+    mix = (_LENGTH[length] * 4 + bisect.bisect_right((1, 2, 4), made.count(b"lu"))) * 2 + int(_CONSONANTS.search(core) is not None)
     return index * 5 + share, mix * 2 + int(digits == 0)
 
 
-_LENGTH3 = (0, 0, 1, 2, 2, 2)  # under 8, under 16, longer
+_LENGTH = (0, 0, 1, 2, 3, 3, 3)
+
+
+def _form(word: str, core: str) -> int:
+    """Forms of words that look random by their make: 1 UUID, 2 account number, 3 link, 4 short hex id, 5 content hash; else 0."""
+    if "://" in word or word.startswith("www."):
+        return 0 if _URL_LOGIN.search(word) else 3
+    if len(core) < 7:
+        return 0
+    if _CONTENT.search(word):
+        return 5
+    if _HEXID.fullmatch(core):
+        return 4 if _ASCII_DIGIT.search(core) else 0
+    if _UUID.fullmatch(core):
+        return 1
+    return 2 if _IBAN.fullmatch(core) and 5 * len(_ASCII_DIGIT.findall(core)) >= 3 * len(core) else 0
 
 
 def _prev_class(word: str) -> int:
@@ -96,6 +120,8 @@ def _prev_class(word: str) -> int:
     signed = word[-1] in "=:" or word in ("=>", "->")
     if _HINT.search(word):
         return 5 if signed else 1
+    if word.strip("=:#\"'(").lower() in _IDS:
+        return 6
     if signed:
         return 2
     return 3 if _DIGIT.search(word) else 4
@@ -103,6 +129,8 @@ def _prev_class(word: str) -> int:
 
 def _place(word: str) -> tuple[int, int, int]:
     """Place and length of a word's core, and the class of a name written before it (-1: none)."""
+    if (login := _URL_LOGIN.search(word)) is not None:  # a password in an address, as if it had a name
+        return login.start(1), len(login[1]), 5
     core = word.strip(_TRIM)
     own = -1
     # "key=value" in one word: the name before the sign is the neighbour
@@ -115,13 +143,13 @@ def _place(word: str) -> tuple[int, int, int]:
 
 class Facts:
     """What words alone tell, one row a word: shape, mix, class as a neighbour, class of a name written
-    before the core, digits as seen by the word before, any ASCII digit, opens a quote, closes one."""
+    before the core, digits as seen by the word before, any ASCII digit, opens a quote, closes one, form."""
 
     ROWS, CHARS = 1 << 18, 1 << 23
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows = np.zeros((self.ROWS, 8), dtype=np.int16)
+        self.rows = np.zeros((self.ROWS, 9), dtype=np.int16)
         self.chars = 0
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -130,7 +158,7 @@ class Facts:
             if self.chars > self.CHARS or len(self.ids) + len(words) > len(self.rows):
                 self.__init__()
                 if len(words) > len(self.rows):
-                    self.rows = np.zeros((len(words), 8), dtype=np.int16)
+                    self.rows = np.zeros((len(words), 9), dtype=np.int16)
             new = [x for x in dict.fromkeys(words) if x not in self.ids]
             self.rows[len(self.ids) : len(self.ids) + len(new)] = [self.facts(x) for x in new]
             self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
@@ -142,20 +170,36 @@ class Facts:
     def facts(word: str) -> tuple:
         plain = word[:-1] if word[-1] in ".,;!?" else word
         if plain.isascii() and plain.isalpha():  # nothing to look for besides the shape
-            return *_shape(plain), 1 if _HINT.search(word) else 4, -1, 2, False, False, False
+            seen = 1 if _HINT.search(word) else 6 if plain.lower() in _IDS else 4
+            return *_shape(plain), seen, -1, 2, False, False, False, 0
         at, n, own = _place(word)
         opens = word[0] in "\"'" or (own >= 0 and at > 0 and word[at - 1] in "\"'")
         closes = word.rstrip(".,;:)]}")[-1:] in ("\"", "'") and (len(word) > 1 or not opens)
         digit = 1 if _DIGIT.search(word) else 2
-        return *_shape(word[at : at + n]), _prev_class(word), own, digit, _ASCII_DIGIT.search(word) is not None, opens, closes
+        core = word[at : at + n]
+        return *_shape(core), _prev_class(word), own, digit, _ASCII_DIGIT.search(word) is not None, opens, closes, _form(word, core)
+
+
+ALL = tuple(range(len(_SIZES)))
+FOLDED = (0, 3, 4, 6, 8, 9, 10)  # what is left when weights of a word alone are added to those of its pairs
 
 
-def features(text: str, facts: Facts) -> np.ndarray:
+def folded(w: np.ndarray) -> np.ndarray:
+    """Weights for the ``FOLDED`` columns that give the sums of all columns."""
+    part = [w[a:b] for a, b in zip(_OFFSETS[:-1], _OFFSETS[1:], strict=True)]
+    out = w.copy()
+    out[_OFFSETS[6] : _OFFSETS[7]] += np.repeat(part[5], N_PREV, axis=0)
+    out[_OFFSETS[8] : _OFFSETS[9]] += np.repeat(part[7], N_PREV, axis=0)
+    out[_OFFSETS[9] : _OFFSETS[10]] += np.repeat(part[1], N_PREV * N_LENGTH * 2, axis=0) + np.tile(np.repeat(part[2], N_LENGTH * 2, axis=0), (N_PREV, 1))
+    return out
+
+
+def features(text: str, facts: Facts, columns: tuple[int, ...] = ALL) -> np.ndarray:
     """Indices of the features of each word of a text: words x features."""
     words = _WORD.findall(text)
     if not words:
-        return np.zeros((0, len(_OFFSETS) - 1), dtype=np.int64)
-    shape, mix, as_prev, own, digit, ascii_digit, opens, closes = facts.of(words).T
+        return np.zeros((0, len(columns)), dtype=np.int64)
+    shape, mix, as_prev, own, digit, ascii_digit, opens, closes, form = facts.of(words).T
     filed = bisect.bisect_right((0.01, 0.05, 0.2), int(ascii_digit.sum()) / (text.count(" ") + 1))
     before = np.concatenate(([0, 0], as_prev))
     named = own >= 0
@@ -170,11 +214,11 @@ def features(text: str, facts: Facts) -> np.ndarray:
             quote[k : after + 1] = 2 if p1[k] == 5 or (p1[k] == 2 and p2[k] in (1, 5)) else 1
             if words[k] in "\"'":  # a quote set off by a space belongs to what follows
                 quote[k] = 0
-    flags, length = shape // 5 % 32, np.array(_LENGTH3)[shape // 160]
-    coarse = 4 * (length == 2) + 2 * ((flags & 24) > 0) + ((flags & 6) > 0)
-    context = ((p1 * N_PREV + p2) * 3 + length) * 2 + mix % 2
+    flags, length = shape // 5 % 32, np.array(_LENGTH)[shape // 160]
+    coarse = np.where(form > 0, 7 + form, 4 * (length == 3) + 2 * ((flags & 24) > 0) + ((flags & 6) > 0))
+    context = ((p1 * N_PREV + p2) * N_LENGTH + length) * 2 + mix % 2
     every = (shape, p1, p2, nxt, np.full(len(words), filed), coarse, coarse * N_PREV + p1, mix, mix * N_PREV + p1, context, length * N_QUOTE + quote)
-    return np.stack(every, axis=1) + _OFFSETS[:-1]
+    return np.stack([every[c] + _OFFSETS[c] for c in columns], axis=1)
 
 
 def places(text: str) -> list[tuple[int, int]]:
@@ -220,8 +264,8 @@ FORBIDDEN = np.zeros((3, 3))
 FORBIDDEN[O, I] = -1e4
 
 
-def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 150, rate: float = 0.5, decay: float = 1e-3):
-    """Maximum-likelihood weights of the field by AdaGrad: (features x 3, 3 x 3)."""
+def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 200, batch: int = 1600, rate: float = 0.3, decay: float = 1e-3):
+    """Maximum-likelihood weights of the field by AdaGrad on batches of runs, dealt anew each pass: (features x 3, 3 x 3)."""
     w, trans = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
     w[:, O] = 0.01
     if not runs:
@@ -231,26 +275,29 @@ def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 150, ra
     feats = np.zeros((len(runs), width, n_feat), dtype=np.int64)
     mask = np.zeros((len(runs), width), dtype=bool)
     gold = np.zeros((len(runs), width, 3))
-    gold_pair = np.zeros((3, 3))
+    gold_pair = np.zeros((len(runs), 3, 3))
     for k, (r, g) in enumerate(zip(runs, tags, strict=True)):
         feats[k, : len(r)], mask[k, : len(r)] = r, True
         gold[k, np.arange(len(r)), g] = 1
         for a, b in zip([O, *g], [*g, O], strict=True):
-            gold_pair[a, b] += 1
-    flat, same = np.unique(feats[mask], axis=0, return_inverse=True)  # words of equal features are scored once
-    target = gold[mask]
+            gold_pair[k, a, b] += 1
+    rng, order = np.random.default_rng(3), np.zeros(0, dtype=np.int64)
     g2w, g2t = np.full_like(w, 1e-8), np.full_like(trans, 1e-8)
     for _ in range(steps):
-        emit = np.zeros((len(runs), width, 3))
-        emit[mask] = w[flat].sum(axis=1)[same]
-        _, unary, pair = _forward_backward(emit, mask, trans + FORBIDDEN)
-        miss = (target - unary[mask]) / len(runs)
+        if not len(order):
+            order = rng.permutation(len(runs))
+        now, order = order[:batch], order[batch:]
+        here = mask[now]
+        emit = np.zeros((len(now), width, 3))
+        words = feats[now][here]
+        emit[here] = w[words].sum(axis=1)
+        _, unary, pair = _forward_backward(emit, here, trans + FORBIDDEN)
+        miss = (gold[now][here] - unary[here]) / len(now)
         grad = np.zeros_like(w)
         for tag in range(3):
-            own = np.bincount(same, weights=miss[:, tag], minlength=len(flat))
-            grad[:, tag] = np.bincount(flat.ravel(), weights=np.repeat(own, n_feat), minlength=N_FEATURES)
+            grad[:, tag] = np.bincount(words.ravel(), weights=np.repeat(miss[:, tag], n_feat), minlength=N_FEATURES)
         grad -= decay * w
-        grad_t = (gold_pair - pair) / len(runs) - decay * trans
+        grad_t = (gold_pair[now].sum(axis=0) - pair) / len(now) - decay * trans
         g2w += grad**2
         g2t += grad_t**2
         w += rate * grad / np.sqrt(g2w)
@@ -273,6 +320,9 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> list[int]:
     return out[::-1]
 
 
+_ID_LEADS = ("commit", "revision", "sha", "checksum:", "id:", "uuid", "ref", "hash", "digest:", "build", "in commit", "IBAN", "iban:", "request id", "account")
+
+
 def _synthetic(rng: np.random.Generator) -> tuple[str, int, int]:
     """A made-up line, and the place of the secret in it (an empty one: none)."""
 
@@ -290,9 +340,13 @@ def _synthetic(rng: np.random.Generator) -> tuple[str, int, int]:
     def phrase(n: int) -> list[str]:
         return [take("bcdfglmnprstvw", 1) + take("aeiou", 1) + take("bcdglmnprst", 1) + take("aeiou", 1) + take("lnrst", int(rng.integers(0, 2))) for _ in range(n)]
 
-    letters, lower = string.ascii_letters, string.ascii_lowercase
+    letters, lower, hexes = string.ascii_letters, string.ascii_lowercase, "0123456789abcdef"
+
+    def uuid() -> str:
+        return "-".join(take(hexes, n) for n in (8, 4, 4, 4, 12))
+
     mixed = letters + string.digits * pick(0, 0, 1, 1, 3)
-    kind = int(rng.integers(0, 25))
+    kind = int(rng.integers(0, 35))
     hints = ("key", "auth", "credential =", "bearer", "secret:", "pwd =", "Authorization: Bearer", "passphrase:", "token =", "pass:")
     signed = tuple(h for h in hints if h[-1] in "=:")
     secret = {
@@ -326,26 +380,52 @@ def _synthetic(rng: np.random.Generator) -> tuple[str, int, int]:
         23: lambda: " ".join(plain_word() + pick("$$$", "%%%", "&&&", "***", "###", ".", ";") for _ in range(int(rng.integers(2, 9)))),
         24: lambda: pick(".\n", ". ", "/", "-").join("".join(phrase(2)).capitalize() for _ in range(2)),
     }
+    secret |= {
+        25: lambda: take(pick(lower, mixed, letters + string.digits + "!%$*-_"), int(rng.integers(8, 25))),  # in an address
+        26: lambda: take(pick(lower, lower, letters), int(rng.integers(10, 21))),  # after a name and "is", or a sign
+        27: lambda: pick(uuid, lambda: take(hexes, int(rng.integers(16, 32))))(),  # after a hint with a sign
+    }
+    plain |= {
+        28: uuid,
+        29: lambda: take(hexes, int(rng.integers(7, 32))),
+        30: lambda: take(string.ascii_uppercase, 2) + take(string.digits, 2) + pick("", take(string.ascii_uppercase, 4)) + take(string.digits, int(rng.integers(11, 20))),
+        31: lambda: pick("https://", "https://www.", "http://") + plain_word().lower() + pick(".com/", ".org/", ".be/", ".net/") + pick("watch?v=", "?id=", "?q=", "embed/", "v/", "p/", "d/", "item?t=", "") + take(mixed + "-_", int(rng.integers(8, 25))),
+        32: lambda: plain_word(),  # after a name and "is"
+        33: lambda: pick("sha256-", "sha512-", "sha384-", "sha256:") + take(letters + string.digits + "+/", 43) + pick("", "="),
+        34: lambda: pick("https://", "http://") + plain_word().lower() + ".com/" + "/".join(phrase(int(rng.integers(1, 4)))) + pick("", "?page=2", "#top", "?lang=en"),
+    }
     before, after = ([plain_word() for _ in range(int(rng.integers(0, 4)))] for _ in range(2))
     body = secret[kind]() if kind in secret else plain[kind]()
-    if kind == 16:
+    pre, post = "", ""
+    if kind in (16, 27):
         lead = pick(*signed)
-    elif kind in (15, 17):
+    elif kind in (4, 15, 17):
         lead = pick(*hints)
+    elif kind == 25:
+        lead = pick(plain_word(), plain_word(), "url:", "url =", "at", "from", "")
+        pre = pick("postgres", "postgresql", "mysql", "mongodb", "redis", "amqp", "https", "ftp") + "://" + pick("", plain_word().lower()) + ":"
+        post = "@" + plain_word().lower() + pick("", ".example.com", ".internal") + pick("", ":" + str(rng.integers(1000, 9999))) + pick("", "/" + plain_word().lower())
+    elif kind in (26, 32):
+        lead = pick("the passphrase is", "my password is", "the pwd is", "password is", "its secret is", "the pass phrase is", *(("passphrase:", "pwd:", "passphrase =", "pass:") if kind == 26 else ()))
+    elif kind in (28, 29, 30, 33):
+        lead = pick(*_ID_LEADS, *[plain_word() for _ in range(8)])
+    elif kind in (31, 34):
+        lead = pick("see", "at", "link:", "video:", "from", plain_word(), plain_word())
     elif kind >= 18:  # words of which few are names of secrets; with a sign, short ones only follow
-        lead = pick("key", "auth", "bearer", "secret", "token", "password", "Name:", "see", "Note:", plain_word(), plain_word(), plain_word())
+        lead = pick("key", "auth", "bearer", "secret", "token", "password", "Name:", "see", "Note:", *_ID_LEADS[:4], plain_word(), plain_word(), plain_word())
     else:
         lead = pick(*hints, *[plain_word() for _ in range(8)])
-    quote = '"' if rng.random() < 0.3 else ""
+    quote = '"' if rng.random() < 0.3 and kind != 26 else ""
     if kind == 16 and quote and rng.random() < 0.5:
         body = " ".join(phrase(int(rng.integers(2, 6))))
-    elif kind in secret and kind != 16 and rng.random() < 0.25:  # a secret wrapped over two words
+    elif kind in secret and kind not in (16, 25, 26, 27) and rng.random() < 0.25:  # a secret wrapped over two words
         half = len(body) // 2
         body = f"{body[:half]} {body[half:]}"
     start = " ".join([*before, lead, quote])
     start = start if quote else start.rstrip() + " "
     end = pick("", ".", ",") if not quote else ""
-    return f"{start}{body}{quote}{end} {' '.join(after)}.", len(start), len(start) + len(body) if kind in secret else len(start)
+    start += pre
+    return f"{start}{body}{post}{quote}{end} {' '.join(after)}.", len(start), len(start) + len(body) if kind in secret else len(start)
 
 
 def _tagged(text: str, spans: list[tuple[int, int]], facts: Facts) -> tuple[np.ndarray, list[int]]:
@@ -387,6 +467,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     return fit(*training_set([r["t"] for r in hashed_sample(docs, SAMPLE_DOCS, id_col, text_col)]))
 
 
+def ready(model: tuple) -> tuple:
+    """The weights as ``all_spans`` takes them."""
+    return folded(model[0]), model[1]
+
+
 def open_words(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Whether a word can be B or I in the best tagging of the whole text."""
     gain, step = emit - emit[:, O, None], trans - trans[O, O]
@@ -396,11 +481,11 @@ def open_words(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return highest - np.minimum.accumulate(total[:-1]) + step[[B, I], O].max() > -1e-9
 
 
-def all_spans(text: str, raw: bytes, model, facts: Facts | None = None) -> list[tuple[str, int, int]]:
-    """Base spans and the field's further ones, by start and kind."""
+def all_spans(text: str, raw: bytes, model: tuple, facts: Facts | None = None) -> list[tuple[str, int, int]]:
+    """Base spans and the field's further ones, by start and kind; the model is that of ``ready``."""
     w, trans = model
     spans = base_spans(text, raw)
-    feats = features(text, facts or Facts())
+    feats = features(text, facts or Facts(), FOLDED)
     found = []
     if len(feats):
         emit = w[feats].sum(axis=1)
@@ -426,6 +511,7 @@ def scan_secrets(docs: DataFrame, model=None, id_col: str = "doc_id", text_col:
     """One row a document: spans as arrays of (kind, start, end); ``carry`` columns pass through."""
     if model is None:
         model = train(docs, id_col, text_col)
+    model = ready(model)
     kept = [F.col(c) for c in carry]
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema) if carry else ""
 
