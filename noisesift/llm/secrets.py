@@ -22,6 +22,7 @@ points, end exclusive.
 from __future__ import annotations
 
 import bisect
+import random
 import re
 import string
 
@@ -326,8 +327,10 @@ _ID_LEADS = ("commit", "revision", "sha", "checksum:", "id:", "uuid", "ref", "ha
 def _synthetic(rng: np.random.Generator) -> tuple[str, int, int]:
     """A made-up line, and the place of the secret in it (an empty one: none)."""
 
+    quick = random.Random(int(rng.integers(0, 1 << 60)))
+
     def take(alphabet: str, n: int) -> str:
-        return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
+        return "".join(quick.choices(alphabet, k=int(n)))
 
     def pick(*of):
         return of[int(rng.integers(0, len(of)))]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import functools
+import hashlib
 import itertools
 import random
 import re
