@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from noisesift.functions.vectors import logsumexp
 from noisesift.operators.ranking import keyed_join, value_starts
+from noisesift.session import staged
 
 
 def _c(x: str | Column) -> Column:
@@ -90,8 +91,10 @@ def average_rank(df: DataFrame, col: str, id_col: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, id_col: str, with_pearson: bool = False) -> DataFrame:
-    """G7 (stsb). Spearman = Pearson of average ranks (optionally Pearson too, same pass)."""
-    r = average_rank(average_rank(df.select(id_col, x, y), x, id_col, "__rx"), y, id_col, "__ry")
+    """G7 (stsb). Spearman = Pearson of average ranks (optionally Pearson too, same pass). A row's id
+    and its two values are written once: both ranks and their joins read them, not ``df``."""
+    values = staged(df.select(id_col, x, y), "values")
+    r = average_rank(average_rank(values, x, id_col, "__rx"), y, id_col, "__ry")
     cols = [F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson")] if with_pearson else []
     return r.agg(*cols, F.corr("__rx", "__ry").alias("spearman"))
 

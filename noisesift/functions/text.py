@@ -154,7 +154,7 @@ def collate_ragged(aug: DataFrame, clean_batches: DataFrame, group: str = "origi
     cb = clean_batches.select(F.col(key).alias(group), batch)
     a = aug.join(cb, group)
     ranked = ordered_position(a, id_col, [group], "__r", "__n")
-    m = ranked.groupBy(batch).agg(F.max("__n").alias("__m"))
+    m = a.groupBy(group, batch).agg(F.count(F.lit(1)).alias("__n")).groupBy(batch).agg(F.max("__n").alias("__m"))  # no rank needed
     x = ranked.join(m, batch)
     reps = F.ceil((F.col("__m") - F.col("__r")) / F.col("__n")).cast("int")
     x = x.withColumn("__k", F.explode(F.sequence(F.lit(0), reps - 1)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisesift.operators.ranking import ordered_position
-from noisesift.session import scratch_dir
+from noisesift.session import scratch_dir, staged
 
 # Config keys skipped when comparing planned and finished trials.
 UNINTERESTED_KEYS = ("gpus_per_trial", "version_no", "path")
@@ -119,7 +119,7 @@ def skip_finished(
         fits = left.where(holds(ks)).withColumn("__sig", signature(F.col(config_col), ks))
         done = fits.groupBy("__sig").agg(F.count(F.lit(1)).alias("__done"))
         met = mine.join(done, "__sig", "left")
-        rows = ranked(met.where("__done IS NOT NULL"), version_col).where(F.col("__pos") >= F.col("__done"))
+        rows = ranked(staged(met.where("__done IS NOT NULL"), "met"), version_col).where(F.col("__pos") >= F.col("__done"))
         kept += [met.where("__done IS NULL"), rows.drop("__pos")]
         if i + 1 < len(sets):
             used = mine.groupBy("__sig").agg(F.count(F.lit(1)).alias("__n"))

@@ -15,8 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noisesift.operators.ranking import keyed_join, ordered_position
+from noisesift.operators.ranking import ordered_position
 from noisesift.operators.shape import tag_has_all
+from noisesift.session import staged
 
 RUN = ("experiment", "version")
 
@@ -80,24 +81,20 @@ def run_final_rows(log: DataFrame, parts: Sequence[str] = ("acc", "Test"), run:
 
 def best_run(final_rows: DataFrame, group: str = "experiment", version: str = "version", score: str = "interested") -> DataFrame:
     """H4. Per group the run with the strictly largest score; the first run (by version)
-    wins ties; NaN counts as 0. Returns that run's rows."""
-    runs = final_rows.select(group, version, F.coalesce(F.nanvl(F.col(score), F.lit(0.0)), F.lit(0.0)).alias("__s")).distinct()
-    best = _best_of_group(runs, [group], "__s", version).select(group, version)
-    return final_rows.join(best, [group, version], "left_semi")
-
-
-def _best_of_group(df: DataFrame, group: Sequence[str], score: str, name: str) -> DataFrame:
-    """Rows with the largest ``score`` per group, ties to the smallest ``name``: two
-    partial-aggregated group-bys and equi-joins (no per-group window, so a group of
-    any size is spread over many tasks)."""
-    if not group:
-        top = df.agg(F.max(score)).first()[0]  # one scalar
-        first = df.where(F.col(score) == F.lit(top)).agg(F.min(name)).first()[0]
-        return df.where(F.col(name) == F.lit(first))
-    top = df.groupBy(*group).agg(F.max(score).alias("__m"))
-    tied = keyed_join(df, top, list(group)).where(F.col(score) == F.col("__m"))
-    first = tied.groupBy(*group).agg(F.min(name).alias(name))
-    return keyed_join(df, first, [*group, name], "left_semi")
+    wins ties; NaN counts as 0. Returns that run's rows.
+
+    The final rows (one a run and tag) are written once; the best run is one aggregate over them."""
+    rows = staged(final_rows, "final_rows")
+    runs = rows.select(group, version, F.coalesce(F.nanvl(F.col(score), F.lit(0.0)), F.lit(0.0)).alias("__s"))
+    best = runs.groupBy(group).agg(_best_of("__s", version)["name"].alias(version))
+    return rows.join(best, [group, version], "left_semi")
+
+
+def _best_of(score: str, name: str, *carry: str) -> Column:
+    """The row of largest ``score``, ties to the smallest ``name`` (null last), as a struct: one aggregate, partial
+    in the map tasks, so a group of any size is spread over many tasks. Rows without a score are not chosen."""
+    row = F.struct((F.lit(0.0) - F.col(score)).alias("neg"), F.col(name).isNull().alias("unnamed"), F.col(name).alias("name"), *carry)
+    return F.min(F.when(F.col(score).isNotNull(), row))
 
 
 def metrics_wide(rows: DataFrame, metrics: Sequence[str] | None = None, group: str = "experiment",
@@ -132,6 +129,7 @@ def halving_survivors(history: DataFrame, grace: int = 5, eta: int = 2, max_t: i
         at = at.withColumn("__neg", -F.col("value"))
         ranked = ordered_position(at, "__neg", [], "__p", "__n", tiebreak=[trial]).withColumn("rank", F.col("__p") + 1)
         kept = ranked.where(F.col("rank") <= F.ceil(F.col("__n") / F.lit(eta))).drop("__n", "__p", "__neg").withColumn("rung", F.lit(rung))
+        kept = staged(kept, "rung")  # the next rung reads it twice
         kept_all = kept if kept_all is None else kept_all.unionByName(kept)
         alive = kept.select(trial)
     return kept_all.select("rung", trial, "value", "rank")
@@ -146,7 +144,8 @@ def best_trial(history: DataFrame, trial: str = "trial", it: str = "iteration",
         F.max(_no_nan(metric)).alias("best_value"),
         F.max_by(F.col(it), F.struct(_no_nan(metric), -F.col(it))).alias("best_iteration"),
     )
-    return _best_of_group(per, list(group), "best_value", trial)
+    best = per.groupBy(*group).agg(_best_of("best_value", trial, "best_value", "best_iteration").alias("__b")).where("__b IS NOT NULL")
+    return best.select(*group, F.col("__b.name").alias(trial), "__b.best_value", "__b.best_iteration")
 
 
 # -------------------------------------------------------------- H8 plateau

@@ -74,5 +74,12 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """The rows written once to the shared folder and read back: several readers take one computation, and lineage ends there."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -135,3 +135,43 @@ def test_user_tokenizer_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "ab c"), (1, "d"), (2, None)], "index long, text string")
     got = sorted((r["index"], list(r["encode"])) for r in T.encode_text(df, lambda texts: [[10 + len(w) for w in t.split()] for t in texts], max_len=5).collect())
     assert got == [(1, [0, 11, 2, 1, 1]), (1, [0, 12, 11, 2, 1]), (2, [0, 2, 1, 1, 1])]
+
+
+def test_best_run_ties_nan_and_missing_scores(spark):
+    from noisesift.operators.runs import best_run
+
+    nan = float("nan")
+    rows = [("a", "v2", 0.5, 1), ("a", "v1", 0.5, 2), ("a", "v3", nan, 3), ("b", "v1", nan, 4), ("b", "v0", None, 5), ("b", "v0", None, 6), (None, "v1", 1.0, 7), ("c", "v1", -1.0, 8), ("c", "v2", -0.5, 9)]
+    df = spark.createDataFrame(rows, "experiment string, version string, interested double, id int")
+    # ties go to the first version; a missing score counts as 0; a group without a name is no group
+    assert {r["id"] for r in best_run(df).collect()} == {2, 5, 6, 9}
+    assert best_run(df.limit(0)).collect() == []
+
+
+def test_best_trial_missing_values_and_names(spark):
+    from noisesift.operators.runs import best_trial
+
+    rows = [("g", "t1", 1, None), ("g", "t2", 1, 0.5), ("g", "t2", 2, 0.5), ("g", None, 1, 0.5), ("h", "t1", 1, None), (None, "t9", 3, 2.0), ("k", None, 4, 1.0)]
+    df = spark.createDataFrame(rows, "g string, trial string, iteration int, value double")
+    got = {(r["g"], r["trial"], r["best_value"], r["best_iteration"]) for r in best_trial(df, group=["g"]).collect()}
+    assert got == {("g", "t2", 0.5, 1), (None, "t9", 2.0, 3), ("k", None, 1.0, 4)}
+    one = best_trial(df.where("g = 'g'")).collect()
+    assert [(r["trial"], r["best_value"]) for r in one] == [("t2", 0.5)]
+    assert best_trial(df.limit(0)).collect() == []
+
+
+def test_spearman_reads_its_input_once(spark):
+    from noisesift.functions.metrics import spearman
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(i, float(i % 7), float((i * i) % 5)) for i in range(50)], "id int, x double, y double")
+    got = spearman(df.mapInPandas(tick, df.schema), "x", "y", "id", with_pearson=True).first()
+    ranks = df.toPandas()[["x", "y"]].rank()
+    assert abs(got["spearman"] - ranks["x"].corr(ranks["y"])) < 1e-9
+    assert seen.value == 50
