@@ -23,6 +23,8 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,12 +98,15 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     return members, pairs.where(F.col("likeness") >= threshold - 1e-12)
 
 
-def with_next(docs: DataFrame, order_col: str, carry: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, order_col: str, carry: list[str], derived: dict[str, tuple[Callable[[Column], Column], str]] | None = None) -> DataFrame:
     """Add ``next_<c>`` of the following row in descending order (after the last row: the first).
 
     Rows are cut into ranges of the order column by its approximate quantiles, so
     each range is sorted on its own; a range's last row gets the next range's first.
+    ``derived`` names values of a carried column (name: function, column): each is computed once a row, after
+    the rows were shuffled to their ranges, and added with its ``next_<name>``.
     """
+    derived = derived or {}
     rows = docs.count()
     ranges = max(32, min(100_000, rows // ROWS_PER_RANGE))
     cuts = docs.where(F.col(order_col).isNotNull()).approxQuantile(order_col, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)) if rows else []
@@ -121,22 +126,26 @@ def with_next(docs: DataFrame, order_col: str, carry: list[str]) -> DataFrame:
     down = Window.orderBy(F.col("_range").desc())  # one row a range
     follows = firsts.select("_range", F.lead("_range").over(down).alias("_lower"), F.max("_range").over(Window.partitionBy()).alias("_top"))
     follows = follows.select("_range", F.coalesce("_lower", "_top").alias("_next_range"))
-    after = follows.join(firsts.select(F.col("_range").alias("_next_range"), "_first"), "_next_range").select("_range", "_first")
+    first = F.struct(*[F.col(f"_first.{c}").alias(c) for c in carry], *[fn(F.col(f"_first.{c}")).alias(name) for name, (fn, c) in derived.items()])
+    after = follows.join(firsts.select(F.col("_range").alias("_next_range"), first.alias("_first")), "_next_range").select("_range", "_first")
+    if derived:
+        keyed = keyed.repartition("_range").withColumns({name: fn(F.col(c)) for name, (fn, c) in derived.items()})
     in_range = Window.partitionBy("_range").orderBy(F.col(order_col).desc_nulls_last(), F.col("_tie").desc())
-    led = keyed.withColumn("_next", F.lead(F.struct(*carry)).over(in_range)).join(after, "_range")
-    return led.select(*docs.columns, *[F.when(F.col("_next").isNull(), F.col(f"_first.{c}")).otherwise(F.col(f"_next.{c}")).alias(f"next_{c}") for c in carry])
+    led = keyed.withColumn("_next", F.lead(F.struct(*carry, *derived)).over(in_range)).join(after, "_range")
+    following = [F.when(F.col("_next").isNull(), F.col(f"_first.{c}")).otherwise(F.col(f"_next.{c}")).alias(f"next_{c}") for c in [*carry, *derived]]
+    return led.select(*docs.columns, *derived, *following)
 
 
 @query("op8_spotsigs_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    led = with_next(docs, "doc_id", ["text"])
+    led = with_next(docs, "doc_id", ["text"], {"f": (signatures, "text")})
     n = F.length("text")
     led = led.withColumn("n_chars", n.cast("long")).withColumn("half", F.floor(n / 2).cast("int"))
     led = led.withColumn("edited", F.concat(F.expr("left(text, n_chars - half)"), F.expr("left(next_text, half)")))
     prints = led.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        signatures(F.col("text")).alias("f"), signatures(F.col("edited")).alias("e"), signatures(F.col("next_text")).alias("x"),
+        "f", signatures(F.col("edited")).alias("e"), F.col("next_f").alias("x"),
     )
     return prints.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),

@@ -459,6 +459,12 @@ def test_next_document(spark, odd):
     order = sorted(got, reverse=True)
     by_id = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert got == {i: by_id[order[(k + 1) % len(order)]] for k, i in enumerate(order)}
+    prints = {"f": (spotsigs.signatures, "text")}
+    rows = {r["doc_id"]: r for r in spotsigs.with_next(docs, "doc_id", ["text"], prints).collect()}
+    own = {r["doc_id"]: r["s"] for r in docs.select("doc_id", spotsigs.signatures(spotsigs.F.col("text")).alias("s")).collect()}
+    assert {i: (r["text"], r["f"], r["next_text"], r["next_f"]) for i, r in rows.items()} == {
+        i: (by_id[i], own[i], got[i], own[order[(k + 1) % len(order)]]) for k, i in enumerate(order)}
+    assert spotsigs.with_next(odd.limit(0), "doc_id", ["text"], prints).count() == 0
     assert spotsigs.with_next(odd, "doc_id", ["text"]).count() == 10
     assert spotsigs.with_next(odd.limit(0), "doc_id", ["text"]).count() == 0
 
