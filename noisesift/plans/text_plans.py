@@ -125,10 +125,9 @@ def f7_check_uniform_length(spark: SparkSession, d: str):
     tr = T.encode_text(fixtures.corpus(spark, d), v, "text", "index", 128)
     au = fixtures.aug(spark, d).withColumn("aug_id", F.col("origin") * 10 + F.array_position(F.array(*[F.lit(m) for m in AUG_METHODS]), F.col("aug_method")))
     au = T.encode_text(au, v, "text", "aug_id", 128)
-    T.check_uniform_length(tr, au)
-    stats = [f.agg(F.min(F.size("encode")).alias("min_len"), F.max(F.size("encode")).alias("max_len"), F.count(F.lit(1)).alias("n")).withColumn("tbl", F.lit(name))
-             for name, f in (("train", tr), ("aug", au))]
-    return stats[0].unionByName(stats[1]).select("tbl", "min_len", "max_len", "n")
+    stats = T.length_stats({"train": tr, "aug": au})
+    T.check_uniform_length(tr, au, stats=stats)
+    return stats.select("tbl", "min_len", "max_len", "n")
 
 
 @register("b7_training_rows", with_views("train", "corpus") + "," + CLEAN_SPLIT_SQL + "," + TRAIN_TOKENS_SQL + "," + _ids_sql("toks", 126, "enc") + """
