@@ -149,8 +149,10 @@ SELECT s1.aug_method, s1.origin, md5(sentence1) AS sentence1_md5, md5(sentence2)
 FROM side1 s1 JOIN side2 s2 ON s1.aug_method = s2.aug_method AND s1.origin = s2.origin""")
 def d2_pair_sides(spark: SparkSession, d: str):
     s1, s2 = _d2_sides(spark, d)
-    pairs = joins.pair_sides(s1, s2)
-    return pairs.select("aug_method", "origin", F.md5("sentence1").alias("sentence1_md5"), F.md5("sentence2").alias("sentence2_md5"))
+    # each text is hashed whole where it is made, once, and not once a pair: the join moves digests
+    s1 = s1.select("aug_method", "origin", F.md5("sentence1").alias("sentence1_md5"))
+    s2 = s2.select("aug_method", "origin", F.md5("sentence2").alias("sentence2_md5"))
+    return joins.pair_sides(s1, s2).select("aug_method", "origin", "sentence1_md5", "sentence2_md5")
 
 
 @register("d3_align", with_views("train", "aug") + "," + CLEAN_SPLIT_SQL + """
