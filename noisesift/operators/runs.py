@@ -122,11 +122,14 @@ def halving_survivors(history: DataFrame, grace: int = 5, eta: int = 2, max_t: i
     while r < max_t:
         rungs.append(r)
         r *= eta
-    alive = history.select(trial).distinct()
-    kept_all = None
+    # the rows of all rungs are taken from the history in one pass; a rung then reads what is written
+    reached = history.where(F.col(it).isin(rungs) & F.col(trial).isNotNull())
+    reached = staged(reached.select(trial, F.col(it).alias("rung"), _no_nan(metric).alias("value")), "rungs")
+    alive, kept_all = None, None
     for rung in rungs:
-        at = history.where(F.col(it) == F.lit(rung)).select(trial, _no_nan(metric).alias("value")).join(alive, trial, "left_semi")
-        at = at.withColumn("__neg", -F.col("value"))
+        at = reached.where(F.col("rung") == F.lit(rung)).select(trial, "value", (-F.col("value")).alias("__neg"))
+        if alive is not None:
+            at = at.join(alive, trial, "left_semi")
         ranked = ordered_position(at, "__neg", [], "__p", "__n", tiebreak=[trial]).withColumn("rank", F.col("__p") + 1)
         kept = ranked.where(F.col("rank") <= F.ceil(F.col("__n") / F.lit(eta))).drop("__n", "__p", "__neg").withColumn("rung", F.lit(rung))
         kept = staged(kept, "rung")  # the next rung reads it twice
