@@ -71,7 +71,7 @@ def test_d2_joins_digests_of_whole_texts(spark, tmp_path):
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     join = next(x for x in plan.splitlines() if "Join" in x)
-    assert "md5" not in plan.split(join)[0], "hashed below the join"
+    assert "md5(" not in plan.split(join)[0] and "md5(" in plan, "hashed below the join"
 
 
 def test_halving_computes_the_history_once(spark):
